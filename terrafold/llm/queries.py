@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafold.llm import bpe
+from terrafold.llm import bpe, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
+    "op8_quality_rules": quality.op8_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_secret_scan": secrets.ORACLE}
