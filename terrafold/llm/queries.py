@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafold.llm import bpe, quality, secrets
+from terrafold.llm import bpe, mixing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 ORACLE: dict[str, str] = {"op1_secret_scan": secrets.ORACLE}
