@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafold.llm import bpe, mixing, quality, secrets
+from terrafold.llm import bpe, minhash, mixing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
+    "op5_near_duplicates": minhash.op5_near_duplicates,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
