@@ -166,15 +166,17 @@ def learn(rows: list, precision: float = 0.95, depth: int = 4, most: int = 8) ->
 def labelled_rows(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> list:
     """Statistics of at most `bound` labelled documents, those of the smallest hash of doc_id, ordered by it.
 
-    Documents that fail the base rule are left out: the learned rules decide about the others only.
+    Documents that fail the base rule are left out: the learned rules decide about the others only. They are dropped
+    here, not by a filter, which would move below the join and count the words of all documents.
     """
     some = (
         labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").dropDuplicates(["doc_id"])
         .select("doc_id", (F.col("quality") == 0).alias("bad"), F.xxhash64("doc_id").alias("_h"))
         .orderBy("_h", "doc_id").limit(bound)
     )
-    stats = with_stats(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")).where(~base_failed())
-    return stats.select("doc_id", "bad", (F.pmod("_h", F.lit(3)) > 0).alias("grow"), *[c.alias(k) for k, c in features().items()]).orderBy("doc_id").collect()
+    stats = with_stats(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"))
+    found = stats.select("doc_id", "bad", (F.pmod("_h", F.lit(3)) > 0).alias("grow"), base_failed().alias("failed"), *[c.alias(k) for k, c in features().items()])
+    return sorted((r for r in found.collect() if not r["failed"]), key=lambda r: r["doc_id"])
 
 
 def verdict(rules: list[Rule]) -> Column:
