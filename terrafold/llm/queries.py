@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafold.llm import bpe, chunking, minhash, mixing, quality, secrets, suffix
+from terrafold.llm import bpe, chunking, minhash, mixing, pii, quality, secrets, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
     "op4_remove_repeats": suffix.op4_remove_repeats,
     "op5_near_duplicates": minhash.op5_near_duplicates,
+    "op6_personal_data": pii.op6_personal_data,
     "op7_substring_dedup": chunking.op7_substring_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
     "op10_mix_sources": mixing.op10_mix_sources,
