@@ -95,7 +95,7 @@ def round_trip(docs: DataFrame, vocab: str, pattern: str, text: str = "text", ke
     One row per row of docs: key, n_tokens, ids_sha256, decoded_sha256. Null text counts as empty (0 tokens, digests of
     nothing); null and repeated keys are returned as they are; other columns are not read.
     """
-    schema = docs.select(F.col(key), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
+    schema = common.row_schema(docs, key, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
     def run(batches):
         enc = encoding(vocab, pattern)

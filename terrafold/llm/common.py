@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space, the word separator of every contract.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -50,3 +51,8 @@ def parts_for(docs: DataFrame, text: str = "text", part_mb: float = 24.0) -> int
     spark = docs.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, math.ceil(total / (part_mb * 1e6)))
+
+
+def row_schema(docs: DataFrame, key: str, ddl: str) -> StructType:
+    """The key column of docs, then nullable columns."""
+    return StructType([docs.schema[key], *StructType.fromDDL(ddl).fields])

@@ -33,7 +33,7 @@ def _halves(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, size: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles, digest of the shingle set and halves (array of int) of each row; no halves for an empty set."""
-    schema = docs.select(F.col(key).alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(b"").alias("digest"), F.array(F.lit(0)).alias("halves")).schema
+    schema = common.row_schema(docs, key, "n_shingles long, digest binary, halves array<int>")
 
     def run(batches):
         for batch in batches:

@@ -349,7 +349,7 @@ def find(docs: DataFrame, field: Field, text: str = "text", key: str = "doc_id")
     Counts and digest are of the base spans; spans has those that the field adds as well. Null and empty texts have none.
     Null and repeated keys are returned as they are; other columns are not read.
     """
-    schema = docs.select(F.col(key), *[F.lit(0).cast("long").alias(f"n_{k}") for k in KINDS], F.lit("").alias("base_sha256"), F.lit("").alias("spans")).schema
+    schema = common.row_schema(docs, key, ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
     def run(batches):
         for b in batches:

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafold.llm import bpe, chunking, minhash, mixing, pii, quality, secrets, suffix
+from terrafold.llm import bpe, chunking, licenses, minhash, mixing, pii, quality, secrets, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
     "op4_remove_repeats": suffix.op4_remove_repeats,
     "op5_near_duplicates": minhash.op5_near_duplicates,
@@ -19,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
-ORACLE: dict[str, str] = {"op1_secret_scan": secrets.ORACLE}
+ORACLE: dict[str, str] = {"op1_secret_scan": secrets.ORACLE, "op2_license_scan": licenses.ORACLE}
