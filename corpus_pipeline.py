@@ -1,17 +1,65 @@
-"""Corpus pipeline: stages over documents."""
+"""A corpus pipeline of five stages, each over all that the one before kept.
+
+Quality rules drop what they reject; of each group of near copies one document stays; secrets are replaced in the text;
+sources are mixed to their target weights, which repeats or drops documents; the rest is encoded by bytes and decoded
+again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrafold.llm import bpe, common, minhash, mixing, quality, secrets
+
+
+def _like(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.select(*docs.columns)
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _like(quality.judge(docs, labels).where("kept"), docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.dedup(docs, size=5, percent=80)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _recounted(secrets.redact(docs))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """documents, with token ids, their number and the text decoded from them."""
+    import public_tokenizers
+
+    vocab, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.encoded_and_decoded(docs, vocab, pattern)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_dedup),
+    ("secret scan", secret_scan),
+    ("source mix", source_mix),
+    ("token ids", encode_decode),
+]
 
-#: Stages learn rules, hash and tokenize, which SQL does not express; tests/llm compares them with brute force.
+#: Rules are learned and texts hashed and tokenized, which SQL does not express; tests/llm compares run() with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = common.documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = common.checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

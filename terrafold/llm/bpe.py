@@ -14,6 +14,8 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StructType
+
 from terrafold.llm import common
 
 #: Texts longer than this are encoded piece by piece.
@@ -64,7 +66,7 @@ def encode_documents(docs: DataFrame, vocab: str, pattern: str, text: str = "tex
     All columns of docs stay; a column already named `out` is replaced. Null and empty texts give no ids.
     """
     kept = docs.drop(out)
-    schema = kept.withColumn(out, F.lit(b"")).schema
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL(f"`{out}` binary").fields])
 
     def run(batches):
         enc = encoding(vocab, pattern)
@@ -78,7 +80,7 @@ def encode_documents(docs: DataFrame, vocab: str, pattern: str, text: str = "tex
 def decode_documents(encoded: DataFrame, vocab: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """encoded with the raw bytes of its ids in the binary column `out`; null ids give no bytes."""
     kept = encoded.drop(out)
-    schema = kept.withColumn(out, F.lit(b"")).schema
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL(f"`{out}` binary").fields])
 
     def run(batches):
         enc = encoding(vocab, pattern)
@@ -111,6 +113,24 @@ def round_trip(docs: DataFrame, vocab: str, pattern: str, text: str = "text", ke
     return docs.select(F.col(key), F.col(text).cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
+def encoded_and_decoded(docs: DataFrame, vocab: str, pattern: str, text: str = "text", size: int = LONG) -> DataFrame:
+    """docs with n_tokens, ids (as in encode_documents) and decoded (the text from the ids), in one pass through Python.
+
+    Clashing columns are replaced; null texts give no ids and an empty decoded text.
+    """
+    kept = docs.drop("n_tokens", "ids", "decoded")
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL("n_tokens long, ids binary, decoded string").fields])
+
+    def run(batches):
+        enc = encoding(vocab, pattern)
+        for b in batches:
+            ids = [encode_text(enc, t, size) for t in _texts(b.column(b.num_columns - 1))]
+            back = [enc.decode_bytes(x.tolist()).decode("utf-8", "replace") for x in ids]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(back, pa.string())], names=schema.names)
+
+    return kept.withColumn("_text", F.col(text).cast("binary")).mapInArrow(run, schema)
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

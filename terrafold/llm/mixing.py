@@ -135,5 +135,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, text: str = "text")
     return rounded.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", F.col("_rate").alias("rate"))
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of docs, each as often as the mix takes its document; its columns stay as they are.
+
+    Rows of one doc_id are told apart by their source and size; equal rows share their copies evenly in number.
+    """
+    taken = mix(docs, weights).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(taken, "doc_id")
+    return once.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.documents(spark, sf_dir))

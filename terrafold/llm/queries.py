@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafold.llm import bpe, chunking, licenses, minhash, mixing, pii, quality, secrets, suffix
+from terrafold.llm import audio, bpe, chunking, licenses, minhash, mixing, pii, quality, secrets, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_personal_data": pii.op6_personal_data,
     "op7_substring_dedup": chunking.op7_substring_dedup,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_audio_alignment": audio.op9_audio_alignment,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
