@@ -14,6 +14,8 @@ WEIGHTS = (5, 2, 1)
 #: No document is taken more often than this.
 MOST = 3
 BINS = 4096
+#: A table of this many sources or fewer is sent to all tasks: a row a source, its number counted before.
+FEW = 10_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -86,7 +88,12 @@ def balance(sizes: DataFrame, goals: DataFrame, tolerance: float = 1e-5, rounds:
     return state.select("_null", "_source", "lam")
 
 
-def _round(rated: DataFrame) -> DataFrame:
+def _sent(sources: DataFrame, few: bool) -> DataFrame:
+    """sources as the small side of a join, so that a source with many documents is not gathered; else left to the planner."""
+    return F.broadcast(sources) if few else sources
+
+
+def _round(rated: DataFrame, few: bool) -> DataFrame:
     """rated (with _rate) with copies: each rate rounded up or down so that a source's taken words meet its target.
 
     A document's score is the fraction of its rate less a hash of doc_id in [0, 1). Those with the highest scores of their
@@ -106,7 +113,7 @@ def _round(rated: DataFrame) -> DataFrame:
     bins = bins.withColumns({"_lacking": lacking, "_above": above})
     edge = bins.where((F.col("_above") + F.col("more") > F.col("_lacking")) & (F.col("_above") <= F.col("_lacking"))).select(*key, F.col("_bin").alias("_edge"), "_lacking", "_above")
     all_up = bins.groupBy(*key).agg(F.max("_lacking").alias("_need"))
-    placed = scored.join(all_up, key).join(edge, key, "left")
+    placed = scored.join(_sent(common.checkpoint(all_up.join(edge, key, "left")), few), key)
     # no edge: every open document is rounded up, or, with nothing lacking, none
     sure_up = F.col("_open") & F.when(F.col("_edge").isNull(), F.col("_need") > 0).otherwise(F.col("_bin") > F.col("_edge"))
     at_edge = F.coalesce(F.col("_open") & (F.col("_bin") == F.col("_edge")), F.lit(False))
@@ -126,12 +133,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, text: str = "text")
         docs.select("doc_id", F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_source"), F.regexp_count(common.text_or_empty(text), F.lit(common.WORD)).cast("long").alias("size"))
     )
     goals = common.checkpoint(targets(sizes, weights))
+    few = goals.count() <= FEW
     lam = balance(sizes, goals)
     key = ["_null", "_source"]
-    rated = sizes.join(goals.join(lam, key, "left"), key).withColumn("_x", F.try_divide(F.col("size"), F.col("source_size") / F.col("n_docs")))
+    rated = sizes.join(_sent(goals.join(lam, key, "left"), few), key).withColumn("_x", F.try_divide(F.col("size"), F.col("source_size") / F.col("n_docs")))
     rated = rated.withColumn("_rate", F.when(F.coalesce("_x", F.lit(0.0)) > 0, _rate(F.col("lam"), F.col("_x"))).otherwise(F.lit(1.0)))
     rated = rated.withColumn("_rate", F.when(F.col("target") >= MOST * F.col("source_size"), F.lit(float(MOST))).otherwise(F.col("_rate")))
-    rounded = _round(common.checkpoint(rated.drop("_x", "lam", "n_docs")))
+    rounded = _round(common.checkpoint(rated.drop("_x", "lam", "n_docs")), few)
     return rounded.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", F.col("_rate").alias("rate"))
 
 
