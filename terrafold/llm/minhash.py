@@ -68,29 +68,65 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("_text")).mapInArrow(run, "doc_id long, items array<long>")
 
 
+#: Ids of this number or fewer are sent to all tasks to pick their texts; more are joined by a shuffle.
+FEW = 1_000_000
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    found = common.checkpoint(sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), size))
-    left = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(found.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
+    wanted = common.checkpoint(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    picked = docs.select("doc_id", "text").join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "doc_id", "left_semi")
+    found = sets(picked, size)
+    left = pairs.join(found.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
+    both = left.join(found.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
     same = F.size(F.array_intersect("x", "y"))
     counted = both.select("a", "b", same.alias("n"), (F.size("x") + F.size("y")).alias("total"))
     return common.checkpoint(counted.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b"))
 
 
-def _tables(reps: DataFrame) -> DataFrame:
-    """key and doc_id for each table key of each row of reps (doc_id, n_shingles, halves) that could meet another.
+def _collections(halves: DataFrame) -> DataFrame:
+    """The halves (doc_id, n_shingles, half, value) of each text by collection, as arrays first and second."""
+    pair = F.struct("half", "value")
+    lists = {name: F.collect_list(F.when(on, pair)).alias(name) for name, on in (("first", F.col("half") < HALVES), ("second", F.col("half") >= HALVES))}
+    return halves.groupBy("doc_id", "n_shingles").agg(*lists.values()).where((F.size("first") > 0) & (F.size("second") > 0))
 
-    A table key joins a half of the first collection with one of the second. Halves that a single text has are left out
-    first: no table keyed by them can hold two texts.
-    """
+
+def _shared_halves(reps: DataFrame) -> DataFrame:
+    """The collections of each row of reps (doc_id, n_shingles, halves) without halves that a single text has: no table
+    keyed by such a half can hold two texts."""
     halves = reps.select("doc_id", "n_shingles", F.posexplode("halves").alias("half", "value"))
     shared = halves.groupBy("half", "value").agg(F.count("*").alias("_n")).where("_n > 1").select("half", "value")
-    kept = halves.join(shared, ["half", "value"], "left_semi")
-    pair = F.struct("half", "value")
-    per = kept.groupBy("doc_id", "n_shingles").agg(F.collect_list(F.when(F.col("half") < HALVES, pair)).alias("first"), F.collect_list(F.when(F.col("half") >= HALVES, pair)).alias("second"))
-    return per.select("doc_id", "n_shingles", F.explode("first").alias("f"), "second").select("doc_id", "n_shingles", F.explode("second").alias("s"), "f").select(F.xxhash64("f", "s").alias("key"), "doc_id", "n_shingles")
+    return _collections(halves.join(shared, ["half", "value"], "left_semi"))
+
+
+def _tables(lists: DataFrame) -> DataFrame:
+    """key, doc_id and n_shingles for each table of each text: a table is keyed by a half of either collection."""
+    firsts = lists.select("doc_id", "n_shingles", F.explode("first").alias("f"), "second")
+    return firsts.select("doc_id", "n_shingles", F.explode("second").alias("s"), "f").select(F.xxhash64("f", "s").alias("key"), "doc_id", "n_shingles")
+
+
+def _stars(lists: DataFrame, fits) -> DataFrame:
+    """A pair (a, b) for each text b: a is the smallest id that is the smallest of a bucket of b and fits its size."""
+    tables = _tables(lists)
+    met = tables.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("c"), F.count("*").alias("_n")).where("_n > 1").select("key", "c")
+    pairs = tables.join(met, "key").where((F.col("c.doc_id") < F.col("doc_id")) & fits(F.col("c.n_shingles"), F.col("n_shingles")))
+    return pairs.groupBy(F.col("doc_id").alias("b")).agg(F.min("c.doc_id").alias("a")).select("a", "b")
+
+
+def _crossings(lists: DataFrame, labels: DataFrame, fits) -> DataFrame:
+    """The pairs (a, b) of texts of different components that share a table and fit in size.
+
+    Halves that only one component has are left out first; what remains are the edges of groups and chance meetings.
+    """
+    named = lists.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    halves = named.select("doc_id", "n_shingles", "component", F.explode(F.concat("first", "second")).alias("h")).select("doc_id", "n_shingles", "component", "h.half", "h.value")
+    several = lambda df, *key: df.groupBy(*key).agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select(*key)
+    edge = _collections(halves.join(several(halves, "half", "value"), ["half", "value"], "left_semi"))
+    tables = _tables(edge).join(named.select("doc_id", "component"), "doc_id")
+    apart = common.checkpoint(tables.join(several(tables, "key"), "key", "left_semi"))
+    x, y = apart.alias("x"), apart.alias("y")
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.n_shingles"), F.col("y.n_shingles")))
+    return cross.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -101,28 +137,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     are one text from the start, whatever their number. Rows of a null doc_id stand alone: component_id null, kept true.
     A doc_id given twice must have one text; its rows share a component. No rows give no rows.
 
-    Candidates meet in a table bucket. First, every member of a bucket is verified against its smallest id. Only where a
+    Candidates meet in a table bucket. First, every text is verified against one smaller id of its buckets. Only where a
     bucket then still holds several components are pairs between different components verified, so members of one group
     are never paired with each other, and no pair that shares a bucket stays both untested and apart.
     """
     signed = common.checkpoint(signatures(docs, size))
     reps = common.checkpoint(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves")))
-    tables = _tables(reps)
-    met = tables.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("_n")).where("_n > 1").select("key", "centre")
-    buckets = common.checkpoint(tables.join(met, "key"))
+    lists = common.checkpoint(_shared_halves(reps))
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)  # noqa: E731  sizes further apart can't be linked
-    sized = reps.select(F.col("doc_id").alias("centre"), F.col("n_shingles").alias("_size"))
-    stars = buckets.where("doc_id <> centre").select("doc_id", "centre", "n_shingles").distinct().join(sized, "centre").where(fits(F.col("n_shingles"), F.col("_size")))
-    links = _verified(common.checkpoint(stars.select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))), docs, size, percent)
+    stars = common.checkpoint(_stars(lists, fits))
+    links = _verified(stars, docs, size, percent)
     labels = connected(links)
-
-    named = buckets.join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
-    apart = common.checkpoint(named.join(mixed, "key", "left_semi"))
-    x, y = apart.alias("x"), apart.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.n_shingles"), F.col("y.n_shingles")))
-    cross = cross.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    cross = common.checkpoint(cross.join(stars.select(F.col("centre").alias("a"), F.col("doc_id").alias("b")), ["a", "b"], "left_anti"))
+    cross = common.checkpoint(_crossings(lists, labels, fits).join(stars, ["a", "b"], "left_anti"))
     if not cross.isEmpty():
         more = _verified(cross, docs, size, percent)
         if not more.isEmpty():
