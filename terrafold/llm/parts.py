@@ -6,13 +6,38 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrafold.llm import arrays
+
+
+SCHEMA = "part int, ids binary, texts binary"
+
 
 def dealt(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
-    """doc_id, text (bytes; null: empty) and part, a hash of doc_id below n."""
-    return docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("part"))
+    """Rows of docs with a doc_id, dealt into n parts by its hash: part, ids, and sizes and bytes of the texts (null: empty),
+    compressed, a row for each part of a batch."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            column = b.column(1)
+            part = (arrays.mix(ids.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            edges = np.flatnonzero(np.diff(np.concatenate(([-1], part[order], [-1]))))
+            rows = []
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                chosen = order[x:y]
+                texts = column.take(pa.array(chosen)).to_pylist()
+                sizes = np.fromiter(map(len, texts), "<i8", len(texts)).tobytes()
+                rows.append((int(part[chosen[0]]), ids[chosen].tobytes(), press.compress(sizes + b"".join(texts))))
+            number, keys, packed = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], names=["part", "ids", "texts"])
+
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")).mapInArrow(run, SCHEMA)
 
 
 @dataclass
@@ -25,10 +50,17 @@ class Part:
 
     @staticmethod
     def of(table: pa.Table) -> Part:
-        table = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        texts = table.column("text").to_pylist()
+        ids, texts, open_ = [], [], zstandard.ZstdDecompressor()
+        for keys, packed in zip(table.column("ids").to_pylist(), table.column("texts").to_pylist(), strict=True):
+            found = np.frombuffer(keys, np.int64).tolist()
+            raw = open_.decompress(packed)
+            edges = 8 * len(found) + np.concatenate(([0], np.cumsum(np.frombuffer(raw, "<i8", len(found)))))
+            ids += found
+            texts += [raw[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
+        texts = [texts[k] for k in order]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        return Part(table.column("doc_id").to_numpy().astype(np.int64), np.concatenate(([0], np.cumsum(sizes))), np.frombuffer(b"".join(texts), np.uint8))
+        return Part(np.array([ids[k] for k in order], np.int64), np.concatenate(([0], np.cumsum(sizes))), np.frombuffer(b"".join(texts), np.uint8))
 
     def doc_at(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.start, position, "right") - 1

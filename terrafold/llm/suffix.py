@@ -2,10 +2,10 @@
 
 Only some suffixes take part: in every LENGTH-byte window, the one whose first GRAM bytes hash lowest. Equal windows
 choose the same suffix, so every repeated string of LENGTH bytes keeps a suffix. Round one ranks the suffixes by GRAM
-bytes: Spark sorts (rank, part) pairs and drops ranks that one text has. Round two doubles what a rank stands for: the rank of
-GRAM bytes is paired with that of the next (or previous) bytes, and texts that agree on all that the windows around a
-suffix hold get one rank, of which only the smallest doc_id goes on. Round three pairs again to LENGTH bytes, the
-threshold, for the windows of those that are left, and keeps the smallest doc_id of each. Ranks are 64-bit fingerprints,
+bytes: Spark sorts (rank, part) pairs and drops ranks that one text has. Round two extends what a rank stands for: the rank of
+a core of 32 bytes or more is paired with that of all bytes that the windows around it hold, Spark sorts these pairs, and of
+texts with equal pairs only the smallest doc_id goes on, if the core has other surroundings too. Round three ranks the
+LENGTH bytes, the threshold, of the windows that are left, and keeps the smallest doc_id of each. Ranks are 64-bit fingerprints,
 which sort equal strings together without a count of all smaller ones.
 """
 
@@ -16,14 +16,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm import arrays, common
 from terrafold.llm.parts import Part, dealt, shared
 
 LENGTH = 50
-GRAM = 16
+GRAM = 20
 #: Windows that contain a suffix's first GRAM bytes, and how many of them start in the half next to it.
 REACH = LENGTH - GRAM + 1
 NEAR = REACH // 2 + 1
@@ -48,7 +48,7 @@ def _doubled(h: np.ndarray, size: int, sizes: list[int]) -> dict[int, np.ndarray
         n *= 2
 
 
-def anchors(part: Part, segment: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+def anchors(part: Part, segment: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Positions in part.data of the suffixes that windows choose, in order, and the rank of their first GRAM bytes."""
     data, positions, ranks = part.data, [], []
     if len(data) < LENGTH:
@@ -57,7 +57,8 @@ def anchors(part: Part, segment: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]
     low = U64((1 << 20) - 1)
     for a in range(0, len(clear), segment):
         b = min(a + segment, len(clear))
-        rank = arrays.mix(_doubled(arrays.TABLE[data[a : b + LENGTH - 1]], GRAM, [GRAM])[GRAM])
+        h = _doubled(arrays.TABLE[data[a : b + LENGTH - 1]], 16, [4, 16])
+        rank = arrays.mix(h[16][: -(GRAM - 16)] * _power(GRAM - 16) + h[4][16:])
         v = (rank & ~low) | np.arange(len(rank), dtype=np.uint64)
         n = 1
         while 2 * n <= REACH:
@@ -121,48 +122,105 @@ def _spans(part: Part, at: np.ndarray, doc: np.ndarray, right: bool, block: int
         yield s, offset[s], lo[s], hi[s], bytes_, _folded(bytes_) ^ mark, arrays.mix(_folded(bytes_[:, core]) + U64(right))
 
 
-def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Round two, within a part: suffixes whose surroundings a smaller doc_id has are settled, the others go on."""
-    if not left.num_rows or not right.num_rows:
-        return PAIRS_SCHEMA.empty_table()
-    part, number = Part.of(left), left.column("part")[0].as_py()
-    at, rank = anchors(part)
-    wanted = np.sort(right.column("key").to_numpy().view(np.uint64))
-    found = np.minimum(np.searchsorted(wanted, rank), len(wanted) - 1)
-    at = at[wanted[found] == rank]
+#: The low bits of a rank of round two are those of the suffix's rank of round one, by which a part finds it again.
+LOW = U64((1 << 20) - 1)
+
+
+def _surroundings(part: Part, at: np.ndarray, rank: np.ndarray):
+    """For either side: side, text, offset, first and last window, rank of round two and core of each suffix with windows.
+
+    Suffixes are ordered by rank, then place: of equal ranks, the first is of the smallest doc_id.
+    """
     doc = part.doc_at(at)
-    runs, rows = [], []
     for side in (True, False):
-        got = [[] for _ in range(5)]
-        for s, offset, lo, hi, _, rank2, core in _spans(part, at, doc, side):
-            for x, y in zip(got, (offset, lo, hi, rank2, core), strict=True):
-                x.append(y)
-        if not got[0]:
+        got = [x[1:4] + x[5:] for x in _spans(part, at, doc, side)]
+        if not got:
             continue
-        offset, lo, hi, rank2, core = map(np.concatenate, got)
+        offset, lo, hi, rank2, core = map(np.concatenate, zip(*got, strict=True))
+        rank2 = (rank2 & ~LOW) | (rank & LOW)
         use = np.flatnonzero(lo <= hi)
-        # by rank, then text: a rank's first text is of its smallest doc_id
         order = use[np.lexsort((at[use], rank2[use]))]
-        r, d = rank2[order], doc[order]
-        head = np.concatenate(([True], r[1:] != r[:-1])) if len(r) else np.zeros(0, bool)
-        least = part.doc_id[d][np.flatnonzero(head)][np.cumsum(head) - 1] if len(r) else np.zeros(0, np.int64)
-        later = part.doc_id[d] > least
-        settled = order[later]
+        yield side, at[order], doc[order], offset[order], lo[order], hi[order], rank2[order], core[order]
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Whether a row of sorted keys differs from the one before."""
+    out = np.zeros(len(keys[0]), bool)
+    out[:1] = True
+    for k in keys:
+        out[1:] |= k[1:] != k[:-1]
+    return out
+
+
+CLASSES = "part int, core long, rank long, doc_id long, multi boolean"
+CLASSES_SCHEMA = pa.schema([("part", pa.int32()), ("core", pa.int64()), ("rank", pa.int64()), ("doc_id", pa.int64()), ("multi", pa.bool_())])
+
+
+def _classes(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Round two: a row for each rank of the part, with the smallest doc_id that has it; multi if another has it too."""
+    if not left.num_rows or not right.num_rows:
+        return CLASSES_SCHEMA.empty_table()
+    part, number = Part.of(left), left.column("part")[0].as_py()
+    at, rank = anchors(part)
+    wanted = np.sort(right.column("key").to_numpy().view(np.uint64))
+    found = wanted[np.minimum(np.searchsorted(wanted, rank), len(wanted) - 1)] == rank
+    out = []
+    for _, _, doc, _, _, _, rank2, core in _surroundings(part, at[found], rank[found]):
+        first = np.flatnonzero(_heads(rank2))
+        ids = part.doc_id[doc]
+        multi = ids[np.append(first[1:], len(ids)) - 1] != ids[first] if len(first) else np.zeros(0, bool)
+        out.append(pa.table([pa.array(np.full(len(first), number, np.int32)), pa.array(core[first].view(np.int64)), pa.array(rank2[first].view(np.int64)), pa.array(ids[first]), pa.array(multi)], schema=CLASSES_SCHEMA))
+    return pa.concat_tables(out) if out else CLASSES_SCHEMA.empty_table()
+
+
+def _verdicts(classes: DataFrame) -> DataFrame:
+    """part, rank and open of the ranks that matter: open, if the core occurs in other surroundings too and no smaller doc_id
+    has the rank, so that round three must compare windows; else a smaller doc_id has it, in this part or another."""
+    least = F.min("doc_id").over(Window.partitionBy("core", "rank"))
+    around = Window.partitionBy("core")
+    found = classes.withColumn("_first", F.col("doc_id") == least).withColumn("_several", F.min("rank").over(around) < F.max("rank").over(around))
+    found = found.withColumn("open", F.col("_first") & F.col("_several")).withColumn("later", ~F.col("_first"))
+    return found.where("later or open or multi").select("part", "rank", "open", "later")
+
+
+def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Suffixes whose rank of round two a smaller doc_id has give runs of windows; open ones go on with their bytes."""
+    if not left.num_rows:
+        return PAIRS_SCHEMA.empty_table()
+    part, number = Part.of(left), left.column("part")[0].as_py()
+    at, rank = anchors(part)
+    known = right.column("rank").to_numpy().view(np.uint64) if right.num_rows else np.zeros(0, np.uint64)
+    by = np.argsort(known)
+    flags = [right.column(k).to_numpy(zero_copy_only=False).astype(bool)[by] for k in ("open", "later")]
+    known = known[by]
+    seen = np.zeros(1 << 20, bool)
+    seen[(known & LOW).astype(np.int64)] = True
+    use = seen[(rank & LOW).astype(np.int64)]
+    runs, rows = [], []
+    for side, a, doc, offset, lo, hi, rank2, core in _surroundings(part, at[use], rank[use]):
+        place = np.minimum(np.searchsorted(known, rank2), max(len(known) - 1, 0))
+        hit = known[place] == rank2 if len(known) else np.zeros(len(rank2), bool)
+        head = _heads(rank2)
+        least = part.doc_id[doc][np.flatnonzero(head)][np.cumsum(head) - 1] if len(rank2) else np.zeros(0, np.int64)
+        later = part.doc_id[doc] > least
+        opened, elsewhere = (hit & f[place] if len(known) else hit for f in flags)
+        settled = np.flatnonzero(hit & (later | elsewhere))
         runs.append(np.stack((doc[settled], offset[settled] + lo[settled] - part.start[doc[settled]], hi[settled] - lo[settled] + 1)))
-        # the others: one row for each text and rank, with all the places it has in the text
-        order, r, d = order[~later], r[~later], d[~later]
-        head = np.concatenate(([True], (r[1:] != r[:-1]) | (d[1:] != d[:-1]))) if len(r) else np.zeros(0, bool)
-        first = np.flatnonzero(head)
-        place = offset[order] - part.start[d]
+        # the open ones of the smallest doc_id: one row for each text and rank, with all the places it has in the text
+        order = np.flatnonzero(opened & ~later)
+        first = np.flatnonzero(_heads(rank2[order], doc[order]))
+        where = offset[order] - part.start[doc[order]]
         stops = np.append(first, len(order)).astype(np.int32)
         lead = order[first]
-        spans = [row.tobytes() for _, _, _, _, bytes_, _, _ in _spans(part, at[lead], doc[lead], side) for row in bytes_]
         n = len(first)
+        spans = np.concatenate([np.zeros((0, SPAN), np.uint8), *(x[4] for x in _spans(part, a[lead], doc[lead], side))])
+        spans = pa.array(spans.ravel()).buffers()[1] if n else pa.py_buffer(b"")
+        spans = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * SPAN).astype(np.int32).tobytes()), spans])
         rows.append(pa.table([
-            pa.array(np.full(n, number, np.int32)), pa.array(doc[lead].astype(np.int32)), pa.array(part.doc_id[doc[lead]]), pa.ListArray.from_arrays(pa.array(stops), pa.array(place)),
-            pa.array(lo[lead].astype(np.int32)), pa.array(hi[lead].astype(np.int32)), pa.array(spans, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(core[lead].view(np.int64)),
+            pa.array(np.full(n, number, np.int32)), pa.array(doc[lead].astype(np.int32)), pa.array(part.doc_id[doc[lead]]), pa.ListArray.from_arrays(pa.array(stops), pa.array(where)),
+            pa.array(lo[lead].astype(np.int32)), pa.array(hi[lead].astype(np.int32)), spans, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(core[lead].view(np.int64)),
         ], schema=PAIRS_SCHEMA))
-    if runs:
+    if runs and any(r.shape[1] for r in runs):
         doc_, start, run = np.concatenate(runs, axis=1)
         order = np.lexsort((start, doc_))
         doc_, start, stop = doc_[order], start[order], (start + run)[order]
@@ -258,7 +316,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = True)
     n = common.parts_for(docs, text)
     texts = dealt(docs, n, text)
     ranks = shared(texts.groupBy("part").applyInArrow(_ranks, "part int, key long, multi boolean"))
-    pairs = texts.groupBy("part").cogroup(ranks.groupBy("part")).applyInArrow(_pairs, PAIRS)
+    classes = texts.groupBy("part").cogroup(ranks.groupBy("part")).applyInArrow(_classes, CLASSES)
+    pairs = texts.groupBy("part").cogroup(_verdicts(classes).groupBy("part")).applyInArrow(_pairs, PAIRS)
     buckets = pairs.withColumn("bucket", F.pmod("bucket", F.lit(16 * n)))
     flags = buckets.groupBy("bucket").applyInArrow(_windows, FLAGS)
     found = texts.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(_removed(with_text), RESULT)
