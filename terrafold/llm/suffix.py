@@ -30,6 +30,8 @@ NEAR = REACH // 2 + 1
 SPAN = NEAR - 1 + LENGTH
 U64 = np.uint64
 B = U64(arrays.BASE)
+#: Ranks of round one, and cores, keep 48 bits. That two strings share one costs a comparison more, never a byte.
+SHORT = U64(16)
 
 
 def _power(n: int) -> np.uint64:
@@ -73,7 +75,7 @@ def anchors(part: Part, segment: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]
     order = np.argsort(positions, kind="stable")
     positions, ranks = positions[order], ranks[order]
     new = np.concatenate(([True], positions[1:] != positions[:-1])) if len(positions) else np.zeros(0, bool)
-    return positions[new], ranks[new]
+    return positions[new], ranks[new] >> SHORT
 
 
 def _ranks(table: pa.Table) -> pa.Table:
@@ -119,7 +121,7 @@ def _spans(part: Part, at: np.ndarray, doc: np.ndarray, right: bool, block: int
         bytes_ = padded[offset[s, None] + REACH + column]
         bytes_[(column < lo[s, None]) | (column >= hi[s, None] + LENGTH)] = 0
         mark = arrays.mix((lo[s] * 64 + hi[s] * 2 + right).astype(np.uint64))
-        yield s, offset[s], lo[s], hi[s], bytes_, _folded(bytes_) ^ mark, arrays.mix(_folded(bytes_[:, core]) + U64(right))
+        yield s, offset[s], lo[s], hi[s], bytes_, _folded(bytes_) ^ mark, arrays.mix(_folded(bytes_[:, core]) + U64(right)) >> SHORT
 
 
 #: The low bits of a rank of round two are those of the suffix's rank of round one, by which a part finds it again.
@@ -293,7 +295,8 @@ def _removed(with_text: bool):
                 on = start[(bits >> w) & 1 == 1] + w
                 np.add.at(cover, on, 1)
                 np.add.at(cover, on + LENGTH, -1)
-        gone = np.cumsum(cover)[:-1] > 0
+        gone = np.cumsum(cover, dtype=np.int32, out=cover)[:-1] > 0
+        del cover
         out = []
         for k, doc_id in enumerate(part.doc_id):
             a, b = part.start[k], part.start[k + 1]
