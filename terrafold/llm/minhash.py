@@ -72,10 +72,14 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
 FEW = 1_000_000
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     wanted = common.checkpoint(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    picked = docs.select("doc_id", "text").join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "doc_id", "left_semi")
+    picked = docs.select("doc_id", "text").join(_sent(wanted), "doc_id", "left_semi")
     found = sets(picked, size)
     left = pairs.join(found.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
     both = left.join(found.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
@@ -113,20 +117,67 @@ def _stars(lists: DataFrame, fits) -> DataFrame:
     return pairs.groupBy(F.col("doc_id").alias("b")).agg(F.min("c.doc_id").alias("a")).select("a", "b")
 
 
-def _crossings(lists: DataFrame, labels: DataFrame, fits) -> DataFrame:
-    """The pairs (a, b) of texts of different components that share a table and fit in size.
-
-    Halves that only one component has are left out first; what remains are the edges of groups and chance meetings.
+#: Members of a block; two blocks at a time are compared in one task.
+BLOCK = 512
+LINKS = "a long, b long"
+
+
+def _compare(percent: int):
+    """Links between components among the members of two blocks (or of one), one for each pair of components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, comp, block = (table.column(k).to_numpy() for k in ("doc_id", "component", "block"))
+        column = table.column("items").combine_chunks()
+        n = np.diff(column.offsets.to_numpy())
+        row = np.repeat(np.arange(len(ids)), n)
+        _, item, count = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        dense = np.cumsum(count > 1) - 1  # an item that one member has adds to no intersection
+        keep = (count > 1)[item]
+        row, item = row[keep], dense[item[keep]]
+        order = np.argsort(item, kind="stable")
+        row, item = row[order], item[order]
+        lo, hi = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        common = np.zeros((len(left), len(right)), np.float32)
+        width = 4096
+        for start in range(0, int(item[-1]) + 1 if len(item) else 0, width):
+            x, y = np.searchsorted(item, (start, start + width))
+            has = np.zeros((len(ids), width), np.float32)
+            has[row[x:y], item[x:y] - start] = 1
+            common += has[left] @ has[right].T
+        common = common.astype(np.int64)
+        close = 100 * common >= percent * (n[left][:, None] + n[right][None] - common)
+        p, q = np.nonzero(close & (comp[left][:, None] != comp[right][None]))
+        p, q = left[p], right[q]
+        pairs = np.stack((np.minimum(comp[p], comp[q]), np.maximum(comp[p], comp[q])), axis=1)
+        _, first = np.unique(pairs, axis=0, return_index=True) if len(pairs) else (None, np.zeros(0, np.int64))
+        return pa.table({"a": pa.array(np.minimum(ids[p], ids[q])[first]), "b": pa.array(np.maximum(ids[p], ids[q])[first])})
+
+    return run
+
+
+def _across(lists: DataFrame, labels: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between texts of different components that share a table, at least one for each pair of components.
+
+    Halves and tables that only one component has are left out. Texts that then still share tables, one through another,
+    form a family. Its members are dealt into blocks by hash, and each pair of blocks is compared in one task that gives
+    links only; rows grow with the members times the blocks, never with the pairs.
     """
     named = lists.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     halves = named.select("doc_id", "n_shingles", "component", F.explode(F.concat("first", "second")).alias("h")).select("doc_id", "n_shingles", "component", "h.half", "h.value")
-    several = lambda df, *key: df.groupBy(*key).agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select(*key)
-    edge = _collections(halves.join(several(halves, "half", "value"), ["half", "value"], "left_semi"))
+    several = lambda df, *key: df.groupBy(*key).agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.min("doc_id").alias("centre")).where("_lo < _hi").select(*key, "centre")
+    edge = _collections(halves.join(several(halves, "half", "value").drop("centre"), ["half", "value"], "left_semi"))
     tables = _tables(edge).join(named.select("doc_id", "component"), "doc_id")
-    apart = common.checkpoint(tables.join(several(tables, "key"), "key", "left_semi"))
-    x, y = apart.alias("x"), apart.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.n_shingles"), F.col("y.n_shingles")))
-    return cross.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    meets = common.checkpoint(tables.join(several(tables, "key"), "key").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct())
+    family = connected(meets).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
+    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
+    dealt = family.join(blocks, "family").join(named.select("doc_id", "component"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
+    members = common.checkpoint(dealt)
+    picked = docs.select("doc_id", "text").join(_sent(members.select("doc_id")), "doc_id", "left_semi")
+    full = members.join(sets(picked, size), "doc_id").withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    full = full.withColumns({"i": F.least("block", "_o"), "j": F.greatest("block", "_o")}).select("family", "i", "j", "doc_id", "component", "block", "items")
+    return common.checkpoint(full.groupBy("family", "i", "j").applyInArrow(_compare(percent), LINKS))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -137,9 +188,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     are one text from the start, whatever their number. Rows of a null doc_id stand alone: component_id null, kept true.
     A doc_id given twice must have one text; its rows share a component. No rows give no rows.
 
-    Candidates meet in a table bucket. First, every text is verified against one smaller id of its buckets. Only where a
-    bucket then still holds several components are pairs between different components verified, so members of one group
-    are never paired with each other, and no pair that shares a bucket stays both untested and apart.
+    Candidates meet in a table bucket. First, every text is verified against one smaller id of its buckets. Where a bucket
+    then still holds several components, its texts are compared in blocks, so no pair that shares a bucket stays both
+    untested and apart.
     """
     signed = common.checkpoint(signatures(docs, size))
     reps = common.checkpoint(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves")))
@@ -148,11 +199,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     stars = common.checkpoint(_stars(lists, fits))
     links = _verified(stars, docs, size, percent)
     labels = connected(links)
-    cross = common.checkpoint(_crossings(lists, labels, fits).join(stars, ["a", "b"], "left_anti"))
-    if not cross.isEmpty():
-        more = _verified(cross, docs, size, percent)
-        if not more.isEmpty():
-            labels = connected(links.unionByName(more))
+    more = _across(lists, labels, docs, size, percent)
+    if not more.isEmpty():
+        labels = connected(links.unionByName(more))
 
     of_set = reps.select("digest", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("_c"))
     out = signed.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
