@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions import paths
 from terrafold.model import EPSG_MTM8
-from terrafold.operators import coords, detect, focal, graph, grid, labels, mapalg, mesh, semantics, vector, zonal
+from terrafold.operators import coords, detect, focal, graph, grid, kernels, labels, mapalg, mesh, semantics, vector, zonal
 from terrafold.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -643,6 +643,70 @@ def epsgio_links(spark, d):
     return p.withColumn("_c", paths.map_link_coord(F.col("url"))).select("pid", "url", F.col("_c.cx").alias("cx"), F.col("_c.cy").alias("cy"))
 
 
+# Kernels
+
+
+@query()
+def components_8(spark, d):
+    return kernels.components(fx.px(spark, d).where("z > 0.2"), 64, chunk=32)
+
+
+@query()
+def remove_small(spark, d):
+    return kernels.without_small(fx.inst(spark, d), 64, 6)
+
+
+@query()
+def biggest_component(spark, d):
+    return kernels.biggest(fx.inst(spark, d), 64)
+
+
+@query()
+def remove_holes(spark, d):
+    g = fx.geo(spark, d)
+    return kernels.filled(fx.px(spark, d).where("z > -0.15").select("y", "x"), g.h, g.w)
+
+
+@query(
+    ", t AS (SELECT CAST(i AS INT) y, CAST(j AS INT) x, (i + 0.5) * (h / 100.0::DOUBLE) - 0.5 sy, (j + 0.5) * 0.64::DOUBLE - 0.5 sx, h FROM geo, range(0, 100) a(i), range(0, 100) b(j)), "
+    "k AS (SELECT y, x, (1 - abs(sy - floor(sy) - dy)) * (1 - abs(sx - floor(sx) - dx)) w, greatest(0, least(h - 1, CAST(floor(sy) AS INT) + dy)) py, greatest(0, least(63, CAST(floor(sx) AS INT) + dx)) px FROM t, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx)) "
+    "SELECT k.y, k.x, round(sum(w * z), 6) z FROM k JOIN px p ON p.y = py AND p.x = k.px GROUP BY ALL",
+    "px", "geo",
+)
+def bilinear(spark, d):
+    g = fx.geo(spark, d)
+    return kernels.resize(fx.px(spark, d), g.h, g.w, 100, 100).withColumn("z", F.round("z", 6))
+
+
+@query()
+def bicubic(spark, d):
+    g = fx.geo(spark, d)
+    return kernels.resize(fx.px(spark, d), g.h, g.w, 100, 100, "cubic")
+
+
+@query()
+def rotate(spark, d):
+    g = fx.geo(spark, d)
+    return kernels.rotate(fx.px(spark, d), g.h, g.w, 30.0)[0]
+
+
+@query()
+def gaussian_blur(spark, d):
+    return kernels.blur(fx.px(spark, d), 1.0)
+
+
+@query(", c AS (SELECT y, x, z + 0.05 z FROM px WHERE y < 50 AND cls > 4) SELECT y, x, CASE WHEN c.z >= p.z THEN c.z ELSE p.z END z, CASE WHEN c.z >= p.z THEN (SELECT max(label) FROM inst) + 1 ELSE label END label FROM px p JOIN inst USING (y, x) LEFT JOIN c USING (y, x)", "px", "inst")
+def copy_paste(spark, d):
+    base = fx.px(spark, d).select("y", "x", "z").join(fx.inst(spark, d), ["y", "x"])
+    copy = fx.px(spark, d).where("y < 50 and cls > 4").select("y", "x", (F.col("z") + 0.05).alias("z"), F.lit(1).alias("label"))
+    return kernels.paste(copy, base)
+
+
+@query()
+def instance_hulls(spark, d):
+    return kernels.hulls(fx.inst(spark, d))
+
+
 def entry_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Height above ground, then its zonal statistics for each instance."""
     return zonal.zonal_stats(fx.inst(spark, sf_dir), ndsm(spark, sf_dir))
