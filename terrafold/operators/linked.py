@@ -19,21 +19,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def connected(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
     """id and component (the smallest id reachable) of every id in links; no links give no rows.
 
-    Each round hangs every id below the smallest id next to it, then below that one's own smallest (pointer jumping), and
-    rewrites the links between the new labels, so that chains shrink by more than half a round. Only links between
-    different labels stay. Labels are checkpointed each round.
+    A round hangs every id below the smallest id next to it; pointers then jump until each shows the root of its tree, which
+    takes as many joins as the tree's depth has binary digits. Links are rewritten between roots, and only those between
+    different ones stay, so every tree at least joins another each round. Tables of a round are checkpointed.
     """
     pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     live = checkpoint(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = live.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
+
+    def jumped(up: DataFrame) -> DataFrame:
+        x, y = up.select("a", "up").alias("x"), up.select("a", "up").alias("y")
+        return checkpoint(x.join(y, F.col("x.up") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.up").alias("up"), (F.col("x.up") != F.col("y.up")).alias("moved")))
+
     for _ in range(rounds):
         if live.isEmpty():
             break
-        least = live.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("up"))
-        jump = least.alias("x").join(least.alias("y"), F.col("x.up") == F.col("y.a"), "left").select(F.col("x.a").alias("a"), F.coalesce("y.up", "x.up").alias("up"))
-        jump = checkpoint(jump)
-        labels = checkpoint(labels.join(jump, labels["component"] == jump["a"], "left").select("id", F.coalesce("up", "component").alias("component")))
-        ends = live.join(jump, "a").select(F.col("up").alias("u"), "b")
-        ends = ends.join(jump.select(F.col("a").alias("b"), F.col("up").alias("v")), "b").where("u <> v")
+        up = jumped(live.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("up")))
+        while not up.where("moved").isEmpty():
+            up = jumped(up)
+        labels = checkpoint(labels.join(up.select("a", "up"), F.col("component") == F.col("a"), "left").select("id", F.coalesce("up", "component").alias("component")))
+        ends = live.join(up.select("a", F.col("up").alias("u")), "a").select("u", "b")
+        ends = ends.join(up.select(F.col("a").alias("b"), F.col("up").alias("v")), "b").where("u <> v")
         live = checkpoint(ends.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct())
     return labels
