@@ -1,31 +1,5 @@
-"""Connected components of a table of links."""
+"""Connected components, as the raster library has them."""
 
-from __future__ import annotations
+from terrafold.operators.linked import connected
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from terrafold.llm import common
-
-
-def connected(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
-    """id and component (the smallest id reachable) of every id in links; no links give no rows.
-
-    Each round hangs every id below the smallest id next to it, then below that one's own smallest (pointer jumping), and
-    rewrites the links between the new labels, so that chains shrink by more than half a round. Only links between
-    different labels stay. Labels are checkpointed each round.
-    """
-    pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
-    live = common.checkpoint(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = common.checkpoint(live.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")))
-    for _ in range(rounds):
-        if live.isEmpty():
-            break
-        least = live.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("up"))
-        jump = least.alias("x").join(least.alias("y"), F.col("x.up") == F.col("y.a"), "left").select(F.col("x.a").alias("a"), F.coalesce("y.up", "x.up").alias("up"))
-        jump = common.checkpoint(jump)
-        labels = common.checkpoint(labels.join(jump, labels["component"] == jump["a"], "left").select("id", F.coalesce("up", "component").alias("component")))
-        ends = live.join(jump, "a").select(F.col("up").alias("u"), "b")
-        ends = ends.join(jump.select(F.col("a").alias("b"), F.col("up").alias("v")), "b").where("u <> v")
-        live = common.checkpoint(ends.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct())
-    return labels
+__all__ = ["connected"]
