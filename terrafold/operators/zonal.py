@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 
 def zonal_stats(labels: DataFrame, values: DataFrame) -> DataFrame:
-    """label, n, max, mean, and half-open bounds y0..y1, x0..x1 of each instance; 0 is background."""
+    """label, n, max, mean, and half-open bounds y0..y1, x0..x1 of each instance; 0 is background.
+
+    The mean comes from a decimal sum, so it is the same in every order of the pixels.
+    """
     both = labels.where("label <> 0").join(values.select("y", "x", "z"), ["y", "x"])
     return both.groupBy("label").agg(
-        F.count("*").alias("n"), F.max("z").alias("z_max"), F.bround(F.avg("z"), 6).alias("z_mean"),
+        F.count("*").alias("n"), F.max("z").alias("z_max"), F.bround(F.sum(F.col("z").cast("decimal(20,6)")).cast("double") / F.count("*"), 6).alias("z_mean"),
         F.min("y").alias("y0"), (F.max("y") + 1).alias("y1"), F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"),
     )
 

@@ -172,7 +172,7 @@ def chord_lengths(spark, d):
 # Zones
 
 
-@query("SELECT label, count(*) n, max(z) z_max, round_even(avg(z), 6) z_mean, min(y) y0, max(y) + 1 y1, min(x) x0, max(x) + 1 x1 FROM inst JOIN dsm USING (y, x) WHERE label <> 0 GROUP BY label", "inst", "dsm")
+@query("SELECT label, count(*) n, max(z) z_max, round_even(CAST(sum(CAST(z AS DECIMAL(20, 6))) AS DOUBLE) / count(*), 6) z_mean, min(y) y0, max(y) + 1 y1, min(x) x0, max(x) + 1 x1 FROM inst JOIN dsm USING (y, x) WHERE label <> 0 GROUP BY label", "inst", "dsm")
 def zonal_stats(spark, d):
     return zonal.zonal_stats(fx.inst(spark, d), fx.dsm(spark, d))
 
