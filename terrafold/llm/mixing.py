@@ -146,11 +146,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, text: str = "text")
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The rows of docs, each as often as the mix takes its document; its columns stay as they are.
 
-    Rows of one doc_id are told apart by their source and size; equal rows share their copies evenly in number.
+    Rows of one doc_id are one document here, taken as often as all of them together; rows of a null doc_id stay once each.
     """
-    taken = mix(docs, weights).where("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    taken = mix(docs, weights).where("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.sum("copies").alias("_copies"))
     once = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(taken, "doc_id")
-    return once.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copied = once.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return copied.unionByName(docs.where("doc_id is null"))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
