@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,17 +37,27 @@ def closed(mask: DataFrame, h: int, w: int, radius: int = 1) -> DataFrame:
     return erode(dilate(mask, h, w, radius), h, w, radius)
 
 
+#: Rows or columns of a band: a line of pixels is cut into bands, so no task holds a whole one, however long.
+BAND = 2048
+
+
+def _along(df: DataFrame, fixed: str, moving: str, radius: int, value: Column, name: str) -> DataFrame:
+    """df with value over the pixels within radius along one axis. Pixels near a band's end go to both bands."""
+    band = lambda shift: F.floor((F.col(moving) + shift) / BAND)
+    banded = df.withColumn("_band", F.explode(F.array_distinct(F.array(band(-radius), band(0), band(radius)))))
+    w = Window.partitionBy(fixed, "_band").orderBy(moving).rangeBetween(-radius, radius)
+    return banded.withColumn(name, value.over(w)).where(F.col("_band") == band(0)).drop("_band")
+
+
 def focal_max(df: DataFrame, radius: int = 1, z: str = "z") -> DataFrame:
     """The largest z of the square around each pixel: along columns, then along rows."""
-    along = lambda fixed, moving: Window.partitionBy(fixed).orderBy(moving).rangeBetween(-radius, radius)
-    first = df.select("y", "x", F.max(z).over(along("x", "y")).alias("_c"))
-    return first.select("y", "x", F.max("_c").over(along("y", "x")).alias(z))
+    first = _along(df.select("y", "x", z), "x", "y", radius, F.max(z), "_c")
+    return _along(first.select("y", "x", "_c"), "y", "x", radius, F.max("_c"), z).select("y", "x", z)
 
 
 def column_median(df: DataFrame, radius: int = 2, z: str = "z") -> DataFrame:
     """Median of z over 2 * radius + 1 rows of a column; frames end at the raster."""
-    w = Window.partitionBy("x").orderBy("y").rangeBetween(-radius, radius)
-    return df.select("y", "x", F.percentile(z, F.lit(0.5)).over(w).alias(z))
+    return _along(df.select("y", "x", F.col(z).alias("_z")), "x", "y", radius, F.percentile("_z", F.lit(0.5)), z).select("y", "x", z)
 
 
 def border_coords(mask: DataFrame, h: int, w: int, step: int) -> DataFrame:
