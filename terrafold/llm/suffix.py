@@ -5,8 +5,10 @@ choose the same suffix, so every repeated string of LENGTH bytes keeps a suffix.
 bytes: Spark sorts (rank, part) pairs and drops ranks that one text has. Round two extends what a rank stands for: the rank of
 a core of 32 bytes or more is paired with that of all bytes that the windows around it hold, Spark sorts these pairs, and of
 texts with equal pairs only the smallest doc_id goes on, if the core has other surroundings too. Round three ranks the
-LENGTH bytes, the threshold, of the windows that are left, and keeps the smallest doc_id of each. Ranks are 64-bit fingerprints,
-which sort equal strings together without a count of all smaller ones.
+LENGTH bytes, the threshold, of the windows that are left, and keeps the smallest doc_id of each. Windows of one core meet in
+one bucket; those of suffixes whose rank of round one occurs more than HOT times meet by their own hash instead, a row for
+each window of a part, so a string that many texts hold is dealt by its different windows. Ranks are 64-bit fingerprints, which
+sort equal strings together without a count of all smaller ones.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrafold.llm import arrays, common
-from terrafold.llm.parts import Part, dealt, shared
+from terrafold.llm.parts import Part, dealt
 
 LENGTH = 50
 GRAM = 20
@@ -32,6 +34,8 @@ U64 = np.uint64
 B = U64(arrays.BASE)
 #: Ranks of round one, and cores, keep 48 bits. That two strings share one costs a comparison more, never a byte.
 SHORT = U64(16)
+#: Occurrences of a rank of round one up to which the windows of a core are compared in one bucket.
+HOT = 1000
 
 
 def _power(n: int) -> np.uint64:
@@ -79,7 +83,7 @@ def anchors(part: Part, segment: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]
 
 
 def _ranks(table: pa.Table) -> pa.Table:
-    """Round one: a row for each rank of the part; multi if several texts have it."""
+    """Round one: a row for each rank of the part, and how often it occurs; negative if one text has them all."""
     part = Part.of(table)
     at, rank = anchors(part)
     ids = part.doc_id[part.doc_at(at)]
@@ -87,13 +91,22 @@ def _ranks(table: pa.Table) -> pa.Table:
     rank, ids = rank[order], ids[order]
     new = np.concatenate(([True], rank[1:] != rank[:-1])) if len(rank) else np.zeros(0, bool)
     first = np.flatnonzero(new)
-    multi = ids[np.append(first[1:], len(ids)) - 1] != ids[first] if len(first) else np.zeros(0, bool)
+    stop = np.append(first[1:], len(ids))
+    multi = ids[stop - 1] != ids[first] if len(first) else np.zeros(0, bool)
+    times = (stop - first if len(first) else first).astype(np.int32)
     number = table.column("part")[0].as_py()
-    return pa.table({"part": pa.array(np.full(len(first), number, np.int32)), "key": pa.array(rank[first].view(np.int64)), "multi": pa.array(multi)})
+    return pa.table({"part": pa.array(np.full(len(first), number, np.int32)), "key": pa.array(rank[first].view(np.int64)), "times": pa.array(np.where(multi, times, -times))})
 
 
-PAIRS = "part int, seq int, doc_id long, start array<long>, lo int, hi int, span binary, bits int, run long, bucket long"
-PAIRS_SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int64()), ("start", pa.list_(pa.int64())), ("lo", pa.int32()), ("hi", pa.int32()), ("span", pa.binary()), ("bits", pa.int32()), ("run", pa.int64()), ("bucket", pa.int64())])
+def _shared(ranks: DataFrame) -> DataFrame:
+    """part, key and hot of the ranks that more than one text has; a rank has no more rows than there are parts."""
+    by = Window.partitionBy("key")
+    found = ranks.withColumn("_n", F.count("*").over(by)).withColumn("_m", F.max("times").over(by)).withColumn("hot", F.sum(F.abs(F.col("times").cast("long"))).over(by) > HOT)
+    return found.where("_n > 1 or _m > 0").select("part", "key", "hot")
+
+
+PAIRS = "part int, seq int, doc_id long, start array<long>, lo int, hi int, span binary, bits int, run long, window long, bucket long"
+PAIRS_SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int64()), ("start", pa.list_(pa.int64())), ("lo", pa.int32()), ("hi", pa.int32()), ("span", pa.binary()), ("bits", pa.int32()), ("run", pa.int64()), ("window", pa.int64()), ("bucket", pa.int64())])
 
 
 def _folded(rows: np.ndarray) -> np.ndarray:
@@ -159,15 +172,23 @@ CLASSES_SCHEMA = pa.schema([("part", pa.int32()), ("core", pa.int64()), ("rank",
 
 
 def _classes(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Round two: a row for each rank of the part, with the smallest doc_id that has it; multi if another has it too."""
+    """Round two: a row for each rank of the part, with the smallest doc_id that has it; multi if another has it too.
+
+    The core of a hot suffix is its rank, so that its other surroundings are dealt elsewhere.
+    """
     if not left.num_rows or not right.num_rows:
         return CLASSES_SCHEMA.empty_table()
     part, number = Part.of(left), left.column("part")[0].as_py()
     at, rank = anchors(part)
-    wanted = np.sort(right.column("key").to_numpy().view(np.uint64))
-    found = wanted[np.minimum(np.searchsorted(wanted, rank), len(wanted) - 1)] == rank
+    wanted = right.column("key").to_numpy().view(np.uint64)
+    by = np.argsort(wanted)
+    wanted, hot = wanted[by], right.column("hot").to_numpy(zero_copy_only=False).astype(bool)[by]
+    place = np.minimum(np.searchsorted(wanted, rank), len(wanted) - 1)
+    found = wanted[place] == rank
+    at, rank, hot = at[found], rank[found], hot[place[found]]
     out = []
-    for _, _, doc, _, _, _, rank2, core in _surroundings(part, at[found], rank[found]):
+    for _, a, doc, _, _, _, rank2, core in _surroundings(part, at, rank):
+        core = np.where(hot[np.searchsorted(at, a)], rank2, core)
         first = np.flatnonzero(_heads(rank2))
         ids = part.doc_id[doc]
         multi = ids[np.append(first[1:], len(ids)) - 1] != ids[first] if len(first) else np.zeros(0, bool)
@@ -176,24 +197,66 @@ def _classes(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _verdicts(classes: DataFrame) -> DataFrame:
-    """part, rank and open of the ranks that matter: open, if the core occurs in other surroundings too and no smaller doc_id
-    has the rank, so that round three must compare windows; else a smaller doc_id has it, in this part or another."""
+    """part, rank, open and later of the ranks that matter: open, if the core occurs in other surroundings too and no smaller
+    doc_id has the rank, so that round three must compare windows (1: in a bucket of the core, 2: by the windows, as of a hot
+    suffix, whatever its surroundings); else a smaller doc_id has it, in this part or another."""
     least = F.min("doc_id").over(Window.partitionBy("core", "rank"))
     around = Window.partitionBy("core")
     found = classes.withColumn("_first", F.col("doc_id") == least).withColumn("_several", F.min("rank").over(around) < F.max("rank").over(around))
-    found = found.withColumn("open", F.col("_first") & F.col("_several")).withColumn("later", ~F.col("_first"))
-    return found.where("later or open or multi").select("part", "rank", "open", "later")
+    opened = F.when(F.col("_first") & (F.col("core") == F.col("rank")), 2).when(F.col("_first") & F.col("_several"), 1).otherwise(0)
+    found = found.withColumn("open", opened).withColumn("later", ~F.col("_first"))
+    return found.where("later or open > 0 or multi").select("part", "rank", "open", "later")
+
+
+def _values(spans: np.ndarray) -> np.ndarray:
+    """Hashes of the windows of LENGTH bytes (spans x NEAR) of spans of SPAN bytes."""
+    h = _doubled(arrays.TABLE[spans], 32, [2, 16, 32])
+    w = SPAN - LENGTH + 1
+    return arrays.mix((h[32][:, :w] * _power(16) + h[16][:, 32 : 32 + w]) * _power(2) + h[2][:, 48 : 48 + w])
+
+
+def _single(part: Part, number: int, side: bool, at: np.ndarray, doc: np.ndarray, core: np.ndarray, block: int = 1 << 16):
+    """Windows around hot suffixes, a block of suffixes at a time: runs (text, start, length) of those that a smaller doc_id of
+    the block has, and a row of PAIRS for each other window and text, with all the places it has there."""
+    order = np.argsort(core, kind="stable")
+    for x in range(0, len(order), block):
+        chosen = order[x : x + block]
+        values, texts, starts = [], [], []
+        for s, offset, lo, hi, spans, _, _ in _spans(part, at[chosen], doc[chosen], side):
+            column = np.arange(SPAN - LENGTH + 1)
+            i, j = np.nonzero((column >= lo[:, None]) & (column <= hi[:, None]))
+            d = doc[chosen][s][i]
+            values.append(_values(spans)[i, j])
+            texts.append(d)
+            starts.append(offset[i] + j - part.start[d])
+        value, text, start = (np.concatenate(v) for v in (values, texts, starts))
+        by = np.lexsort((start, text, value))  # texts are in order of doc_id
+        value, text, start = value[by], text[by], start[by]
+        head = _heads(value)
+        ids = part.doc_id[text]
+        later = ids > ids[np.flatnonzero(head)][np.cumsum(head) - 1]
+        value, rest, where = value[~later], text[~later], start[~later]
+        first = np.flatnonzero(_heads(value, rest))
+        n = len(first)
+        stops = np.append(first, len(value)).astype(np.int32)
+        keys = pa.array(value[first].view(np.int64))
+        rows = pa.table([
+            pa.array(np.full(n, number, np.int32)), pa.array(rest[first].astype(np.int32)), pa.array(part.doc_id[rest[first]]), pa.ListArray.from_arrays(pa.array(stops), pa.array(where)),
+            pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), keys, keys,
+        ], schema=PAIRS_SCHEMA)
+        yield np.stack((text[later], start[later], np.ones(int(later.sum()), np.int64))), rows
 
 
 def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Suffixes whose rank of round two a smaller doc_id has give runs of windows; open ones go on with their bytes."""
+    """Suffixes whose rank of round two a smaller doc_id has give runs of windows; open ones go on with their bytes, or with
+    the hashes of their windows if hot."""
     if not left.num_rows:
         return PAIRS_SCHEMA.empty_table()
     part, number = Part.of(left), left.column("part")[0].as_py()
     at, rank = anchors(part)
     known = right.column("rank").to_numpy().view(np.uint64) if right.num_rows else np.zeros(0, np.uint64)
     by = np.argsort(known)
-    flags = [right.column(k).to_numpy(zero_copy_only=False).astype(bool)[by] for k in ("open", "later")]
+    flags = [right.column(k).to_numpy(zero_copy_only=False).astype(np.int8)[by] for k in ("open", "later")]
     known = known[by]
     seen = np.zeros(1 << 20, bool)
     seen[(known & LOW).astype(np.int64)] = True
@@ -205,11 +268,15 @@ def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         head = _heads(rank2)
         least = part.doc_id[doc][np.flatnonzero(head)][np.cumsum(head) - 1] if len(rank2) else np.zeros(0, np.int64)
         later = part.doc_id[doc] > least
-        opened, elsewhere = (hit & f[place] if len(known) else hit for f in flags)
-        settled = np.flatnonzero(hit & (later | elsewhere))
+        opened, elsewhere = (np.where(hit, f[place], 0) if len(known) else hit.astype(np.int8) for f in flags)
+        settled = np.flatnonzero(hit & (later | (elsewhere > 0)))
         runs.append(np.stack((doc[settled], offset[settled] + lo[settled] - part.start[doc[settled]], hi[settled] - lo[settled] + 1)))
         # the open ones of the smallest doc_id: one row for each text and rank, with all the places it has in the text
-        order = np.flatnonzero(opened & ~later)
+        hot = np.flatnonzero((opened == 2) & ~later)
+        for run, single in _single(part, number, side, a[hot], doc[hot], core[hot]):
+            runs.append(run)
+            rows.append(single)
+        order = np.flatnonzero((opened == 1) & ~later)
         first = np.flatnonzero(_heads(rank2[order], doc[order]))
         where = offset[order] - part.start[doc[order]]
         stops = np.append(first, len(order)).astype(np.int32)
@@ -220,7 +287,7 @@ def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         spans = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * SPAN).astype(np.int32).tobytes()), spans])
         rows.append(pa.table([
             pa.array(np.full(n, number, np.int32)), pa.array(doc[lead].astype(np.int32)), pa.array(part.doc_id[doc[lead]]), pa.ListArray.from_arrays(pa.array(stops), pa.array(where)),
-            pa.array(lo[lead].astype(np.int32)), pa.array(hi[lead].astype(np.int32)), spans, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(core[lead].view(np.int64)),
+            pa.array(lo[lead].astype(np.int32)), pa.array(hi[lead].astype(np.int32)), spans, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(core[lead].view(np.int64)),
         ], schema=PAIRS_SCHEMA))
     if runs and any(r.shape[1] for r in runs):
         doc_, start, run = np.concatenate(runs, axis=1)
@@ -237,7 +304,7 @@ def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         one = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(start[first]))
         rows.append(pa.table([
             pa.array(np.full(n, number, np.int32)), pa.array(doc_[first].astype(np.int32)), pa.array(part.doc_id[doc_[first]]), one, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()),
-            pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.array(last - start[first]), pa.array(spread),
+            pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.array(last - start[first]), pa.nulls(n, pa.int64()), pa.array(spread),
         ], schema=PAIRS_SCHEMA))
     return pa.concat_tables(rows) if rows else PAIRS_SCHEMA.empty_table()
 
@@ -247,16 +314,25 @@ FLAGS_SCHEMA = pa.schema([PAIRS_SCHEMA.field(k) for k in ("part", "seq", "start"
 
 
 def _windows(table: pa.Table) -> pa.Table:
-    """Round three: windows of LENGTH bytes that a smaller doc_id has, as bits behind the common origin; runs pass."""
+    """Round three: windows of LENGTH bytes that a smaller doc_id has, as bits behind the common origin, or as runs of one where
+    they came by their hash; runs pass."""
     done = table.filter(pc.is_valid(table.column("run"))).select(FLAGS_SCHEMA.names)
-    open_ = table.filter(pc.is_null(table.column("run")))
+    single = table.filter(pc.is_valid(table.column("window")))
+    if single.num_rows:
+        value, ids = single.column("window").to_numpy(), single.column("doc_id").to_numpy()
+        order = np.lexsort((ids, value))
+        head = _heads(value[order])
+        later = order[ids[order] > ids[order][np.flatnonzero(head)][np.cumsum(head) - 1]]
+        found = single.take(pa.array(later)).select(FLAGS_SCHEMA.names)
+        found = found.set_column(found.schema.get_field_index("run"), "run", pa.array(np.ones(len(later), np.int64)))
+        done = pa.concat_tables([done, found.cast(done.schema)])
+    open_ = table.filter(pc.and_(pc.is_null(table.column("run")), pc.is_null(table.column("window"))))
     n = open_.num_rows
     if not n:
         return done
     bytes_ = np.frombuffer(b"".join(open_.column("span").to_pylist()), np.uint8).reshape(n, SPAN)
-    h = _doubled(arrays.TABLE[bytes_], 32, [2, 16, 32])
-    w = SPAN - LENGTH + 1
-    value = arrays.mix((h[32][:, :w] * _power(16) + h[16][:, 32 : 32 + w]) * _power(2) + h[2][:, 48 : 48 + w])
+    value = _values(bytes_)
+    w = value.shape[1]
     lo, hi = (open_.column(k).to_numpy()[:, None] for k in ("lo", "hi"))
     ids = np.broadcast_to(open_.column("doc_id").to_numpy()[:, None], value.shape)
     at = np.flatnonzero(((np.arange(w) >= lo) & (np.arange(w) <= hi)).ravel())
@@ -318,7 +394,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = True)
     """
     n = common.parts_for(docs, text)
     texts = dealt(docs, n, text)
-    ranks = shared(texts.groupBy("part").applyInArrow(_ranks, "part int, key long, multi boolean"))
+    ranks = _shared(texts.groupBy("part").applyInArrow(_ranks, "part int, key long, times int"))
     classes = texts.groupBy("part").cogroup(ranks.groupBy("part")).applyInArrow(_classes, CLASSES)
     pairs = texts.groupBy("part").cogroup(_verdicts(classes).groupBy("part")).applyInArrow(_pairs, PAIRS)
     buckets = pairs.withColumn("bucket", F.pmod("bucket", F.lit(16 * n)))

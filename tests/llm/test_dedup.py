@@ -130,6 +130,36 @@ def test_repeats_of_one_doc_id_and_nulls(spark, none):
     assert suffix.remove_repeats(none).collect() == []
 
 
+def test_repeats_of_a_line_that_all_texts_share(spark, monkeypatch):
+    """Each text has the line in other surroundings; its windows are spread over buckets, and the result is exact."""
+    rnd = random.Random(8)
+    text = lambda k: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(k))
+    line = text(70)
+    rows = [(i, text(rnd.randint(20, 60)) + line + text(rnd.randint(0, 60)) + (line[:60] if i % 9 == 0 else "")) for i in range(600)]
+    rows += [(600, line), (601, line[:49]), (3, rows[5][1]), (None, line)]
+    whole = suffix._windows
+
+    def bounded(table):
+        spans = table.num_rows - table.column("span").null_count
+        alike = [x for x in table.column("window").to_pylist() if x is not None] if "window" in table.column_names else []
+        assert spans <= 200 and len(alike) <= 4 * len(set(alike)), "one bucket has the line of all texts"
+        return whole(table)
+
+    monkeypatch.setattr(suffix, "_windows", bounded)
+    want = {}
+    first = {}
+    for i, t in sorted(r for r in rows if r[0] is not None):
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    for i, t in rows:
+        gone = {q for p in range(len(t) - 49) if i is not None and first[t[p : p + 50]] < i for q in range(p, p + 50)}
+        want[i, len(t)] = (len(gone), hashlib.sha256("".join(c for q, c in enumerate(t) if q not in gone).encode()).hexdigest())
+    for most in (50, 1):
+        monkeypatch.setattr(suffix, "HOT", most, raising=False)
+        found = {(r.doc_id, r.n_bytes): (r.n_removed, r.kept_sha256) for r in suffix.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+        assert found == want
+
+
 def brute_chunks(b):
     h, cuts = 0, [0]
     for p, x in enumerate(b):
