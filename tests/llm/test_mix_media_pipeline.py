@@ -123,6 +123,29 @@ def test_index_recall_against_all_pairs(spark, sf):
     assert found == want
 
 
+def test_recall_of_steady_tones_and_silence(spark):
+    """Recordings whose fingerprints are one value, or few, beside a comparison of every pair without the index."""
+    rnd = np.random.default_rng(4)
+    clips = {i: tone(rnd.choice([262, 294, 330, 392], 6).astype(float)) for i in range(4)}
+    clips |= {10: tone([500.0] * 6), 11: tone([500.0] * 6), 12: tone([500.0] * 3), 20: np.zeros(900), 21: np.zeros(900), 22: np.zeros(600), 30: np.zeros(audio.FRAME + 15 * audio.HOP)}
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in clips.items()], "rec_id long, samples array<double>")
+    prints = audio.fingerprint(df, audio.fit_cuts(df))
+    found = {(r.query_id, r.rec_id): (r.n_hits, r.bit_errors) for r in audio.align(prints, prints).collect()}
+    held = {r.rec_id: np.array(r.prints, np.int32).view(np.uint32) for r in prints.collect()}
+    assert len(set(held[20])) == 1 and len(held[30]) == 1
+    want = {}
+    for a, x in held.items():
+        for b, y in held.items():
+            if a != b:
+                hits = {o: sum(int(x[i]) == int(y[i + o]) for i in range(len(x)) if 0 <= i + o < len(y)) for o in range(1 - len(x), len(y))}
+                o = min(hits, key=lambda k: (-hits[k], k))
+                s, e = max(0, -o), min(len(x), len(y) - o)
+                wrong = np.bitwise_count(x[s:e] ^ y[s + o : e + o]).sum() / (32 * (e - s))
+                if hits[o] >= audio.LEAST_HITS and wrong <= audio.MOST_ERRORS:
+                    want[a, b] = (hits[o], wrong)
+    assert found == want and {(10, 11), (11, 10), (20, 21), (22, 20)} <= set(found)
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
