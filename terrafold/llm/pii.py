@@ -33,7 +33,13 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 AT = re.compile("@")
 DIGIT = re.compile("[0-9]")
-TRIGGER = re.compile("[0-9@]")
+#: A digit, an at sign, or the word `at` before a dotted word.
+TRIGGER = re.compile(r"[0-9@a](?:(?<!a)|(?<![^\x20\x09-\x0D]a)t(?=[\x20\x09-\x0D]+[^\x20\x09-\x0D]*[A-Za-z0-9-]\.[A-Za-z]))")
+#: Words of more characters are cut at punctuation, and pieces that are still longer after so many.
+LONG = 64
+PIECE = re.compile(r"""[^,;:|"'{}\[\]=&<>]+""")
+#: Addresses of EXAMPLES that the pattern misses: where one stands unlabelled, nobody knows whether it is personal data.
+UNKNOWN = re.compile(r"[A-Za-z0-9._%+-]@[A-Za-z0-9]|[A-Za-z0-9]\x20at\x20[A-Za-z0-9-]+\.[A-Za-z]")
 GAP = re.compile(r"[\x20\x09-\x0D]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACES = frozenset(" \t\n\x0b\x0c\r")
@@ -46,6 +52,8 @@ EXAMPLES = (
     "call phone{(551) 555-0826} after nine", "or phone{555-555-0199} at home", "phone: phone{(212) 555-0147} please", "ring phone{415-555-0132} today",
     "tel phone{(030) 555 0175} for us", "fax phone{303.555.0118} is old", "at phone{0049 30 5550 1234} in Berlin", "text phone{(646) 555-0190} or write",
     "write to email{jane.doe at example.com} soon", "mail email{joe@host} here", "ask email{root@localhost} first", "from email{a.b@intranet} on Monday",
+    "reach email{m.poe at mail.example.org} now", "and email{t.b.low at example.net} too", "to email{h.lee at lists.example.com} or", "from email{ann.day at example.org}", "by email{k.oh at host.example} at noon",
+    "for email{j.p.ray at example.com} only", "or email{al.fox at example.net} please", "look at example.com today",
     "card card{4111-1111-1111-1111} expires", "paid with card{4012 8888 8888 1881} then", "host ip{10.0.0.1:8080} is up", "from ip{192.168.1.77/24} came", "at ip{172.16.0.9:443} now",
     "version 3.2.1 of the library", "in 2021 and 2022 we saw", "about 1,234,567 people", "section 4.2 of page 17", "order 123456789 was sent", "the 3rd of 12 items", "costs 12.50 or 13.75 more",
     "between 1914-1918 and 1939-1945 there", "ISBN 978-3-16-148410-0 is it", "item 1234567890123456 in stock", "score 10-12 at 20:15 on", "under version 2.0 of it", "@ 5 each and @home too", "3 of 4 or 5-6 ones",
@@ -87,10 +95,16 @@ def base_spans(t: str) -> list[Span]:
     return out
 
 
+def _triggers(t: str, a: int, b: int) -> bool:
+    """Whether a trigger begins in t[a:b]; it may look at what follows."""
+    hit = TRIGGER.search(t, a)
+    return hit is not None and hit.start() < b
+
+
 def windows(t: str, around: int = 2) -> Iterator[list[tuple[int, int]]]:
-    """Runs of words, as offsets, that hold a digit or an at sign or are among the `around` words beside one that does.
+    """Runs of words, as offsets, that hold a trigger or are among the `around` words beside one that does.
 
-    A word without either is never part of a span, so the rest of the text, though all of it is searched, needs no labels.
+    Spans lie within these runs, so the rest of the text, though all of it is searched, needs no labels.
     """
     at, size, run, ahead = 0, len(t), [], 0
     while at < size:
@@ -119,7 +133,7 @@ def windows(t: str, around: int = 2) -> Iterator[list[tuple[int, int]]]:
         at, ahead = run[-1][1], around
         while ahead:
             m = WORD.search(t, at)
-            if not m or TRIGGER.search(t, m.start(), m.end()):
+            if not m or _triggers(t, m.start(), m.end()):
                 break
             run.append(m.span())
             at, ahead = m.end(), ahead - 1
@@ -127,24 +141,44 @@ def windows(t: str, around: int = 2) -> Iterator[list[tuple[int, int]]]:
         yield run
 
 
+def tokens(t: str, around: int = 2) -> Iterator[list[tuple[int, int]]]:
+    """The runs of windows(), long words cut into pieces; of these, only those that hold a trigger or are near one."""
+    for run in windows(t, around):
+        if all(b - a <= LONG for a, b in run):
+            yield run
+            continue
+        pieces = [(p, min(p + LONG, m.end())) for a, b in run for m in (PIECE.finditer(t, a, b) if b - a > LONG else (WORD.match(t, a),)) for p in range(m.start(), m.end(), LONG)]
+        hits = [k for k, (a, b) in enumerate(pieces) if TRIGGER.search(t, a, b) or t[a:b] == "at" and _triggers(t, a, b)]
+        near, last = [], -1
+        for k in hits:
+            if near and k - around > last + 1:
+                yield near
+                near = []
+            near += pieces[max(last + 1, k - around) : k + around + 1]
+            last = max(last, min(k + around, len(pieces) - 1))
+        if near:
+            yield near
+
+
 @lru_cache(maxsize=1 << 16)
 def _shape(word: str) -> tuple[str, ...]:
     digits = sum(c.isdigit() for c in word)
-    marks = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:64])
+    marks = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word)
     short = re.sub(r"(.)\1+", r"\1", marks)
     plain = word.strip(".,;:|\"'()<>[]")
     checked = plain.isascii() and plain.isdigit() and 16 <= len(plain) <= 19 and luhn(plain)
-    return (f"s{short[:24]}", f"d{min(digits, 20)}", f"n{min(len(word), 24)}", f"h{word[0] if not word[0].isalnum() else 'x'}", f"@{'@' in word}", f".{min(word.count('.'), 4)}", f"l{checked}")
+    return (f"s{short[:24]}", f"d{min(digits, 20)}", f"n{min(len(word), 24)}", f"h{word[0] if not word[0].isalnum() else 'x'}", f"@{'@' in word}", f".{min(word.count('.'), 4)}", f"l{checked}", f"={word == 'at'}")
 
 
 def codes(t: str, run: list[tuple[int, int]]) -> np.ndarray:
-    """Feature numbers (words x features): a word's shape features, and the collapsed shapes of its neighbours."""
-    shapes = [_shape(t[a : min(b, a + 256)]) for a, b in run]
+    """Feature numbers (words x features): a word's shape features, and of its neighbours the collapsed shapes and whether they
+    are the word at."""
+    shapes = [_shape(t[a:b]) for a, b in run]
     edge = ("<>",)
     rows = []
     for i, s in enumerate(shapes):
         before, after = (shapes[i - 1] if i else edge), (shapes[i + 1] if i + 1 < len(shapes) else edge)
-        rows.append([zlib.crc32(f.encode()) % BUCKETS for f in (*s, s[0] + s[1], "p" + before[0], "q" + after[0], "1")])
+        rows.append([zlib.crc32(f.encode()) % BUCKETS for f in (*s, s[0] + s[1], "p" + before[0], "q" + after[0], "p" + before[-1], "q" + after[-1], "1")])
     return np.array(rows, np.int32)
 
 
@@ -168,7 +202,7 @@ def examples() -> list[tuple[np.ndarray, list[int]]]:
             spans.append((KINDS.index(m[1]), len(plain), len(plain) + len(m[2])))
             plain, at = plain + m[2], m.end()
         plain += line[at:]
-        out += [(codes(plain, w), tags(w, spans)) for w in windows(plain)]
+        out += [(codes(plain, w), tags(w, spans)) for w in tokens(plain)]
     return out
 
 
@@ -276,7 +310,7 @@ def train(table: list[tuple[np.ndarray, list[int]]], epochs: int = 30, rate: flo
 def training_table(docs: DataFrame, docs_bound: int = FIT_DOCS, windows_bound: int = FIT_WINDOWS) -> list[tuple[np.ndarray, list[int]]]:
     """Word windows of a bounded sample of documents, labelled by the patterns, ordered by a hash of doc_id, and EXAMPLES.
 
-    The examples weigh as much as a tenth of the windows: they are repeated.
+    Windows that hold an UNKNOWN address beside the spans of the patterns are left out: they are no proof of either. The examples weigh as much as a tenth of the windows: they are repeated.
     """
     some = docs.where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id").limit(docs_bound)
 
@@ -286,8 +320,10 @@ def training_table(docs: DataFrame, docs_bound: int = FIT_DOCS, windows_bound: i
             for h, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 t = raw.decode("utf-8", "replace")
                 spans = base_spans(t)
-                for place, w in enumerate(windows(t)):
+                for place, w in enumerate(tokens(t)):
                     w = w[:FIT_WORDS]
+                    if not w or any(not any(x < m.end() and y > m.start() for _, x, y in spans) for m in UNKNOWN.finditer(t, w[0][0], w[-1][1])):
+                        continue
                     rows.append({"h": h, "place": place, "codes": codes(t, w).ravel().tolist(), "tags": tags(w, spans)})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("h", pa.int64()), ("place", pa.int32()), ("codes", pa.list_(pa.int32())), ("tags", pa.list_(pa.int32()))]))
 
@@ -306,7 +342,7 @@ def _trimmed(t: str, a: int, b: int) -> tuple[int, int]:
 
 def _added(field: Field, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """What the field finds in each text beside the base spans, which it may not touch."""
-    runs = [(i, w) for i, t in enumerate(texts) for w in windows(t)]
+    runs = [(i, w) for i, t in enumerate(texts) for w in tokens(t)]
     out: list[list[Span]] = [[] for _ in texts]
     runs.sort(key=lambda r: len(r[1]))
     at = 0

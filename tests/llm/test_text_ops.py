@@ -147,6 +147,29 @@ def test_pii_field(spark, none):
     assert pii.find(none, field).collect() == []
 
 
+def test_pii_field_finds_addresses_that_the_patterns_miss(spark):
+    """`name at host`, and what stands late in a word without blanks, where the corpus has the same forms unlabelled."""
+    fill = lambda k, n: " ".join(("river", "stone", "the", "of", "light", "at", "home")[(n * 7 + i * i) % 7] for i in range(k))
+    texts = [f"{fill(9, i)} in {1900 + i % 99} and a.b{i}@mail.example.org {fill(5, i + 1)} +44 20 7946 {1000 + i} {fill(3, i)}" for i in range(1500)]
+    texts += [f"{fill(8, i)} write to mary.major at example.org soon {fill(8, i)} ask root@server first" for i in range(50)]
+    late = "{" + ",".join(f'"key{chr(97 + k % 26)}":"value"' for k in range(40)) + ',"mail":"root@localhost","x":"y"}'
+    planted = [(1000, fill(9, 1) + " write to john.roe at example.net soon " + fill(9, 2), "john.roe at example.net"), (1001, "first " + late + " then", "root@localhost")]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(k, t) for k, t, _ in planted], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find(df, pii.train(pii.training_table(df))).where("doc_id >= 1000").collect()}
+    for k, t, form in planted:
+        assert f"email:{t.index(form)}:{t.index(form) + len(form)}" in found[k].split(","), (k, found[k])
+
+
+def test_pii_tokens():
+    late = "{" + ",".join(f'"key{k}":"value"' for k in range(40)) + ',"phone":"415-555-0132","x":"y"}' + "z" * 500 + " a b c d"
+    pieces = [(a, b) for run in pii.tokens(late) for a, b in run]
+    assert pieces == sorted(set(pieces)) and all(0 < b - a <= 64 for a, b in pieces) and "415-555-0132" in [late[a:b] for a, b in pieces]
+    for t in filter(None, PII_TEXTS):
+        held = {p for run in pii.tokens(t) for a, b in run for p in range(a, b)}
+        assert {m.start() for m in re.finditer("[0-9@]", t)} <= held
+    assert len(list(pii.tokens("we sat at home. Then at last"))) == 0
+
+
 def test_pii_field_is_accurate_on_held_out_rows(spark):
     texts = [f"the ip 10.{k % 200}.1.{k % 90} of k{k}@mail.com is 4.2 or +1 (551) 555-0{k}" for k in range(100, 400)]
     table = [(pii.codes(t, w), pii.tags(w, pii.base_spans(t))) for t in texts for w in pii.windows(t)]
