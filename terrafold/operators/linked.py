@@ -2,43 +2,69 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of ids that are sent to all tasks; larger tables are joined by a shuffle.
+FEW = 1_000_000
+#: Rows of a small table that make a task worth its while.
+ROWS_A_TASK = 20_000
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir; to a temporary one only where none is set."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    """df written to the shared folder of spark.checkpoint.dir; a session of one machine that sets none gets a temporary folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
+def tasks_for(rows: int) -> int:
+    """Tasks for a table of so many small rows: few for a small one, in proportion for a large one."""
+    return max(1, math.ceil(rows / ROWS_A_TASK))
+
+
 def connected(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
     """id and component (the smallest id reachable) of every id in links; no links give no rows.
 
     A round hangs every id below the smallest id next to it; pointers then jump until each shows the root of its tree, which
     takes as many joins as the tree's depth has binary digits. Links are rewritten between roots, and only those between
-    different ones stay, so every tree at least joins another each round. Tables of a round are checkpointed.
+    different ones stay, so every tree at least joins another each round. Tables of a round are checkpointed. Pointers are
+    looked up by broadcast while the links that are left number FEW or fewer, so that the links of a large component need
+    not meet at its root; else by joins whose crowded keys Spark splits at run time.
     """
     pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     live = checkpoint(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = live.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
+    left = live.count()
+    labels = None
 
-    def jumped(up: DataFrame) -> DataFrame:
-        x, y = up.select("a", "up").alias("x"), up.select("a", "up").alias("y")
-        return checkpoint(x.join(y, F.col("x.up") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.up").alias("up"), (F.col("x.up") != F.col("y.up")).alias("moved")))
+    def jumped(up: DataFrame, sent) -> DataFrame:
+        x, y = up.select("a", "up").alias("x"), sent(up.select("a", "up")).alias("y")
+        out = x.join(y, F.col("x.up") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.up").alias("up"), (F.col("x.up") != F.col("y.up")).alias("moved"))
+        return checkpoint(out.coalesce(tasks_for(left)))
 
     for _ in range(rounds):
-        if live.isEmpty():
+        if not left:
             break
-        up = jumped(live.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("up")))
+        sent = F.broadcast if left <= FEW else lambda df: df
+        live = live.coalesce(tasks_for(left))
+        up = checkpoint(live.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("up")).coalesce(tasks_for(left)))
+        up = jumped(up, sent)
         while not up.where("moved").isEmpty():
-            up = jumped(up)
-        labels = checkpoint(labels.join(up.select("a", "up"), F.col("component") == F.col("a"), "left").select("id", F.coalesce("up", "component").alias("component")))
-        ends = live.join(up.select("a", F.col("up").alias("u")), "a").select("u", "b")
-        ends = ends.join(up.select(F.col("a").alias("b"), F.col("up").alias("v")), "b").where("u <> v")
-        live = checkpoint(ends.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct())
-    return labels
+            up = jumped(up, sent)
+        roots = up.select("a", "up")
+        if labels is None:
+            labels = roots.select(F.col("a").alias("id"), F.col("up").alias("component"))
+        else:
+            labels = checkpoint(labels.join(sent(roots), F.col("component") == F.col("a"), "left").select("id", F.coalesce("up", "component").alias("component")))
+        ends = live.join(sent(roots.select("a", F.col("up").alias("u"))), "a").select("u", "b")
+        ends = ends.join(sent(roots.select(F.col("a").alias("b"), F.col("up").alias("v"))), "b").where("u <> v")
+        live = checkpoint(ends.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct().coalesce(tasks_for(left)))
+        left = live.count()
+    return live.select(F.col("a").alias("id"), F.col("b").alias("component")) if labels is None else labels
