@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from terrafold.operators.linked import FEW, checkpoint
+
+__all__ = ["SPACE", "WORD", "bind", "checkpoint", "documents", "one_each", "parts_for", "row_schema", "text_or_empty", "words"]
+
 #: ASCII white space, the word separator of every contract.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,20 +21,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return path or sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -53,6 +42,23 @@ def parts_for(docs: DataFrame, text: str = "text", part_mb: float = 24.0) -> int
     return max(least, math.ceil(total / (part_mb * 1e6)))
 
 
+def one_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs with one row of each key, the first by a digest of its columns; rows of a null key all stay.
+
+    Keys that occur once, as all do in a well-kept table, are told by an aggregate of the keys alone, and their rows are
+    not shuffled.
+    """
+    again = checkpoint(docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
+    n = again.count()
+    if not n:
+        return docs
+    again = F.broadcast(again) if n <= FEW else again
+    digest = F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")).alias(f"c{i}") for i, c in enumerate(docs.columns)])), 256)
+    rows = docs.join(again, key, "left_semi").withColumn("_row", F.struct(digest.alias("d"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r")))
+    first = rows.groupBy(key).agg(F.min_by("_row.r", "_row.d").alias("_r")).select("_r.*")
+    return docs.join(again, key, "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+
+
 def row_schema(docs: DataFrame, key: str, ddl: str) -> StructType:
     """The key column of docs, then nullable columns."""
     return StructType([docs.schema[key], *StructType.fromDDL(ddl).fields])

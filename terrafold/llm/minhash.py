@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.llm import arrays, common
-from terrafold.llm.components import connected
+from terrafold.operators.linked import FEW, connected, tasks_for
 
 #: Halves in each of the two collections, and minhashes in a half. A table is keyed by a half of either collection, so
 #: HALVES**2 tables of 2 * DEPTH minhashes take 2 * HALVES * DEPTH minhashes to compute. Two texts of similarity s share
@@ -31,8 +32,13 @@ def _halves(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digest(h: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
+
+
 def signatures(docs: DataFrame, size: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_shingles, digest of the shingle set and halves (array of int) of each row; no halves for an empty set."""
+    """key, n_shingles, digest of the shingle set and halves (array of int) of each row, repeated rows and null keys included; no
+    digest and no halves for an empty set."""
     schema = common.row_schema(docs, key, "n_shingles long, digest binary, halves array<int>")
 
     def run(batches):
@@ -44,7 +50,7 @@ def signatures(docs: DataFrame, size: int, text: str = "text", key: str = "doc_i
                 ends = np.cumsum(counts)
                 have = np.flatnonzero(counts)
                 rows = iter(_halves(h, (ends - counts)[have]).view(np.int32)) if len(have) else iter(())
-                digest = [hashlib.blake2b(h[e - c : e].tobytes(), digest_size=16).digest() if c else None for c, e in zip(counts, ends, strict=True)]
+                digest = [_digest(h[e - c : e]) for c, e in zip(counts, ends, strict=True)]
                 halves = [next(rows) if c else None for c in counts]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array(counts, pa.int64()), pa.array(digest, pa.binary()), pa.array(halves, pa.list_(pa.int32()))], names=schema.names
@@ -54,7 +60,7 @@ def signatures(docs: DataFrame, size: int, text: str = "text", key: str = "doc_i
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and the sorted 64-bit hashes of the shingle set of each row of docs (doc_id, text)."""
+    """doc_id, the sorted 64-bit hashes of the shingle set, and their digest, of each row of docs (doc_id, text)."""
 
     def run(batches):
         for batch in batches:
@@ -63,24 +69,27 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
                 h, d = arrays.shingles(arrays.words_of(texts[a:b]), b - a, size)
                 stops = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=b - a)))).astype(np.int32)
                 items = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], items], names=["doc_id", "items"])
+                digest = [_digest(h[x:y]) for x, y in zip(stops[:-1], stops[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], items, pa.array(digest, pa.binary())], names=["doc_id", "items", "digest"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("_text")).mapInArrow(run, "doc_id long, items array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("_text")).mapInArrow(run, "doc_id long, items array<long>, digest binary")
 
 
-#: Ids of this number or fewer are sent to all tasks to pick their texts; more are joined by a shuffle.
-FEW = 1_000_000
+def _sent(rows: DataFrame, weight: Column | None = None) -> DataFrame:
+    """rows (of a checkpoint) as the small side of a join: to all tasks if they, or the sum of their weights, are FEW or fewer,
+    else left to the planner."""
+    size = rows.count() if weight is None else rows.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(rows) if size <= FEW else rows
 
 
-def _sent(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= FEW else ids
+Pick = Callable[[DataFrame], DataFrame]  # the sets (doc_id, items) of the ids (doc_id)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, pick: Pick, percent: int) -> DataFrame:
     """pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    pairs = pairs.coalesce(tasks_for(pairs.count()))
     wanted = common.checkpoint(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    picked = docs.select("doc_id", "text").join(_sent(wanted), "doc_id", "left_semi")
-    found = sets(picked, size)
+    found = pick(wanted)
     left = pairs.join(found.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
     both = left.join(found.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
     same = F.size(F.array_intersect("x", "y"))
@@ -88,67 +97,77 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return common.checkpoint(counted.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b"))
 
 
-def _collections(halves: DataFrame) -> DataFrame:
-    """The halves (doc_id, n_shingles, half, value) of each text by collection, as arrays first and second."""
+def _collections(halves: DataFrame, *columns: str) -> DataFrame:
+    """The halves (doc_id, columns, half, value, near) of each text by collection, as arrays first and second, and the sum of
+    near."""
     pair = F.struct("half", "value")
     lists = {name: F.collect_list(F.when(on, pair)).alias(name) for name, on in (("first", F.col("half") < HALVES), ("second", F.col("half") >= HALVES))}
-    return halves.groupBy("doc_id", "n_shingles").agg(*lists.values()).where((F.size("first") > 0) & (F.size("second") > 0))
+    return halves.groupBy("doc_id", *columns).agg(*lists.values(), F.sum("near").alias("near")).where((F.size("first") > 0) & (F.size("second") > 0))
 
 
 def _shared_halves(reps: DataFrame) -> DataFrame:
     """The collections of each row of reps (doc_id, n_shingles, halves) without halves that a single text has: no table
-    keyed by such a half can hold two texts."""
+    keyed by such a half can hold two texts. near counts how often other texts have a half of this one."""
     halves = reps.select("doc_id", "n_shingles", F.posexplode("halves").alias("half", "value"))
-    shared = halves.groupBy("half", "value").agg(F.count("*").alias("_n")).where("_n > 1").select("half", "value")
-    return _collections(halves.join(shared, ["half", "value"], "left_semi"))
+    shared = halves.groupBy("half", "value").agg(F.count("*").alias("near")).where("near > 1")
+    return _collections(halves.join(shared, ["half", "value"]), "n_shingles")
 
 
-def _tables(lists: DataFrame) -> DataFrame:
-    """key, doc_id and n_shingles for each table of each text: a table is keyed by a half of either collection."""
-    firsts = lists.select("doc_id", "n_shingles", F.explode("first").alias("f"), "second")
-    return firsts.select("doc_id", "n_shingles", F.explode("second").alias("s"), "f").select(F.xxhash64("f", "s").alias("key"), "doc_id", "n_shingles")
+def _tables(lists: DataFrame, *columns: str) -> DataFrame:
+    """key, doc_id and columns for each table of each text: a table is keyed by a half of either collection."""
+    firsts = lists.select("doc_id", *columns, F.explode("first").alias("f"), "second")
+    return firsts.select("doc_id", *columns, F.explode("second").alias("s"), "f").select(F.xxhash64("f", "s").alias("key"), "doc_id", *columns)
 
 
 def _stars(lists: DataFrame, fits) -> DataFrame:
-    """A pair (a, b) for each text b: a is the smallest id that is the smallest of a bucket of b and fits its size."""
-    tables = _tables(lists)
-    met = tables.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("c"), F.count("*").alias("_n")).where("_n > 1").select("key", "c")
-    pairs = tables.join(met, "key").where((F.col("c.doc_id") < F.col("doc_id")) & fits(F.col("c.n_shingles"), F.col("n_shingles")))
-    return pairs.groupBy(F.col("doc_id").alias("b")).agg(F.min("c.doc_id").alias("a")).select("a", "b")
+    """A pair (a, b) for each text b that is not the centre of all its buckets.
+
+    A bucket's centre is its text that most texts are near, the smallest id of equals; of the centres of b's buckets that
+    fit its size, a is again the one that most are near. So the texts made from one meet at it, or at one next to it.
+    """
+    tables = _tables(lists, "n_shingles", "near")
+    rank = F.struct("near", (-F.col("doc_id")).alias("_d"), "n_shingles")
+    met = tables.groupBy("key").agg(F.max(rank).alias("c"), F.count("*").alias("_n")).where("_n > 1").select("key", "c")
+    pairs = tables.join(met, "key").where((-F.col("c._d") != F.col("doc_id")) & fits(F.col("c.n_shingles"), F.col("n_shingles")))
+    return pairs.groupBy(F.col("doc_id").alias("b")).agg((-F.max("c")["_d"]).alias("a")).select("a", "b")
 
 
 #: Members of a block; two blocks at a time are compared in one task.
-BLOCK = 512
+BLOCK = 2048
 LINKS = "a long, b long"
 
 
 def _compare(percent: int):
-    """Links between components among the members of two blocks (or of one), one for each pair of components."""
+    """Links between components among the members of two blocks, one for each pair of components.
+
+    Sets come as their differences from the set of the family's pivot, which keeps the distance of any two: x and y differ
+    in dx + dy - 2 * (items that both differences have). The `rest` are compared with all, a pair of the rest once.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, comp, block = (table.column(k).to_numpy() for k in ("doc_id", "component", "block"))
-        column = table.column("items").combine_chunks()
-        n = np.diff(column.offsets.to_numpy())
-        row = np.repeat(np.arange(len(ids)), n)
+        ids, comp, n, rest = (table.column(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "component", "n_shingles", "probe"))
+        column = table.column("diff").combine_chunks()
+        d = np.diff(column.offsets.to_numpy()).astype(np.int64)
+        row = np.repeat(np.arange(len(ids)), d)
         _, item, count = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
         dense = np.cumsum(count > 1) - 1  # an item that one member has adds to no intersection
         keep = (count > 1)[item]
         row, item = row[keep], dense[item[keep]]
         order = np.argsort(item, kind="stable")
         row, item = row[order], item[order]
-        lo, hi = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        left, right = np.flatnonzero(rest), np.flatnonzero(~rest)
         common = np.zeros((len(left), len(right)), np.float32)
-        width = 4096
+        width = 2048
         for start in range(0, int(item[-1]) + 1 if len(item) else 0, width):
             x, y = np.searchsorted(item, (start, start + width))
             has = np.zeros((len(ids), width), np.float32)
             has[row[x:y], item[x:y] - start] = 1
             common += has[left] @ has[right].T
-        common = common.astype(np.int64)
-        close = 100 * common >= percent * (n[left][:, None] + n[right][None] - common)
-        p, q = np.nonzero(close & (comp[left][:, None] != comp[right][None]))
+        total = n[left][:, None] + n[right][None]
+        apart = d[left][:, None] + d[right][None] - 2 * common.astype(np.int64)
+        # (total - apart) / 2 is the intersection, (total + apart) / 2 the union
+        p, q = np.nonzero((100 * (total - apart) >= percent * (total + apart)) & (comp[left][:, None] != comp[right][None]))
         p, q = left[p], right[q]
         pairs = np.stack((np.minimum(comp[p], comp[q]), np.maximum(comp[p], comp[q])), axis=1)
         _, first = np.unique(pairs, axis=0, return_index=True) if len(pairs) else (None, np.zeros(0, np.int64))
@@ -157,27 +176,53 @@ def _compare(percent: int):
     return run
 
 
-def _across(lists: DataFrame, labels: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _across(lists: DataFrame, labels: DataFrame, pick: Pick, percent: int) -> DataFrame:
     """Links between texts of different components that share a table, at least one for each pair of components.
 
     Halves and tables that only one component has are left out. Texts that then still share tables, one through another,
-    form a family. Its members are dealt into blocks by hash, and each pair of blocks is compared in one task that gives
-    links only; rows grow with the members times the blocks, never with the pairs.
+    form a family. Its members outside its largest component, the rest, are compared with all members, in blocks, and tasks
+    give links only. What goes to the blocks are differences from the family's pivot, the member that most texts are near:
+    a few items each, where the members are edited copies. Rows grow with the rest times the blocks of members and with
+    the members times the blocks of the rest, never with the pairs.
     """
-    named = lists.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    halves = named.select("doc_id", "n_shingles", "component", F.explode(F.concat("first", "second")).alias("h")).select("doc_id", "n_shingles", "component", "h.half", "h.value")
+    component = labels.select(F.col("id").alias("doc_id"), "component")
+    named = common.checkpoint(lists.join(_sent(component), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    halves = named.select("doc_id", "near", "component", F.explode(F.concat("first", "second")).alias("h")).select("doc_id", "near", "component", "h.half", "h.value")
     several = lambda df, *key: df.groupBy(*key).agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.min("doc_id").alias("centre")).where("_lo < _hi").select(*key, "centre")
-    edge = _collections(halves.join(several(halves, "half", "value").drop("centre"), ["half", "value"], "left_semi"))
-    tables = _tables(edge).join(named.select("doc_id", "component"), "doc_id")
-    meets = common.checkpoint(tables.join(several(tables, "key"), "key").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct())
+    mixed = halves.join(several(halves, "half", "value").drop("centre"), ["half", "value"], "left_semi")
+    tables = _tables(_collections(mixed, "component"), "component")
+    met = several(tables, "key")
+    meets = common.checkpoint(tables.join(met, "key").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct())
     family = connected(meets).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
-    blocks = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks"))
-    dealt = family.join(blocks, "family").join(named.select("doc_id", "component"), "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int"))
-    members = common.checkpoint(dealt)
-    picked = docs.select("doc_id", "text").join(_sent(members.select("doc_id")), "doc_id", "left_semi")
-    full = members.join(sets(picked, size), "doc_id").withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    full = full.withColumns({"i": F.least("block", "_o"), "j": F.greatest("block", "_o")}).select("family", "i", "j", "doc_id", "component", "block", "items")
-    return common.checkpoint(full.groupBy("family", "i", "j").applyInArrow(_compare(percent), LINKS))
+    found = common.checkpoint(named.select("doc_id", "n_shingles", "near", "component").join(_sent(family), "doc_id"))
+    members = found.count()
+    if not members:
+        return lists.sparkSession.createDataFrame([], LINKS)
+    found = found.coalesce(tasks_for(members))
+    parts = common.checkpoint(found.groupBy("family", "component").agg(F.count("*").alias("n"), F.max(F.struct("near", (-F.col("doc_id")).alias("_d"))).alias("_p")).coalesce(tasks_for(members)))
+    whole = parts.groupBy("family").agg(
+        F.max(F.struct("n", (-F.col("component")).alias("_c"))).alias("_main"), F.sum("n").alias("_all"), F.max("_p").alias("_p"),
+    )
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    whole = common.checkpoint(whole.select(
+        "family", (-F.col("_main._c")).alias("_main"), (-F.col("_p._d")).alias("_pivot"), blocks(F.col("_all")).alias("_of_all"), blocks(F.col("_all") - F.col("_main.n")).alias("_of_rest"),
+    ).coalesce(tasks_for(members)))
+    texts = common.checkpoint(pick(found.select("doc_id")).coalesce(tasks_for(members)))
+    placed = found.join(_sent(whole), "family").join(texts, "doc_id")
+    pivots = common.checkpoint(placed.where("doc_id = _pivot").groupBy("family").agg(F.first("items").alias("_h")))
+    pivoted = placed.join(_sent(pivots, F.size("_h")), "family")
+    diff = F.concat(F.array_except("items", "_h"), F.array_except("_h", "items"))
+    held = common.checkpoint(pivoted.select("family", "doc_id", "component", F.col("n_shingles").cast("long"), "_main", "_of_all", "_of_rest", diff.alias("diff")))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    row = ("family", "i", "j", "doc_id", "component", "n_shingles", "diff", "probe")
+    probes = held.where("component <> _main").withColumns({"i": own(F.col("_of_rest")), "probe": F.lit(True)}).withColumn("j", each(F.col("_of_all"))).select(*row)
+    others = held.withColumns({"j": own(F.col("_of_all")), "probe": F.lit(False)}).withColumn("i", each(F.col("_of_rest"))).select(*row)
+    return common.checkpoint(probes.unionByName(others).groupBy("family", "i", "j").applyInArrow(_compare(percent), LINKS).distinct())
+
+
+#: Copies of one text above which its component is sent to all tasks instead of being joined: there are few such texts.
+MANY = 10_000
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -186,35 +231,74 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Texts are linked whose sets of distinct `size`-word shingles have 100 * intersection >= percent * union; component_id is
     the smallest doc_id reachable. Empty and null texts have an empty set and are linked with nothing. Rows of equal sets
     are one text from the start, whatever their number. Rows of a null doc_id stand alone: component_id null, kept true.
-    A doc_id given twice must have one text; its rows share a component. No rows give no rows.
+    Where rows of one doc_id hold different sets, the one of the smallest digest stands for them all, except for empty ones.
+    No rows give no rows. Shingles are compared by 64-bit hashes: between two texts of n shingles, two unlike ones are taken
+    for one with odds of n * n / 2**64.
 
-    Candidates meet in a table bucket. First, every text is verified against one smaller id of its buckets. Where a bucket
-    then still holds several components, its texts are compared in blocks, so no pair that shares a bucket stays both
-    untested and apart.
+    Candidates meet in a table bucket. First, every text is verified against one text of its buckets that many are near.
+    Where a bucket then still holds several components, its texts are compared in blocks, so no pair that shares a bucket
+    stays both untested and apart.
     """
-    signed = common.checkpoint(signatures(docs, size))
-    reps = common.checkpoint(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves")))
+    signed = common.checkpoint(signatures(docs, size).withColumn("doc_id", F.col("doc_id").cast("long")))
+    several = common.checkpoint(signed.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("_d"), F.max("digest").alias("_e")).where("_d <> _e").select("doc_id", "_d"))
+    at_odds = not several.isEmpty()
+    if at_odds:
+        signed = signed.join(_sent(several), "doc_id", "left").withColumn("own", F.col("digest")).withColumn("digest", F.when(F.col("own").isNotNull(), F.coalesce("_d", "own"))).drop("_d")
+
+    def pick(ids: DataFrame) -> DataFrame:
+        found = sets(docs.select("doc_id", "text").join(_sent(ids), "doc_id", "left_semi"), size)
+        if at_odds:
+            found = found.join(_sent(several), "doc_id", "left").where("_d is null or _d = digest")
+        return found.select("doc_id", "items")
+
+    reps = common.checkpoint(
+        signed.where("digest is not null and doc_id is not null" + (" and own = digest" if at_odds else "")).groupBy("digest")
+        .agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("_last"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"))
+    )
     lists = common.checkpoint(_shared_halves(reps))
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)  # noqa: E731  sizes further apart can't be linked
     stars = common.checkpoint(_stars(lists, fits))
-    links = _verified(stars, docs, size, percent)
+    links = _verified(stars, pick, percent)
     labels = connected(links)
-    more = _across(lists, labels, docs, size, percent)
+    more = _across(lists, labels, pick, percent)
     if not more.isEmpty():
-        labels = connected(links.unionByName(more))
-
-    of_set = reps.select("digest", "doc_id").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("_c"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(of_set, "digest", "left")
+        labels = _joined(labels, more)
+
+    # rows whose text has copies or links: others are their own component
+    named = reps.select("digest", "doc_id", "_last", "copies").join(_sent(labels.withColumnRenamed("id", "doc_id")), "doc_id", "left")
+    named = common.checkpoint(named.where("component is not null or _last > doc_id").select("digest", "copies", F.coalesce("component", "doc_id").alias("_c")))
+    rows = signed.select("doc_id", "n_shingles", "digest")
+    if named.count() <= FEW:
+        out = rows.join(F.broadcast(named.drop("copies")), "digest", "left")
+    else:
+        many = named.where(F.col("copies") >= MANY).select("digest", F.col("_c").alias("_m"))
+        out = rows.join(F.broadcast(many), "digest", "left")
+        lone = out.where("_m is not null or digest is null").select("doc_id", "n_shingles", F.col("_m").alias("_c"))
+        rest = out.where("_m is null and digest is not null").drop("_m").join(named.where(F.col("copies") < MANY).drop("copies"), "digest", "left")
+        out = lone.unionByName(rest.select("doc_id", "n_shingles", "_c"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """labels after further links between ids: only components that the links name go through rounds again."""
+    ends = lambda df, k: df.join(_sent(labels.select(F.col("id").alias(k), F.col("component").alias(f"_{k}"))), k, "left")
+    between = ends(ends(more, "a"), "b").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    merged = connected(between)
+    moved = labels.join(_sent(merged.select(F.col("id").alias("component"), F.col("component").alias("_to"))), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+    fresh = merged.join(labels.select("id"), "id", "left_anti")
+    return common.checkpoint(moved.unionByName(fresh))
+
+
 def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without near copies: of each component one row, of its smallest doc_id."""
+    """The rows of docs without near copies: of each component one row, of its smallest doc_id.
+
+    Of rows of one doc_id the one that sorts first by a digest of all its columns stays; only such rows are shuffled whole.
+    Rows of a null doc_id all stay, as do rows without words but for repeats of their doc_id. Columns stay as they are.
+    """
     found = near_duplicates(docs.select("doc_id", "text"), size, percent)
-    gone = found.where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    gone = common.checkpoint(found.where("not kept").select("doc_id").distinct())
+    return common.one_each(docs.join(_sent(gone), "doc_id", "left_anti").select(*docs.columns))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrafold.llm import arrays, chunking, minhash, suffix
-from terrafold.llm.components import connected
+from terrafold.operators.linked import connected
 
 SCHEMA = "doc_id long, text string"
 
@@ -67,6 +67,46 @@ def test_near_duplicates_nulls_and_repeated_rows(spark, none):
     assert sorted(str(r.doc_id) for r in minhash.dedup(df).collect()) == ["3", "8", "9", "None", "None"]
 
 
+@pytest.mark.parametrize("block", [2048, 7])
+def test_near_duplicates_in_a_family_of_edits(spark, monkeypatch, block):
+    """One text edited in 0 to 16 places each: many versions are near it, others near no one, a few only near each other."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rnd = random.Random(12)
+    base = [f"w{k}" for k in range(140)]
+
+    def edited(words, n, tag):
+        out = list(words)
+        for k in rnd.sample(range(len(out)), n):
+            out[k] = f"{tag}e{k}"
+        return out
+
+    far = edited(base, 14, "f")
+    texts = {1000 - i: " ".join(edited(base, i % 17, f"t{i}")) for i in range(90)}
+    texts |= {10 + i: " ".join(edited(far, 4, f"u{i}")) for i in range(8)} | {50: " ".join(base), 51: " ".join(base[:120]), 52: " ".join(base[:60])}
+    want, _ = brute_components(texts, 2)
+    assert 10 < len(set(want.values())) < 70
+    df = spark.createDataFrame(list(texts.items()), SCHEMA)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2).collect()} == want
+
+
+def test_near_duplicates_of_one_doc_id_with_several_texts(spark, monkeypatch):
+    """One of the texts, always the same, stands for the doc_id, whatever the order of rows and the way tables are joined."""
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(5, a), (5, b), (5, ""), (7, a), (8, b), (9, a + " x"), (9, a + " x"), (3, None)]
+    out = set()
+    for few in (1_000_000, 0):
+        monkeypatch.setattr(minhash, "FEW", few)
+        for order in (rows, rows[::-1]):
+            found = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(order, SCHEMA), 2).collect())
+            assert len(found) == len(rows)
+            out.add(str(found))
+    assert len(out) == 1
+    got = {(r[0], r[2]) for r in found}
+    assert got in ({(5, 5), (7, 5), (8, 8), (9, 5), (3, 3)}, {(5, 5), (7, 7), (8, 5), (9, 7), (3, 3)})
+    kept = minhash.dedup(spark.createDataFrame(rows, SCHEMA).withColumn("kept", F.lit("mine")), 2).collect()
+    assert len([r for r in kept if r.doc_id == 5]) == 1 and {r.kept for r in kept} == {"mine"}
+
+
 def test_shingles_of_long_texts_in_pieces():
     rnd = random.Random(2)
     text = " ".join(f"w{rnd.randint(0, 99)}" for _ in range(4000)).encode()
