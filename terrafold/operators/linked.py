@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of ids that are sent to all tasks; larger tables are joined by a shuffle.
-FEW = 1_000_000
+FEW = 500_000
 #: Rows of a small table that make a task worth its while.
 ROWS_A_TASK = 20_000
 
