@@ -94,7 +94,7 @@ def _verified(pairs: DataFrame, pick: Pick, percent: int) -> DataFrame:
     both = left.join(found.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
     same = F.size(F.array_intersect("x", "y"))
     counted = both.select("a", "b", same.alias("n"), (F.size("x") + F.size("y")).alias("total"))
-    return common.checkpoint(counted.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b"))
+    return common.checkpoint(counted.where(100 * F.col("n") >= percent * (F.col("total") - F.col("n"))).select("a", "b").distinct())
 
 
 def _collections(halves: DataFrame, *columns: str) -> DataFrame:
@@ -132,6 +132,22 @@ def _stars(lists: DataFrame, fits) -> DataFrame:
     return pairs.groupBy(F.col("doc_id").alias("b")).agg((-F.max("c")["_d"]).alias("a")).select("a", "b")
 
 
+def _trees(links: DataFrame) -> DataFrame:
+    """id and component (the smallest id) of every id in links (a, b), where each b has one link, to an a of a higher rank.
+
+    Pointers jump until each shows the root of its tree, which takes as many joins as the depth has binary digits.
+    """
+    up = links.select(F.col("b").alias("id"), F.col("a").alias("root"))
+    while True:
+        next_ = up.select(F.col("id").alias("root"), F.col("root").alias("_r"))
+        up = common.checkpoint(up.select("id", "root").join(_sent(next_), "root", "left").select("id", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")))
+        if up.where("moved").isEmpty():
+            break
+    least = common.checkpoint(up.groupBy("root").agg(F.least(F.col("root"), F.min("id")).alias("component")).coalesce(tasks_for(up.count())))
+    members = up.join(_sent(least), "root").select("id", "component")
+    return common.checkpoint(members.unionByName(least.select(F.col("root").alias("id"), "component")))
+
+
 #: Members of a block; two blocks at a time are compared in one task.
 BLOCK = 2048
 LINKS = "a long, b long"
@@ -259,7 +275,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)  # noqa: E731  sizes further apart can't be linked
     stars = common.checkpoint(_stars(lists, fits))
     links = _verified(stars, pick, percent)
-    labels = connected(links)
+    labels = _trees(links)
     more = _across(lists, labels, pick, percent)
     if not more.isEmpty():
         labels = _joined(labels, more)
