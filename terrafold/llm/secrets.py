@@ -33,6 +33,15 @@ def most_c_log_c(bits: float) -> int:
     return math.floor(WIDTH * (math.log2(WIDTH) - bits) * 1e6)
 
 
+#: Matches, or spans, that one fold handles: arrays grow by a copy each, so a fold over all of a text's would take their square.
+FOLD = 256
+
+
+def _folds(items: Column) -> Column:
+    """items cut into arrays of FOLD."""
+    return common.bind(items, lambda z: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(z) - 1) / FOLD)).cast("int")), lambda k: F.slice(z, k * FOLD + 1, FOLD)))
+
+
 def _matches(text: Column, pattern: str, keep: Callable[[Column, Column], Column] | None = None, group: int = 0) -> Column:
     """Start, end and text of the leftmost non-overlapping matches, in code points; `group` is what keep sees.
 
@@ -41,6 +50,7 @@ def _matches(text: Column, pattern: str, keep: Callable[[Column, Column], Column
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     zipped = F.arrays_zip(found.alias("m"), value.alias("v"), F.split(text, pattern, -1).alias("gap"))
+    long_of = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))
     kind = "array<struct<start:int,stop:int,m:string>>"
 
     def step(acc: Column, x: Column) -> Column:
@@ -50,8 +60,17 @@ def _matches(text: Column, pattern: str, keep: Callable[[Column, Column], Column
         row = F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("m"))
         return F.struct(stop.alias("at"), F.when(keeps, F.array_append(acc["out"], row)).otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
+    def within(fold: Column, at: Column) -> Column:
+        return F.aggregate(fold, F.struct(at.alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
+
+    def across(folds: Column) -> Column:
+        """Where each fold starts, from the lengths of those before."""
+        lengths = F.transform(folds, lambda f: F.aggregate(f, F.lit(0), lambda acc, x: acc + long_of(x)))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(lengths, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    both = lambda folds: F.arrays_zip(folds.alias("fold"), across(folds).alias("at"))
+    return F.flatten(F.transform(common.bind(_folds(zipped), both), lambda p: within(p["fold"], p["at"])))
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -116,13 +135,16 @@ def _joined(spans: Column) -> Column:
     return common.bind(names, lambda n: F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(n, s["kind"]), s["start"], s["stop"])), ","))
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_assign, n_access, n_hex (long), base_sha256, spans and found (the spans as start, kind, stop).
+def _held(docs: DataFrame, text: str) -> DataFrame:
+    """docs with a row's columns in _row, so that none of their names is in the way, and the text beside it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"))
 
-    Null and empty texts have no spans (digest of nothing). Spans of different kinds may overlap; all stay. Other columns
-    and the number of rows stay; clashing names are replaced.
-    """
-    t = common.text_or_empty(text)
+
+OUTPUTS = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "found")
+
+
+def _scanned(held: DataFrame) -> DataFrame:
+    t = common.text_or_empty("_text")
     none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
     gated = lambda pattern, spans: F.when(t.rlike(pattern), spans).otherwise(none)
     found = {
@@ -131,28 +153,51 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
         "_hex": gated(HEX, _spans(_matches(t, HEX), 2)),
         "_entropy": gated(CANDIDATE, _entropy(t)),
     }
-    out = docs.drop("n_assign", "n_access", "n_hex", "base_sha256", "spans", "found").withColumns(found)
     base = F.concat("_assign", "_access", "_hex")
-    out = out.withColumns(
+    return held.withColumns(found).withColumns(
         {k: F.size(f"_{k[2:]}").cast("long") for k in ("n_assign", "n_access", "n_hex")}
         | {"base_sha256": F.sha2(_joined(base), 256), "spans": _joined(F.concat(base, F.col("_entropy"))), "found": F.array_sort(F.concat(base, F.col("_entropy")))}
     )
-    return out.drop(*found)
+
+
+def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with n_assign, n_access, n_hex (long), base_sha256, spans and found (the spans as start, kind, stop).
+
+    Null and empty texts have no spans (digest of nothing). Spans of different kinds may overlap; all stay. Other columns and
+    the number of rows, repeated ones included, stay; columns of docs with one of these six names are replaced.
+    """
+    kept = [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in OUTPUTS]
+    return _scanned(_held(docs, text)).select(*kept, *OUTPUTS)
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of scan() in the text replaced by mark; overlapping spans give one mark. Null text stays null."""
-    scanned = scan(docs.select("*"), text)
-    t = F.col(text)
-
-    def step(acc: Column, s: Column) -> Column:
-        more = s["start"] >= acc["at"]
-        gap = F.substring(t, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(more, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("found", zero, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
-    return scanned.withColumn(text, F.when(F.size("found") > 0, clean).otherwise(t)).select(*docs.columns)
+    """docs with every span of scan() in the text replaced by mark; overlapping spans give one mark.
+
+    Null text stays null, rows and all other columns stay as they are, whatever their names.
+    """
+    t = F.col("_text")
+    parts = F.array().cast("array<string>")
+
+    def within(fold: Column, at: Column, segment: Column) -> Column:
+        """The text of segment, which starts at `at`, with marks for the spans of the fold."""
+
+        def step(acc: Column, s: Column) -> Column:
+            gap = F.substring(segment, acc["at"] - at + 1, s["start"] - acc["at"])
+            out = F.when(s["start"] >= acc["at"], F.array_append(F.array_append(acc["out"], gap), F.lit(mark))).otherwise(acc["out"])
+            return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
+
+        return F.aggregate(fold, F.struct(at.alias("at"), parts.alias("out")), step, lambda acc: F.array_join(acc["out"], ""))
+
+    def across(acc: Column, fold: Column) -> Column:
+        stop = F.greatest(acc["at"], F.array_max(F.transform(fold, lambda s: s["stop"])))
+        bound = F.struct(fold.alias("fold"), acc["at"].alias("at"), F.substring(t, acc["at"] + 1, stop - acc["at"]).alias("segment"))
+        more = common.bind(bound, lambda b: within(b["fold"], b["at"], b["segment"]))
+        return F.struct(stop.alias("at"), F.array_append(acc["out"], more).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), parts.alias("out"))
+    clean = F.aggregate(_folds(F.col("found")), zero, across, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
+    clean = F.when(F.size("found") > 0, clean).otherwise(t)
+    return _scanned(_held(docs, text)).select(*[clean.alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
