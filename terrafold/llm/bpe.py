@@ -65,7 +65,7 @@ def encode_documents(docs: DataFrame, vocab: str, pattern: str, text: str = "tex
 
     All columns of docs stay; a column already named `out` is replaced. Null and empty texts give no ids.
     """
-    kept = docs.drop(out)
+    kept = common.without(docs, out)
     schema = StructType([*kept.schema.fields, *StructType.fromDDL(f"`{out}` binary").fields])
 
     def run(batches):
@@ -74,12 +74,12 @@ def encode_documents(docs: DataFrame, vocab: str, pattern: str, text: str = "tex
             ids = [encode_text(enc, t, size).tobytes() for t in _texts(b.column(b.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary())], names=[f.name for f in schema])
 
-    return kept.withColumn(out, F.col(text).cast("binary")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(f"`{text}`").cast("binary").alias(common.free_name(docs))).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, vocab: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """encoded with the raw bytes of its ids in the binary column `out`; null ids give no bytes."""
-    kept = encoded.drop(out)
+    kept = common.without(encoded, out)
     schema = StructType([*kept.schema.fields, *StructType.fromDDL(f"`{out}` binary").fields])
 
     def run(batches):
@@ -88,7 +88,7 @@ def decode_documents(encoded: DataFrame, vocab: str, pattern: str, ids: str = "i
             raw = [decode_ids(enc, x.as_py() or b"") for x in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(raw, pa.binary())], names=[f.name for f in schema])
 
-    return kept.withColumn(out, F.col(ids)).mapInArrow(run, schema)
+    return encoded.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(f"`{ids}`").alias(common.free_name(encoded))).mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, vocab: str, pattern: str, text: str = "text", key: str = "doc_id", size: int = LONG) -> DataFrame:
@@ -116,9 +116,10 @@ def round_trip(docs: DataFrame, vocab: str, pattern: str, text: str = "text", ke
 def encoded_and_decoded(docs: DataFrame, vocab: str, pattern: str, text: str = "text", size: int = LONG) -> DataFrame:
     """docs with n_tokens, ids (as in encode_documents) and decoded (the text from the ids), in one pass through Python.
 
-    Clashing columns are replaced; null texts give no ids and an empty decoded text.
+    Columns of docs named like one of these three are replaced, all others stay; null and empty texts give no ids and an empty
+    decoded text. Repeated rows and null ids are rows like others.
     """
-    kept = docs.drop("n_tokens", "ids", "decoded")
+    kept = common.without(docs, "n_tokens", "ids", "decoded")
     schema = StructType([*kept.schema.fields, *StructType.fromDDL("n_tokens long, ids binary, decoded string").fields])
 
     def run(batches):
@@ -128,7 +129,7 @@ def encoded_and_decoded(docs: DataFrame, vocab: str, pattern: str, text: str = "
             back = [enc.decode_bytes(x.tolist()).decode("utf-8", "replace") for x in ids]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(map(len, ids), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(back, pa.string())], names=schema.names)
 
-    return kept.withColumn("_text", F.col(text).cast("binary")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(f"`{text}`").cast("binary").alias(common.free_name(docs))).mapInArrow(run, schema)
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from terrafold.operators.linked import FEW, checkpoint
 
-__all__ = ["SPACE", "WORD", "bind", "checkpoint", "documents", "one_each", "parts_for", "row_schema", "text_or_empty", "words"]
+__all__ = ["SPACE", "WORD", "bind", "checkpoint", "documents", "free_name", "one_each", "parts_for", "row_schema", "text_or_empty", "without", "words"]
 
 #: ASCII white space, the word separator of every contract.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -42,6 +42,18 @@ def parts_for(docs: DataFrame, text: str = "text", part_mb: float = 24.0) -> int
     return max(least, math.ceil(total / (part_mb * 1e6)))
 
 
+def free_name(docs: DataFrame) -> str:
+    """A column name that docs does not have, in any case of letters."""
+    taken, name = {c.lower() for c in docs.columns}, "_text"
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def without(docs: DataFrame, *names: str) -> DataFrame:
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names])
+
+
 def one_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs with one row of each key, the first by a digest of its columns; rows of a null key all stay.
 

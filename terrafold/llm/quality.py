@@ -164,18 +164,20 @@ def learn(rows: list, precision: float = 0.95, depth: int = 4, most: int = 8) ->
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, bound: int = FIT_ROWS) -> list:
-    """Statistics of at most `bound` labelled documents, those of the smallest hash of doc_id, ordered by it.
+    """Statistics of at most `bound` labelled documents, those of the smallest hash of doc_id, ordered by it; one row a doc_id,
+    the least statistics where it has several rows, and the least label.
 
     Documents that fail the base rule are left out: the learned rules decide about the others only. They are dropped
     here, not by a filter, which would move below the join and count the words of all documents.
     """
     some = (
-        labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").dropDuplicates(["doc_id"])
+        labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .select("doc_id", (F.col("quality") == 0).alias("bad"), F.xxhash64("doc_id").alias("_h"))
         .orderBy("_h", "doc_id").limit(bound)
     )
     stats = with_stats(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"))
-    found = stats.select("doc_id", "bad", (F.pmod("_h", F.lit(3)) > 0).alias("grow"), base_failed().alias("failed"), *[c.alias(k) for k, c in features().items()])
+    row = F.struct("bad", (F.pmod("_h", F.lit(3)) > 0).alias("grow"), base_failed().alias("failed"), *[c.alias(k) for k, c in features().items()])
+    found = stats.select("doc_id", row.alias("r")).groupBy("doc_id").agg(F.min("r").alias("r")).select("doc_id", "r.*")
     return sorted((r for r in found.collect() if not r["failed"]), key=lambda r: r["doc_id"])
 
 
@@ -190,15 +192,28 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
+def _judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The columns of docs in _row, out of the way of STATS, base_failed and kept."""
+    rules = learn(labelled_rows(docs, labels))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
+    out = with_stats(held).withColumn("base_failed", base_failed())
+    return out.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with STATS, base_failed and kept; the rules are learned from labels.
 
-    Null or empty text has no words and fails. Rows keep their number and their other columns; clashing names are
-    replaced. Labels without a matching document, with nulls or given twice do not count twice; no labels, no rules.
+    Null or empty text has no words and fails. Rows, repeated ones included, keep their number and their other columns;
+    columns of docs with one of these names are replaced. Labels without a matching document or with nulls do not count, of
+    several labels of a doc_id the least does; no labels, no rules.
     """
-    rules = learn(labelled_rows(docs, labels))
-    out = with_stats(docs.drop(*STATS, "base_failed", "kept", "_lines")).withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & verdict(rules)).drop("_lines")
+    names = (*STATS, "base_failed", "kept")
+    return _judged(docs, labels).select(*[F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in names], *names)
+
+
+def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that judge() keeps, with their columns as they are, whatever their names."""
+    return _judged(docs, labels).where("kept").select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
