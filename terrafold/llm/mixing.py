@@ -93,65 +93,92 @@ def _sent(sources: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(sources) if few else sources
 
 
-def _round(rated: DataFrame, few: bool) -> DataFrame:
-    """rated (with _rate) with copies: each rate rounded up or down so that a source's taken words meet its target.
+KEY = ["_null", "_source"]
 
-    A document's score is the fraction of its rate less a hash of doc_id in [0, 1). Those with the highest scores of their
-    source are rounded up until the words lacking are taken. A histogram of scores finds the bin where that happens;
-    only the documents of that one bin are ordered.
+
+def _sized(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
+    source = F.col("source")
+    size = F.regexp_count(common.text_or_empty(text), F.lit(common.WORD)).cast("long")
+    return docs.select(*columns, F.col("doc_id"), source.isNull().alias("_null"), F.coalesce(source, F.lit("")).alias("_source"), size.alias("size"))
+
+
+def _scored(sized: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
+    """sized with the columns of its source, its rate, what of it is sure, and the score by which it is rounded up.
+
+    A row's score is the fraction of its rate less a hash of doc_id in [0, 1).
     """
-    low = F.floor("_rate").cast("long")
+    x = F.try_divide(F.col("size"), F.col("source_size") / F.col("n_docs"))
+    rated = sized.join(_sent(sources, few), KEY).withColumn("_x", x)
+    full = F.col("target") >= MOST * F.col("source_size")
+    has = F.coalesce("_x", F.lit(0.0)) > 0
+    rated = rated.withColumn("_rate", F.when(has & full, F.lit(float(MOST))).when(has, _rate(F.col("lam"), F.col("_x"))).otherwise(F.lit(1.0)))
     unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
-    scored = rated.withColumn("_low", low).withColumn("_score", F.col("_rate") - F.col("_low") - unit)
+    scored = rated.withColumn("_low", F.floor("_rate").cast("long")).withColumn("_score", F.col("_rate") - F.col("_low") - unit)
     scored = scored.withColumn("_open", (F.col("_low") < MOST) & (F.col("size") > 0))
-    scored = scored.withColumn("_bin", F.floor((F.col("_score") + 1) * (BINS // 2)).cast("int"))
-    key = ["_null", "_source"]
-    bins = scored.groupBy(*key, "_bin").agg(F.sum(F.col("size") * F.col("_low")).alias("sure"), F.sum(F.when(F.col("_open"), F.col("size")).otherwise(0)).alias("more"), F.first("target").alias("target"))
-    by = Window.partitionBy(*key)
+    return scored.withColumn("_bin", F.floor((F.col("_score") + 1) * (BINS // 2)).cast("int"))
+
+
+def _order() -> Column:
+    """Rows are rounded up in this order; rows alike in it are rounded alike."""
+    return F.struct((-F.col("_score")).alias("s"), F.col("doc_id").alias("d"), F.col("size").alias("z"))
+
+
+def _edges(scored: DataFrame) -> DataFrame:
+    """For each source: whether all open rows are rounded up, or else the bin in which rounding up ends and the last row that is.
+
+    Rows of the highest scores of their source are rounded up until the words lacking are taken. A histogram of scores finds
+    the bin where that happens; only the rows of that one bin are ordered.
+    """
+    bins = scored.groupBy(*KEY, "_bin").agg(F.sum(F.col("size") * F.col("_low")).alias("sure"), F.sum(F.when(F.col("_open"), F.col("size")).otherwise(0)).alias("more"), F.first("target").alias("target"))
+    by = Window.partitionBy(*KEY)
     lacking = F.col("target") - F.sum("sure").over(by)
     above = F.coalesce(F.sum("more").over(by.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bins = bins.withColumns({"_lacking": lacking, "_above": above})
-    edge = bins.where((F.col("_above") + F.col("more") > F.col("_lacking")) & (F.col("_above") <= F.col("_lacking"))).select(*key, F.col("_bin").alias("_edge"), "_lacking", "_above")
-    all_up = bins.groupBy(*key).agg(F.max("_lacking").alias("_need"))
-    placed = scored.join(_sent(common.checkpoint(all_up.join(edge, key, "left")), few), key)
-    # no edge: every open document is rounded up, or, with nothing lacking, none
-    sure_up = F.col("_open") & F.when(F.col("_edge").isNull(), F.col("_need") > 0).otherwise(F.col("_bin") > F.col("_edge"))
-    at_edge = F.coalesce(F.col("_open") & (F.col("_bin") == F.col("_edge")), F.lit(False))
-    rest = placed.where(~at_edge).withColumn("copies", F.col("_low") + sure_up.cast("long"))
-    run = F.sum("size").over(by.orderBy(F.desc("_score"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_above")
-    close = placed.where(at_edge).withColumn("copies", F.col("_low") + (run - F.col("size") / 2 <= F.col("_lacking")).cast("long"))
-    return rest.unionByName(close)
+    bins = common.checkpoint(bins.withColumns({"_lacking": lacking, "_above": above}))
+    edge = bins.where((F.col("_above") + F.col("more") > F.col("_lacking")) & (F.col("_above") <= F.col("_lacking"))).select(*KEY, F.col("_bin").alias("_edge"), "_lacking", "_above")
+    all_up = bins.groupBy(*KEY).agg((F.max("_lacking") > 0).alias("_all"))
+    close = scored.join(F.broadcast(edge), KEY).where(F.col("_open") & (F.col("_bin") == F.col("_edge"))) if edge.count() <= FEW else scored.join(edge, KEY).where(F.col("_open") & (F.col("_bin") == F.col("_edge")))
+    run = F.sum("size").over(by.orderBy(_order()).rowsBetween(Window.unboundedPreceding, 0)) + F.col("_above")
+    last = close.select(*KEY, "size", _order().alias("_o"), run.alias("_run"), "_lacking").where(F.col("_run") - F.col("size") / 2 <= F.col("_lacking"))
+    return all_up.join(edge.select(*KEY, "_edge"), KEY, "left").join(last.groupBy(*KEY).agg(F.max("_o").alias("_last")), KEY, "left")
+
+
+def _copies() -> Column:
+    up = F.when(F.col("_edge").isNull(), F.col("_all")).otherwise((F.col("_bin") > F.col("_edge")) | (F.col("_bin") == F.col("_edge")) & F.coalesce(_order() <= F.col("_last"), F.lit(False)))
+    return F.col("_low") + (F.col("_open") & up).cast("long")
+
+
+def _plan(sizes: DataFrame, weights: tuple[int, ...]) -> tuple[DataFrame, bool]:
+    """All that decides a row's copies beside the row itself: one row for each source, and whether these are few."""
+    goals = common.checkpoint(targets(sizes, weights))
+    few = goals.count() <= FEW
+    sources = common.checkpoint(goals.join(balance(sizes, goals), KEY, "left"))
+    edges = _edges(_scored(sizes, sources, few))
+    return common.checkpoint(sources.join(edges, KEY, "left")), few
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, text: str = "text") -> DataFrame:
     """doc_id, size, source_size, target, taken, copies and rate for each row of docs.
 
     Size is the number of words, 0 for null and empty texts, which take nothing. Null is a source of its own, the last.
-    Repeated rows count each; null doc_ids are rows like others. Other columns are not read. No rows give no rows.
+    Repeated rows count each, and are taken alike; null doc_ids are rows like others. Other columns are not read. No rows
+    give no rows.
     """
-    sizes = common.checkpoint(
-        docs.select("doc_id", F.col("source").isNull().alias("_null"), F.coalesce("source", F.lit("")).alias("_source"), F.regexp_count(common.text_or_empty(text), F.lit(common.WORD)).cast("long").alias("size"))
-    )
-    goals = common.checkpoint(targets(sizes, weights))
-    few = goals.count() <= FEW
-    lam = balance(sizes, goals)
-    key = ["_null", "_source"]
-    rated = sizes.join(_sent(goals.join(lam, key, "left"), few), key).withColumn("_x", F.try_divide(F.col("size"), F.col("source_size") / F.col("n_docs")))
-    rated = rated.withColumn("_rate", F.when(F.coalesce("_x", F.lit(0.0)) > 0, _rate(F.col("lam"), F.col("_x"))).otherwise(F.lit(1.0)))
-    rated = rated.withColumn("_rate", F.when(F.col("target") >= MOST * F.col("source_size"), F.lit(float(MOST))).otherwise(F.col("_rate")))
-    rounded = _round(common.checkpoint(rated.drop("_x", "lam", "n_docs")), few)
-    return rounded.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", F.col("_rate").alias("rate"))
+    sizes = common.checkpoint(_sized(docs, text))
+    sources, few = _plan(sizes, weights)
+    out = _scored(sizes, sources, few).withColumn("copies", _copies())
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", F.col("_rate").alias("rate"))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The rows of docs, each as often as the mix takes its document; its columns stay as they are.
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, text: str = "text") -> DataFrame:
+    """The rows of docs, each as often as mix() takes it; its columns stay as they are, whatever their names.
 
-    Rows of one doc_id are one document here, taken as often as all of them together; rows of a null doc_id stay once each.
+    What a row needs for that is its source's row, so texts are read twice but not shuffled. Rows of null or empty text, which
+    take no words, stay once.
     """
-    taken = mix(docs, weights).where("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.sum("copies").alias("_copies"))
-    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(taken, "doc_id")
-    copied = once.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
-    return copied.unionByName(docs.where("doc_id is null"))
+    sources, few = _plan(common.checkpoint(_sized(docs, text)), weights)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    out = _scored(_sized(docs, text, row), sources, few)
+    return out.withColumn("_k", F.explode(F.when(_copies() > 0, F.sequence(F.lit(1), _copies())))).select(*[F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
