@@ -1,4 +1,4 @@
-"""Licence scans: units of a text against licence templates by the Dice coefficient of word bigrams."""
+"""Licence scans: word windows of a normalised text against licence templates by the Dice coefficient of word bigrams."""
 
 from __future__ import annotations
 
@@ -6,81 +6,158 @@ import re
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.llm import common
 
-# Notices that licences ask for.
+# Licences and the notices that they ask for.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "apache-2.0-header": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+    ),
+    "bsd-2-clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS '
+        "FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, "
+        "STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "bsd-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "cc-by-4.0": "Licensed under CC BY 4.0.",
     "cc-by-4.0-long": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
     "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "gpl-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, "
+        "or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE '
+        "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "mit": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without '
+        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+        "conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "mit-grant": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without '
+        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    ),
     "mit-short": "Released under the MIT License.",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "mpl-2.0-short": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to "
+        "use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be "
+        "appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution."
+    ),
 }
 LEAST = 0.85
 WORD = re.compile("[A-Za-z0-9]+")
 
+Hit = tuple[int, int, str, float]  # first word, last word, template, coefficient
 
-def bigrams(text: str) -> frozenset[tuple[str, str]]:
-    w = [x.lower() for x in WORD.findall(text)]
-    return frozenset(zip(w, w[1:], strict=False))
 
+def normalised(text: str) -> list[str]:
+    return [x.lower() for x in WORD.findall(text)]
 
-def units(text: str) -> list[str]:
-    """What is compared: each line, each block between empty lines, the whole text; repeats count each."""
-    return [*text.split("\n"), *text.split("\n\n"), text]
+
+def pairs(words: list[str]) -> list[tuple[str, str]]:
+    return list(zip(words, words[1:], strict=False))
+
+
+def window(n_words: int, size: int) -> int:
+    """Words of the windows that a template of so many words is compared with: its own number, or all of a shorter text."""
+    return min(n_words, size)
 
 
 class Scanner:
     """Templates with their bigram sets, and the bounds that prune them.
 
-    A Dice coefficient of t needs a unit of size a against a template of size b with t / (2 - t) <= a / b <= (2 - t) / t,
+    A Dice coefficient of t needs a window of a bigrams against a template of b bigrams with t / (2 - t) <= a / b <= (2 - t) / t,
     and as many as t / (2 - t) * b bigrams of the template. So one of any b - that + 1 bigrams must occur: those with the
-    longest words are the template's probes, and a text without a word of any probe is done after one pass.
+    longest words are the template's probes. A text without a word of any probe is done after one pass, and templates without
+    a probe word in the text, or too long for it, are done after a look at its words.
     """
 
     def __init__(self, templates: dict[str, str], least: float):
         self.least, self.ratio = least, least / (2 - least)
-        self.sets = {k: bigrams(v) for k, v in sorted(templates.items())}
+        self.size = {k: len(normalised(v)) for k, v in sorted(templates.items())}
+        self.sets = {k: frozenset(pairs(normalised(v))) for k, v in sorted(templates.items())}
+        self.probes: dict[str, frozenset[str]] = {}
         self.words = ahocorasick.Automaton()
-        for s in self.sets.values():
-            need = -int(-(self.ratio * len(s) - 1e-9) // 1)
-            for pair in sorted(s, key=lambda p: (-max(map(len, p)), p))[: len(s) - need + 1]:
-                word = max(pair, key=lambda w: (len(w), w))
+        for k, s in self.sets.items():
+            chosen = sorted(s, key=lambda p: (-max(map(len, p)), p))[: len(s) - self.need(k) + 1]
+            self.probes[k] = frozenset(max(pair, key=lambda w: (len(w), w)) for pair in chosen)
+            for word in self.probes[k]:
                 self.words.add_word(word, word)
         self.words.make_automaton()
 
-    def scan(self, text: str) -> list[tuple[str, float]]:
-        """The best template of each unit that reaches the least coefficient; the first of equals."""
-        if next(self.words.iter(text.lower()), None) is None:
+    def need(self, name: str) -> int:
+        return -int(-(self.ratio * len(self.sets[name]) - 1e-9) // 1)
+
+    def hits(self, text: str) -> list[Hit]:
+        """The windows of all templates that reach the least coefficient, by place, then name."""
+        probes = {w for _, w in self.words.iter(text.lower())}
+        names = [k for k, p in self.probes.items() if not probes.isdisjoint(p)]
+        if not names:
             return []
-        out = []
-        low = min(len(s) for s in self.sets.values()) * self.ratio
-        for unit in units(text):
-            found = WORD.findall(unit) if len(unit) > low else ()
-            if len(found) - 1 < low:
+        words = normalised(text)
+        bigrams = pairs(words)
+        number: dict[tuple[str, str], int] = {}
+        code = np.fromiter((number.setdefault(p, len(number)) for p in bigrams), np.int64, len(bigrams))
+        out: list[Hit] = []
+        for name in names:
+            s, w = self.sets[name], window(len(words), self.size[name])
+            if not self.ratio * len(s) <= w - 1:
                 continue
-            got, best = bigrams(unit), None
-            for name, s in self.sets.items():
-                if not len(s) * self.ratio <= len(got) <= len(s) / self.ratio:
-                    continue
-                dice = 2.0 * len(got & s) / (len(got) + len(s))
-                if dice >= self.least and (best is None or dice > best[1]):
-                    best = (name, dice)
-            if best:
-                out.append(best)
+            known = np.zeros(len(number), np.int64)
+            known[[number[p] for p in s if p in number]] = 1
+            run = np.concatenate(([0], np.cumsum(known[code])))
+            # occurrences of the template's bigrams bound how many of them a window has
+            for a in np.flatnonzero(run[w - 1 :] - run[: len(run) - w + 1] >= self.need(name)):
+                got = set(bigrams[a : a + w - 1])
+                if len(s) * self.ratio <= len(got) <= len(s) / self.ratio:
+                    dice = 2.0 * len(got & s) / (len(got) + len(s))
+                    if dice >= self.least:
+                        out.append((int(a), int(a) + w - 1, name, dice))
+        return sorted(out)
+
+    def places(self, text: str) -> list[tuple[int, int, str, float]]:
+        """The hits that overlap taken together: first and last word, and the best template there, the first name of equals."""
+        out: list[Hit] = []
+        for a, b, name, dice in self.hits(text):
+            if out and a <= out[-1][1]:
+                x, y, was, best = out[-1]
+                name, dice = min((was, best), (name, dice), key=lambda c: (-c[1], c[0]))
+                out[-1] = (x, max(y, b), name, dice)
+            else:
+                out.append((a, b, name, dice))
         return out
 
 
@@ -92,8 +169,10 @@ def scanner(templates: tuple[tuple[str, str], ...], least: float) -> Scanner:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, licence, dice and n_hits for each row of docs.
 
-    n_hits counts the units that match a template; licence is the template of the best of them (the first name of equals),
-    null with no match, as for null and empty texts. Null and repeated keys stay; other columns are not read.
+    Words are the runs of ASCII letters and digits of the whole text, in small letters. Every window of as many words as a
+    template has, or a shorter text as one, is compared with it. n_hits counts the places with a match, overlapping windows
+    of all templates being one; licence is the template of the best of them (the first name of equals), null with no match, as
+    for null and empty texts. Null and repeated keys stay; other columns, whatever their names, are not read.
     """
     held = tuple(sorted((templates or TEMPLATES).items()))
     schema = common.row_schema(docs, key, "licence string, dice double, n_hits long")
@@ -101,8 +180,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     def run(batches):
         s = scanner(held, least)
         for b in batches:
-            hits = [s.scan(x.as_py().decode("utf-8", "replace")) for x in b.column(1)]
-            best = [min(h, key=lambda x: (-x[1], x[0])) if h else (None, None) for h in hits]
+            hits = [s.places(x.as_py().decode("utf-8", "replace")) for x in b.column(1)]
+            best = [min(((p[2], p[3]) for p in h), key=lambda c: (-c[1], c[0])) if h else (None, None) for h in hits]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in best], pa.string()), pa.array([x[1] for x in best], pa.float64()), pa.array([len(h) for h in hits], pa.int64())], names=schema.names)
 
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text")).mapInArrow(run, schema)
@@ -113,20 +192,24 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """Texts that have enough of a template's bigrams anywhere give their windows to it; windows overlap where one starts before
+    the largest end of those before."""
     rows = ", ".join("('" + k.replace("'", "''") + "', '" + v.replace("'", "''") + "')" for k, v in TEMPLATES.items())
-    pairs = lambda t: f"list_distinct(list_transform(range(1, len({t})), lambda i: lower({t}[i]) || ' ' || lower({t}[i + 1])))"
+    bigrams = lambda t: f"list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1])"
+    least, ratio = LEAST, LEAST / (2 - LEAST)
     return f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
-u AS (SELECT rid, unnest(list_concat(string_split(t, chr(10)), string_split(t, chr(10) || chr(10)), [t])) AS u FROM d),
-n AS (SELECT row_number() OVER () AS uid, * FROM u),
-w AS (SELECT uid, rid, regexp_extract_all(u, '[A-Za-z0-9]+') AS w FROM n),
-s AS (SELECT uid, rid, {pairs('w')} AS s FROM w WHERE len(w) > 1),
-l AS (SELECT name, {pairs('w')} AS s FROM (SELECT name, regexp_extract_all(t, '[A-Za-z0-9]+') AS w FROM (VALUES {rows}) v(name, t))),
-e AS (SELECT uid, rid, len(s) AS n, unnest(s) AS b FROM s), f AS (SELECT name, len(s) AS n, unnest(s) AS b FROM l),
-c AS (SELECT e.uid, e.rid, f.name, 2.0::DOUBLE * count(*) / (any_value(e.n) + any_value(f.n)) AS dice FROM e JOIN f USING (b) GROUP BY e.uid, e.rid, f.name),
-h AS (SELECT rid, arg_min(name, (-dice, name)) AS name, max(dice) AS dice FROM c WHERE dice >= {LEAST} GROUP BY uid, rid)
-SELECT doc_id, arg_min(name, (-dice, name)) AS licence, max(dice) AS dice, count(dice) AS n_hits
-FROM d LEFT JOIN h USING (rid) GROUP BY rid, doc_id
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents),
+l AS MATERIALIZED (SELECT name, len(w) AS k, list_distinct({bigrams('w')}) AS s FROM (
+  SELECT name, list_transform(regexp_extract_all(t, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM (VALUES {rows}) v(name, t))),
+e AS MATERIALIZED (SELECT rid, unnest(list_distinct({bigrams('w')})) AS b FROM d WHERE len(w) > 1),
+c AS MATERIALIZED (SELECT e.rid, f.name FROM e JOIN (SELECT name, len(s) AS n, unnest(s) AS b FROM l) f USING (b)
+  GROUP BY e.rid, f.name HAVING count(*) >= {ratio!r}::DOUBLE * any_value(f.n) - 1e-9),
+n AS (SELECT rid, name, s, w, least(len(w), k) AS size, unnest(range(1, len(w) - least(len(w), k) + 2)) AS a FROM c JOIN d USING (rid) JOIN l USING (name)),
+g AS (SELECT rid, name, s, a, a + size - 1 AS z, list_distinct(list_transform(range(a, a + size - 1), lambda i: w[i] || ' ' || w[i + 1])) AS got FROM n),
+h AS (SELECT rid, name, a, z, 2.0::DOUBLE * len(list_intersect(got, s)) / (len(got) + len(s)) AS dice FROM g),
+m AS (SELECT *, max(z) OVER (PARTITION BY rid ORDER BY a, z, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h WHERE dice >= {least})
+SELECT doc_id, arg_min(name, (-dice, name)) AS licence, max(dice) AS dice, count(*) FILTER (dice IS NOT NULL AND (before IS NULL OR a > before)) AS n_hits
+FROM d LEFT JOIN m USING (rid) GROUP BY rid, doc_id
 """
 
 

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from terrafold.llm import audio, minhash, mixing, quality, secrets
@@ -62,8 +63,20 @@ def test_mix_of_nothing_and_repeated_rows(spark, none):
     df = spark.createDataFrame([(5, "q w e", "y"), (5, "q w e", "y"), (None, "a b", "z"), (6, None, None)], "doc_id long, text string, source string")
     out = mixing.mix(df).collect()
     assert len(out) == 4 and {r.source_size for r in out if r.doc_id == 5} == {6}
-    again = mixing.mixed(df)
-    assert again.columns == df.columns and again.where("doc_id is null").count() == 1
+    clash = df.withColumns({"size": F.lit("s"), "_rate": F.lit("r"), "target": F.lit("t"), "copies": F.lit("c"), "_source": F.lit("o")})
+    again = mixing.mixed(clash)
+    assert again.columns == clash.columns and {tuple(r)[3:] for r in again.collect()} == {("s", "r", "t", "c", "o")}
+    assert sorted(str(r.doc_id) for r in again.collect()) == sorted(str(r.doc_id) for r in out for _ in range(r.copies))
+
+
+def test_mix_of_ties(spark):
+    """Rows that nothing tells apart are rounded alike, and their source's target is met to within one of them all."""
+    rows = [(7, "a b c", None, s, None) for s in ("x", "y") for _ in range(40)] + [(i, "a b c", None, "z", None) for i in range(100)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    for s in {r.source_size for r in out}:
+        assert len({(r.doc_id, r.copies) for r in out if r.doc_id == 7 and r.source_size == s}) <= 2
+    z = [r for r in out if r.source_size == 300]
+    assert abs(sum(r.taken for r in z) - z[0].target) <= 3
 
 
 def tone(freqs, n=256):

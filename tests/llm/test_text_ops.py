@@ -47,33 +47,82 @@ def test_secrets(spark):
     for i, t in enumerate(SECRET_TEXTS):
         r = found[i]
         assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == brute_secrets(t), t
+    assert found[0].asDict().keys() >= {"doc_id", "text", "found"} and list(secrets.scan(df).columns).count("spans") == 1
+    mine = df.withColumns({"found": F.lit(1), "_hex": F.lit(2), "_row": F.lit(3), "_text": F.lit(4)})
+    out = secrets.redact(mine)
+    assert out.columns == mine.columns and {(r.spans, r.found, r._hex, r._row, r._text) for r in out.collect()} == {("clash", 1, 2, 3, 4)}
     clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert clean[7] is None and clean[8] == "" and HEX not in clean[0] + clean[9] and clean[0].startswith("é [SECRET]")
 
 
+def test_secrets_of_dense_and_long_texts(spark, none):
+    """More matches than one fold takes, spans that overlap across folds, ties and repeated rows."""
+    texts = [" ".join(f"AKIA{k:016d}" for k in range(700)), "".join(f"token={k:032x}\n" for k in range(600)), "x" * 300_000 + f" secret={HEX} " + "y" * 300_000]
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0]), (None, texts[1])], "doc_id long, text string")
+    found = secrets.scan(df).collect()
+    assert len(found) == 5
+    for r in found:
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == brute_secrets(r.text)
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[0] == " ".join(["[SECRET]"] * 700) and clean[None] == clean[1] == "[SECRET]\n" * 600 and clean[2] == "x" * 300_000 + " [SECRET] " + "y" * 300_000
+    assert secrets.scan(none).collect() == secrets.redact(none).collect() == []
+
+
 def test_secrets_plan_has_no_python(spark, sf):
     plan = secrets.op1_secret_scan(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def brute_licences(t, least=licenses.LEAST):
+    """Every window of every template, without pruning."""
+    words = [w.lower() for w in re.findall("[A-Za-z0-9]+", t or "")]
+    hits = []
+    for name, template in sorted(licenses.TEMPLATES.items()):
+        held = [w.lower() for w in re.findall("[A-Za-z0-9]+", template)]
+        want = set(zip(held, held[1:], strict=False))
+        size = min(len(words), len(held))
+        for a in range(len(words) - size + 1):
+            got = set(zip(words[a : a + size], words[a + 1 : a + size], strict=False))
+            dice = 2 * len(got & want) / (len(got) + len(want))
+            if dice >= least:
+                hits.append((a, a + size - 1, name, dice))
+    n, reach = 0, -1
+    for a, z, *_ in sorted(hits):
+        n, reach = n + (a > reach), max(reach, z)
+    best = min(((-d, name) for _, _, name, d in hits), default=(None, None))
+    return best[1], None if best[0] is None else -best[0], n
+
+
 def test_licences(spark, none):
-    texts = ["Intro.\nLicensed under the Apache License, Version 2.0.\nMore", "THIS WORK is licensed under the GNU General Public License - version 3", "Licensed under nothing at all", None, "", "Released under the MIT License.\n" * 2]
-    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert [found[i].licence for i in range(6)] == ["apache-2.0", "gpl-3.0", None, None, None, "mit-short"]
-    assert found[0].dice == 1.0 and found[2].n_hits == 0 and found[5].n_hits == 4
+    mit = licenses.TEMPLATES["mit"]
+    texts = [
+        "Intro.\nLicensed under the Apache License, Version 2.0.\nMore", "THIS WORK is licensed under the GNU General Public License - version 3", "Licensed under nothing at all", None, "",
+        "Released under the MIT License.\n" * 2, "This article was first printed in 2019. Licensed under CC BY 4.0. See below.",
+        "# Copyright (c) 2020 A. Person\r\n#\r\n" + "".join(f"# {mit[k:k + 70]}\r\n" for k in range(0, len(mit), 70)) + "# import os\r\n", mit.split("THE SOFTWARE IS")[0].replace("free of charge", "without charge"),
+        "word " * 3000 + licenses.TEMPLATES["isc"] + " word" * 3000 + " Released under the MIT License", "the licence of the software is the licence",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(5, texts[5]), (None, texts[0])], "doc_id long, text string").withColumns({"licence": F.lit("mine"), "_text": F.lit(1)})
+    out = licenses.scan(df).collect()
+    assert len(out) == len(texts) + 2
+    found = {r.doc_id: (r.licence, r.dice, r.n_hits) for r in out}
+    for i, t in enumerate(texts):
+        assert found[i] == brute_licences(t), i
+    assert found[None] == found[0]
+    assert [found[i][0] for i in range(11)] == ["apache-2.0", "gpl-3.0", None, None, None, "mit-short", "cc-by-4.0", "mit", "mit-grant", "isc", None]
+    assert found[0][1] == 1.0 and found[2][2] == 0 and found[5][2] == 2 and found[6][2] == 1 and found[9][2] == 2
     assert licenses.scan(none).collect() == []
 
 
-def test_licence_probes_lose_nothing():
-    """With pruning, a unit finds what comparing it with every template finds."""
+def test_licence_pruning_loses_nothing():
+    """With probes and bounds, a text finds what comparing it with every window of every template finds."""
     s = licenses.Scanner(licenses.TEMPLATES, licenses.LEAST)
     for text in licenses.TEMPLATES.values():
         words = text.split()
-        for cut in range(0, len(words), 3):
-            unit = " ".join(words[:cut] + words[cut + 1 :])
-            got = licenses.bigrams(unit)
-            best = max(2.0 * len(got & b) / (len(got) + len(b)) for b in s.sets.values())
-            assert bool(s.scan(unit)) == (best >= licenses.LEAST)
+        for cut in range(0, len(words), 1 + len(words) // 6):
+            unit = "so " + " ".join(words[:cut] + words[cut + 1 :]) + " and so on"
+            places = s.places(unit)
+            best = min(((-p[3], p[2]) for p in places), default=(None, None))
+            assert (best[1], None if best[0] is None else -best[0], len(places)) == brute_licences(unit)
 
 
 @pytest.mark.parametrize("size", [64, 1 << 20])
@@ -92,6 +141,9 @@ def test_bpe_columns(docs, none):
     back = bpe.decode_documents(encoded, VOCAB, PATTERN)
     assert back.where("coalesce(text, '') <> cast(decoded as string)").count() == 0
     assert bpe.round_trip(none, VOCAB, PATTERN).collect() == []
+    clash = docs.withColumns({"_text": F.lit("a"), "__text": F.lit("b"), "decoded": F.lit("c")})
+    out = bpe.encoded_and_decoded(clash, VOCAB, PATTERN)
+    assert {(r._text, r["__text"]) for r in out.collect()} == {("a", "b")} and out.where("coalesce(text, '') <> decoded").count() == 0
     full = bpe.encoded_and_decoded(docs, VOCAB, PATTERN)
     assert full.where("coalesce(text, '') <> decoded or n_tokens <> length(ids) / 4").count() == 0
 
@@ -215,6 +267,17 @@ def test_quality_stats(spark, docs, rows, none):
     assert quality.judge(none, labels).collect() == []
 
 
+def test_quality_of_repeated_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (1, "w " * 30, "x"), (None, "q " * 12, "y"), (2, None, "z")], "doc_id long, text string, kept string")
+    df = df.withColumns({"n_words": F.lit("mine"), "_lines": F.lit(1), "_counts": F.lit(2), "_row": F.lit(3)})
+    labels = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert len(quality.labelled_rows(df, labels)) == 0  # the least of the rows of 1 fails the base rule
+    out = quality.judge(df, labels).collect()
+    assert len(out) == 5 and all((r._lines, r._counts, r._row) == (1, 2, 3) for r in out) and sorted(r.n_words for r in out) == [0, 2, 2, 12, 30]
+    texts = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(20))), (2, None)], "doc_id long, text string").withColumns({"kept": F.lit("mine"), "n_words": F.lit("mine"), "_lines": F.lit(1)})
+    assert [tuple(r)[2:] for r in quality.passing(texts, labels).collect()] == [("mine", "mine", 1)]
+
+
 def test_quality_rules_are_learned_and_applied(spark):
     good = [(i, f"plain words {i} of a text that goes on for a while and says enough about {i}") for i in range(200)]
     junk = [(1000 + i, " ".join(f"w{i}{k}###" for k in range(20))) for i in range(120)]
