@@ -8,8 +8,9 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of ids that are sent to all tasks; larger tables are joined by a shuffle.
-FEW = 500_000
+#: Rows of ids that are sent to all tasks; larger tables are joined by a shuffle. The driver holds what it sends for a while,
+#: so this is well below what it could hold once.
+FEW = 200_000
 #: Rows of a small table that make a task worth its while.
 ROWS_A_TASK = 20_000
 
@@ -30,41 +31,54 @@ def tasks_for(rows: int) -> int:
     return max(1, math.ceil(rows / ROWS_A_TASK))
 
 
+def sent(rows: DataFrame) -> DataFrame:
+    """rows (of a checkpoint) as the small side of a join: to all tasks if they are FEW or fewer, else left to the planner, which
+    splits crowded keys at run time."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def rooted(up: DataFrame) -> DataFrame:
+    """id and root of pointers up (id, root), one for each id, that lead to an id without a pointer or one that points to itself.
+
+    Only ids that others point to are followed, by joins with themselves, as many as the depth has binary digits; then each id
+    looks its parent's root up. In a star, the commonest tree, nothing is left to follow, and nobody meets at its centre.
+    """
+    moving = up.where("id <> root")
+    mid = checkpoint(moving.join(moving.select(F.col("root").alias("id")).distinct(), "id", "left_semi").select("id", "root"))
+    if mid.isEmpty():
+        return up
+    while True:
+        x, y = mid.alias("x"), sent(mid).alias("y")
+        step = x.join(y, F.col("x.root") == F.col("y.id"), "left").select(F.col("x.id").alias("id"), F.coalesce("y.root", "x.root").alias("root"), F.col("y.root").isNotNull().alias("moved"))
+        step = checkpoint(step)
+        mid = step.select("id", "root")
+        if step.where("moved").isEmpty():
+            break
+    found = sent(mid.select(F.col("id").alias("root"), F.col("root").alias("_r")))
+    return checkpoint(up.join(found, "root", "left").select("id", F.coalesce("_r", "root").alias("root")))
+
+
 def connected(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
     """id and component (the smallest id reachable) of every id in links; no links give no rows.
 
-    A round hangs every id below the smallest id next to it; pointers then jump until each shows the root of its tree, which
-    takes as many joins as the tree's depth has binary digits. Links are rewritten between roots, and only those between
-    different ones stay, so every tree at least joins another each round. Tables of a round are checkpointed. Pointers are
-    looked up by broadcast while the links that are left number FEW or fewer, so that the links of a large component need
-    not meet at its root; else by joins whose crowded keys Spark splits at run time.
+    A round hangs every id below the smallest id next to it and lets it look for the root of its tree. Links are rewritten
+    between roots, and only those between different ones stay, so every tree at least joins another each round. Tables of a
+    round are checkpointed, in as many parts as their rows are worth.
     """
     pairs = links.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     live = checkpoint(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    left = live.count()
     labels = None
-
-    def jumped(up: DataFrame, sent) -> DataFrame:
-        x, y = up.select("a", "up").alias("x"), sent(up.select("a", "up")).alias("y")
-        out = x.join(y, F.col("x.up") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.up").alias("up"), (F.col("x.up") != F.col("y.up")).alias("moved"))
-        return checkpoint(out.coalesce(tasks_for(left)))
-
     for _ in range(rounds):
+        left = live.count()
         if not left:
             break
-        sent = F.broadcast if left <= FEW else lambda df: df
         live = live.coalesce(tasks_for(left))
-        up = checkpoint(live.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("up")).coalesce(tasks_for(left)))
-        up = jumped(up, sent)
-        while not up.where("moved").isEmpty():
-            up = jumped(up, sent)
-        roots = up.select("a", "up")
+        up = rooted(checkpoint(live.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("id"), F.least("a", "_m").alias("root")).coalesce(tasks_for(left))))
         if labels is None:
-            labels = roots.select(F.col("a").alias("id"), F.col("up").alias("component"))
+            labels = up.select("id", F.col("root").alias("component"))
         else:
-            labels = checkpoint(labels.join(sent(roots), F.col("component") == F.col("a"), "left").select("id", F.coalesce("up", "component").alias("component")))
-        ends = live.join(sent(roots.select("a", F.col("up").alias("u"))), "a").select("u", "b")
-        ends = ends.join(sent(roots.select(F.col("a").alias("b"), F.col("up").alias("v"))), "b").where("u <> v")
+            labels = checkpoint(labels.join(up.select(F.col("id").alias("component"), "root"), "component", "left").select("id", F.coalesce("root", "component").alias("component")))
+        ends = live.join(up.select(F.col("id").alias("a"), F.col("root").alias("u")), "a").select("u", "b")
+        ends = ends.join(up.select(F.col("id").alias("b"), F.col("root").alias("v")), "b").where("u <> v")
         live = checkpoint(ends.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct().coalesce(tasks_for(left)))
-        left = live.count()
     return live.select(F.col("a").alias("id"), F.col("b").alias("component")) if labels is None else labels
