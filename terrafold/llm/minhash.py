@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.llm import arrays, common
-from terrafold.operators.linked import FEW, connected, tasks_for
+from terrafold.operators.linked import FEW, connected, rooted, tasks_for
 
 #: Halves in each of the two collections, and minhashes in a half. A table is keyed by a half of either collection, so
 #: HALVES**2 tables of 2 * DEPTH minhashes take 2 * HALVES * DEPTH minhashes to compute. Two texts of similarity s share
@@ -133,16 +133,8 @@ def _stars(lists: DataFrame, fits) -> DataFrame:
 
 
 def _trees(links: DataFrame) -> DataFrame:
-    """id and component (the smallest id) of every id in links (a, b), where each b has one link, to an a of a higher rank.
-
-    Pointers jump until each shows the root of its tree, which takes as many joins as the depth has binary digits.
-    """
-    up = links.select(F.col("b").alias("id"), F.col("a").alias("root"))
-    while True:
-        next_ = up.select(F.col("id").alias("root"), F.col("root").alias("_r"))
-        up = common.checkpoint(up.select("id", "root").join(_sent(next_), "root", "left").select("id", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")))
-        if up.where("moved").isEmpty():
-            break
+    """id and component (the smallest id) of every id in links (a, b), where each b has one link, to an a of a higher rank."""
+    up = rooted(links.select(F.col("b").alias("id"), F.col("a").alias("root")))
     least = common.checkpoint(up.groupBy("root").agg(F.least(F.col("root"), F.min("id")).alias("component")).coalesce(tasks_for(up.count())))
     members = up.join(_sent(least), "root").select("id", "component")
     return common.checkpoint(members.unionByName(least.select(F.col("root").alias("id"), "component")))
@@ -204,12 +196,16 @@ def _across(lists: DataFrame, labels: DataFrame, pick: Pick, percent: int) -> Da
     component = labels.select(F.col("id").alias("doc_id"), "component")
     named = common.checkpoint(lists.join(_sent(component), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
     halves = named.select("doc_id", "near", "component", F.explode(F.concat("first", "second")).alias("h")).select("doc_id", "near", "component", "h.half", "h.value")
-    several = lambda df, *key: df.groupBy(*key).agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.min("doc_id").alias("centre")).where("_lo < _hi").select(*key, "centre")
-    mixed = halves.join(several(halves, "half", "value").drop("centre"), ["half", "value"], "left_semi")
-    tables = _tables(_collections(mixed, "component"), "component")
-    met = several(tables, "key")
-    meets = common.checkpoint(tables.join(met, "key").select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct())
-    family = connected(meets).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
+    shared = halves.groupBy("half", "value").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("half", "value")
+    mixed = halves.join(shared, ["half", "value"], "left_semi")
+    tables = _tables(_collections(mixed, "component"), "component", "near")
+    tables = tables.withColumn("rank", F.struct("near", (-F.col("doc_id")).alias("d")))
+    met = tables.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.max("rank").alias("centre")).where("_lo < _hi").select("key", "centre")
+    meets = tables.join(met, "key").where("centre.d <> -doc_id").groupBy(F.col("doc_id").alias("b"), (-F.col("centre.d")).alias("a")).agg(F.max("centre").alias("rank"))
+    meets = common.checkpoint(meets)
+    # a family forms like components do: around the centre of the highest rank first, then by what else its texts share
+    nearest = common.checkpoint(meets.groupBy("b").agg((-F.max("rank")["d"]).alias("a")))
+    family = _joined(_trees(nearest), meets.select("a", "b")).select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
     found = common.checkpoint(named.select("doc_id", "n_shingles", "near", "component").join(_sent(family), "doc_id"))
     members = found.count()
     if not members:
@@ -299,8 +295,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
     """labels after further links between ids: only components that the links name go through rounds again."""
     ends = lambda df, k: df.join(_sent(labels.select(F.col("id").alias(k), F.col("component").alias(f"_{k}"))), k, "left")
-    between = ends(ends(more, "a"), "b").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
-    merged = connected(between)
+    between = ends(ends(more, "a"), "b").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).where("a <> b")
+    between = common.checkpoint(between.distinct())
+    n = between.count()
+    if not n:
+        return labels
+    merged = connected(between.coalesce(tasks_for(n)))
     moved = labels.join(_sent(merged.select(F.col("id").alias("component"), F.col("component").alias("_to"))), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
     fresh = merged.join(labels.select("id"), "id", "left_anti")
     return common.checkpoint(moved.unionByName(fresh))
