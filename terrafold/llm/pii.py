@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -19,11 +20,17 @@ from terrafold.llm import common
 KINDS = ("email", "ip", "card", "phone")
 #: O, then B and I of each kind.
 LABELS = 1 + 2 * len(KINDS)
-#: Documents and word windows that the training table is made of, the smallest hashes first.
+#: Documents and word windows that the training table is made of, the smallest hashes first; of a window, the words that train.
 FIT_DOCS, FIT_WINDOWS, FIT_WORDS = 4_000, 6_000, 32
+#: Lines of labelled() that train beside them.
+FIT_LINES = 1_500
+#: Words of a run at most; a longer one, such as a table of numbers, goes on in the next run, which repeats its last words.
+RUN, AGAIN = 4096, 16
+#: Words that are scored and decoded at a time.
+BATCH_WORDS = 40_000
 BUCKETS = 1 << 13
 #: The least mean marginal probability of a span that the field adds.
-SURE = 0.95
+SURE = 0.9
 
 # Fixed values of the contract, written so that each runs in linear time.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,29 +45,77 @@ TRIGGER = re.compile(r"[0-9@a](?:(?<!a)|(?<![^\x20\x09-\x0D]a)t(?=[\x20\x09-\x0D
 #: Words of more characters are cut at punctuation, and pieces that are still longer after so many.
 LONG = 64
 PIECE = re.compile(r"""[^,;:|"'{}\[\]=&<>]+""")
-#: Addresses of EXAMPLES that the pattern misses: where one stands unlabelled, nobody knows whether it is personal data.
-UNKNOWN = re.compile(r"[A-Za-z0-9._%+-]@[A-Za-z0-9]|[A-Za-z0-9]\x20at\x20[A-Za-z0-9-]+\.[A-Za-z]")
+#: Forms that the patterns miss: where one stands unlabelled, nobody knows whether it is personal data.
+UNKNOWN = re.compile(
+    r"[A-Za-z0-9._%+-]@[A-Za-z0-9]|[A-Za-z0-9]\x20at\x20[A-Za-z0-9-]+\.[A-Za-z]|(?<![0-9])\(?[0-9]{3,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
+    r"|[0-9]{4}[./_][0-9]{4}[./_][0-9]{4}|(?<![0-9])00[1-9][0-9][\x20-]|[0-9a-f]{1,4}:[0-9a-f]{0,4}:[0-9a-f]"
+)
 GAP = re.compile(r"[\x20\x09-\x0D]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SPACES = frozenset(" \t\n\x0b\x0c\r")
 
 Span = tuple[int, int, int]  # kind, start, stop
 
-#: Forms that the patterns miss, and numbers that are no personal data: the labelled table's hand-made part. A span stands
-#: in braces behind its kind.
-EXAMPLES = (
-    "call phone{(551) 555-0826} after nine", "or phone{555-555-0199} at home", "phone: phone{(212) 555-0147} please", "ring phone{415-555-0132} today",
-    "tel phone{(030) 555 0175} for us", "fax phone{303.555.0118} is old", "at phone{0049 30 5550 1234} in Berlin", "text phone{(646) 555-0190} or write",
-    "write to email{jane.doe at example.com} soon", "mail email{joe@host} here", "ask email{root@localhost} first", "from email{a.b@intranet} on Monday",
-    "reach email{m.poe at mail.example.org} now", "and email{t.b.low at example.net} too", "to email{h.lee at lists.example.com} or", "from email{ann.day at example.org}", "by email{k.oh at host.example} at noon",
-    "for email{j.p.ray at example.com} only", "or email{al.fox at example.net} please", "look at example.com today",
-    "card card{4111-1111-1111-1111} expires", "paid with card{4012 8888 8888 1881} then", "host ip{10.0.0.1:8080} is up", "from ip{192.168.1.77/24} came", "at ip{172.16.0.9:443} now",
-    "version 3.2.1 of the library", "in 2021 and 2022 we saw", "about 1,234,567 people", "section 4.2 of page 17", "order 123456789 was sent", "the 3rd of 12 items", "costs 12.50 or 13.75 more",
-    "between 1914-1918 and 1939-1945 there", "ISBN 978-3-16-148410-0 is it", "item 1234567890123456 in stock", "score 10-12 at 20:15 on", "under version 2.0 of it", "@ 5 each and @home too", "3 of 4 or 5-6 ones",
+#: Rules of the labelled table: what drawn() fills in, a span in braces behind its kind. The first are personal data that the
+#: patterns miss, the others numbers and addresses that are none.
+FORMS = (
+    "phone{(###) ###-####}", "phone{###-###-####}", "phone{###.###.####}", "phone{### ### ####}", "phone{(0##) ### ####}", "phone{1-###-###-####}", "phone{00## ## #### ####}", "phone{0##-#######}",
+    "email{<name>.<name> at <host>.<top>}", "email{<name> at <host>.<top>}", "email{<name>@localhost}", "email{<name>.<name>@<host>}", "email{<name> at lists.<host>.<top>}", "email{<name>_<name> at mail.<host>.<top>}", "email{root@<host>}",
+    "card{<card>.<card>.<card>.<card>}", "card{<card>/<card>/<card>/<card>}", "card{<card>_<card>_<card>_<card>}",
+    "ip{<hex>:<hex>:0:<hex>::#}", "ip{fe80::<hex>:<hex>:<hex>:<hex>}", "ip{2001:db8::<hex>:####}",
 )
+PLAIN = (
+    "1###-1###", "##/##/20##", "20##-0#-1#", "1#:##", "978-#-##-######-#", "#,###,###", "##.##", "#.#.#", "v#.##.###", "########", "##-##", "### ###", "look at <host>.<top>", "met at noon", "<host>.<top>", "# @ ##", "@<name>", "page ##",
+    "1## km", "$##.##", "##%", "#### <word>", "No. ###/##", "####-##-##T##:##", "room ###", "at ##.## today", "<word> ##", "Q#/20##", "## <word> ## <word>", "#### #### ####", "####-#### ####",
+)
+CARRIERS = (
+    "call", "phone", "tel", "or ring", "fax", "text", "dial", "reach us on", "mail", "write to", "ask", "contact", "from", "or", "for", "number", "host", "server", "card", "paid with", "account", "see", "in", "about", "the", "order",
+    "version", "by", "between", "section", "was", "is", "costs", "since", "on", "and", "with", "id", "ref",
+)
+NAMES = ("jane", "doe", "ann", "lee", "max", "poe", "kim", "oh", "ray", "fox", "li", "sam", "ivy", "hart", "joe", "low", "mia", "berg", "tom", "day")
+HOSTS = ("example", "mail", "host", "intranet", "server", "web", "site", "office", "shop", "lab")
 MARKED = re.compile(r"(email|ip|card|phone)\{([^}]*)\}")
 
 
+BLANK = re.compile(r"#|<(\w+)>")
+
+
+def drawn(form: str, rnd: np.random.Generator) -> str:
+    """form with a digit for each #, and names, hosts, domains, words, hexadecimal digits and a card number's for the rest."""
+    first = "".join(map(str, rnd.integers(0, 10, 15)))
+    card = first + next(d for d in "0123456789" if luhn(first + d))
+    groups = iter([card[k : k + 4] for k in range(0, 16, 4)])
+    pick = lambda values: values[int(rnd.integers(len(values)))]
+    held = {"name": NAMES, "host": HOSTS, "top": ("com", "org", "net", "de"), "word": CARRIERS}
+
+    def fill(m: re.Match) -> str:
+        if m[0] == "#":
+            return str(rnd.integers(10))
+        if m[1] == "card":
+            return next(groups)
+        return "".join(pick("0123456789abcdef") for _ in range(4)) if m[1] == "hex" else pick(held[m[1]])
+
+    return BLANK.sub(fill, form)
+
+
+def labelled(lines: int = FIT_LINES, seed: int = 1) -> list[tuple[str, list[Span]]]:
+    """Texts of a few words around a drawn form, and their spans; two in five hold none. The same for the same seed."""
+    rnd = np.random.default_rng(seed)
+    out = []
+    for _ in range(lines):
+        kinds = PLAIN if rnd.random() < 0.4 else FORMS
+        words = [CARRIERS[int(k)] for k in rnd.integers(len(CARRIERS), size=int(rnd.integers(2, 7)))]
+        at = int(rnd.integers(1, len(words) + 1))
+        form = drawn(kinds[int(rnd.integers(len(kinds)))], rnd) + ("", "", "", ".", ",")[int(rnd.integers(5))]
+        line, spans, plain, last = " ".join([*words[:at], form, *words[at:]]), [], "", 0
+        for m in MARKED.finditer(line):
+            plain += line[last : m.start()]
+            spans.append((KINDS.index(m[1]), len(plain), len(plain) + len(m[2])))
+            plain, last = plain + m[2], m.end()
+        out.append((plain + line[last:], spans))
+    return out
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(reversed(digits)):
@@ -104,7 +159,8 @@ def _triggers(t: str, a: int, b: int) -> bool:
 def windows(t: str, around: int = 2) -> Iterator[list[tuple[int, int]]]:
     """Runs of words, as offsets, that hold a trigger or are among the `around` words beside one that does.
 
-    Spans lie within these runs, so the rest of the text, though all of it is searched, needs no labels.
+    Spans lie within these runs, so the rest of the text, though all of it is searched, needs no labels. A run of RUN words ends,
+    and the next repeats its last AGAIN words.
     """
     at, size, run, ahead = 0, len(t), [], 0
     while at < size:
@@ -128,6 +184,9 @@ def windows(t: str, around: int = 2) -> Iterator[list[tuple[int, int]]]:
             yield run
             run = []
         run += before[::-1]
+        if len(run) >= RUN:
+            yield run
+            run = run[-AGAIN:]
         gap = GAP.search(t, hit.end())
         run.append((begin, gap.start() if gap else size))
         at, ahead = run[-1][1], around
@@ -192,18 +251,9 @@ def tags(run: list[tuple[int, int]], spans: list[Span]) -> list[int]:
     return out
 
 
-def examples() -> list[tuple[np.ndarray, list[int]]]:
-    """The rows of EXAMPLES as feature numbers and labels."""
-    out = []
-    for line in EXAMPLES:
-        spans, plain, at = [], "", 0
-        for m in MARKED.finditer(line):
-            plain += line[at : m.start()]
-            spans.append((KINDS.index(m[1]), len(plain), len(plain) + len(m[2])))
-            plain, at = plain + m[2], m.end()
-        plain += line[at:]
-        out += [(codes(plain, w), tags(w, spans)) for w in tokens(plain)]
-    return out
+def examples(lines: int = FIT_LINES) -> list[tuple[np.ndarray, list[int]]]:
+    """The rows of labelled() as feature numbers and labels."""
+    return [(codes(t, w), tags(w, spans)) for t, spans in labelled(lines) for w in tokens(t)]
 
 
 def _padded(items: list[np.ndarray], fill: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +282,10 @@ class Field:
         return Field(np.zeros((BUCKETS, LABELS)), np.zeros((LABELS, LABELS)), np.zeros(LABELS))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        return self.emit[x].sum(axis=2)
+        out = np.zeros((*x.shape[:2], LABELS))
+        for k in range(x.shape[2]):  # one feature at a time: words x labels, not words x features x labels
+            out += self.emit[x[:, :, k]]
+        return out
 
     def forward_backward(self, s: np.ndarray, sizes: np.ndarray):
         """Marginals of labels, summed marginals of label pairs, for padded sequences."""
@@ -246,7 +299,7 @@ class Field:
             beta[:, t] = np.where(on, _lse(self.step + (s[:, t + 1] + beta[:, t + 1])[:, None, :], 2), 0.0)
         z = _lse(alpha[np.arange(n), sizes - 1], 1)
         real = np.arange(most) < sizes[:, None]
-        marginal = np.exp(alpha + beta - z[:, None, None]) * real[..., None]
+        marginal = np.exp(np.where(real[..., None], alpha + beta - z[:, None, None], -np.inf))
         pairs = np.zeros((LABELS, LABELS))
         for t in range(1, most):
             on = t < sizes
@@ -308,9 +361,10 @@ def train(table: list[tuple[np.ndarray, list[int]]], epochs: int = 30, rate: flo
 
 
 def training_table(docs: DataFrame, docs_bound: int = FIT_DOCS, windows_bound: int = FIT_WINDOWS) -> list[tuple[np.ndarray, list[int]]]:
-    """Word windows of a bounded sample of documents, labelled by the patterns, ordered by a hash of doc_id, and EXAMPLES.
+    """Word windows of a bounded sample of documents, labelled by the patterns, ordered by a hash of doc_id, and examples().
 
-    Windows that hold an UNKNOWN address beside the spans of the patterns are left out: they are no proof of either. The examples weigh as much as a tenth of the windows: they are repeated.
+    At most docs_bound documents, windows_bound windows and FIT_WORDS words of each. Windows that hold an UNKNOWN form beside the
+    spans of the patterns are left out: they are no proof of either.
     """
     some = docs.where(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id").limit(docs_bound)
 
@@ -329,7 +383,7 @@ def training_table(docs: DataFrame, docs_bound: int = FIT_DOCS, windows_bound: i
 
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("_text")).join(F.broadcast(some), "doc_id").select("_h", "_text")
     found = texts.mapInArrow(run, "h long, place int, codes array<int>, tags array<int>").orderBy("h", "place", "codes").limit(windows_bound).collect()
-    return [(np.array(r["codes"], np.int32).reshape(len(r["tags"]), -1), r["tags"]) for r in found] + examples() * max(1, len(found) // (10 * len(EXAMPLES)))
+    return [(np.array(r["codes"], np.int32).reshape(len(r["tags"]), -1), r["tags"]) for r in found] + examples()
 
 
 def _trimmed(t: str, a: int, b: int) -> tuple[int, int]:
@@ -340,38 +394,73 @@ def _trimmed(t: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def _decoded(field: Field, group: list[tuple[int, list[tuple[int, int]]]], texts: list[str]) -> Iterator[tuple[int, Span]]:
+    """Text and span of what the field is sure of in a group of runs, which are padded to the longest."""
+    x, sizes = _padded([codes(texts[i], w) for i, w in group])
+    s = field.scores(x)
+    paths = field.viterbi(s, sizes)
+    if not any(p.any() for p in paths):
+        return
+    marginal, _ = field.forward_backward(s, sizes)
+    for k, ((i, w), path) in enumerate(zip(group, paths, strict=True)):
+        j = 0
+        while j < len(path):
+            if not path[j]:
+                j += 1
+                continue
+            kind, e = (path[j] - 1) // 2, j + 1
+            while e < len(path) and path[e] == 2 + 2 * kind:
+                e += 1
+            sure = np.mean([marginal[k, q, path[q]] for q in range(j, e)])
+            a, b = _trimmed(texts[i], w[j][0], w[e - 1][1])
+            if sure >= SURE and a < b:
+                yield i, (int(kind), a, b)
+            j = e
+
+
 def _added(field: Field, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
-    """What the field finds in each text beside the base spans, which it may not touch."""
-    runs = [(i, w) for i, t in enumerate(texts) for w in tokens(t)]
-    out: list[list[Span]] = [[] for _ in texts]
-    runs.sort(key=lambda r: len(r[1]))
-    at = 0
-    while at < len(runs):
-        stop = min(len(runs), at + max(1, 20_000 // len(runs[at][1])))
-        group = runs[at:stop]
-        while len(group) > 1 and len(group[-1][1]) * len(group) > 40_000:
-            group = group[: (len(group) + 1) // 2]
-        at += len(group)
-        x, sizes = _padded([codes(texts[i], w) for i, w in group])
-        s = field.scores(x)
-        paths = field.viterbi(s, sizes)
-        if not any(p.any() for p in paths):
-            continue
-        marginal, _ = field.forward_backward(s, sizes)
-        for k, ((i, w), path) in enumerate(zip(group, paths, strict=True)):
-            j = 0
-            while j < len(path):
-                if not path[j]:
-                    j += 1
-                    continue
-                kind, e = (path[j] - 1) // 2, j + 1
-                while e < len(path) and path[e] == 2 + 2 * kind:
-                    e += 1
-                sure = np.mean([marginal[k, q, path[q]] for q in range(j, e)])
-                a, b = _trimmed(texts[i], w[j][0], w[e - 1][1])
-                if sure >= SURE and a < b and not any(x < b and y > a for _, x, y in base[i]):
-                    out[i].append((int(kind), a, b))
-                j = e
+    """What the field finds in each text beside the base spans, which it may not touch.
+
+    Runs are decoded BATCH_WORDS words at a time, padding counted, so memory does not grow with a text. Of spans that overlap,
+    which the words that runs repeat can give, the one that starts first stays, the longest of equals.
+    """
+    found: list[set[Span]] = [set() for _ in texts]
+    held: list[tuple[int, list[tuple[int, int]]]] = []
+    words = 0
+
+    def flush() -> None:
+        held.sort(key=lambda r: len(r[1]))
+        at = 0
+        while at < len(held):
+            stop = at + 1
+            while stop < len(held) and len(held[stop][1]) * (stop + 1 - at) <= BATCH_WORDS:
+                stop += 1
+            for i, span in _decoded(field, held[at:stop], texts):
+                found[i].add(span)
+            at = stop
+        held.clear()
+
+    for i, t in enumerate(texts):
+        for w in tokens(t):
+            held.append((i, w))
+            words += len(w)
+            if words >= BATCH_WORDS:
+                flush()
+                words = 0
+    flush()
+    out: list[list[Span]] = []
+    for spans, fixed in zip(found, base, strict=True):
+        taken: list[Span] = []
+        fixed = sorted((a, b) for _, a, b in fixed)
+        starts = [a for a, _ in fixed]
+        reach = list(np.maximum.accumulate([b for _, b in fixed])) if fixed else []
+        last = -1
+        for kind, a, b in sorted(spans, key=lambda s: (s[1], s[1] - s[2], s[0])):
+            k = bisect.bisect_left(starts, b)
+            if not (k and reach[k - 1] > a) and a >= last:
+                taken.append((kind, a, b))
+                last = b
+        out.append(taken)
     return out
 
 

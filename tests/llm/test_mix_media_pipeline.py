@@ -159,6 +159,34 @@ def test_recall_of_steady_tones_and_silence(spark):
     assert found == want and {(10, 11), (11, 10), (20, 21), (22, 20)} <= set(found)
 
 
+@pytest.mark.parametrize("listed", [1 << 20, 4])
+def test_offsets_against_a_plain_loop(monkeypatch, listed):
+    """Sustained values are counted together, others one by one."""
+    monkeypatch.setattr(audio, "LISTED", listed)
+    rnd = np.random.default_rng(2)
+    pairs = [(rnd.integers(0, k, n), rnd.integers(0, k, m)) for k, n, m in ((3, 40, 25), (100, 30, 60), (1, 200, 150), (2, 1, 1))]
+    pairs += [(np.zeros(400, int), np.concatenate((np.zeros(300, int), np.arange(300)))), (np.arange(3), np.arange(5, 9))]
+    for x, y in pairs:
+        want = np.zeros(len(x) + len(y), int)
+        for i in range(len(x)):
+            for j in range(len(y)):
+                want[len(x) + j - i] += x[i] == y[j]
+        assert np.array_equal(audio.offsets(x.astype(np.uint32), y.astype(np.uint32)), want)
+
+
+def test_alignment_of_nothing_ties_and_repeated_ids(spark):
+    cuts = np.zeros((audio.FILTERS, 3))
+    schema = "rec_id long, samples array<double>, prints string"
+    assert audio.align(audio.fingerprint(spark.createDataFrame([], schema), cuts), audio.fingerprint(spark.createDataFrame([], schema), cuts)).collect() == []
+    a = [float(v) for v in tone([262.0, 330.0, 392.0])]
+    df = spark.createDataFrame([(1, a, "x"), (1, a, "x"), (2, a + a, "y"), (None, a, "z"), (3, None, "z"), (4, [None] * 600, "z")], schema)
+    prints = audio.fingerprint(df, audio.fit_cuts(df.select("rec_id", "samples")))
+    assert prints.count() == 6 and prints.where("rec_id = 3").first().prints == []
+    found = audio.align(prints, prints).collect()
+    assert [(r.query_id, r.rec_id, r.offset) for r in found if {r.query_id, r.rec_id} == {1, 2}] and len(found) == len({(r.query_id, r.rec_id) for r in found})
+    assert next(r.offset for r in found if (r.query_id, r.rec_id) == (1, 2)) == 0  # of two places alike, the first
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -179,6 +207,85 @@ def test_pipeline(spark, sf):
     assert out.count() == sum(copies.values()) and out.where("text <> decoded or n_tokens <> length(ids) / 4").count() == 0
 
 
+def brute_stage_texts(rows):
+    """doc_id and redacted text of the rows that the base rule and near-dedup keep: plain Python, none of the operators."""
+    kept = {}
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        again = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(5)}
+        if len(w) >= 10 and 100 * len(again) <= 20 * len(w):
+            kept[i] = t
+    words = {i: t.encode().lower().split() for i, t in kept.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+    group = {i: i for i in kept}
+    for i in sorted(kept):
+        for j in sorted(kept):
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if g == old else g for k, g in group.items()}
+    secret = re.compile(r"""(?:password|token)\s*[:=]\s*[A-Za-z0-9+/_.=-]{6,}|AKIA[A-Z0-9]{16,}|(?<![0-9a-f])[0-9a-f]{24,}""")
+    return {i: secret.sub("[SECRET]", t) for i, t in kept.items() if group[i] == i}
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """run() over a table with copies, secrets, junk, nulls and columns named like those of the stages."""
+    import random
+
+    import public_tokenizers
+    import tiktoken
+
+    rnd = random.Random(21)
+    vocab = ["".join(rnd.choice("abcdeéü") for _ in range(rnd.randint(2, 8))) for _ in range(200)]
+    text = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    texts = [text(rnd.randint(30, 120)) for _ in range(40)]
+    texts += [texts[0]] * 4 + [texts[1] + " " + text(3), text(5), "", None, " ".join([text(8)] * 6)]
+    texts += [f"{text(20)} token = abcdef123456 {text(15)} AKIA{'Q7' * 8} {text(9)} {'0f1e2d3c' * 5} end {text(4)}" for _ in range(3)]
+    rows = [(i, t, f"s{i % 4}" if i % 9 else None, i) for i, t in enumerate(texts)]
+    names = ("spans", "kept", "n_words", "_text", "found", "_rate", "_row")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == [*docs.columns, "n_tokens", "ids", "decoded"]
+    found = out.collect()
+    want = brute_stage_texts([(i, t) for i, t, *_ in rows])
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        import base64
+
+        ranks = {base64.b64decode(k): int(v) for k, v in map(bytes.split, f)}
+    enc = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    copies = {}
+    for r in found:
+        assert r.text == want[r.doc_id] == r.decoded and r.n_chars == len(r.text) and all(r[n] == f"{n}{r.doc_id}" for n in names)
+        ids = enc.encode_ordinary(r.text)
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids)
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+    size = {i: len(WORD.findall(t)) for i, t in want.items()}
+    source = {i: s for i, _, s, _ in rows if i in want}
+    totals = {s: sum(size[i] for i in want if source[i] == s) for s in set(source.values())}
+    goals = brute_targets(totals)
+    assert max(copies.values()) <= 3 and set(copies) <= set(want)
+    for s, goal in goals.items():
+        largest = max(size[i] for i in want if source[i] == s)
+        assert abs(sum(size[i] * copies.get(i, 0) for i in want if source[i] == s) - goal) <= largest / 2 + 1e-3 * goal + 1
+
+
+def test_stages_with_null_ids_and_repeats(spark, sf):
+    t = " ".join(f"w{k}" for k in range(40))
+    rows = [(5, t, "a"), (5, t, "a"), (5, t + " x", "a"), (None, t, "a"), (None, t, "a"), (9, t + " y", "b"), (8, None, "b"), (7, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("kept", F.lit("mine"))
+    counts = []
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.columns[: len(docs.columns)] == docs.columns and {r.kept for r in out.collect()} == {"mine"}
+        counts.append(sorted(str(r.doc_id) for r in out.collect()))
+    assert counts[0] == ["5", "5", "5", "9", "None", "None"]  # those with words enough
+    assert counts[1] == ["5", "7", "8", "None", "None"]
+    assert counts[2] == counts[4] == sorted(str(i) for i, *_ in rows)
+    assert {"7", "8"} <= set(counts[3]) and counts[3].count("7") == 1
+
+
 def test_pipeline_of_nothing(spark, sf, none, tmp_path):
     labels = spark.read.parquet(f"{sf}/labels.parquet").limit(0)
     none.write.parquet(str(tmp_path / "documents.parquet"))

@@ -232,6 +232,38 @@ def test_pii_field_is_accurate_on_held_out_rows(spark):
     assert good >= 0.97 * len(paths)
 
 
+def test_pii_added_spans_on_held_out_lines(spark):
+    """Precision and recall of what the field adds, trained beside a corpus, on lines of another seed."""
+    corpus = [(i, f"in {1900 + i % 99} about {i} people wrote to a.b{i}@mail.example.org or +44 20 7946 {1000 + i}, see page {i % 40}") for i in range(400)]
+    field = pii.train(pii.training_table(spark.createDataFrame(corpus, "doc_id long, text string")))
+    held = pii.labelled(800, seed=99)
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(held)], "doc_id long, text string")
+    added, base = {}, {}
+    for r in pii.find(df, field).collect():
+        spans = {(pii.KINDS.index(k), int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)}
+        base[r.doc_id] = set(brute_pii(held[r.doc_id][0]))
+        added[r.doc_id] = spans - base[r.doc_id]
+    want = {i: set(s) - base[i] for i, (_, s) in enumerate(held)}
+    right = sum(len(added[i] & want[i]) for i in want)
+    assert right >= 0.97 * sum(map(len, added.values())) and right >= 0.75 * sum(map(len, want.values()))
+    assert sum(bool(added[i]) for i in want if not held[i][1]) <= 0.02 * len(want)
+
+
+def test_pii_of_long_runs_repeated_rows_and_clashing_names(spark):
+    field = pii.train(pii.examples())
+    table = "31 " * 30_000
+    late = table + "call (551) 555-0826 now, " + table
+    runs = list(pii.tokens(late))
+    assert max(map(len, runs)) <= pii.RUN + 16 and len({w for r in runs for w in r}) > 60_000
+    df = spark.createDataFrame([(1, late), (1, late), (None, "a@b.cd"), (2, "call (551) 555-0826 now")], "doc_id long, text string").withColumns({"spans": F.lit("mine"), "_text": F.lit(1)})
+    out = pii.find(df, field).collect()
+    assert len(out) == 4 and "spans" in pii.find(df, field).columns
+    for r in out:
+        if r.doc_id == 1:
+            assert f"phone:{len(table) + 5}:{len(table) + 19}" in r.spans.split(",")
+    assert [r.spans for r in out if r.doc_id == 2] == ["phone:5:19"] and [r.spans for r in out if r.doc_id is None] == ["email:0:6"]
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
