@@ -55,3 +55,22 @@ class Geo:
         """minx, miny, maxx, maxy."""
         xs, ys = (self.ox, self.ox + self.w * self.sx), (self.oy, self.oy + self.h * self.sy)
         return min(xs), min(ys), max(xs), max(ys)
+
+    def center(self) -> tuple[float, float]:
+        """The coordinate of the middle pixel's corner, to the millimetre."""
+        return round(self.ox + (self.w // 2) * self.sx, 3), round(self.oy + (self.h // 2) * self.sy, 3)
+
+    def precision(self) -> int:
+        """Decimals of the pixel size as it is written; 0 for one written with an exponent."""
+        return len(repr(self.sx).partition(".")[2]) if "e" not in repr(self.sx) else 0
+
+    def size(self, rounded: bool = True) -> tuple[float, float]:
+        """Width and height in metres."""
+        width, height = self.w * abs(self.sx), self.h * abs(self.sy)
+        return (round(width, self.precision()), round(height, self.precision())) if rounded else (width, height)
+
+    def ring(self, closed: bool = False) -> list[tuple[float, float]]:
+        """The corners, counterclockwise from the lower left one."""
+        x0, y0, x1, y1 = self.bbox()
+        corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+        return corners + corners[:1] if closed else corners

@@ -78,3 +78,8 @@ def corners(geo: Geo) -> list[tuple[int, float, float]]:
     """idx, cx, cy of the closed ring around a raster, from the top left corner clockwise."""
     x0, y0, x1, y1 = geo.bbox()
     return [(0, x0, y1), (1, x1, y1), (2, x1, y0), (3, x0, y0), (4, x0, y1)]
+
+
+def with_height(points: DataFrame, cz: float) -> DataFrame:
+    """points (cx, cy) with one height for all."""
+    return points.withColumn("cz", F.lit(float(cz)))

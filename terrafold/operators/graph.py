@@ -51,3 +51,8 @@ def nearest_edge(edges: DataFrame, x: float, y: float, skip: list[str] | None =
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((x - F.col("x1")) * dx + (y - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))))
     px, py = F.col("x1") + t * dx - x, F.col("y1") + t * dy - y
     return kept.withColumn("distance", F.sqrt(px * px + py * py)).orderBy("distance", "u", "v").limit(1)
+
+
+def at_node(edges: DataFrame) -> DataFrame:
+    """node, n, end: how many streets (u, v) leave each node, and the smallest node that one leads to."""
+    return edges.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n"), F.min("v").alias("end"))

@@ -67,7 +67,7 @@ def tile_grid(spark, geo: Geo, size: float) -> DataFrame:
     fx, fy = math.floor(geo.ox / size) * size, math.floor(geo.oy / size) * size
     fx += size if fx < geo.ox else 0.0
     fy -= size if fy > geo.oy else 0.0
-    nx, ny = int(geo.w * abs(geo.sx) // size) + 1, int(geo.h * abs(geo.sy) // size) + 1
+    nx, ny = math.floor(geo.w * abs(geo.sx) / size) + 1, math.floor(geo.h * abs(geo.sy) / size) + 1
     ids = spark.range(nx * ny).select(F.floor(F.col("id") / ny).alias("i"), (F.col("id") % ny).alias("j"))
     at = ids.select((F.col("i") * ny + F.col("j")).alias("tile"), (F.lit(fx) + F.col("i") * size).alias("cx"), (F.lit(fy) - F.col("j") * size).alias("cy"))
     y0, x0 = F.bround((F.col("cy") - geo.oy) / geo.sy, 0).cast("int"), F.bround((F.col("cx") - geo.ox) / geo.sx, 0).cast("int")

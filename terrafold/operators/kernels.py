@@ -1,12 +1,10 @@
-"""Components by chunks, and interpolation and blurring as weighted joins."""
+"""Components by chunks, what follows from them, pasting and hulls."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.operators.linked import connected
@@ -93,63 +91,6 @@ def filled(mask: DataFrame, h: int, w: int) -> DataFrame:
     return mask.select("y", "x").unionByName(holes).distinct()
 
 
-def _cubic(t: Column, a: float = -0.75) -> Column:
-    t = F.abs(t)
-    near = (a + 2) * t * t * t - (a + 3) * t * t + 1
-    far = a * t * t * t - 5 * a * t * t + 8 * a * t - 4 * a
-    return F.when(t <= 1, near).when(t < 2, far).otherwise(0.0)
-
-
-def sample(df: DataFrame, at: DataFrame, h: int, w: int, kind: str = "linear", z: str = "z") -> DataFrame:
-    """y, x, z of targets at (y, x, sy, sx): df read at fractional source positions, edges repeated.
-
-    Each target asks for 2 x 2 (linear) or 4 x 4 (cubic) source pixels with weights; a join and a sum answer.
-    """
-    taps, weight = ((0, 1), lambda t: F.greatest(F.lit(0.0), 1 - F.abs(t))) if kind == "linear" else ((-1, 0, 1, 2), _cubic)
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in taps for j in taps])
-    asked = at.withColumns({"_fy": F.floor("sy"), "_fx": F.floor("sx"), "_s": F.explode(steps)})
-    py, px = F.col("_fy") + F.col("_s.i"), F.col("_fx") + F.col("_s.j")
-    asked = asked.select(
-        F.col("y").alias("_y"), F.col("x").alias("_x"), (weight(F.col("sy") - py) * weight(F.col("sx") - px)).alias("_w"),
-        F.greatest(F.lit(0), F.least(F.lit(h - 1), py)).cast("int").alias("y"), F.greatest(F.lit(0), F.least(F.lit(w - 1), px)).cast("int").alias("x"),
-    )
-    found = asked.where("_w <> 0").join(df.select("y", "x", z), ["y", "x"]).groupBy("_y", "_x").agg(F.sum(F.col("_w") * F.col(z)).alias(z))
-    return found.select(F.col("_y").alias("y"), F.col("_x").alias("x"), z)
-
-
-def _grid(spark, h: int, w: int) -> DataFrame:
-    return spark.range(h * w).select(F.floor(F.col("id") / w).cast("int").alias("y"), (F.col("id") % w).cast("int").alias("x"))
-
-
-def resize(df: DataFrame, h: int, w: int, new_h: int, new_w: int, kind: str = "linear") -> DataFrame:
-    """df resized with half-pixel centres."""
-    at = _grid(df.sparkSession, new_h, new_w).withColumns({"sy": (F.col("y") + 0.5) * (h / new_h) - 0.5, "sx": (F.col("x") + 0.5) * (w / new_w) - 0.5})
-    return sample(df, at, h, w, kind)
-
-
-def rotate(df: DataFrame, h: int, w: int, degrees: float) -> tuple[DataFrame, int, int]:
-    """df turned counterclockwise on a canvas that holds all of it, with the canvas's height and width; 0 outside."""
-    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
-    nh, nw = math.ceil(abs(h * c) + abs(w * s) - 1e-9), math.ceil(abs(h * s) + abs(w * c) - 1e-9)
-    dy, dx = F.col("y") - (nh - 1) / 2, F.col("x") - (nw - 1) / 2
-    at = _grid(df.sparkSession, nh, nw).withColumns({"sy": dy * c + dx * s + (h - 1) / 2, "sx": dx * c - dy * s + (w - 1) / 2})
-    inside = at.where((F.col("sy") >= -0.5) & (F.col("sy") <= h - 0.5) & (F.col("sx") >= -0.5) & (F.col("sx") <= w - 0.5))
-    got = sample(df, inside, h, w)
-    return at.select("y", "x").join(got, ["y", "x"], "left").select("y", "x", F.coalesce("z", F.lit(0.0)).alias("z")), nh, nw
-
-
-def blur(df: DataFrame, sigma: float, z: str = "z") -> DataFrame:
-    """Gaussian blur, along columns then rows, with weights rescaled at the raster's edges."""
-    r = max(1, int(4 * sigma + 0.5))
-    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(math.exp(-0.5 * (k / sigma) ** 2)).alias("w")) for k in range(-r, r + 1)])
-    out = df.select("y", "x", z)
-    for axis in ("y", "x"):
-        moved = out.withColumn("_s", F.explode(steps)).withColumn(axis, F.col(axis) + F.col("_s.k"))
-        sums = moved.groupBy("y", "x").agg((F.sum(F.col("_s.w") * F.col(z)) / F.sum("_s.w")).alias(z))
-        out = sums.join(out.select("y", "x"), ["y", "x"], "left_semi")
-    return out
-
-
 def paste(copy: DataFrame, base: DataFrame) -> DataFrame:
     """base (y, x, z, label) with copy where copy is at least as high; its instance has a label above all of base."""
     top = base.agg(F.coalesce(F.max("label"), F.lit(0)).alias("_top"))

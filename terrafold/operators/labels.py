@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrafold.model import RasterError
 from terrafold.operators.focal import dilate
+from terrafold.operators.linked import numbered
 
 
 def relabel(labels: DataFrame) -> DataFrame:
-    """labels numbered 1..k in order of their values; 0 stays. The window sees one row a label."""
-    ranks = labels.where("label <> 0").select("label").distinct().withColumn("_new", F.row_number().over(Window.orderBy("label")))
+    """labels numbered 1..k in order of their values; 0 stays. Values are dealt by range and numbered in every part at once."""
+    ranks = numbered(labels.where("label <> 0").select("label").distinct(), "label", "_new").withColumn("_new", F.col("_new").cast("int"))
     return labels.join(ranks, "label", "left").select("y", "x", F.coalesce("_new", F.lit(0)).alias("label"))
 
 

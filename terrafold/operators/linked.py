@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of ids that are sent to all tasks; larger tables are joined by a shuffle. The driver holds what it sends for a while,
@@ -82,3 +82,13 @@ def connected(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -
         ends = ends.join(up.select(F.col("id").alias("b"), F.col("root").alias("v")), "b").where("u <> v")
         live = checkpoint(ends.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct().coalesce(tasks_for(left)))
     return live.select(F.col("a").alias("id"), F.col("b").alias("component")) if labels is None else labels
+
+
+def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """rows with name, 1-based in the order of a column without repeats, without one task for all: the rows are dealt by range and
+    kept so, and a part's rows count on from those of the parts before."""
+    dealt = checkpoint(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()))
+    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
+    starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_start")  # a row a part
+    ranked = dealt.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
+    return ranked.join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col("_r")).drop("_p", "_r", "_start")

@@ -75,3 +75,9 @@ def channels(df: DataFrame, mode: str) -> DataFrame:
     if not order or set(order) - set("rgbd"):
         raise ValueError(f"unknown channel mode: {mode}")
     return df.withColumn("bands", F.array(*[F.col(c) for c in order]))
+
+
+def grey(z: Column, reverse: bool = False) -> Column:
+    """Three equal channels of one, or of 1 less it."""
+    v = 1 - z if reverse else z
+    return F.array(v, v, v)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.operators import linked
+
 
 def grid_faces(df: DataFrame, h: int, w: int) -> DataFrame:
     """face, a, b, c: two triangles for each square of four pixels, by 1-based vertex numbers in row order."""
@@ -27,12 +29,8 @@ def vertex_dictionary(vertices: DataFrame, decimals: int | None = None) -> DataF
 
 
 def numbered(dictionary: DataFrame) -> DataFrame:
-    """dictionary with vertex, 1-based in order of first, without one task for all: a partition's offset is added to its rank."""
-    ordered = dictionary.repartitionByRange("first").sortWithinPartitions("first").withColumn("_p", F.spark_partition_id())
-    sizes = ordered.groupBy("_p").agg(F.count("*").alias("_n"))
-    starts = sizes.withColumn("_start", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).select("_p", "_start")
-    ranked = ordered.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy("first")))
-    return ranked.join(F.broadcast(starts), "_p").withColumn("vertex", F.col("_start") + F.col("_r")).drop("_p", "_r", "_start")
+    """dictionary with vertex, 1-based in order of first."""
+    return linked.numbered(dictionary, "first", "vertex")
 
 
 def translated(vertices: DataFrame, dx: float, dy: float, dz: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.model import UNKNOWN
@@ -65,5 +65,20 @@ def split_by_hash(manifest: DataFrame, key: str, ratio: float = 0.8, seed: int =
 def percentile_pick(manifest: DataFrame, by: str, name: str, percentile: float) -> DataFrame:
     """by, name: of each group's names in order, the one at the percentile."""
     p = min(max(percentile, 0.0), 0.999999)
-    listed = manifest.groupBy(by).agg(F.sort_array(F.collect_list(name)).alias("_n"))
-    return listed.select(by, F.element_at("_n", (F.lit(p) * F.size("_n")).cast("int") + 1).alias(name))
+    w = Window.partitionBy(by)
+    ranked = manifest.select(by, name).withColumns({"_k": F.row_number().over(w.orderBy(name)) - 1, "_n": F.count("*").over(w)})
+    return ranked.where(F.col("_k") == (F.lit(p) * F.col("_n")).cast("int")).select(by, name)
+
+
+def dataset_names(manifest: DataFrame, subset: str | None = None, ending: str = ".npz", seed: int | None = None) -> DataFrame:
+    """Rows of manifest (name, prefix) of the files with an ending, of one subset if it is named; with a seed in an order that its hash
+    gives, which sorts by range in all tasks."""
+    out = manifest.where(F.endswith("name", F.lit(ending)))
+    out = out if subset is None else out.where(F.endswith("prefix", F.lit(subset)))
+    return out if seed is None else out.orderBy(F.xxhash64(F.lit(seed), "name"), "name")
+
+
+def equal_shares(dictionary: dict[str, int]) -> dict[int, float]:
+    """The same share for every class but background and unknown, which have none."""
+    known = sorted({v for v in dictionary.values() if v > UNKNOWN})
+    return {v: (1.0 / len(known) if v > UNKNOWN else 0.0) for v in sorted(set(dictionary.values()))}

@@ -97,3 +97,24 @@ def weighted_mean_iou(df: DataFrame, truth: str, guess: str, weights: DataFrame,
     used = weights.where("cls <> 0") if skip_background else weights
     iou = (F.coalesce("i", F.lit(0)) + 1) / (F.coalesce("t", F.lit(0)) + F.coalesce("p", F.lit(0)) - F.coalesce("i", F.lit(0)) + 1)
     return used.join(sums, "cls", "left").agg((F.sum(F.col("weight") * iou) / F.sum("weight")).alias("mean_iou"))
+
+
+def tops(labels: DataFrame, values: DataFrame, share: float = 0.15) -> DataFrame:
+    """label, y, x of each instance's top: its pixels above a level of its scaled height (0..1), which is lowered by hundredths from 0.99
+    until `share` of its pixels lie above it, as far as they also lie above 1 - share."""
+    both = labels.where("label <> 0").join(values.select("y", "x", "z"), ["y", "x"])
+    span = both.groupBy("label").agg(F.min("z").alias("_lo"), F.max("z").alias("_hi"), F.count("*").alias("_n"))
+    u = (F.col("z") - F.col("_lo")) / F.when(F.col("_hi") == F.col("_lo"), F.lit(1.0)).otherwise(F.col("_hi") - F.col("_lo"))
+    scaled = both.join(span, "label").withColumn("_u", u)
+    # the first level that a pixel lies above, from a histogram of at most a hundred rows for each instance
+    level = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(99)), lambda k: F.col("_u") > (99 - k) / 100.0))
+    counted = scaled.withColumn("_k", level).where("_k is not null").groupBy("label", "_n", "_k").agg(F.count("*").alias("_m"))
+    reached = counted.withColumn("_m", F.sum("_m").over(Window.partitionBy("label").orderBy("_k"))).where(F.col("_m") >= share * F.col("_n")).groupBy("label").agg(F.min("_k").alias("_k"))
+    return scaled.join(reached, "label").where((F.col("_u") > (99 - F.col("_k")) / 100.0) & (F.col("_u") > 1 - share)).select("label", "y", "x")
+
+
+def silhouette(columns: DataFrame, padding: int = 0) -> DataFrame:
+    """y, x of a filled outline from the heights of its columns (x, n), the ground at the bottom; columns of 0 or less are empty."""
+    top = columns.agg(F.max("n").alias("_h"))
+    filled = columns.where("n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("n")))).crossJoin(F.broadcast(top))
+    return filled.select((F.col("_h") - F.col("_i") + padding).cast("int").alias("y"), (F.col("x") + padding).cast("int").alias("x"))

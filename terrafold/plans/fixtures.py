@@ -49,11 +49,11 @@ def pts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def det(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes. det_id is a hash of the row, so that no window orders all rows in one task."""
-    r = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    r = table(spark, sf_dir, "lineitem")
     key = F.md5(F.concat_ws("|", "l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), F.bround(F.col("l_extendedprice") * 100, 0).cast("long")))
     size = F.col("l_quantity")
     return r.select(
-        (F.col("l_orderkey") % 500).cast("int").alias("image"), key.alias("det_id"),
+        (F.col("l_orderkey") % 5000).cast("int").alias("image"), key.alias("det_id"),
         (F.col("l_partkey") % 100).cast("double").alias("xmin"), (F.col("l_suppkey") % 100).cast("double").alias("ymin"),
         ((F.col("l_partkey") % 100) + size).alias("xmax"), ((F.col("l_suppkey") % 100) + size).alias("ymax"), (F.col("l_discount") * 10).alias("score"),
     ).dropDuplicates(["image", "det_id"])
@@ -79,6 +79,19 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat(prefix, F.lit(" ("), F.col("doc_id").cast("string"), F.lit(").npz")).alias("name"), prefix.alias("prefix"))
 
 
+def streets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sides of a lattice of 25 columns, 100 apart, one for each supplier and way on from it; some bear a lane's name."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(k.alias("u"), F.explode(F.array(k + 1, k + 25)).alias("v"), F.when(k % 11 == 0, "Ruelle Nord").otherwise(F.concat(F.lit("Rue "), k.cast("string"))).alias("name"))
+    at = lambda n: F.struct((n % 25 * 100).cast("double").alias("x"), (F.floor(n / 25) * 100).cast("double").alias("y"))
+    return s.where((F.col("v") != F.col("u") + 1) | (F.col("v") % 25 != 0)).select("u", "v", F.lit(0).alias("key"), "name", F.array(at(F.col("u")), at(F.col("v"))).alias("geometry"))
+
+
+def street_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(c.alias("seed"), (c * 37 % 2400 + 0.5).alias("x"), (c * 53 % 4000 + 0.25).alias("y"))
+
+
 SQL = {
     "px": "SELECT CAST(vec_id AS INT) y, CAST(i - 1 AS INT) x, CAST(embedding[i] AS DOUBLE) z, label cls FROM embeddings, range(1, 65) t(i)",
     "geo": "SELECT CAST(count(*) AS INT) h, 64 w, 290000.0::DOUBLE ox, 5040000.0::DOUBLE oy, 0.02::DOUBLE sx, -0.02::DOUBLE sy FROM embeddings",
@@ -87,10 +100,10 @@ SQL = {
     "inst": "SELECT y, x, CAST(CASE WHEN z > 0.1 THEN (y // 25) * 4 + (x // 16) + 1 ELSE 0 END AS INT) label FROM px",
     "alpha": "SELECT y, x, CASE WHEN (y * 64 + x) % 97 = 0 THEN 0 ELSE 255 END a FROM px",
     "pts": "SELECT p_partkey row_id, CAST(p_partkey % 500 AS INT) y, CAST(p_partkey * 7 % 64 AS INT) x, p_type code FROM part",
-    "det": """SELECT DISTINCT ON (image, det_id) * FROM (SELECT CAST(l_orderkey % 500 AS INT) image,
+    "det": """SELECT DISTINCT ON (image, det_id) * FROM (SELECT CAST(l_orderkey % 5000 AS INT) image,
         md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, CAST(l_quantity AS INT), CAST(round_even(l_extendedprice * 100, 0) AS BIGINT))) det_id,
         CAST(l_partkey % 100 AS DOUBLE) xmin, CAST(l_suppkey % 100 AS DOUBLE) ymin, (l_partkey % 100) + l_quantity xmax, (l_suppkey % 100) + l_quantity ymax, l_discount * 10 score
-        FROM lineitem WHERE l_linenumber = 1)""",
+        FROM lineitem)""",
     "edges": "SELECT DISTINCT s_nationkey u, CAST(s_suppkey % 25 AS INT) v FROM supplier",
     "verts": """SELECT s_suppkey poly, idx, s_suppkey * 10 + sx * (1 + abs(s_acctbal) / 1000) x, s_nationkey * 10 + sy * (1 + abs(s_acctbal) / 1000) y
         FROM supplier, (VALUES (0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)) c(idx, sx, sy)""",
@@ -108,4 +121,4 @@ def sql(body: str, *names: str) -> str:
     body = body.strip()
     if not order:
         return body
-    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({SQL[n]})" for n in order) + ("" if body.startswith(",") else " ") + body
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS MATERIALIZED ({SQL[n]})" for n in order) + ("" if body.startswith(",") else " ") + body

@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.functions import paths
 from terrafold.model import EPSG_MTM8
-from terrafold.operators import coords, detect, focal, graph, grid, kernels, labels, mapalg, mesh, semantics, vector, zonal
+from terrafold.operators import coords, detect, focal, graph, grid, halo, kernels, labels, mapalg, mesh, semantics, vector, zonal
 from terrafold.plans import fixtures as fx
+from terrafold.plans.registry import query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
 #: Codes of the fixture's part types.
 DICTIONARY = {"BACKGROUND": 0, "UNKNOWN": 1, "PROM": 2, "ST": 3, "LARG": 4, "SM": 5}
 
 
-def query(sql: str | None = None, *names: str):
-    """Registers a query under its function's name, with its SQL over the named fixtures if it has one."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = fx.sql(sql, *names)
-        return f
-
-    return add
-
-
 # Map algebra
 
 NDSM = "SELECT y, x, round_even(CASE WHEN a.z - b.z < 0 OR a.z - b.z > 25 THEN 0.0 ELSE a.z - b.z END, 3) z FROM dsm a JOIN dtm b USING (y, x)"
@@ -310,7 +294,7 @@ def mask_inside_pairs(spark, d):
     return labels.inside_pairs(fx.inst(spark, d), _shifted(spark, d), ratio=0.3)
 
 
-@query("SELECT y, x, label FROM inst WHERE label <> 0 AND label NOT IN (SELECT label FROM inst JOIN px USING (y, x) WHERE z > 0.4 AND label <> 0)", "inst", "px")
+@query(", hit AS MATERIALIZED (SELECT DISTINCT label FROM inst JOIN px USING (y, x) WHERE z > 0.4 AND label <> 0) SELECT y, x, label FROM inst WHERE label <> 0 AND label NOT IN (SELECT label FROM hit)", "inst", "px")
 def reject_overlap_anti(spark, d):
     return labels.clip_to(fx.inst(spark, d), fx.px(spark, d).where("z > 0.4"))
 
@@ -414,7 +398,14 @@ def tile_valid_ratio(spark, d):
     return grid.tile_valid_ratio(fx.alpha(spark, d), 50)
 
 
-@query()
+@query(
+    ", f AS (SELECT *, floor(ox / 0.2::DOUBLE) * 0.2::DOUBLE x, floor(oy / 0.2::DOUBLE) * 0.2::DOUBLE y FROM geo), s AS (SELECT h, w, ox, oy, x + CASE WHEN x < ox THEN 0.2::DOUBLE ELSE 0 END fx, y - CASE WHEN y > oy THEN 0.2::DOUBLE ELSE 0 END fy, "
+    "CAST(floor(w * 0.02::DOUBLE / 0.2::DOUBLE) AS INT) + 1 nx, CAST(floor(h * 0.02::DOUBLE / 0.2::DOUBLE) AS INT) + 1 ny FROM f), "
+    "t AS (SELECT h, w, CAST(i * ny + j AS BIGINT) tile, fx + i * 0.2::DOUBLE cx, fy - j * 0.2::DOUBLE cy, ox, oy FROM s, range(0, 100) a(i), range(0, 100000) b(j) WHERE i < nx AND j < ny), "
+    "p AS (SELECT tile, cx, cy, h, w, CAST(round_even((cy - oy) / -0.02::DOUBLE, 0) AS INT) y0, CAST(round_even((cx - ox) / 0.02::DOUBLE, 0) AS INT) x0 FROM t), q AS MATERIALIZED (SELECT *, y0 + 10 y1, x0 + 10 x1 FROM p WHERE y0 >= 0 AND x0 >= 0 AND y0 + 10 <= h AND x0 + 10 <= w) "
+    "SELECT y0, x0, tile, cx, cy, y1, x1, count(*) n, max(z) z_max FROM q JOIN px ON y BETWEEN y0 AND y1 - 1 AND x BETWEEN x0 AND x1 - 1 GROUP BY ALL",
+    "px", "geo",
+)
 def tile_grid(spark, d):
     """Tiles of the raster with the pixels in each."""
     g = fx.geo(spark, d)
@@ -434,16 +425,16 @@ def tile_border_distance(spark, d):
     return grid.nearest_border(tiles, fx.alpha(spark, d).where("a = 0"), 16)
 
 
-@query(", t AS (SELECT cls seq, (cls * 3) % 7 oy, cls ox, y, x, z FROM px) SELECT y + oy y, x + ox x, arg_max(z, seq) z FROM t WHERE y % 2 = 0 GROUP BY ALL", "px")
+@query(", t AS (SELECT cls seq, (cls * 3) % 7 oy, cls ox, y, x, z FROM px) SELECT y + oy y, x + ox x, arg_max(z, seq) z FROM t GROUP BY ALL", "px")
 def mosaic_last_wins(spark, d):
-    t = fx.px(spark, d).where("y % 2 = 0").select(F.col("cls").alias("seq"), (F.col("cls") * 3 % 7).alias("oy"), F.col("cls").alias("ox"), "y", "x", "z")
+    t = fx.px(spark, d).select(F.col("cls").alias("seq"), (F.col("cls") * 3 % 7).alias("oy"), F.col("cls").alias("ox"), "y", "x", "z")
     # tiles of one class never overlap themselves at the same offset
     return grid.mosaic(t)
 
 
-@query("SELECT y, x, coalesce(z, 0.0) z FROM (SELECT CAST(i AS INT) y, CAST(j AS INT) x FROM range(0, 100) a(i), range(0, 64) b(j)) LEFT JOIN (SELECT * FROM px WHERE z > 0.2) USING (y, x)", "px")
+@query("SELECT y, x, coalesce(z, 0.0) z FROM (SELECT CAST(i AS INT) y, CAST(j AS INT) x FROM geo, range(0, 1000000) a(i), range(0, 64) b(j) WHERE i < h) LEFT JOIN (SELECT * FROM px WHERE z > 0.2) USING (y, x)", "px", "geo")
 def dense_fill(spark, d):
-    return grid.dense(fx.px(spark, d).where("z > 0.2 and y < 100"), 100, 64)
+    return grid.dense(fx.px(spark, d).where("z > 0.2"), fx.geo(spark, d).h, 64)
 
 
 @query("SELECT CAST(y // 4 AS INT) y, CAST(x // 4 AS INT) x, z FROM px WHERE y % 4 = 0 AND x % 4 = 0", "px")
@@ -585,7 +576,14 @@ def path_uuid(spark, d):
     return fx.edges(spark, d).groupBy("u").agg(F.collect_list("v").alias("_v")).select("u", graph.path_uuid(F.col("_v")).alias("uuid"))
 
 
-@query()
+UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || (CASE WHEN substr(h, 17, 1) IN ('0', '4', '8', 'c') THEN '8' WHEN substr(h, 17, 1) IN ('1', '5', '9', 'd') THEN '9' WHEN substr(h, 17, 1) IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+@query(
+    ", w(p, done) AS (SELECT [u, v], false FROM edges WHERE u = 1 AND v <> 1 UNION ALL SELECT CASE WHEN v = 1 THEN p ELSE list_append(p, v) END, v = 1 FROM w JOIN edges ON u = p[-1] WHERE NOT done AND len(p) <= 4 AND (v = 1 AND len(p) > 2 OR NOT list_contains(p, v))), "
+    "l AS (SELECT p, sha256('[' || array_to_string(list_sort(p), ', ') || ']') h FROM w WHERE done) SELECT array_to_string(p, ',') AS path, " + UUID + " AS uuid FROM l",
+    "edges",
+)
 def closed_loops(spark, d):
     """Closed walks of up to 4 edges from node 1, with the UUIDs of their nodes."""
     found = graph.loops(fx.edges(spark, d), 1, 4)
@@ -618,7 +616,11 @@ def vertex_dictionary(spark, d):
     return mesh.numbered(mesh.vertex_dictionary(_vertices(spark, d), 0))
 
 
-@query()
+@query(
+    "SELECT 0 AS section, CAST(y * 64 + x + 1 AS BIGINT) seq, 'v ' || CAST(x AS DOUBLE) || ' ' || CAST(y AS DOUBLE) || ' ' || z AS line FROM dsm UNION ALL SELECT 1, 0, 'o terrain' UNION ALL "
+    "SELECT 2, CAST((y * 63 + x) * 2 + k AS BIGINT), 'f ' || (y * 64 + x + 1) || ' ' || CASE WHEN k = 0 THEN y * 64 + x + 2 ELSE y * 64 + x + 66 END || ' ' || CASE WHEN k = 0 THEN y * 64 + x + 66 ELSE y * 64 + x + 65 END FROM px, geo, range(0, 2) r(k) WHERE y < h - 1 AND x < 63",
+    "dsm", "px", "geo",
+)
 def obj_lines(spark, d):
     g = fx.geo(spark, d)
     vertices = fx.dsm(spark, d).select((F.col("y") * g.w + F.col("x") + 1).alias("vertex"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "z")
@@ -646,7 +648,13 @@ def epsgio_links(spark, d):
 # Kernels
 
 
-@query()
+PATCHES = (
+    ", m AS MATERIALIZED (SELECT y, x, y * 64 + x id FROM px WHERE z > 0.2), e AS MATERIALIZED (SELECT a.id a, b.id b FROM m a, (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)) o(dy, dx), m b WHERE b.y = a.y + dy AND b.x = a.x + dx), "
+    "w(id, c) AS (SELECT id, id FROM m UNION SELECT e.b, w.c FROM w JOIN e ON e.a = w.id WHERE w.c < e.b) SELECT y, x, CAST(1 AS BIGINT) AS value, CAST(min(c) AS BIGINT) component FROM w JOIN m USING (id) GROUP BY y, x"
+)
+
+
+@query(PATCHES, "px")
 def components_8(spark, d):
     return kernels.components(fx.px(spark, d).where("z > 0.2"), 64, chunk=32)
 
@@ -675,24 +683,46 @@ def remove_holes(spark, d):
 )
 def bilinear(spark, d):
     g = fx.geo(spark, d)
-    return kernels.resize(fx.px(spark, d), g.h, g.w, 100, 100).withColumn("z", F.round("z", 6))
+    return halo.resize(fx.px(spark, d), g.h, g.w, 100, 100).withColumn("z", F.round("z", 6))
 
 
-@query()
+CUBIC = "CASE WHEN abs({t}) <= 1 THEN 1.25 * abs({t}) * abs({t}) * abs({t}) - 2.25 * {t} * {t} + 1 WHEN abs({t}) < 2 THEN -0.75 * abs({t}) * abs({t}) * abs({t}) + 3.75 * {t} * {t} - 6 * abs({t}) + 3 ELSE 0 END::DOUBLE"
+
+
+@query(
+    ", t AS (SELECT CAST(i AS INT) y, CAST(j AS INT) x, (i + 0.5) * (h / 100.0::DOUBLE) - 0.5 sy, (j + 0.5) * 0.64::DOUBLE - 0.5 sx, h FROM geo, range(0, 100) a(i), range(0, 100) b(j)), "
+    "k AS MATERIALIZED (SELECT y, x, " + CUBIC.format(t="(sy - floor(sy) - dy)") + " * " + CUBIC.format(t="(sx - floor(sx) - dx)") + " w, greatest(0, least(h - 1, CAST(floor(sy) AS INT) + dy)) py, greatest(0, least(63, CAST(floor(sx) AS INT) + dx)) px "
+    "FROM t, (VALUES (-1), (0), (1), (2)) a(dy), (VALUES (-1), (0), (1), (2)) b(dx)) SELECT k.y, k.x, round(sum(w * z), 6) z FROM k JOIN px p ON p.y = py AND p.x = k.px GROUP BY ALL",
+    "px", "geo",
+)
 def bicubic(spark, d):
     g = fx.geo(spark, d)
-    return kernels.resize(fx.px(spark, d), g.h, g.w, 100, 100, "cubic")
+    return halo.resize(fx.px(spark, d), g.h, g.w, 100, 100, "cubic").withColumn("z", F.round("z", 6))
 
 
-@query()
+TURNED = (
+    ", c AS (SELECT h, cos(radians(30.0)) c, sin(radians(30.0)) s FROM geo), n AS (SELECT *, CAST(ceil(h * c + 64 * s - 1e-9) AS INT) nh, CAST(ceil(h * s + 64 * c - 1e-9) AS INT) nw FROM c), "
+    "t AS MATERIALIZED (SELECT CAST(i // nw AS INT) y, CAST(i % nw AS INT) x, (i // nw - (nh - 1) / 2.0::DOUBLE) * c + (i % nw - (nw - 1) / 2.0::DOUBLE) * s + (h - 1) / 2.0::DOUBLE sy, (i % nw - (nw - 1) / 2.0::DOUBLE) * c - (i // nw - (nh - 1) / 2.0::DOUBLE) * s + 31.5 sx, h FROM n, range(0, (SELECT nh * nw FROM n)) r(i)), "
+    "k AS MATERIALIZED (SELECT y, x, (1 - abs(sy - floor(sy) - dy)) * (1 - abs(sx - floor(sx) - dx)) w, greatest(0, least(h - 1, CAST(floor(sy) AS INT) + dy)) py, greatest(0, least(63, CAST(floor(sx) AS INT) + dx)) px FROM t, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx) WHERE sy BETWEEN -0.5 AND h - 0.5 AND sx BETWEEN -0.5 AND 63.5), "
+    "v AS (SELECT k.y, k.x, sum(w * z) z FROM k JOIN px p ON p.y = py AND p.x = k.px GROUP BY ALL) SELECT t.y, t.x, round(coalesce(z, 0), 6) z FROM t LEFT JOIN v USING (y, x)"
+)
+
+
+@query(TURNED, "px", "geo")
 def rotate(spark, d):
     g = fx.geo(spark, d)
-    return kernels.rotate(fx.px(spark, d), g.h, g.w, 30.0)[0]
+    return halo.rotate(fx.px(spark, d), g.h, g.w, 30.0)[0].withColumn("z", F.round("z", 6) + F.lit(0.0))
 
 
-@query()
+def _blurred(axis: str, source: str) -> str:
+    other = "x" if axis == "y" else "y"
+    return f"(SELECT a.y, a.x, sum(exp(-0.5::DOUBLE * (b.{axis} - a.{axis}) * (b.{axis} - a.{axis})) * b.z) / sum(exp(-0.5::DOUBLE * (b.{axis} - a.{axis}) * (b.{axis} - a.{axis}))) z FROM {source} a JOIN {source} b ON a.{other} = b.{other} AND b.{axis} BETWEEN a.{axis} - 4 AND a.{axis} + 4 GROUP BY ALL)"
+
+
+@query(f", v AS MATERIALIZED {_blurred('y', 'px')} SELECT y, x, round(z, 6) z FROM {_blurred('x', 'v')}", "px")
 def gaussian_blur(spark, d):
-    return kernels.blur(fx.px(spark, d), 1.0)
+    g = fx.geo(spark, d)
+    return halo.blur(fx.px(spark, d), g.h, g.w, 1.0).withColumn("z", F.round("z", 6))
 
 
 @query(", c AS (SELECT y, x, z + 0.05 z FROM px WHERE y < 50 AND cls > 4) SELECT y, x, CASE WHEN c.z >= p.z THEN c.z ELSE p.z END z, CASE WHEN c.z >= p.z THEN (SELECT max(label) FROM inst) + 1 ELSE label END label FROM px p JOIN inst USING (y, x) LEFT JOIN c USING (y, x)", "px", "inst")

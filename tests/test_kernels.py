@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from terrafold.model import Geo, RasterError
-from terrafold.operators import coords, detect, focal, graph, grid, kernels, labels, mapalg
+from terrafold.operators import coords, detect, focal, graph, grid, halo, kernels, labels, mapalg
 from terrafold.sources import files
 
 
@@ -61,17 +61,17 @@ def test_holes_and_small_patches(spark):
 def test_interpolation_reproduces_planes(spark):
     y, x = np.indices((12, 10))
     plane = 2.0 * y - 0.5 * x
-    got = array(kernels.resize(frame(spark, plane), 12, 10, 24, 20), (24, 20))
+    got = array(halo.resize(frame(spark, plane), 12, 10, 24, 20), (24, 20))
     sy, sx = (np.indices((24, 20)) + 0.5) / 2 - 0.5
     assert np.allclose(got[2:-2, 2:-2], (2.0 * sy - 0.5 * sx)[2:-2, 2:-2])
-    assert np.allclose(array(kernels.resize(frame(spark, plane), 12, 10, 12, 10, "cubic"), (12, 10)), plane)
-    assert np.allclose(array(kernels.resize(frame(spark, np.full((5, 5), 2.0)), 5, 5, 9, 7, "cubic"), (9, 7)), 2.0)
-    turned, h, w = kernels.rotate(frame(spark, plane), 12, 10, 90.0)
+    assert np.allclose(array(halo.resize(frame(spark, plane), 12, 10, 12, 10, "cubic"), (12, 10)), plane)
+    assert np.allclose(array(halo.resize(frame(spark, np.full((5, 5), 2.0)), 5, 5, 9, 7, "cubic"), (9, 7)), 2.0)
+    turned, h, w = halo.rotate(frame(spark, plane), 12, 10, 90.0)
     assert (h, w) == (10, 12) and np.allclose(array(turned, (h, w)), np.rot90(plane))
 
 
 def test_blur_keeps_a_constant(spark):
-    assert np.allclose(array(kernels.blur(frame(spark, np.full((6, 7), 3.0)), 1.0), (6, 7)), 3.0)
+    assert np.allclose(array(halo.blur(frame(spark, np.full((6, 7), 3.0)), 6, 7, 1.0), (6, 7)), 3.0)
 
 
 def test_morphology(spark):

@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from terrafold.plans.library import ORACLE, QUERIES, entry_plan
+from terrafold.plans import library, surfaces  # noqa: F401  they register their queries
+from terrafold.plans.library import entry_plan
+from terrafold.plans.registry import ORACLE, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
