@@ -140,8 +140,9 @@ def _trees(links: DataFrame) -> DataFrame:
     return common.checkpoint(members.unionByName(least.select(F.col("root").alias("id"), "component")))
 
 
-#: Members of a block; two blocks at a time are compared in one task.
-BLOCK = 2048
+#: Members of a block at most; two blocks at a time are compared in one task. A smaller family is cut into as many as PARTS, of
+#: LEAST members or more, so that its comparisons are dealt out too.
+BLOCK, PARTS, LEAST = 2048, 24, 128
 LINKS = "a long, b long"
 
 
@@ -215,7 +216,8 @@ def _across(lists: DataFrame, labels: DataFrame, pick: Pick, percent: int) -> Da
     whole = parts.groupBy("family").agg(
         F.max(F.struct("n", (-F.col("component")).alias("_c"))).alias("_main"), F.sum("n").alias("_all"), F.max("_p").alias("_p"),
     )
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    block = F.greatest(F.lit(min(LEAST, BLOCK)), F.least(F.lit(BLOCK), F.ceil(F.col("_all") / PARTS)))
+    blocks = lambda n: F.ceil(n / block).cast("int")
     whole = common.checkpoint(whole.select(
         "family", (-F.col("_main._c")).alias("_main"), (-F.col("_p._d")).alias("_pivot"), blocks(F.col("_all")).alias("_of_all"), blocks(F.col("_all") - F.col("_main.n")).alias("_of_rest"),
     ).coalesce(tasks_for(members)))
