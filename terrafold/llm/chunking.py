@@ -138,7 +138,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", min_run: int = MIN_RUN
     have no chunks. Rows of a null doc_id are compared with nothing and keep all, with null counts of chunks. Other columns
     are not read. No rows give no rows.
     """
-    n = common.parts_for(docs, text)
+    n = common.parts_for(docs, common.bytes_of(docs, text))
     texts = dealt(docs, n, text)
     keys = texts.groupBy("part").applyInArrow(_keys, f"part int, key binary, first {FIRST}, multi boolean")
     found = shared(keys, first="first")

@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from terrafold.operators.linked import FEW, checkpoint
 
-__all__ = ["SPACE", "WORD", "bind", "checkpoint", "documents", "free_name", "one_each", "parts_for", "row_schema", "text_or_empty", "without", "words"]
+__all__ = ["SPACE", "WORD", "bind", "bytes_of", "checkpoint", "documents", "free_name", "one_each", "parts_for", "row_schema", "text_or_empty", "without", "words"]
 
 #: ASCII white space, the word separator of every contract.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -34,11 +34,13 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def parts_for(docs: DataFrame, text: str = "text", part_mb: float = 24.0) -> int:
-    """Parts of about part_mb of text each, so that one part is a bounded piece of work at any size."""
-    total = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    spark = docs.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def bytes_of(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+
+
+def parts_for(docs: DataFrame, total: int, part_mb: float = 24.0) -> int:
+    """Parts of about part_mb of text each, of total bytes, so that one part is a bounded piece of work at any size."""
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, math.ceil(total / (part_mb * 1e6)))
 
 

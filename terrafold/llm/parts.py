@@ -21,7 +21,7 @@ def dealt(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
     compressed, a row for each part of a batch."""
 
     def run(batches):
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             column = b.column(1)

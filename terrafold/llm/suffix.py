@@ -1,14 +1,16 @@
-"""Removal of repeated strings by prefix doubling over a sparse suffix array.
-
-Only some suffixes take part: in every LENGTH-byte window, the one whose first GRAM bytes hash lowest. Equal windows
-choose the same suffix, so every repeated string of LENGTH bytes keeps a suffix. Round one ranks the suffixes by GRAM
-bytes: Spark sorts (rank, part) pairs and drops ranks that one text has. Round two extends what a rank stands for: the rank of
-a core of 32 bytes or more is paired with that of all bytes that the windows around it hold, Spark sorts these pairs, and of
-texts with equal pairs only the smallest doc_id goes on, if the core has other surroundings too. Round three ranks the
-LENGTH bytes, the threshold, of the windows that are left, and keeps the smallest doc_id of each. Windows of one core meet in
-one bucket; those of suffixes whose rank of round one occurs more than HOT times meet by their own hash instead, a row for
-each window of a part, so a string that many texts hold is dealt by its different windows. Ranks are 64-bit fingerprints, which
-sort equal strings together without a count of all smaller ones.
+"""Removal of repeated strings over a sparse suffix array whose ranks are extended in three rounds, as prefix doubling extends them.
+
+This is not the dense form, in which Spark ranks the suffix at every byte: that takes a row a byte and round, many times the
+disk of the input (README has figures). Only some suffixes take part: in every LENGTH-byte window, the one whose first GRAM
+bytes hash lowest. Equal windows choose the same suffix, so every repeated string of LENGTH bytes keeps a suffix. Round one ranks
+the suffixes by GRAM bytes: Spark sorts (rank, part) pairs and drops ranks that one text has. Round two extends what a rank
+stands for: the rank of a core of 32 bytes or more is paired with that of all bytes that the windows around it hold, Spark sorts
+these pairs, and of texts with equal pairs only the smallest doc_id goes on, if the core has other surroundings too. Round three
+ranks the LENGTH bytes, the threshold, of the windows that are left, and keeps the smallest doc_id of each. Windows of one core
+meet in one bucket; those of suffixes whose rank of round one occurs more than HOT times meet by their own hash instead, a row
+for each window of a part, so a string that many texts hold is dealt by its different windows. Ranks are 64-bit fingerprints, not
+dense numbers: they sort equal strings together without a count of all smaller ones, and equal fingerprints count as equal
+strings.
 """
 
 from __future__ import annotations
@@ -25,15 +27,16 @@ from terrafold.llm import arrays, common
 from terrafold.llm.parts import Part, dealt
 
 LENGTH = 50
-GRAM = 20
+GRAM = 16
 #: Windows that contain a suffix's first GRAM bytes, and how many of them start in the half next to it.
 REACH = LENGTH - GRAM + 1
 NEAR = REACH // 2 + 1
 SPAN = NEAR - 1 + LENGTH
 U64 = np.uint64
 B = U64(arrays.BASE)
-#: Ranks of round one, and cores, keep 48 bits. That two strings share one costs a comparison more, never a byte.
-SHORT = U64(16)
+#: Bits of the ranks of round one, and of cores, above those that number the bytes of all texts. That two strings share one
+#: costs a comparison more, never a byte.
+SPARE = 4
 #: Occurrences of a rank of round one up to which the windows of a core are compared in one bucket.
 HOT = 1000
 
@@ -54,7 +57,12 @@ def _doubled(h: np.ndarray, size: int, sizes: list[int]) -> dict[int, np.ndarray
         n *= 2
 
 
-def anchors(part: Part, segment: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+def shortened(n_bytes: int) -> np.uint64:
+    """How far a 64-bit fingerprint is shifted to keep whole bytes of it, enough for n_bytes different strings and SPARE bits more."""
+    return U64(64 - 8 * min(7, max(4, -(-(max(n_bytes, 1).bit_length() + SPARE) // 8))))
+
+
+def anchors(part: Part, short: np.uint64, segment: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Positions in part.data of the suffixes that windows choose, in order, and the rank of their first GRAM bytes."""
     data, positions, ranks = part.data, [], []
     if len(data) < LENGTH:
@@ -63,8 +71,7 @@ def anchors(part: Part, segment: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]
     low = U64((1 << 20) - 1)
     for a in range(0, len(clear), segment):
         b = min(a + segment, len(clear))
-        h = _doubled(arrays.TABLE[data[a : b + LENGTH - 1]], 16, [4, 16])
-        rank = arrays.mix(h[16][: -(GRAM - 16)] * _power(GRAM - 16) + h[4][16:])
+        rank = arrays.mix(_doubled(arrays.TABLE[data[a : b + LENGTH - 1]], GRAM, [GRAM])[GRAM])
         v = (rank & ~low) | np.arange(len(rank), dtype=np.uint64)
         n = 1
         while 2 * n <= REACH:
@@ -79,13 +86,13 @@ def anchors(part: Part, segment: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]
     order = np.argsort(positions, kind="stable")
     positions, ranks = positions[order], ranks[order]
     new = np.concatenate(([True], positions[1:] != positions[:-1])) if len(positions) else np.zeros(0, bool)
-    return positions[new], ranks[new] >> SHORT
+    return positions[new], ranks[new] >> short
 
 
-def _ranks(table: pa.Table) -> pa.Table:
+def _ranks(table: pa.Table, short: np.uint64) -> pa.Table:
     """Round one: a row for each rank of the part, and how often it occurs; negative if one text has them all."""
     part = Part.of(table)
-    at, rank = anchors(part)
+    at, rank = anchors(part, short)
     ids = part.doc_id[part.doc_at(at)]
     order = np.lexsort((ids, rank))
     rank, ids = rank[order], ids[order]
@@ -119,7 +126,7 @@ def _folded(rows: np.ndarray) -> np.ndarray:
     return acc
 
 
-def _spans(part: Part, at: np.ndarray, doc: np.ndarray, right: bool, block: int = 1 << 14):
+def _spans(part: Part, at: np.ndarray, doc: np.ndarray, right: bool, short: np.uint64, block: int = 1 << 14):
     """The windows around suffixes at `at` on one side: offsets of their first and last from a common origin, the bytes
     they hold (zero outside), and the fingerprints of these and of the core that all share."""
     offset = at - (NEAR - 1) if right else at - (REACH - 1)
@@ -134,21 +141,21 @@ def _spans(part: Part, at: np.ndarray, doc: np.ndarray, right: bool, block: int
         bytes_ = padded[offset[s, None] + REACH + column]
         bytes_[(column < lo[s, None]) | (column >= hi[s, None] + LENGTH)] = 0
         mark = arrays.mix((lo[s] * 64 + hi[s] * 2 + right).astype(np.uint64))
-        yield s, offset[s], lo[s], hi[s], bytes_, _folded(bytes_) ^ mark, arrays.mix(_folded(bytes_[:, core]) + U64(right)) >> SHORT
+        yield s, offset[s], lo[s], hi[s], bytes_, _folded(bytes_) ^ mark, arrays.mix(_folded(bytes_[:, core]) + U64(right)) >> short
 
 
 #: The low bits of a rank of round two are those of the suffix's rank of round one, by which a part finds it again.
 LOW = U64((1 << 20) - 1)
 
 
-def _surroundings(part: Part, at: np.ndarray, rank: np.ndarray):
+def _surroundings(part: Part, at: np.ndarray, rank: np.ndarray, short: np.uint64):
     """For either side: side, text, offset, first and last window, rank of round two and core of each suffix with windows.
 
     Suffixes are ordered by rank, then place: of equal ranks, the first is of the smallest doc_id.
     """
     doc = part.doc_at(at)
     for side in (True, False):
-        got = [x[1:4] + x[5:] for x in _spans(part, at, doc, side)]
+        got = [x[1:4] + x[5:] for x in _spans(part, at, doc, side, short)]
         if not got:
             continue
         offset, lo, hi, rank2, core = map(np.concatenate, zip(*got, strict=True))
@@ -171,7 +178,7 @@ CLASSES = "part int, core long, rank long, doc_id long, multi boolean"
 CLASSES_SCHEMA = pa.schema([("part", pa.int32()), ("core", pa.int64()), ("rank", pa.int64()), ("doc_id", pa.int64()), ("multi", pa.bool_())])
 
 
-def _classes(left: pa.Table, right: pa.Table) -> pa.Table:
+def _classes(left: pa.Table, right: pa.Table, short: np.uint64) -> pa.Table:
     """Round two: a row for each rank of the part, with the smallest doc_id that has it; multi if another has it too.
 
     The core of a hot suffix is its rank, so that its other surroundings are dealt elsewhere.
@@ -179,7 +186,7 @@ def _classes(left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows or not right.num_rows:
         return CLASSES_SCHEMA.empty_table()
     part, number = Part.of(left), left.column("part")[0].as_py()
-    at, rank = anchors(part)
+    at, rank = anchors(part, short)
     wanted = right.column("key").to_numpy().view(np.uint64)
     by = np.argsort(wanted)
     wanted, hot = wanted[by], right.column("hot").to_numpy(zero_copy_only=False).astype(bool)[by]
@@ -187,7 +194,7 @@ def _classes(left: pa.Table, right: pa.Table) -> pa.Table:
     found = wanted[place] == rank
     at, rank, hot = at[found], rank[found], hot[place[found]]
     out = []
-    for _, a, doc, _, _, _, rank2, core in _surroundings(part, at, rank):
+    for _, a, doc, _, _, _, rank2, core in _surroundings(part, at, rank, short):
         core = np.where(hot[np.searchsorted(at, a)], rank2, core)
         first = np.flatnonzero(_heads(rank2))
         ids = part.doc_id[doc]
@@ -222,7 +229,7 @@ def _single(part: Part, number: int, side: bool, at: np.ndarray, doc: np.ndarray
     for x in range(0, len(order), block):
         chosen = order[x : x + block]
         values, texts, starts = [], [], []
-        for s, offset, lo, hi, spans, _, _ in _spans(part, at[chosen], doc[chosen], side):
+        for s, offset, lo, hi, spans, _, _ in _spans(part, at[chosen], doc[chosen], side, U64(0)):
             column = np.arange(SPAN - LENGTH + 1)
             i, j = np.nonzero((column >= lo[:, None]) & (column <= hi[:, None]))
             d = doc[chosen][s][i]
@@ -247,13 +254,13 @@ def _single(part: Part, number: int, side: bool, at: np.ndarray, doc: np.ndarray
         yield np.stack((text[later], start[later], np.ones(int(later.sum()), np.int64))), rows
 
 
-def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+def _pairs(left: pa.Table, right: pa.Table, short: np.uint64) -> pa.Table:
     """Suffixes whose rank of round two a smaller doc_id has give runs of windows; open ones go on with their bytes, or with
     the hashes of their windows if hot."""
     if not left.num_rows:
         return PAIRS_SCHEMA.empty_table()
     part, number = Part.of(left), left.column("part")[0].as_py()
-    at, rank = anchors(part)
+    at, rank = anchors(part, short)
     known = right.column("rank").to_numpy().view(np.uint64) if right.num_rows else np.zeros(0, np.uint64)
     by = np.argsort(known)
     flags = [right.column(k).to_numpy(zero_copy_only=False).astype(np.int8)[by] for k in ("open", "later")]
@@ -262,7 +269,7 @@ def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
     seen[(known & LOW).astype(np.int64)] = True
     use = seen[(rank & LOW).astype(np.int64)]
     runs, rows = [], []
-    for side, a, doc, offset, lo, hi, rank2, core in _surroundings(part, at[use], rank[use]):
+    for side, a, doc, offset, lo, hi, rank2, core in _surroundings(part, at[use], rank[use], short):
         place = np.minimum(np.searchsorted(known, rank2), max(len(known) - 1, 0))
         hit = known[place] == rank2 if len(known) else np.zeros(len(rank2), bool)
         head = _heads(rank2)
@@ -282,7 +289,7 @@ def _pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         stops = np.append(first, len(order)).astype(np.int32)
         lead = order[first]
         n = len(first)
-        spans = np.concatenate([np.zeros((0, SPAN), np.uint8), *(x[4] for x in _spans(part, a[lead], doc[lead], side))])
+        spans = np.concatenate([np.zeros((0, SPAN), np.uint8), *(x[4] for x in _spans(part, a[lead], doc[lead], side, short))])
         spans = pa.array(spans.ravel()).buffers()[1] if n else pa.py_buffer(b"")
         spans = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * SPAN).astype(np.int32).tobytes()), spans])
         rows.append(pa.table([
@@ -392,11 +399,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = True)
     Null and empty texts, and texts shorter than LENGTH, keep what they have. Rows of one doc_id do not touch each other.
     Rows of a null doc_id are compared with nothing. Other columns are not read. No rows give no rows.
     """
-    n = common.parts_for(docs, text)
+    total = common.bytes_of(docs, text)
+    n, short = common.parts_for(docs, total), shortened(total)
     texts = dealt(docs, n, text)
-    ranks = _shared(texts.groupBy("part").applyInArrow(_ranks, "part int, key long, times int"))
-    classes = texts.groupBy("part").cogroup(ranks.groupBy("part")).applyInArrow(_classes, CLASSES)
-    pairs = texts.groupBy("part").cogroup(_verdicts(classes).groupBy("part")).applyInArrow(_pairs, PAIRS)
+    ranks = _shared(texts.groupBy("part").applyInArrow(lambda t: _ranks(t, short), "part int, key long, times int"))
+    classes = texts.groupBy("part").cogroup(ranks.groupBy("part")).applyInArrow(lambda t, u: _classes(t, u, short), CLASSES)
+    pairs = texts.groupBy("part").cogroup(_verdicts(classes).groupBy("part")).applyInArrow(lambda t, u: _pairs(t, u, short), PAIRS)
     buckets = pairs.withColumn("bucket", F.pmod("bucket", F.lit(16 * n)))
     flags = buckets.groupBy("bucket").applyInArrow(_windows, FLAGS)
     found = texts.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(_removed(with_text), RESULT)
