@@ -48,3 +48,13 @@ def map_link_coord(url: Column) -> Column:
 
 def contains_any(text: Column, words: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w)) if words else F.lit(False)
+
+
+def fresh_uuid() -> Column:
+    """A random UUID for each row; another on each run."""
+    return F.uuid()
+
+
+def stamp(time: Column | None = None, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """A time, the current one if none is given, as text."""
+    return F.date_format(F.current_timestamp() if time is None else time, pattern)

@@ -12,7 +12,8 @@ NODATA = -9999.0
 
 
 def nearest(ask: DataFrame, valid: DataFrame, most: int, cell: int = 16) -> DataFrame:
-    """y, x, z of ask (y, x), each with the z of the nearest row of valid (y, x, z); of equally near ones the first by y, x.
+    """y, x, z, d2 of ask (y, x), each with the z of the nearest row of valid (y, x, z), of equally near ones the first by y, x, and the
+    square of its distance.
 
     Both sides meet in cells and the cells around them, which decides every distance up to a cell's side. What is left goes on
     with cells four times as large, until a cell is as large as the raster (most).
@@ -25,7 +26,7 @@ def nearest(ask: DataFrame, valid: DataFrame, most: int, cell: int = 16) -> Data
         source = valid.select(key("y").alias("_cy"), key("x").alias("_cx"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("z").alias("_z"))
         d = (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")) + (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x"))
         met = near.join(source, ["_cy", "_cx"]).groupBy("y", "x").agg(F.min(F.struct(d.cast("long").alias("d"), "_y", "_x", "_z")).alias("m"))
-        done = checkpoint(met.where(F.col("m.d") <= cell * cell).select("y", "x", F.col("m._z").alias("z")))
+        done = checkpoint(met.where(F.col("m.d") <= cell * cell).select("y", "x", F.col("m._z").alias("z"), F.col("m.d").alias("d2")))
         out = done if out is None else out.unionByName(done)
         if cell >= most:
             return out
@@ -43,7 +44,7 @@ def thinned(df: DataFrame, valid: Column, h: int, w: int, step: int) -> DataFram
     gaps = kept.where(~F.col("_ok")).select("y", "x")
     rim = kept.where("_ok").join(focal.dilate(gaps, h, w), ["y", "x"], "left_semi").select("y", "x", "z")
     filled = nearest(gaps.where(on), rim, max(h, w))
-    small = kept.where("_ok").where(on).select("y", "x", "z").unionByName(filled)
+    small = kept.where("_ok").where(on).select("y", "x", "z").unionByName(filled.drop("d2"))
     return small.select(F.floor(F.col("y") / step).cast("int").alias("y"), F.floor(F.col("x") / step).cast("int").alias("x"), "z")
 
 

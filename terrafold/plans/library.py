@@ -398,12 +398,16 @@ def tile_valid_ratio(spark, d):
     return grid.tile_valid_ratio(fx.alpha(spark, d), 50)
 
 
-@query(
+GRID = (
     ", f AS (SELECT *, floor(ox / 0.2::DOUBLE) * 0.2::DOUBLE x, floor(oy / 0.2::DOUBLE) * 0.2::DOUBLE y FROM geo), s AS (SELECT h, w, ox, oy, x + CASE WHEN x < ox THEN 0.2::DOUBLE ELSE 0 END fx, y - CASE WHEN y > oy THEN 0.2::DOUBLE ELSE 0 END fy, "
     "CAST(floor(w * 0.02::DOUBLE / 0.2::DOUBLE) AS INT) + 1 nx, CAST(floor(h * 0.02::DOUBLE / 0.2::DOUBLE) AS INT) + 1 ny FROM f), "
     "t AS (SELECT h, w, CAST(i * ny + j AS BIGINT) tile, fx + i * 0.2::DOUBLE cx, fy - j * 0.2::DOUBLE cy, ox, oy FROM s, range(0, 100) a(i), range(0, 100000) b(j) WHERE i < nx AND j < ny), "
     "p AS (SELECT tile, cx, cy, h, w, CAST(round_even((cy - oy) / -0.02::DOUBLE, 0) AS INT) y0, CAST(round_even((cx - ox) / 0.02::DOUBLE, 0) AS INT) x0 FROM t), q AS MATERIALIZED (SELECT *, y0 + 10 y1, x0 + 10 x1 FROM p WHERE y0 >= 0 AND x0 >= 0 AND y0 + 10 <= h AND x0 + 10 <= w) "
-    "SELECT y0, x0, tile, cx, cy, y1, x1, count(*) n, max(z) z_max FROM q JOIN px ON y BETWEEN y0 AND y1 - 1 AND x BETWEEN x0 AND x1 - 1 GROUP BY ALL",
+)
+
+
+@query(
+    GRID + "SELECT y0, x0, tile, cx, cy, y1, x1, count(*) n, max(z) z_max FROM q JOIN px ON y BETWEEN y0 AND y1 - 1 AND x BETWEEN x0 AND x1 - 1 GROUP BY ALL",
     "px", "geo",
 )
 def tile_grid(spark, d):
@@ -505,7 +509,10 @@ def column_median_5(spark, d):
     return focal.column_median(fx.px(spark, d))
 
 
-@query(", s AS (SELECT y // 4 y, x // 4 x FROM px WHERE y % 4 = 0 AND x % 4 = 0 AND z > 0.1), n AS (SELECT CAST(ceil(h / 4.0) AS INT) sh, 16 sw FROM geo), g AS (SELECT DISTINCT y + dy y, x + dx x FROM s, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dy, dx), n WHERE y + dy BETWEEN 0 AND sh - 1 AND x + dx BETWEEN 0 AND sw - 1), r AS (SELECT * FROM g EXCEPT SELECT * FROM s), f AS (SELECT i y, j x FROM n, range(0, 100000) a(i), range(0, 16) b(j) WHERE i < sh AND (i = 0 OR i = sh - 1 OR j = 0 OR j = 15)) SELECT CAST(y * 4 + 1 AS INT) y, CAST(x * 4 + 1 AS INT) x FROM (SELECT * FROM r UNION SELECT * FROM f)", "px", "geo")
+RIM = ", ms AS (SELECT y // 4 y, x // 4 x FROM {mask}), mn AS (SELECT CAST(ceil(h / 4.0) AS INT) sh, 16 sw FROM geo), mg AS (SELECT DISTINCT y + dy y, x + dx x FROM ms, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) o(dy, dx), mn WHERE y + dy BETWEEN 0 AND sh - 1 AND x + dx BETWEEN 0 AND sw - 1), mr AS (SELECT * FROM mg EXCEPT SELECT * FROM ms), mf AS (SELECT i y, j x FROM mn, range(0, 100000) a(i), range(0, 16) b(j) WHERE i < sh AND (i = 0 OR i = sh - 1 OR j = 0 OR j = 15))"
+
+
+@query(RIM.format(mask="px WHERE y % 4 = 0 AND x % 4 = 0 AND z > 0.1") + " SELECT CAST(y * 4 + 1 AS INT) y, CAST(x * 4 + 1 AS INT) x FROM (SELECT * FROM mr UNION SELECT * FROM mf)", "px", "geo")
 def border_coords(spark, d):
     g = fx.geo(spark, d)
     return focal.border_coords(fx.px(spark, d).where("z > 0.1"), g.h, g.w, 4)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrafold.model import EPSG_GPS, EPSG_MTM8
-from terrafold.operators import blocks, coords, detect, geodesy, graph, ground, halo, mapalg, mesh, regions, semantics, tiles, zonal
+from terrafold.operators import blocks, coords, detect, geodesy, graph, ground, halo, jobs, mapalg, mesh, regions, seams, semantics, tiles, zonal
 from terrafold.plans import fixtures as fx
-from terrafold.plans.library import CUBIC, DICTIONARY, NDSM, SIDES, _int_code, ndsm
+from terrafold.plans.library import CUBIC, DICTIONARY, GRID, NDSM, RIM, SIDES, _int_code, ndsm
 from terrafold.plans.registry import query
 
 # Ground and canopy
@@ -335,3 +335,46 @@ def street_ends(spark, d):
 def city_blocks(spark, d):
     """Blocks of a street lattice around the customers that lie in it: streets are the lattice's sides that a supplier keeps open."""
     return blocks.around(fx.streets(spark, d), fx.street_seeds(spark, d), radius=60.0, most=8).select("seed", "uuid", F.size("nodes").alias("n"))
+
+
+# Jobs
+
+
+@query(
+    ", d0 AS (SELECT y, x, z FROM dtm)" + _smoothed("SELECT y, x, z, z > (SELECT min(z) FROM d0) ok FROM d0", 5, 5)
+    + ", c AS (SELECT y, x, CASE WHEN ok THEN sz ELSE -9999 END z FROM d JOIN v USING (y, x)) SELECT y, x, round_even(CASE WHEN a.z - c.z < 0 OR a.z - c.z > 60 THEN 0.0 ELSE a.z - c.z END, 3) z FROM dsm a JOIN c USING (y, x)",
+    "dsm", "dtm", "geo",
+)
+def ndsm_corrected(spark, d):
+    g = fx.geo(spark, d)
+    return jobs.height_model(fx.dsm(spark, d), g, fx.dtm(spark, d), g, 60.0, correct=True, step=5)[0]
+
+
+@query(
+    GRID + RIM.format(mask="alpha WHERE y % 4 = 0 AND x % 4 = 0 AND a <> 0") + ", rim AS MATERIALIZED (SELECT CAST(y * 4 + 1 AS INT) y, CAST(x * 4 + 1 AS INT) x FROM (SELECT * FROM mr UNION SELECT * FROM mf)), "
+    "u AS MATERIALIZED (SELECT tile, cx, cy, y0, x0, y1, x1, sum(a) / 100 / 255.0::DOUBLE ratio FROM q JOIN alpha ON y BETWEEN y0 AND y1 - 1 AND x BETWEEN x0 AND x1 - 1 GROUP BY ALL) "
+    "SELECT u.*, floor(sqrt(min((y0 + 5 - rim.y) * (y0 + 5 - rim.y) + (x0 + 5 - rim.x) * (x0 + 5 - rim.x)))) * 0.02::DOUBLE distance FROM u, rim WHERE ratio >= 0.9::DOUBLE GROUP BY ALL HAVING distance >= 0.02::DOUBLE",
+    "px", "alpha", "geo",
+)
+def valid_tiles(spark, d):
+    return jobs.valid_tiles(fx.alpha(spark, d), fx.geo(spark, d), 0.2, 4, 0.9, 0.02)
+
+
+@query()
+def tree_lines(spark, d):
+    """OBJ lines of the fixture's instances as trees, all of which are tall and wide enough at this scale."""
+    g = fx.geo(spark, d)
+    return jobs.tree_models(fx.inst(spark, d), fx.px(spark, d), fx.dtm(spark, d), fx.alpha(spark, d).withColumn("a", F.lit(255)), g, "tree", -1.0, 0.0)[0]
+
+
+@query()
+def tree_metadata(spark, d):
+    g = fx.geo(spark, d)
+    return jobs.tree_models(fx.inst(spark, d), fx.px(spark, d), fx.dtm(spark, d), fx.alpha(spark, d).withColumn("a", F.lit(255)), g, "tree", -1.0, 0.0)[1]
+
+
+@query()
+def seam_merge(spark, d):
+    """The instances of a raster and its copy below it, joined across the seam."""
+    g = fx.geo(spark, d)
+    return seams.combine(fx.inst(spark, d), fx.inst(spark, d), g.h, "y", reach=3)

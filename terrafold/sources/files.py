@@ -65,3 +65,53 @@ def read_obj(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     at = lambda i, kind: F.element_at(cells, i).cast(kind)
     v = lines.where(F.col("t").startswith("v ")).select("line", at(2, "double").alias("x"), at(3, "double").alias("y"), at(4, "double").alias("z"))
     return v, lines.where(F.col("t").startswith("f ")).select("line", at(2, "long").alias("a"), at(3, "long").alias("b"), at(4, "long").alias("c"))
+
+
+def read_npz_metadata(spark: SparkSession, path: str, member: str = "metadata") -> DataFrame:
+    """path, metadata, type of the text member that holds an archive's metadata as JSON; null where there is none."""
+
+    def run(batches):
+        for b in batches:
+            names, raws = b.column(0).to_pylist(), b.column(1).to_pylist()
+            held = [np.load(io.BytesIO(raw), allow_pickle=False) for raw in raws]
+            text = [str(a[member]) if member in a.files else None for a in held]
+            kind = ["map" if t and t.lstrip().startswith("{") else None if t is None else "string" for t in text]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(text, pa.string()), pa.array(kind, pa.string())], names=["path", "metadata", "type"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, metadata string, type string")
+
+
+def write_tiles(tiles: DataFrame, path: str) -> None:
+    """tiles (tile, y, x, ...) as Parquet, a folder for each tile, so that reading one tile reads its files only."""
+    tiles.repartition("tile").write.partitionBy("tile").mode("overwrite").parquet(path)
+
+
+def read_tiles(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """tile, row_id, y, x, code of point files (axis-0, axis-1, code; one for each tile, named like it); rows off the grid of whole
+    pixels are truncated to it, and a file's rows keep their order in row_id."""
+    raw = spark.read.option("header", True).csv(path, schema="`axis-0` double, `axis-1` double, code string").select("*", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row_id"))
+    name = F.regexp_extract(F.url_decode("file_path"), r"([^/]+)\.csv$", 1)
+    return raw.select(name.alias("tile"), "row_id", F.col("`axis-0`").cast("int").alias("y"), F.col("`axis-1`").cast("int").alias("x"), "code")
+
+
+def read_translation(spark: SparkSession, path: str) -> tuple[float, float]:
+    """x and y of the first row of a CSV with these columns."""
+    row = spark.read.option("header", True).csv(path).select(F.col("x").cast("double"), F.col("y").cast("double")).first()
+    if row is None:
+        raise RasterError(f"no translation in {path}")
+    return row.x, row.y
+
+
+def json_lines(df: DataFrame, key: str) -> DataFrame:
+    """key, json: each row's other columns as a JSON object, null ones included."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != key])
+    return df.select(key, F.to_json(rest, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def mesh_text(lines: DataFrame, path: str) -> None:
+    """lines (section, seq, line) in order as text; parts are ranges, so no task has all of them."""
+    lines.orderBy("section", "seq").select("line").write.mode("overwrite").text(path)
