@@ -174,11 +174,18 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-CLASSES = "part int, core long, rank long, doc_id long, multi boolean"
-CLASSES_SCHEMA = pa.schema([("part", pa.int32()), ("core", pa.int64()), ("rank", pa.int64()), ("doc_id", pa.int64()), ("multi", pa.bool_())])
+#: Fields in an order that brings their bytes together which differ from row to row, doc_id shifted up to them, so that Spark's
+#: shuffle presses the others away; a shift keeps the order of ids.
+CLASSES = "part int, multi boolean, doc_id long, rank long, core long"
+CLASSES_SCHEMA = pa.schema([("part", pa.int32()), ("multi", pa.bool_()), ("doc_id", pa.int64()), ("rank", pa.int64()), ("core", pa.int64())])
 
 
-def _classes(left: pa.Table, right: pa.Table, short: np.uint64) -> pa.Table:
+def room(least: int, most: int) -> int:
+    """Whole bytes, in bits, by which ids from least to most can be shifted up without loss."""
+    return 8 * max(0, (63 - max(abs(least), abs(most)).bit_length()) // 8)
+
+
+def _classes(left: pa.Table, right: pa.Table, short: np.uint64, up: int) -> pa.Table:
     """Round two: a row for each rank of the part, with the smallest doc_id that has it; multi if another has it too.
 
     The core of a hot suffix is its rank, so that its other surroundings are dealt elsewhere.
@@ -199,12 +206,12 @@ def _classes(left: pa.Table, right: pa.Table, short: np.uint64) -> pa.Table:
         first = np.flatnonzero(_heads(rank2))
         ids = part.doc_id[doc]
         multi = ids[np.append(first[1:], len(ids)) - 1] != ids[first] if len(first) else np.zeros(0, bool)
-        out.append(pa.table([pa.array(np.full(len(first), number, np.int32)), pa.array(core[first].view(np.int64)), pa.array(rank2[first].view(np.int64)), pa.array(ids[first]), pa.array(multi)], schema=CLASSES_SCHEMA))
+        out.append(pa.table([pa.array(np.full(len(first), number, np.int32)), pa.array(multi), pa.array(ids[first] << up), pa.array(rank2[first].view(np.int64)), pa.array(core[first].view(np.int64))], schema=CLASSES_SCHEMA))
     return pa.concat_tables(out) if out else CLASSES_SCHEMA.empty_table()
 
 
 def _verdicts(classes: DataFrame) -> DataFrame:
-    """part, rank, open and later of the ranks that matter: open, if the core occurs in other surroundings too and no smaller
+    """part, rank and flags (2 * open + later) of the ranks that matter: open, if the core occurs in other surroundings too and no smaller
     doc_id has the rank, so that round three must compare windows (1: in a bucket of the core, 2: by the windows, as of a hot
     suffix, whatever its surroundings); else a smaller doc_id has it, in this part or another."""
     least = F.min("doc_id").over(Window.partitionBy("core", "rank"))
@@ -212,7 +219,7 @@ def _verdicts(classes: DataFrame) -> DataFrame:
     found = classes.withColumn("_first", F.col("doc_id") == least).withColumn("_several", F.min("rank").over(around) < F.max("rank").over(around))
     opened = F.when(F.col("_first") & (F.col("core") == F.col("rank")), 2).when(F.col("_first") & F.col("_several"), 1).otherwise(0)
     found = found.withColumn("open", opened).withColumn("later", ~F.col("_first"))
-    return found.where("later or open > 0 or multi").select("part", "rank", "open", "later")
+    return found.where("later or open > 0 or multi").select("rank", "part", (2 * F.col("open") + F.col("later").cast("int")).alias("flags"))
 
 
 def _values(spans: np.ndarray) -> np.ndarray:
@@ -263,7 +270,8 @@ def _pairs(left: pa.Table, right: pa.Table, short: np.uint64) -> pa.Table:
     at, rank = anchors(part, short)
     known = right.column("rank").to_numpy().view(np.uint64) if right.num_rows else np.zeros(0, np.uint64)
     by = np.argsort(known)
-    flags = [right.column(k).to_numpy(zero_copy_only=False).astype(np.int8)[by] for k in ("open", "later")]
+    both = right.column("flags").to_numpy().astype(np.int8)[by] if right.num_rows else np.zeros(0, np.int8)
+    flags = [both >> 1, both & 1]
     known = known[by]
     seen = np.zeros(1 << 20, bool)
     seen[(known & LOW).astype(np.int64)] = True
@@ -399,11 +407,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = True)
     Null and empty texts, and texts shorter than LENGTH, keep what they have. Rows of one doc_id do not touch each other.
     Rows of a null doc_id are compared with nothing. Other columns are not read. No rows give no rows.
     """
-    total = common.bytes_of(docs, text)
-    n, short = common.parts_for(docs, total), shortened(total)
+    ids = F.col("doc_id").cast("long")
+    total, least, most = (x or 0 for x in docs.agg(F.sum(F.octet_length(F.col(text))), F.min(ids), F.max(ids)).first())
+    n, short, up = common.parts_for(docs, total), shortened(total), room(least, most)
     texts = dealt(docs, n, text)
     ranks = _shared(texts.groupBy("part").applyInArrow(lambda t: _ranks(t, short), "part int, key long, times int"))
-    classes = texts.groupBy("part").cogroup(ranks.groupBy("part")).applyInArrow(lambda t, u: _classes(t, u, short), CLASSES)
+    classes = texts.groupBy("part").cogroup(ranks.groupBy("part")).applyInArrow(lambda t, u: _classes(t, u, short, up), CLASSES)
     pairs = texts.groupBy("part").cogroup(_verdicts(classes).groupBy("part")).applyInArrow(lambda t, u: _pairs(t, u, short), PAIRS)
     buckets = pairs.withColumn("bucket", F.pmod("bucket", F.lit(16 * n)))
     flags = buckets.groupBy("bucket").applyInArrow(_windows, FLAGS)

@@ -170,6 +170,14 @@ def test_repeats_of_one_doc_id_and_nulls(spark, none):
     assert suffix.remove_repeats(none).collect() == []
 
 
+def test_repeats_of_large_and_negative_ids(spark):
+    t = "".join(chr(97 + k * k % 26) for k in range(80))
+    ids = (2**62 + 5, -(2**61), 3, 2**40, 2**62 + 6)
+    assert [suffix.room(0, m) for m in (0, 255, 2**62)] == [56, 48, 0]
+    found = {r.doc_id: r.n_removed for r in suffix.remove_repeats(spark.createDataFrame([(i, t) for i in ids], SCHEMA)).collect()}
+    assert found == {i: 0 if i == min(ids) else 80 for i in ids}
+
+
 def test_repeats_of_a_line_that_all_texts_share(spark, monkeypatch):
     """Each text has the line in other surroundings; its windows are spread over buckets, and the result is exact."""
     rnd = random.Random(8)
