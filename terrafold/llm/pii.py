@@ -29,8 +29,10 @@ RUN, AGAIN = 4096, 16
 #: Words that are scored and decoded at a time.
 BATCH_WORDS = 40_000
 BUCKETS = 1 << 13
-#: The least mean marginal probability of a span that the field adds.
+#: The least mean marginal probability of a span that the field adds, and how many digits and characters one of its kind may have.
 SURE = 0.9
+DIGITS = ((0, 64), (1, 39), (12, 19), (7, 15))
+LONGEST = 254
 
 # Fixed values of the contract, written so that each runs in linear time.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -67,6 +69,7 @@ FORMS = (
 PLAIN = (
     "1###-1###", "##/##/20##", "20##-0#-1#", "1#:##", "978-#-##-######-#", "#,###,###", "##.##", "#.#.#", "v#.##.###", "########", "##-##", "### ###", "look at <host>.<top>", "met at noon", "<host>.<top>", "# @ ##", "@<name>", "page ##",
     "1## km", "$##.##", "##%", "#### <word>", "No. ###/##", "####-##-##T##:##", "room ###", "at ##.## today", "<word> ##", "Q#/20##", "## <word> ## <word>", "#### #### ####", "####-#### ####",
+    "## ## ## ## ## ##", "# # # # # # #", "### ## ### ## ### ##", "##, ##, ##, ##", "#### ### ## # ## ###", "## ## ## ## ## ## ## ## ## ## ## ##", "##.# ##.# ##.# ##.#",
 )
 CARRIERS = (
     "call", "phone", "tel", "or ring", "fax", "text", "dial", "reach us on", "mail", "write to", "ask", "contact", "from", "or", "for", "number", "host", "server", "card", "paid with", "account", "see", "in", "about", "the", "order",
@@ -413,7 +416,7 @@ def _decoded(field: Field, group: list[tuple[int, list[tuple[int, int]]]], texts
                 e += 1
             sure = np.mean([marginal[k, q, path[q]] for q in range(j, e)])
             a, b = _trimmed(texts[i], w[j][0], w[e - 1][1])
-            if sure >= SURE and a < b:
+            if sure >= SURE and a < b <= a + LONGEST and DIGITS[kind][0] <= sum(c.isdigit() for c in texts[i][a:b]) <= DIGITS[kind][1]:
                 yield i, (int(kind), a, b)
             j = e
 
