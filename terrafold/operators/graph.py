@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrafold.operators.linked import checkpoint
+
 
 def canonical(edges: DataFrame) -> DataFrame:
     """a <= b of each edge, once."""
@@ -28,7 +30,7 @@ def loops(edges: DataFrame, seed: int, most: int = 10) -> DataFrame:
     out = None
     paths = edges.where((F.col("u") == seed) & (F.col("v") != seed)).select(F.array("u", "v").alias("path"))
     for _ in range(most - 1):
-        step = paths.join(edges, F.element_at("path", -1) == F.col("u"))
+        step = checkpoint(paths.join(edges, F.element_at("path", -1) == F.col("u")).where((F.col("v") == seed) | ~F.array_contains("path", F.col("v"))))
         back = step.where((F.col("v") == seed) & (F.size("path") > 2)).select("path")
         out = back if out is None else out.unionByName(back)
         paths = step.where(~F.array_contains("path", F.col("v"))).select(F.concat("path", F.array("v")).alias("path"))

@@ -20,7 +20,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if path is None and not sc.master.startswith("local["):
+        if path is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
