@@ -112,6 +112,38 @@ def _shared(ranks: DataFrame) -> DataFrame:
     return found.where("_n > 1 or _m > 0").select("part", "key", "hot")
 
 
+#: Bytes that a span of plain text is made of: such spans travel with six bits a byte, others as they are.
+PLAIN = b"\0\n .,-'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz!?:;\""
+CODE = np.full(256, 255, np.uint8)
+CODE[np.frombuffer(PLAIN, np.uint8)] = np.arange(len(PLAIN), dtype=np.uint8)
+
+
+def pressed(spans: np.ndarray) -> pa.Array:
+    """Spans (rows of bytes) as binary values: packed, if all bytes are PLAIN, which makes them shorter, else whole."""
+    code = CODE[spans]
+    plain = (code != 255).all(axis=1)
+    packed = np.packbits(np.unpackbits(code[plain, :, None], axis=2)[:, :, 2:].reshape(int(plain.sum()), 6 * spans.shape[1]), axis=1)
+    sizes = np.where(plain, packed.shape[1], spans.shape[1]).astype(np.int32)
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    data = np.empty(int(ends[-1]), np.uint8)
+    for chosen, rows in ((np.flatnonzero(plain), packed), (np.flatnonzero(~plain), spans[~plain])):
+        data[(ends[chosen, None] + np.arange(rows.shape[1])).ravel()] = rows.ravel()
+    return pa.Array.from_buffers(pa.binary(), len(spans), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def unpressed(values: list[bytes], width: int) -> np.ndarray:
+    """The rows of `width` bytes that pressed() was given."""
+    out = np.zeros((len(values), width), np.uint8)
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    whole, packed = np.flatnonzero(sizes == width), np.flatnonzero(sizes != width)
+    if len(whole):
+        out[whole] = np.frombuffer(b"".join(values[k] for k in whole), np.uint8).reshape(len(whole), width)
+    if len(packed):
+        bits = np.unpackbits(np.frombuffer(b"".join(values[k] for k in packed), np.uint8).reshape(len(packed), -1), axis=1)[:, : 6 * width].reshape(len(packed), width, 6)
+        out[packed] = np.frombuffer(PLAIN, np.uint8)[(bits * (1 << np.arange(5, -1, -1)).astype(np.uint8)).sum(axis=2)]
+    return out
+
+
 PAIRS = "part int, seq int, doc_id long, start array<long>, lo int, hi int, span binary, bits int, run long, window long, bucket long"
 PAIRS_SCHEMA = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_id", pa.int64()), ("start", pa.list_(pa.int64())), ("lo", pa.int32()), ("hi", pa.int32()), ("span", pa.binary()), ("bits", pa.int32()), ("run", pa.int64()), ("window", pa.int64()), ("bucket", pa.int64())])
 
@@ -298,8 +330,7 @@ def _pairs(left: pa.Table, right: pa.Table, short: np.uint64) -> pa.Table:
         lead = order[first]
         n = len(first)
         spans = np.concatenate([np.zeros((0, SPAN), np.uint8), *(x[4] for x in _spans(part, a[lead], doc[lead], side, short))])
-        spans = pa.array(spans.ravel()).buffers()[1] if n else pa.py_buffer(b"")
-        spans = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * SPAN).astype(np.int32).tobytes()), spans])
+        spans = pressed(spans)
         rows.append(pa.table([
             pa.array(np.full(n, number, np.int32)), pa.array(doc[lead].astype(np.int32)), pa.array(part.doc_id[doc[lead]]), pa.ListArray.from_arrays(pa.array(stops), pa.array(where)),
             pa.array(lo[lead].astype(np.int32)), pa.array(hi[lead].astype(np.int32)), spans, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(core[lead].view(np.int64)),
@@ -345,7 +376,7 @@ def _windows(table: pa.Table) -> pa.Table:
     n = open_.num_rows
     if not n:
         return done
-    bytes_ = np.frombuffer(b"".join(open_.column("span").to_pylist()), np.uint8).reshape(n, SPAN)
+    bytes_ = unpressed(open_.column("span").to_pylist(), SPAN)
     value = _values(bytes_)
     w = value.shape[1]
     lo, hi = (open_.column(k).to_numpy()[:, None] for k in ("lo", "hi"))
