@@ -170,15 +170,6 @@ def test_repeats_of_one_doc_id_and_nulls(spark, none):
     assert suffix.remove_repeats(none).collect() == []
 
 
-def test_spans_press_and_come_back():
-    rnd = np.random.default_rng(3)
-    plain = np.frombuffer(suffix.PLAIN, np.uint8)[rnd.integers(0, len(suffix.PLAIN), (40, suffix.SPAN))]
-    rows = np.concatenate((plain, rnd.integers(0, 256, (9, suffix.SPAN)).astype(np.uint8), plain[:3]))
-    values = suffix.pressed(rows).to_pylist()
-    assert len(values[0]) < 0.8 * suffix.SPAN == 0.8 * len(values[45]) and np.array_equal(suffix.unpressed(values, suffix.SPAN), rows)
-    assert suffix.pressed(rows[:0]).to_pylist() == [] and len(set(suffix.PLAIN)) == len(suffix.PLAIN) <= 64
-
-
 def test_repeats_of_large_and_negative_ids(spark):
     t = "".join(chr(97 + k * k % 26) for k in range(80))
     ids = (2**62 + 5, -(2**61), 3, 2**40, 2**62 + 6)
