@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from terrafold.operators.linked import FEW, checkpoint
 
-__all__ = ["SPACE", "WORD", "bind", "bytes_of", "checkpoint", "documents", "free_name", "one_each", "parts_for", "row_schema", "text_or_empty", "without", "words"]
+__all__ = ["SPACE", "WORD", "bind", "bytes_of", "checkpoint", "documents", "free_name", "one_each", "parts_for", "row_schema", "text_or_empty", "with_ids", "without", "without_ids", "words"]
 
 #: ASCII white space, the word separator of every contract.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -76,3 +76,39 @@ def one_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def row_schema(docs: DataFrame, key: str, ddl: str) -> StructType:
     """The key column of docs, then nullable columns."""
     return StructType([docs.schema[key], *StructType.fromDDL(ddl).fields])
+
+
+#: Bits of a filter for each id, and bits of a filter at most: 32 MB.
+BITS, MOST_BITS = 16, 1 << 28
+
+
+def _hit(docs: DataFrame, ids: DataFrame, key: str, n: int) -> DataFrame:
+    """docs with _hit: true where a bitmap over hashes of the n ids has the hash of the row's key, so for all rows of an id, and for
+    few others; else false or null. The bitmap is bounded in size, whatever n, and goes to all tasks; docs are not shuffled."""
+    bits, word = min(MOST_BITS, 1 << (BITS * n).bit_length()), 1 << 15
+    slot = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits))
+    bitmap = ids.select(slot.alias("s")).groupBy(F.floor(F.col("s") / word).alias("_b")).agg(F.bitmap_construct_agg((F.col("s") % word).cast("long")).alias("_m"))
+    at = slot % word
+    byte = F.conv(F.hex(F.substring(F.col("_m"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (at % 8 + 1).cast("int"))) > 0
+    return docs.join(F.broadcast(bitmap), F.floor(slot / word) == F.col("_b"), "left").withColumn("_hit", bit).drop("_b", "_m")
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, few: int = FEW, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is among ids (of a checkpoint, each once, no null).
+
+    Up to `few` ids are sent to all tasks. More are joined by a shuffle, of the rows that a bitmap of the ids lets through.
+    """
+    n = ids.count()
+    if n <= few:
+        return docs.join(F.broadcast(ids), key, "left_semi").select(*docs.columns)
+    return _hit(docs, ids, key, n).where("_hit").join(ids, key, "left_semi").select(*docs.columns)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, few: int = FEW, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is not among ids; joined as in with_ids, so that most rows that stay are not shuffled."""
+    n = ids.count()
+    if n <= few:
+        return docs.join(F.broadcast(ids), key, "left_anti").select(*docs.columns)
+    hit = _hit(docs, ids, key, n)
+    return hit.where("_hit is null or not _hit").drop("_hit").select(*docs.columns).unionByName(hit.where("_hit").join(ids, key, "left_anti").select(*docs.columns))

@@ -212,6 +212,16 @@ def _across(lists: DataFrame, labels: DataFrame, pick: Pick, percent: int) -> Da
     if not members:
         return lists.sparkSession.createDataFrame([], LINKS)
     found = found.coalesce(tasks_for(members))
+    return between(found, pick, percent)
+
+
+def between(found: DataFrame, pick: Pick, percent: int) -> DataFrame:
+    """Links between texts of different components within a family, at least one for each linked pair of components.
+
+    found: family, doc_id, component, n_shingles and near, a row for each member. Members outside the largest component of
+    their family are compared with all, in blocks of differences from its pivot, the member of largest near.
+    """
+    members = found.count()
     parts = common.checkpoint(found.groupBy("family", "component").agg(F.count("*").alias("n"), F.max(F.struct("near", (-F.col("doc_id")).alias("_d"))).alias("_p")).coalesce(tasks_for(members)))
     whole = parts.groupBy("family").agg(
         F.max(F.struct("n", (-F.col("component")).alias("_c"))).alias("_main"), F.sum("n").alias("_all"), F.max("_p").alias("_p"),
@@ -253,31 +263,46 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Where a bucket then still holds several components, its texts are compared in blocks, so no pair that shares a bucket
     stays both untested and apart.
     """
-    signed = common.checkpoint(signatures(docs, size).withColumn("doc_id", F.col("doc_id").cast("long")))
+    signed, pick = settled(docs, signatures(docs, size), size)
+    reps = sets_of(signed, "halves")
+    lists = common.checkpoint(_shared_halves(reps))
+    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)  # noqa: E731  sizes further apart can't be linked
+    stars = common.checkpoint(_stars(lists, fits))
+    links = _verified(stars, pick, percent)
+    labels = _trees(links)
+    more = _across(lists, labels, pick, percent)
+    if not more.isEmpty():
+        labels = _joined(labels, more)
+    return labelled(signed, reps, labels)
+
+
+def sets_of(signed: DataFrame, *columns: str) -> DataFrame:
+    """digest, doc_id (the smallest), the largest doc_id, copies, n_shingles and columns of each distinct set that rows stand for."""
+    counts = [F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("_last"), F.count("*").alias("copies")]
+    return common.checkpoint(signed.where("stands").groupBy("digest").agg(*counts, *[F.first(c).alias(c) for c in ("n_shingles", *columns)]))
+
+
+def settled(docs: DataFrame, signed: DataFrame, size: int) -> tuple[DataFrame, Pick]:
+    """signed (doc_id, n_shingles, digest and more), written, and the sets of any ids. Where rows of one doc_id hold different sets,
+    the digest of the smallest replaces theirs; stands: whether the row has a doc_id and the set that it goes by."""
+    signed = common.checkpoint(signed.withColumn("doc_id", F.col("doc_id").cast("long")))
     several = common.checkpoint(signed.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("_d"), F.max("digest").alias("_e")).where("_d <> _e").select("doc_id", "_d"))
     at_odds = not several.isEmpty()
     if at_odds:
         signed = signed.join(_sent(several), "doc_id", "left").withColumn("own", F.col("digest")).withColumn("digest", F.when(F.col("own").isNotNull(), F.coalesce("_d", "own"))).drop("_d")
 
     def pick(ids: DataFrame) -> DataFrame:
-        found = sets(docs.select("doc_id", "text").join(_sent(ids), "doc_id", "left_semi"), size)
+        found = sets(common.with_ids(docs.select("doc_id", "text"), ids, FEW), size)
         if at_odds:
             found = found.join(_sent(several), "doc_id", "left").where("_d is null or _d = digest")
         return found.select("doc_id", "items")
 
-    reps = common.checkpoint(
-        signed.where("digest is not null and doc_id is not null" + (" and own = digest" if at_odds else "")).groupBy("digest")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("_last"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"))
-    )
-    lists = common.checkpoint(_shared_halves(reps))
-    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)  # noqa: E731  sizes further apart can't be linked
-    stars = common.checkpoint(_stars(lists, fits))
-    links = _verified(stars, pick, percent)
-    labels = _trees(links)
-    more = _across(lists, labels, pick, percent)
-    if not more.isEmpty():
-        labels = _joined(labels, more)
+    stands = F.col("digest").isNotNull() & F.col("doc_id").isNotNull() & (F.col("own") == F.col("digest") if at_odds else F.lit(True))
+    return signed.withColumn("stands", F.coalesce(stands, F.lit(False))), pick
+
 
+def labelled(signed: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of the rows of signed, given the components of the ids of reps (of sets_of)."""
     # rows whose text has copies or links: others are their own component
     named = reps.select("digest", "doc_id", "_last", "copies").join(_sent(labels.withColumnRenamed("id", "doc_id")), "doc_id", "left")
     named = common.checkpoint(named.where("component is not null or _last > doc_id").select("digest", "copies", F.coalesce("component", "doc_id").alias("_c")))
@@ -316,7 +341,7 @@ def dedup(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """
     found = near_duplicates(docs.select("doc_id", "text"), size, percent)
     gone = common.checkpoint(found.where("not kept").select("doc_id").distinct())
-    return common.one_each(docs.join(_sent(gone), "doc_id", "left_anti").select(*docs.columns))
+    return common.one_each(common.without_ids(docs, gone, FEW))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrafold.llm import audio, bpe, chunking, licenses, minhash, mixing, pii, quality, runs, secrets, spelling, suffix
+from terrafold.llm import audio, bpe, chunking, licenses, metric, minhash, mixing, pii, quality, runs, secrets, spelling, suffix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_audio_alignment": audio.op9_audio_alignment,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_ngram_jaccard_join": metric.op11_ngram_jaccard_join,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_periodic_runs": runs.op13_periodic_runs,
 }
