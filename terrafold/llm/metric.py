@@ -118,7 +118,8 @@ def families(reps: DataFrame) -> DataFrame:
     keys = reps.select("doc_id", F.explode("keys").alias("key"))
     met = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1")
     near = common.checkpoint(keys.join(met, "key").groupBy("doc_id", "first").agg(F.sum("n").alias("near")))
-    found = connected(near.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
+    nearest = common.checkpoint(near.where("doc_id <> first").groupBy(F.col("doc_id").alias("b")).agg(F.min("first").alias("a")))
+    found = minhash._joined(minhash._trees(nearest), near.select(F.col("doc_id").alias("b"), F.col("first").alias("a")))
     total = near.groupBy("doc_id").agg(F.sum("near").alias("near"))
     return found.select(F.col("id").alias("doc_id"), F.col("component").alias("family")).join(total, "doc_id")
 
@@ -130,9 +131,9 @@ def _shares(p: Column, x: Column, percent: int) -> tuple[Column, Column]:
     return 1 - same / union, 100 * same >= percent * union
 
 
-def _divided(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """members of too large regions (region, doc_id, near, items, home) dealt to the cells of pivots; members of regions that no
-    pivots divide; links (a, b) to pivots.
+def _divided(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """members of too large regions (region, doc_id, near, items, home) dealt to the cells of pivots, or left where they are, with
+    worth false, in regions that no pivots divide; and links (a, b) to pivots.
 
     A member is at home in the cell of its nearest pivot, and a guest in those of other pivots that are no further from it than
     that by twice the distance of a link: if y is linked to it, y's nearest pivot is one of these by the triangle inequality.
@@ -150,14 +151,14 @@ def _divided(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, Da
     dealt = placed.select("region", "doc_id", "near", "items", "home", "own", F.explode(F.transform(guests, lambda c: c["pivot"])).alias("cell"))
     sizes = dealt.groupBy("region", "cell").agg(F.count("*").alias("n"), F.sum((F.col("home") & (F.col("cell") == F.col("own.pivot"))).cast("int")).alias("homes"))
     worth = common.checkpoint(sizes.groupBy("region").agg(F.sum(F.col("n") * F.col("homes")).alias("pairs")).join(members.groupBy("region").agg(F.count("*").alias("of")), "region").select("region", (F.col("pairs") <= WORTH * F.col("of") * F.col("of")).alias("worth")))
-    live = dealt.join(sent(worth.where("worth").select("region")), "region").withColumn("home", F.col("home") & (F.col("cell") == F.col("own.pivot")))
-    live = live.withColumn("region", F.xxhash64("region", "cell")).select("region", "doc_id", "near", "items", "home")
-    done = members.join(sent(worth.where("not worth").select("region")), "region", "left_semi")
-    return common.checkpoint(live), done, links
+    judged = dealt.select("*", (F.col("cell") == F.col("own.pivot")).alias("at_home")).join(sent(worth), "region")
+    region = F.when(F.col("worth"), F.xxhash64("region", "cell")).otherwise(F.col("region"))
+    live = judged.where("worth or at_home").select(region.alias("region"), "doc_id", "near", "items", (F.col("home") & F.col("at_home")).alias("home"), "worth")
+    return common.checkpoint(live), links
 
 
-def metric_links(found: DataFrame, pick: minhash.Pick, percent: int) -> DataFrame:
-    """Links (a, b) between the sets of found (family, doc_id, near, n_shingles): their components are those of all linked pairs.
+def metric_components(found: DataFrame, pick: minhash.Pick, percent: int) -> DataFrame:
+    """id and component (the smallest id) of the sets of found (family, doc_id, near, n_shingles) that have links.
 
     A family is a region. Regions of more than LEAF members are divided by pivots, again and again; a region that its pivots
     do not divide, since all its members are about as far from each of them, is compared in blocks, as small ones are.
@@ -166,14 +167,14 @@ def metric_links(found: DataFrame, pick: minhash.Pick, percent: int) -> DataFram
     live = common.checkpoint(found.select("doc_id", F.col("family").alias("region"), "near").join(sets, "doc_id").withColumn("home", F.lit(True)))
     leaves, links = [], []
     while True:
-        sizes = common.checkpoint(live.groupBy("region").agg(F.count("*").alias("n"), F.max("home").alias("some")))
-        small = sent(sizes.where(f"n <= {LEAF} and some and n > 1").select("region"))
-        leaves.append(live.join(small, "region", "left_semi").select("region", "doc_id"))
-        large = sizes.where(f"n > {LEAF} and some").select("region")
-        if large.isEmpty():
+        sizes = common.checkpoint(live.groupBy("region").agg(F.count("*").alias("n"), F.max("home").alias("some")).where("some and n > 1"))
+        if sizes.where(f"n > {LEAF}").isEmpty():
+            leaves.append(live.join(sent(sizes), "region", "left_semi").select("region", "doc_id"))
             break
-        live, done, linked = _divided(live.join(sent(large), "region", "left_semi"), percent)
-        leaves.append(done.select("region", "doc_id"))
+        sized = common.checkpoint(live.join(sent(sizes), "region"))
+        dealt, linked = _divided(sized.where(f"n > {LEAF}"), percent)
+        leaves += [sized.where(f"n <= {LEAF}").select("region", "doc_id"), dealt.where("not worth").select("region", "doc_id")]
+        live = dealt.where("worth").drop("worth")
         links.append(linked)
     placed = leaves[0]
     for more in leaves[1:]:
@@ -181,20 +182,19 @@ def metric_links(found: DataFrame, pick: minhash.Pick, percent: int) -> DataFram
     placed = common.checkpoint(placed)
     near = found.select("doc_id", "near", "n_shingles")
     members = placed.withColumnRenamed("region", "family").join(near, "doc_id")
-    first = None
-    for more in links:
-        first = more if first is None else first.unionByName(more)
-    if first is not None:
-        first = common.checkpoint(first.distinct())
-        labels = connected(first)
+    labels = None
+    if links:
+        first = links[0]
+        for more in links[1:]:
+            first = first.unionByName(more)
+        labels = connected(first.distinct())
         members = members.join(sent(labels.select(F.col("id").alias("doc_id"), "component")), "doc_id", "left")
     else:
         members = members.withColumn("component", F.lit(None).cast("long"))
-    members = common.checkpoint(members.withColumn("component", F.coalesce("component", "doc_id")).coalesce(tasks_for(placed.count())))
-    if members.isEmpty():
-        return found.sparkSession.createDataFrame([], minhash.LINKS)
-    last = minhash.between(members, pick, percent)
-    return last if first is None else last.unionByName(first)
+    members = common.checkpoint(members.withColumn("component", F.coalesce("component", "doc_id")))
+    n = members.count()
+    last = minhash.between(members.coalesce(tasks_for(n)), pick, percent) if n else found.sparkSession.createDataFrame([], minhash.LINKS)
+    return connected(last) if labels is None else minhash._joined(labels, last)
 
 
 def near_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
@@ -209,7 +209,7 @@ def near_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
 
     Unrelated texts are all at distance 1 of each other and of any pivot, where the triangle inequality tells nothing. So the
     space is first cut at that distance: texts of one family agree in a part of their rare shingles (see Classes), others can't
-    be linked. Within families, pivots divide (see metric_links).
+    be linked. Within families, pivots divide (see metric_components).
     """
     signed, pick = minhash.settled(docs, _signed(docs, size, percent, common_shingles(docs.select("doc_id", "text"), size)), size)
     reps = minhash.sets_of(signed, "keys")
@@ -217,7 +217,7 @@ def near_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     if found.isEmpty():
         labels = docs.sparkSession.createDataFrame([], "id long, component long")
     else:
-        labels = connected(metric_links(found, pick, percent))
+        labels = metric_components(found, pick, percent)
     return minhash.labelled(signed, reps, labels).drop("kept")
 
 
