@@ -27,8 +27,8 @@ def common_shingles(docs: DataFrame, size: int) -> np.ndarray:
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1, FIT_DOCS / n)))
     least = max(20, COMMON_SHARE * min(n, FIT_DOCS))
     found = minhash.sets(some, size).select(F.explode("items").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= least)
-    rows = found.orderBy(F.desc("c"), "h").limit(COMMON_MOST).select("h").toPandas()["h"].to_numpy(np.int64)
-    return np.sort(rows.view(np.uint64))
+    rows = found.orderBy(F.desc("c"), "h").limit(COMMON_MOST).select("h").collect()
+    return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
 
 
 class Classes:
