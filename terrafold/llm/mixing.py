@@ -99,28 +99,48 @@ KEY = ["_null", "_source"]
 def _sized(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
     source = F.col("source")
     size = F.regexp_count(common.text_or_empty(text), F.lit(common.WORD)).cast("long")
-    return docs.select(*columns, F.col("doc_id"), source.isNull().alias("_null"), F.coalesce(source, F.lit("")).alias("_source"), size.alias("size"))
+    sized = docs.select(*columns, F.col("doc_id"), source.isNull().alias("_null"), F.coalesce(source, F.lit("")).alias("_source"), size.alias("size"), F.xxhash64(F.col(text)).alias("_t"))
+    return sized.withColumn("_g", F.xxhash64("_null", "_source", F.col("doc_id").isNull(), "doc_id", "_t", "size"))
+
+
+def _numbered(sized: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """sized (of a checkpoint) with _k, which numbers the rows of one source, doc_id and text from 0; and the _g of such rows, if any.
+
+    They are interchangeable, so any numbers will do: those within a partition go on from the rows of the partitions
+    before, and nobody gathers all rows of a text. Rows without repeats, as all are in a well-kept table, are not shuffled.
+    """
+    again = common.checkpoint(sized.groupBy("_g").agg(F.count("*").alias("_m")).where("_m > 1").select("_g"))
+    if again.isEmpty():
+        return sized.withColumn("_k", F.lit(0).cast("long")), None
+    small = F.broadcast(again) if again.count() <= common.FEW else again
+    alike = sized.withColumn("_p", F.spark_partition_id()).join(small, "_g")
+    counts = alike.groupBy("_g", "_p").agg(F.count("*").alias("_n"))
+    starts = counts.withColumn("_at", F.sum("_n").over(Window.partitionBy("_g").orderBy("_p")) - F.col("_n")).drop("_n")
+    rank = F.row_number().over(Window.partitionBy("_g", "_p").orderBy("size"))
+    alike = alike.withColumn("_r", rank).join(starts, ["_g", "_p"]).withColumn("_k", F.col("_at") + F.col("_r") - 1)
+    rest = sized.join(small, "_g", "left_anti").withColumn("_k", F.lit(0).cast("long"))
+    return common.checkpoint(rest.unionByName(alike.drop("_p", "_r", "_at"))), again
 
 
 def _scored(sized: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
     """sized with the columns of its source, its rate, what of it is sure, and the score by which it is rounded up.
 
-    A row's score is the fraction of its rate less a hash of doc_id in [0, 1).
+    A row's score is the fraction of its rate less a hash of its doc_id, text and number among its equals in [0, 1).
     """
     x = F.try_divide(F.col("size"), F.col("source_size") / F.col("n_docs"))
     rated = sized.join(_sent(sources, few), KEY).withColumn("_x", x)
     full = F.col("target") >= MOST * F.col("source_size")
     has = F.coalesce("_x", F.lit(0.0)) > 0
     rated = rated.withColumn("_rate", F.when(has & full, F.lit(float(MOST))).when(has, _rate(F.col("lam"), F.col("_x"))).otherwise(F.lit(1.0)))
-    unit = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    unit = F.shiftrightunsigned(F.xxhash64("doc_id", "_t", "_k"), 11) / F.lit(float(1 << 53))
     scored = rated.withColumn("_low", F.floor("_rate").cast("long")).withColumn("_score", F.col("_rate") - F.col("_low") - unit)
     scored = scored.withColumn("_open", (F.col("_low") < MOST) & (F.col("size") > 0))
     return scored.withColumn("_bin", F.floor((F.col("_score") + 1) * (BINS // 2)).cast("int"))
 
 
 def _order() -> Column:
-    """Rows are rounded up in this order; rows alike in it are rounded alike."""
-    return F.struct((-F.col("_score")).alias("s"), F.col("doc_id").alias("d"), F.col("size").alias("z"))
+    """Rows are rounded up in this order; no two rows are alike in it."""
+    return F.struct((-F.col("_score")).alias("s"), F.col("doc_id").alias("d"), F.col("size").alias("z"), F.col("_t").alias("t"), F.col("_k").alias("k"))
 
 
 def _edges(scored: DataFrame) -> DataFrame:
@@ -160,10 +180,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, text: str = "text")
     """doc_id, size, source_size, target, taken, copies and rate for each row of docs.
 
     Size is the number of words, 0 for null and empty texts, which take nothing. Null is a source of its own, the last.
-    Repeated rows count each, and are taken alike; null doc_ids are rows like others. Other columns are not read. No rows
-    give no rows.
+    Repeated rows count each, and some may be taken once more than others; null doc_ids are rows like others. Other columns are not
+    read. No rows give no rows.
     """
-    sizes = common.checkpoint(_sized(docs, text))
+    sizes, _ = _numbered(common.checkpoint(_sized(docs, text)))
     sources, few = _plan(sizes, weights)
     out = _scored(sizes, sources, few).withColumn("copies", _copies())
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", F.col("_rate").alias("rate"))
@@ -173,12 +193,25 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, text: str = "text
     """The rows of docs, each as often as mix() takes it; its columns stay as they are, whatever their names.
 
     What a row needs for that is its source's row, so texts are read twice but not shuffled. Rows of null or empty text, which
-    take no words, stay once.
+    take no words, stay once. Rows of one source, doc_id and text are interchangeable: each is taken as often as all can be, and
+    what is left over is copies of one of them, the first by a digest of its columns; only candidates for that one are shuffled.
     """
-    sources, few = _plan(common.checkpoint(_sized(docs, text)), weights)
+    sizes, again = _numbered(common.checkpoint(_sized(docs, text)))
+    sources, few = _plan(sizes, weights)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    out = _scored(_sized(docs, text, row), sources, few)
-    return out.withColumn("_k", F.explode(F.when(_copies() > 0, F.sequence(F.lit(1), _copies())))).select(*[F.col(f"_row.`{c}`") for c in docs.columns])
+    sized = _sized(docs, text, row).withColumn("_k", F.lit(0).cast("long"))
+    repeated = lambda df, n: df.withColumn("_c", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)))).select(*[F.col(f"_row.`{c}`") for c in docs.columns])
+    if again is None:
+        return repeated(_scored(sized, sources, few), _copies())
+    taken = _scored(sizes, sources, few).withColumn("_c", _copies())
+    small = F.broadcast(again) if again.count() <= common.FEW else again
+    groups = common.checkpoint(taken.join(small, "_g").groupBy("_g").agg(F.sum("_c").alias("_all"), F.count("*").alias("_m")))
+    groups = groups.select("_g", F.floor(F.col("_all") / F.col("_m")).alias("_each"), (F.col("_all") % F.col("_m")).alias("_over"))
+    scored = _scored(sized, sources, few).join(F.broadcast(groups) if again.count() <= common.FEW else groups, "_g", "left")
+    out = repeated(scored, F.coalesce("_each", _copies()))
+    digest = F.sha2(F.to_json(F.struct(*[F.coalesce(F.col(f"_row.`{c}`").cast("string"), F.lit("\0")).alias(f"c{i}") for i, c in enumerate(docs.columns)])), 256)
+    left_over = scored.where("_over > 0").groupBy("_g").agg(F.min_by("_row", digest).alias("_row"), F.first("_over").alias("_over"))
+    return out.unionByName(repeated(left_over, F.col("_over")))
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,13 +70,31 @@ def test_mix_of_nothing_and_repeated_rows(spark, none):
 
 
 def test_mix_of_ties(spark):
-    """Rows that nothing tells apart are rounded alike, and their source's target is met to within one of them all."""
-    rows = [(7, "a b c", None, s, None) for s in ("x", "y") for _ in range(40)] + [(i, "a b c", None, "z", None) for i in range(100)]
-    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
-    for s in {r.source_size for r in out}:
-        assert len({(r.doc_id, r.copies) for r in out if r.doc_id == 7 and r.source_size == s}) <= 2
-    z = [r for r in out if r.source_size == 300]
-    assert abs(sum(r.taken for r in z) - z[0].target) <= 3
+    """Each source meets its target to within half its largest document, where doc_ids are null, repeated or unlike, and texts equal
+    or not; copies of a text taken by rows and by mix() agree, in any order of rows."""
+    rows = [(7 + i % 3, "a b c", None, s, i) for s, n in (("x", 80), ("y", 83)) for i in range(n)] + [(i, "a b c", None, "z", i) for i in range(100)]
+    rows += [(None, "d e", None, "n", i) for i in range(300)] + [(None, f"t{i} u", None, "m", i) for i in range(160)] + [(5, None, None, "n", 1)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mix(df.select("doc_id", "text", "source")).collect()
+    for source_size in {r.source_size for r in out}:
+        mine = [r for r in out if r.source_size == source_size]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine) / 2 + 1e-6, source_size
+        assert all(r.taken <= 3 * r.size for r in mine)
+    again = mixing.mix(df.repartition(7)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+    took = {}
+    for r in out:
+        took[r.doc_id, r.size, r.source_size] = took.get((r.doc_id, r.size, r.source_size), 0) + r.copies
+    size = {}
+    for _, t, _, s, _ in rows:
+        size[s] = size.get(s, 0) + len((t or "").split())
+    texts = [tuple(r)[:4] for r in mixing.mixed(df).collect()]
+    found = {}
+    for i, t, _, s in texts:
+        key = (i, len((t or "").split()), size[s])
+        found[key] = found.get(key, 0) + 1
+    assert found == {k: v for k, v in took.items() if v}
+    assert sorted(texts, key=str) == sorted((tuple(r)[:4] for r in mixing.mixed(df.repartition(3)).collect()), key=str)
 
 
 def tone(freqs, n=256):
