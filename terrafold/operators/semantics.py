@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrafold.model import UNKNOWN
+from terrafold.operators.linked import checkpoint
 
 
 def int_code(code: Column, dictionary: dict[str, int]) -> Column:
@@ -62,6 +63,45 @@ def split_by_hash(manifest: DataFrame, key: str, ratio: float = 0.8, seed: int =
     return manifest.withColumn("part", F.when(unit < int(ratio * 1_000_000), "train").otherwise("val"))
 
 
+#: Bits of the hashes that splits order keys by, and bits that a round of the search for one of them settles.
+HASH_BITS, ROUND_BITS = 60, 15
+
+
+def kth_smallest(values: DataFrame, k: int) -> int:
+    """The k-th smallest (from 1) of the one column of values, whole numbers of HASH_BITS bits, each once.
+
+    Each round counts the values in 2**ROUND_BITS ranges of equal width and goes on within the one that holds the k-th, so the values
+    are neither sorted nor collected.
+    """
+    name = values.columns[0]
+    prefix, shift = 0, HASH_BITS
+    while shift:
+        within = values.where(F.shiftright(name, shift) == prefix) if shift < HASH_BITS else values
+        shift -= ROUND_BITS
+        bins = within.groupBy(F.shiftright(name, shift).alias("bin")).agg(F.count("*").alias("n")).collect()
+        for row in sorted(bins):
+            if k <= row.n:
+                prefix = row.bin
+                break
+            k -= row.n
+        else:
+            raise ValueError("fewer values than k")
+    return prefix
+
+
+def split_exactly(manifest: DataFrame, key: str, ratio: float = 0.8, seed: int = 0) -> DataFrame:
+    """manifest with part: train for int(ratio * keys) of its distinct keys, the smallest by a hash, val for the others.
+
+    Rows of one key stay together; a null key is one of them. The keys are counted in a few ranges at a time, never sorted, and a
+    rerun splits alike, whatever the order of rows. Hashes have 60 bits; two keys of one hash stay together.
+    """
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    h = F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
+    hashes = checkpoint(manifest.select(h.alias("h")).distinct())
+    k = int(hashes.count() * ratio)
+    return manifest.withColumn("part", F.when(h <= kth_smallest(hashes, k), "train").otherwise("val") if k else F.lit("val"))
+
+
 def percentile_pick(manifest: DataFrame, by: str, name: str, percentile: float) -> DataFrame:
     """by, name: of each group's names in order, the one at the percentile."""
     p = min(max(percentile, 0.0), 0.999999)

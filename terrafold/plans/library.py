@@ -361,6 +361,19 @@ def split_dataset_safe_hash(spark, d):
     return semantics.split_by_hash(fx.manifest(spark, d), "prefix", seed=7)
 
 
+EXACT = ", k AS (SELECT k, row_number() OVER (ORDER BY ('0x' || substr(md5('7:' || k), 1, 15))::BIGINT) rn, count(*) OVER () n FROM (SELECT DISTINCT {k} k FROM manifest)) SELECT name, prefix, CASE WHEN rn <= CAST(floor(0.8 * n) AS BIGINT) THEN 'train' ELSE 'val' END part FROM manifest JOIN k ON k.k = {k}"
+
+
+@query(EXACT.format(k="name"), "manifest")
+def split_dataset_exact(spark, d):
+    return semantics.split_exactly(fx.manifest(spark, d), "name", seed=7)
+
+
+@query(EXACT.format(k="prefix"), "manifest")
+def split_dataset_safe_exact(spark, d):
+    return semantics.split_exactly(fx.manifest(spark, d), "prefix", seed=7)
+
+
 @query("SELECT prefix, list_sort(list(name))[CAST(trunc(0.5 * count(*)) AS INT) + 1] AS name FROM manifest GROUP BY prefix", "manifest")
 def instance_percentile_pick(spark, d):
     return semantics.percentile_pick(fx.manifest(spark, d), "prefix", "name", 0.5)
@@ -536,11 +549,41 @@ def box_iou_pairs(spark, d):
     return detect.iou_pairs(fx.det(spark, d))
 
 
-@query()
+#: Boxes of an image one by one, the best first; kept holds those that stay.
+GREEDY = """, o AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, det_id) rn FROM det),
+  r AS (SELECT image, 1::BIGINT k, [{'id': det_id, 'score': score, 'x0': xmin, 'y0': ymin, 'x1': xmax, 'y1': ymax}] kept FROM o WHERE rn = 1
+    UNION ALL SELECT r.image, r.k + 1, CASE WHEN len(list_filter(r.kept, lambda q: greatest(0, least(q.x1, xmax) - greatest(q.x0, xmin)) * greatest(0, least(q.y1, ymax) - greatest(q.y0, ymin))
+        >= 0.5 * ((xmax - xmin) * (ymax - ymin) + (q.x1 - q.x0) * (q.y1 - q.y0) - greatest(0, least(q.x1, xmax) - greatest(q.x0, xmin)) * greatest(0, least(q.y1, ymax) - greatest(q.y0, ymin))))) > 0
+      THEN r.kept ELSE list_append(r.kept, {'id': det_id, 'score': score, 'x0': xmin, 'y0': ymin, 'x1': xmax, 'y1': ymax}) END
+    FROM r JOIN o ON o.image = r.image AND o.rn = r.k + 1),
+  f AS (SELECT image, unnest(arg_max(kept, k)) q FROM r GROUP BY image) SELECT image, q.id det_id, q.score score FROM f"""
+
+
+@query(GREEDY, "det")
 def nms_greedy(spark, d):
     return detect.suppress(fx.det(spark, d)).select("image", "det_id", "score")
 
 
+MASKS = """, m AS (SELECT DISTINCT image, det_id mask, gy y, gx x FROM det, range(0, 16) a(gy), range(0, 16) b(gx) WHERE gy BETWEEN floor(ymin / 10) AND floor(ymax / 10) AND gx BETWEEN floor(xmin / 10) AND floor(xmax / 10)),
+  s AS (SELECT image, mask, count(*) n FROM m GROUP BY 1, 2),
+  p AS MATERIALIZED (SELECT a.image, a.mask a, b.mask b, count(*) met FROM m a JOIN m b ON a.image = b.image AND a.y = b.y AND a.x = b.x AND a.mask < b.mask GROUP BY 1, 2, 3),
+  e AS MATERIALIZED (SELECT p.image, a, b FROM p JOIN s sa ON sa.image = p.image AND sa.mask = a JOIN s sb ON sb.image = p.image AND sb.mask = b WHERE met >= 0.4 * (sa.n + sb.n - met)),
+  w AS MATERIALIZED (SELECT image, a l, list(b) ls FROM (SELECT image, a, b FROM e UNION ALL SELECT image, b, a FROM e) GROUP BY 1, 2),
+  o AS MATERIALIZED (SELECT det.image, det_id, score, coalesce(ls, []) ls, row_number() OVER (PARTITION BY det.image ORDER BY score DESC, det_id) rn FROM det LEFT JOIN w ON w.image = det.image AND l = det_id),
+  r AS (SELECT image, 1::BIGINT k, [det_id] kept FROM o WHERE rn = 1
+    UNION ALL SELECT r.image, r.k + 1, CASE WHEN list_has_any(r.kept, ls) THEN r.kept ELSE list_append(r.kept, det_id) END FROM r JOIN o ON o.image = r.image AND o.rn = r.k + 1)
+  SELECT image, unnest(arg_max(kept, k)) mask FROM r GROUP BY image"""
+
+
+@query(MASKS, "det")
+def nms_masks(spark, d):
+    """Masks are the cells of ten pixels that the boxes touch."""
+    b = fx.det(spark, d)
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / 10), F.floor(F.col(hi) / 10)))
+    pixels = b.select("image", F.col("det_id").alias("mask"), "xmin", "xmax", cells("ymin", "ymax").alias("y")).select("image", "mask", "y", cells("xmin", "xmax").alias("x"))
+    return detect.suppress_masks(pixels, b.select("image", F.col("det_id").alias("mask"), "score"), 0.4).select("image", "mask")
+
+
 @query("SELECT image, (image % 7) || ' ' || printf('%.3f', xmin / 199) || ' ' || printf('%.3f', ymin / 199) || ' ' || printf('%.3f', xmax / 199) || ' ' || printf('%.3f', ymax / 199) AS line FROM det", "det")
 def label_lines(spark, d):
     b = fx.det(spark, d)
