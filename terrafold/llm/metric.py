@@ -145,7 +145,7 @@ def _divided(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     cells = [F.struct(*(c.alias(n) for c, n in zip(_shares(F.col(f"p{j}.items"), F.col("items"), percent), ("d", "linked"), strict=True)), F.col(f"p{j}.doc_id").alias("pivot")) for j in range(PIVOTS)]
     placed = each.select("region", "doc_id", "near", "items", "home", F.array_distinct(F.array(*cells)).alias("cells"))
     placed = common.checkpoint(placed.withColumn("own", F.array_min(F.transform("cells", lambda c: F.struct(c["d"], c["pivot"])))))
-    links = placed.select(F.col("doc_id").alias("a"), F.explode(F.transform(F.filter("cells", lambda c: c["linked"]), lambda c: c["pivot"])).alias("b")).where("a <> b")
+    links = placed.select(F.col("doc_id").alias("a"), F.explode(F.transform(F.filter("cells", lambda c: c["linked"]), lambda c: c["pivot"])).alias("b"))
     reach = 2 * (100 - percent) / 100 + 1e-9
     guests = F.filter("cells", lambda c: c["d"] <= F.col("own.d") + reach)
     dealt = placed.select("region", "doc_id", "near", "items", "home", "own", F.explode(F.transform(guests, lambda c: c["pivot"])).alias("cell"))
@@ -182,19 +182,16 @@ def metric_components(found: DataFrame, pick: minhash.Pick, percent: int) -> Dat
     placed = common.checkpoint(placed)
     near = found.select("doc_id", "near", "n_shingles")
     members = placed.withColumnRenamed("region", "family").join(near, "doc_id")
-    labels = None
-    if links:
-        first = links[0]
-        for more in links[1:]:
-            first = first.unionByName(more)
-        labels = connected(first.distinct())
-        members = members.join(sent(labels.select(F.col("id").alias("doc_id"), "component")), "doc_id", "left")
-    else:
-        members = members.withColumn("component", F.lit(None).cast("long"))
+    first = links[0] if links else found.sparkSession.createDataFrame([], minhash.LINKS)
+    for more in links[1:]:
+        first = first.unionByName(more)
+    # what is linked to the same pivot is connected already, and is not compared again
+    label = common.checkpoint(first.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("component")))
+    members = members.join(sent(label), "doc_id", "left") if links else members.withColumn("component", F.lit(None).cast("long"))
     members = common.checkpoint(members.withColumn("component", F.coalesce("component", "doc_id")))
     n = members.count()
     last = minhash.between(members.coalesce(tasks_for(n)), pick, percent) if n else found.sparkSession.createDataFrame([], minhash.LINKS)
-    return connected(last) if labels is None else minhash._joined(labels, last)
+    return connected(last.unionByName(first))
 
 
 def near_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
