@@ -133,7 +133,7 @@ def _shares(p: Column, x: Column, percent: int) -> tuple[Column, Column]:
 
 def _divided(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """members of too large regions (region, doc_id, near, items, home) dealt to the cells of pivots, or left where they are, with
-    worth false, in regions that no pivots divide; and links (a, b) to pivots.
+    worth false, in regions that no pivots divide; and pairs (a, b) that links to pivots connect.
 
     A member is at home in the cell of its nearest pivot, and a guest in those of other pivots that are no further from it than
     that by twice the distance of a link: if y is linked to it, y's nearest pivot is one of these by the triangle inequality.
@@ -145,7 +145,10 @@ def _divided(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     cells = [F.struct(*(c.alias(n) for c, n in zip(_shares(F.col(f"p{j}.items"), F.col("items"), percent), ("d", "linked"), strict=True)), F.col(f"p{j}.doc_id").alias("pivot")) for j in range(PIVOTS)]
     placed = each.select("region", "doc_id", "near", "items", "home", F.array_distinct(F.array(*cells)).alias("cells"))
     placed = common.checkpoint(placed.withColumn("own", F.array_min(F.transform("cells", lambda c: F.struct(c["d"], c["pivot"])))))
-    links = placed.select(F.col("doc_id").alias("a"), F.explode(F.transform(F.filter("cells", lambda c: c["linked"]), lambda c: c["pivot"])).alias("b"))
+    near = placed.withColumn("linked", F.transform(F.filter("cells", lambda c: c["linked"]), lambda c: c["pivot"])).where(F.size("linked") > 0).withColumn("low", F.array_min("linked"))
+    # a member's link to the first pivot that it has, and what it connects that pivot with, once for all members that do
+    ties = near.select(F.col("low").alias("a"), F.explode("linked").alias("b")).where("a <> b").distinct()
+    links = near.select(F.col("doc_id").alias("a"), F.col("low").alias("b")).unionByName(ties)
     reach = 2 * (100 - percent) / 100 + 1e-9
     guests = F.filter("cells", lambda c: c["d"] <= F.col("own.d") + reach)
     dealt = placed.select("region", "doc_id", "near", "items", "home", "own", F.explode(F.transform(guests, lambda c: c["pivot"])).alias("cell"))
