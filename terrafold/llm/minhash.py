@@ -146,8 +146,27 @@ BLOCK, PARTS, LEAST = 2048, 24, 128
 LINKS = "a long, b long"
 
 
+def _forest(pairs: list[list[int]]) -> list[int]:
+    """Which of pairs connect what those before them do not."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(pairs):
+        x, y = root(x), root(y)
+        if x != y:
+            up[x] = y
+            out.append(k)
+    return out
+
+
 def _compare(percent: int):
-    """Links between components among the members of two blocks, one for each pair of components.
+    """Links between components among the members of two blocks, as many as connect all those that are linked.
 
     Sets come as their differences from the set of the family's pivot, which keeps the distance of any two: x and y differ
     in dx + dy - 2 * (items that both differences have). The `rest` are compared with all, a pair of the rest once.
@@ -179,14 +198,15 @@ def _compare(percent: int):
         p, q = np.nonzero((100 * (total - apart) >= percent * (total + apart)) & (comp[left][:, None] != comp[right][None]))
         p, q = left[p], right[q]
         pairs = np.stack((np.minimum(comp[p], comp[q]), np.maximum(comp[p], comp[q])), axis=1)
-        _, first = np.unique(pairs, axis=0, return_index=True) if len(pairs) else (None, np.zeros(0, np.int64))
+        each, first = np.unique(pairs, axis=0, return_index=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
+        first = first[np.array(_forest(each.tolist()), np.int64)]
         return pa.table({"a": pa.array(np.minimum(ids[p], ids[q])[first]), "b": pa.array(np.maximum(ids[p], ids[q])[first])})
 
     return run
 
 
 def _across(lists: DataFrame, labels: DataFrame, pick: Pick, percent: int) -> DataFrame:
-    """Links between texts of different components that share a table, at least one for each pair of components.
+    """Links between texts of different components that share a table, which connect all components that are linked.
 
     Halves and tables that only one component has are left out. Texts that then still share tables, one through another,
     form a family. Its members outside its largest component, the rest, are compared with all members, in blocks, and tasks
@@ -216,7 +236,7 @@ def _across(lists: DataFrame, labels: DataFrame, pick: Pick, percent: int) -> Da
 
 
 def between(found: DataFrame, pick: Pick, percent: int) -> DataFrame:
-    """Links between texts of different components within a family, at least one for each linked pair of components.
+    """Links between texts of different components within a family, which connect all that are linked.
 
     found: family, doc_id, component, n_shingles and near, a row for each member. Members outside the largest component of
     their family are compared with all, in blocks of differences from its pivot, the member of largest near.
