@@ -21,7 +21,10 @@ KINDS = ("assign", "access", "hex", "entropy")
 WIDTH = 20
 #: The entropy that a window needs, in bits a character, by the class of the candidate's characters.
 BITS = {"hex": 2.9, "base64": 3.6}
-#: Candidates that hold one of these, or match ALLOWED, are no secrets: placeholders, alphabets, UUIDs, long words.
+#: What of a candidate is judged apart where the candidate holds an allow-listed word.
+PIECE = r"[A-Za-z0-9+_-]{20,}"
+#: Candidates that match ALLOWED are no secrets, nor are pieces of a candidate that match it or hold one of these: placeholders,
+#: alphabets, UUIDs, long words.
 ALLOW_WORDS = ("example", "placeholder", "changeme", "yoursecret", "your_", "your-", "xxxx", "0123456789", "abcdefghij", "1234567890")
 ALLOWED = r"^(?:[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|[A-Za-z+/_=-]+|[0-9+/_=-]+)$"
 #: c * log2(c) in millionths, for counts c of 0 to WIDTH: whole numbers, so that every engine sums them alike.
@@ -116,13 +119,20 @@ def _hot_window(token: Column) -> Column:
     return common.bind(F.struct(F.split(token, "").alias("chars"), least.alias("limit"), table.alias("logs")), of)
 
 
-def _allowed(token: Column) -> Column:
+def _placeholder(token: Column) -> Column:
     low = F.lower(token)
-    return reduce(lambda a, w: a | low.contains(w), ALLOW_WORDS, token.rlike(ALLOWED))
+    return reduce(lambda a, w: a | low.contains(w), ALLOW_WORDS, F.lit(False))
+
+
+def _pieces(token: Column) -> Column:
+    """The candidate itself or, where it holds an allow-listed word, its pieces between slashes and equals signs that hold none."""
+    inner = _matches(token["m"], PIECE, lambda m, _: ~(_placeholder(m) | m.rlike(ALLOWED)))
+    moved = F.transform(inner, lambda x: F.struct((token["start"] + x["start"]).alias("start"), (token["start"] + x["stop"]).alias("stop"), x["m"].alias("m")))
+    return F.when(_placeholder(token["m"]), moved).otherwise(F.array(token))
 
 
 def _entropy(text: Column) -> Column:
-    tokens = _matches(text, CANDIDATE, lambda m, _: ~_allowed(m))
+    tokens = F.flatten(F.transform(_matches(text, CANDIDATE, lambda m, _: ~m.rlike(ALLOWED)), _pieces))
     hot = F.transform(tokens, lambda x: F.struct(x["start"].alias("start"), _hot_window(x["m"]).alias("w")))
     return F.transform(
         F.filter(hot, lambda x: x["w"]["first"].isNotNull()),
@@ -163,7 +173,8 @@ def _scanned(held: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_assign, n_access, n_hex (long), base_sha256, spans and found (the spans as start, kind, stop).
 
-    Null and empty texts have no spans (digest of nothing). Spans of different kinds may overlap; all stay. Other columns and
+    Null and empty texts have no spans (digest of nothing). A candidate of the entropy test that holds an allow-listed word is
+    judged by its pieces between slashes and equals signs, so such a word beside a key does not hide it. Spans of different kinds may overlap; all stay. Other columns and
     the number of rows, repeated ones included, stay; columns of docs with one of these six names are replaced.
     """
     kept = [F.col(f"_row.`{c}`") for c in docs.columns if c.lower() not in OUTPUTS]
@@ -212,9 +223,9 @@ def _oracle() -> str:
         p = quoted(pattern)
         return f"regexp_extract_all(t, {p}, 0) AS m_{name}, regexp_extract_all(t, {p}, {group}) AS v_{name}, string_split_regex(t, {p}) AS g_{name}"
 
-    def rows(name: str, kind: int, keep: str) -> str:
+    def rows(name: str, kind: int | str, keep: str, source: str = "p") -> str:
         start = f"CAST(list_sum(list_transform(g_{name}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m_{name}[1:i-1], lambda x: length(x))), 0) AS BIGINT)"
-        return f"SELECT rid, {kind} AS kind, {start} AS start, {start} + length(m_{name}[i]) AS stop, m_{name}[i] AS m FROM (SELECT *, unnest(range(1, len(m_{name}) + 1)) AS i FROM p) WHERE {keep}"
+        return f"SELECT rid, {kind} AS kind, {start} AS start, {start} + length(m_{name}[i]) AS stop, m_{name}[i] AS m FROM (SELECT *, unnest(range(1, len(m_{name}) + 1)) AS i FROM {source}) WHERE {keep}"
 
     words = " OR ".join(f"contains(lower(m), '{w}')" for w in ALLOW_WORDS)
     logs = "[" + ", ".join(map(str, C_LOG_C)) + "]"
@@ -223,9 +234,12 @@ def _oracle() -> str:
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 p AS (SELECT rid, {pieces('a', ASSIGN, 1)}, {pieces('k', ACCESS)}, {pieces('h', HEX)}, {pieces('c', CANDIDATE)} FROM d),
-cand AS ({rows('c', 3, 'true')}),
-win AS (SELECT rid, start, m, w FROM (SELECT *, unnest(range(1, length(m) - {WIDTH} + 2)) AS w FROM cand
-        WHERE NOT regexp_matches(m, {quoted(ALLOWED)}) AND NOT ({words}))),
+cand AS (SELECT rid, start, m, {words} AS held FROM ({rows('c', 3, 'true')}) WHERE NOT regexp_matches(m, {quoted(ALLOWED)})),
+cut AS (SELECT rid, start AS began, regexp_extract_all(m, {quoted(PIECE)}, 0) AS m_c, string_split_regex(m, {quoted(PIECE)}) AS g_c FROM cand WHERE held),
+piece AS (SELECT rid, kind + start AS start, m FROM ({rows('c', 'began', 'true', 'cut')})
+          WHERE NOT regexp_matches(m, {quoted(ALLOWED)}) AND NOT ({words})),
+win AS (SELECT rid, start, m, unnest(range(1, length(m) - {WIDTH} + 2)) AS w FROM (
+        SELECT rid, start, m FROM cand WHERE NOT held UNION ALL SELECT rid, start, m FROM piece)),
 hot AS (SELECT rid, start, m, w FROM (
           SELECT rid, start, m, w, ch, count(*) AS n FROM (SELECT *, unnest(string_split(substr(m, w, {WIDTH}), '')) AS ch FROM win) GROUP BY ALL)
         GROUP BY rid, start, m, w HAVING sum({logs}[n + 1]) <= any_value({limit})),
