@@ -13,6 +13,19 @@ from pyspark.sql import functions as F
 
 from terrafold.llm import common
 
+
+
+def _gnu(family: str, version: str) -> str:
+    """The notice that the licences of the GNU family ask for at the top of a file."""
+    name = f"GNU {family}General Public License"
+    what = "library" if family in ("Library ", "Lesser ") else "program"
+    return (
+        f"This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, "
+        f"or (at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        f"PARTICULAR PURPOSE. See the {name} for more details. You should have received a copy of the {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+    )
+
+
 # Licences and the notices that they ask for.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -35,13 +48,19 @@ TEMPLATES = {
     "cc-by-4.0-long": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
+    "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-3.0-header": _gnu("Affero ", "3"),
+    "gpl-1.0": "This work is licensed under the GNU General Public License, version 1.",
+    "gpl-1.0-header": _gnu("", "1"),
     "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl-2.0-header": _gnu("", "2"),
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, "
-        "or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
-        "PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
-    ),
+    "gpl-3.0-header": _gnu("", "3"),
+    "lgpl-2.0-header": _gnu("Library ", "2"),
+    "lgpl-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-2.1-header": _gnu("Lesser ", "2.1"),
+    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-3.0-header": _gnu("Lesser ", "3"),
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
         'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE '
@@ -77,10 +96,22 @@ TEMPLATES = {
         "3. This notice may not be removed or altered from any source distribution."
     ),
 }
+# Templates that are others with a clause more or less.
+TEMPLATES |= {
+    "0bsd": TEMPLATES["isc"].replace(", provided that the above copyright notice and this permission notice appear in all copies", ""),
+    "bsd-3-clause": TEMPLATES["bsd-2-clause"].replace(
+        " THIS SOFTWARE",
+        " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE",
+        1,
+    ),
+    "mit-0": TEMPLATES["mit"].replace(", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", ""),
+}
 LEAST = 0.85
+#: Bigrams that tell licences of one family apart: where a template has one of these, a window must have the same ones.
+FAMILY = frozenset(("gnu", x) for x in ("affero", "general", "lesser", "library"))
 WORD = re.compile("[A-Za-z0-9]+")
 
-Hit = tuple[int, int, str, float]  # first word, last word, template, coefficient
+Hit = tuple[int, int, str, float, int]  # first word, last word, template, coefficient, bigrams found less those missing
 
 
 def normalised(text: str) -> list[str]:
@@ -91,6 +122,16 @@ def pairs(words: list[str]) -> list[tuple[str, str]]:
     return list(zip(words, words[1:], strict=False))
 
 
+def versions(bigrams: frozenset[tuple[str, str]]) -> frozenset[tuple[str, str]]:
+    """The bigrams that tell a version. A window must have those of the template."""
+    return frozenset(p for p in bigrams if p[0] in ("version", "v") and p[1].isdigit())
+
+
+def rank(hit: Hit) -> tuple[int, float, str]:
+    """The order of hits, best first: a licence that is there as a whole comes before the notice that is a part of it."""
+    return -hit[4], -hit[3], hit[2]
+
+
 def window(n_words: int, size: int) -> int:
     """Words of the windows that a template of so many words is compared with: its own number, or all of a shorter text."""
     return min(n_words, size)
@@ -109,6 +150,7 @@ class Scanner:
         self.least, self.ratio = least, least / (2 - least)
         self.size = {k: len(normalised(v)) for k, v in sorted(templates.items())}
         self.sets = {k: frozenset(pairs(normalised(v))) for k, v in sorted(templates.items())}
+        self.versions = {k: versions(s) for k, s in self.sets.items()}
         self.probes: dict[str, frozenset[str]] = {}
         self.words = ahocorasick.Automaton()
         for k, s in self.sets.items():
@@ -143,21 +185,21 @@ class Scanner:
             for a in np.flatnonzero(run[w - 1 :] - run[: len(run) - w + 1] >= self.need(name)):
                 got = set(bigrams[a : a + w - 1])
                 if len(s) * self.ratio <= len(got) <= len(s) / self.ratio:
-                    dice = 2.0 * len(got & s) / (len(got) + len(s))
-                    if dice >= self.least:
-                        out.append((int(a), int(a) + w - 1, name, dice))
+                    shared = len(got & s)
+                    dice = 2.0 * shared / (len(got) + len(s))
+                    if dice >= self.least and self.versions[name] <= got and (s.isdisjoint(FAMILY) or got & FAMILY == s & FAMILY):
+                        out.append((int(a), int(a) + w - 1, name, dice, 2 * shared - len(s)))
         return sorted(out)
 
-    def places(self, text: str) -> list[tuple[int, int, str, float]]:
-        """The hits that overlap taken together: first and last word, and the best template there, the first name of equals."""
+    def places(self, text: str) -> list[Hit]:
+        """The hits that overlap taken together: first and last word, and the best hit there by rank."""
         out: list[Hit] = []
-        for a, b, name, dice in self.hits(text):
-            if out and a <= out[-1][1]:
-                x, y, was, best = out[-1]
-                name, dice = min((was, best), (name, dice), key=lambda c: (-c[1], c[0]))
-                out[-1] = (x, max(y, b), name, dice)
+        for hit in self.hits(text):
+            if out and hit[0] <= out[-1][1]:
+                x, y = out[-1][:2]
+                out[-1] = (x, max(y, hit[1]), *min(out[-1], hit, key=rank)[2:])
             else:
-                out.append((a, b, name, dice))
+                out.append(hit)
         return out
 
 
@@ -171,8 +213,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
 
     Words are the runs of ASCII letters and digits of the whole text, in small letters. Every window of as many words as a
     template has, or a shorter text as one, is compared with it. n_hits counts the places with a match, overlapping windows
-    of all templates being one; licence is the template of the best of them (the first name of equals), null with no match, as
-    for null and empty texts. Null and repeated keys stay; other columns, whatever their names, are not read.
+    of all templates being one. A template's version numbers must be in the window, and its licence of the GNU family must be
+    the window's. licence is the template of the best match, null with no match, as for null and empty texts: the one with most
+    bigrams found less those missing, so that whole licences come before notices in them, then the largest coefficient, then the
+    first name. Null and repeated keys stay; other columns, whatever their names, are not read.
     """
     held = tuple(sorted((templates or TEMPLATES).items()))
     schema = common.row_schema(docs, key, "licence string, dice double, n_hits long")
@@ -181,8 +225,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         s = scanner(held, least)
         for b in batches:
             hits = [s.places(x.as_py().decode("utf-8", "replace")) for x in b.column(1)]
-            best = [min(((p[2], p[3]) for p in h), key=lambda c: (-c[1], c[0])) if h else (None, None) for h in hits]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in best], pa.string()), pa.array([x[1] for x in best], pa.float64()), pa.array([len(h) for h in hits], pa.int64())], names=schema.names)
+            best = [min(h, key=rank) if h else (None,) * 5 for h in hits]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[2] for x in best], pa.string()), pa.array([x[3] for x in best], pa.float64()), pa.array([len(h) for h in hits], pa.int64())], names=schema.names)
 
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_text")).mapInArrow(run, schema)
 
@@ -197,6 +241,8 @@ def _oracle() -> str:
     rows = ", ".join("('" + k.replace("'", "''") + "', '" + v.replace("'", "''") + "')" for k, v in TEMPLATES.items())
     bigrams = lambda t: f"list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1])"
     least, ratio = LEAST, LEAST / (2 - LEAST)
+    family = "[" + ", ".join(f"'{a} {b}'" for a, b in sorted(FAMILY)) + "]"
+    kin = lambda t: f"list_sort(list_intersect({t}, {family}))"
     return f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents),
 l AS MATERIALIZED (SELECT name, len(w) AS k, list_distinct({bigrams('w')}) AS s FROM (
@@ -206,9 +252,10 @@ c AS MATERIALIZED (SELECT e.rid, f.name FROM e JOIN (SELECT name, len(s) AS n, u
   GROUP BY e.rid, f.name HAVING count(*) >= {ratio!r}::DOUBLE * any_value(f.n) - 1e-9),
 n AS (SELECT rid, name, s, w, least(len(w), k) AS size, unnest(range(1, len(w) - least(len(w), k) + 2)) AS a FROM c JOIN d USING (rid) JOIN l USING (name)),
 g AS (SELECT rid, name, s, a, a + size - 1 AS z, list_distinct(list_transform(range(a, a + size - 1), lambda i: w[i] || ' ' || w[i + 1])) AS got FROM n),
-h AS (SELECT rid, name, a, z, 2.0::DOUBLE * len(list_intersect(got, s)) / (len(got) + len(s)) AS dice FROM g),
+h AS (SELECT rid, name, a, z, 2.0::DOUBLE * len(list_intersect(got, s)) / (len(got) + len(s)) AS dice, 2 * len(list_intersect(got, s)) - len(s) AS found FROM g
+  WHERE list_has_all(got, list_filter(s, lambda b: regexp_matches(b, '^(version|v) [0-9]+$'))) AND (len({kin('s')}) = 0 OR {kin('s')} = {kin('got')})),
 m AS (SELECT *, max(z) OVER (PARTITION BY rid ORDER BY a, z, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h WHERE dice >= {least})
-SELECT doc_id, arg_min(name, (-dice, name)) AS licence, max(dice) AS dice, count(*) FILTER (dice IS NOT NULL AND (before IS NULL OR a > before)) AS n_hits
+SELECT doc_id, arg_min(name, (-found, -dice, name)) AS licence, arg_min(dice, (-found, -dice, name)) AS dice, count(*) FILTER (dice IS NOT NULL AND (before IS NULL OR a > before)) AS n_hits
 FROM d LEFT JOIN m USING (rid) GROUP BY rid, doc_id
 """
 
