@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of ids that are sent to all tasks; larger tables are joined by a shuffle. The driver holds what it sends for a while,
@@ -15,17 +16,31 @@ FEW = 200_000
 ROWS_A_TASK = 20_000
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir; a session of one machine that sets none gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this session below spark.checkpoint.dir; a session of one machine that sets none gets a temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        path = spark.conf.get("spark.checkpoint.dir", None)
         if path is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, as it is partitioned. Spark works it out twice: once for a count, once to write it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df written to the shared folder as a Parquet table, worked out once. How it was partitioned is forgotten. rows: at most so
+    many are known to come, which makes few tasks of a small table."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    (df if rows is None else df.coalesce(tasks_for(rows))).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tasks_for(rows: int) -> int:
     """Tasks for a table of so many small rows: few for a small one, in proportion for a large one."""
     return max(1, math.ceil(rows / ROWS_A_TASK))
