@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrafold.llm import arrays, common, minhash
-from terrafold.operators.linked import connected, sent, tasks_for
+from terrafold.operators.linked import connected, sent, tasks_for, written
 
 #: Documents, in expectation, from which the shingles that many texts have are told. What they are decides on speed only.
 FIT_DOCS, COMMON_SHARE, COMMON_MOST = 20_000, 0.001, 200_000
@@ -117,8 +117,8 @@ def families(reps: DataFrame) -> DataFrame:
     other sets it meets in all its parts. All linked sets are of one family, all others outside it are further than the distance."""
     keys = reps.select("doc_id", F.explode("keys").alias("key"))
     met = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("n > 1")
-    near = common.checkpoint(keys.join(met, "key").groupBy("doc_id", "first").agg(F.sum("n").alias("near")))
-    nearest = common.checkpoint(near.where("doc_id <> first").groupBy(F.col("doc_id").alias("b")).agg(F.min("first").alias("a")))
+    near = written(keys.join(met, "key").groupBy("doc_id", "first").agg(F.sum("n").alias("near")))
+    nearest = written(near.where("doc_id <> first").groupBy(F.col("doc_id").alias("b")).agg(F.min("first").alias("a")))
     found = minhash._joined(minhash._trees(nearest), near.select(F.col("doc_id").alias("b"), F.col("first").alias("a")))
     total = near.groupBy("doc_id").agg(F.sum("near").alias("near"))
     return found.select(F.col("id").alias("doc_id"), F.col("component").alias("family")).join(total, "doc_id")
@@ -131,20 +131,20 @@ def _shares(p: Column, x: Column, percent: int) -> tuple[Column, Column]:
     return 1 - same / union, 100 * same >= percent * union
 
 
-def _divided(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _divided(members: DataFrame, percent: int, n: int) -> tuple[DataFrame, DataFrame]:
     """members of too large regions (region, doc_id, near, items, home) dealt to the cells of pivots, or left where they are, with
-    worth false, in regions that no pivots divide; and pairs (a, b) that links to pivots connect.
+    worth false, in regions that no pivots divide; and pairs (a, b) that links to pivots connect. n: rows of members at most.
 
     A member is at home in the cell of its nearest pivot, and a guest in those of other pivots that are no further from it than
     that by twice the distance of a link: if y is linked to it, y's nearest pivot is one of these by the triangle inequality.
     """
     rank = lambda j: F.max(F.struct(F.col("near") if j == 0 else F.xxhash64("doc_id", F.lit(j)), "doc_id", "items"))
-    pivots = common.checkpoint(members.groupBy("region").agg(*[rank(j).alias(f"p{j}") for j in range(PIVOTS)]))
+    pivots = written(members.groupBy("region").agg(*[rank(j).alias(f"p{j}") for j in range(PIVOTS)]), n)
     small = F.broadcast(pivots) if pivots.count() * PIVOTS <= 1000 else pivots
     each = members.join(small, "region")
     cells = [F.struct(*(c.alias(n) for c, n in zip(_shares(F.col(f"p{j}.items"), F.col("items"), percent), ("d", "linked"), strict=True)), F.col(f"p{j}.doc_id").alias("pivot")) for j in range(PIVOTS)]
     placed = each.select("region", "doc_id", "near", "items", "home", F.array_distinct(F.array(*cells)).alias("cells"))
-    placed = common.checkpoint(placed.withColumn("own", F.array_min(F.transform("cells", lambda c: F.struct(c["d"], c["pivot"])))))
+    placed = written(placed.withColumn("own", F.array_min(F.transform("cells", lambda c: F.struct(c["d"], c["pivot"])))))
     near = placed.withColumn("linked", F.transform(F.filter("cells", lambda c: c["linked"]), lambda c: c["pivot"])).where(F.size("linked") > 0).withColumn("low", F.array_min("linked"))
     # a member's link to the first pivot that it has, and what it connects that pivot with, once for all members that do
     ties = near.select(F.col("low").alias("a"), F.explode("linked").alias("b")).where("a <> b").distinct()
@@ -153,11 +153,11 @@ def _divided(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     guests = F.filter("cells", lambda c: c["d"] <= F.col("own.d") + reach)
     dealt = placed.select("region", "doc_id", "near", "items", "home", "own", F.explode(F.transform(guests, lambda c: c["pivot"])).alias("cell"))
     sizes = dealt.groupBy("region", "cell").agg(F.count("*").alias("n"), F.sum((F.col("home") & (F.col("cell") == F.col("own.pivot"))).cast("int")).alias("homes"))
-    worth = common.checkpoint(sizes.groupBy("region").agg(F.sum(F.col("n") * F.col("homes")).alias("pairs")).join(members.groupBy("region").agg(F.count("*").alias("of")), "region").select("region", (F.col("pairs") <= WORTH * F.col("of") * F.col("of")).alias("worth")))
+    worth = written(sizes.groupBy("region").agg(F.sum(F.col("n") * F.col("homes")).alias("pairs")).join(members.groupBy("region").agg(F.count("*").alias("of")), "region").select("region", (F.col("pairs") <= WORTH * F.col("of") * F.col("of")).alias("worth")), n)
     judged = dealt.select("*", (F.col("cell") == F.col("own.pivot")).alias("at_home")).join(sent(worth), "region")
     region = F.when(F.col("worth"), F.xxhash64("region", "cell")).otherwise(F.col("region"))
     live = judged.where("worth or at_home").select(region.alias("region"), "doc_id", "near", "items", (F.col("home") & F.col("at_home")).alias("home"), "worth")
-    return common.checkpoint(live), links
+    return written(live), links
 
 
 def metric_components(found: DataFrame, pick: minhash.Pick, percent: int) -> DataFrame:
@@ -166,32 +166,33 @@ def metric_components(found: DataFrame, pick: minhash.Pick, percent: int) -> Dat
     A family is a region. Regions of more than LEAF members are divided by pivots, again and again; a region that its pivots
     do not divide, since all its members are about as far from each of them, is compared in blocks, as small ones are.
     """
-    sets = pick(common.checkpoint(found.select("doc_id")))
-    live = common.checkpoint(found.select("doc_id", F.col("family").alias("region"), "near").join(sets, "doc_id").withColumn("home", F.lit(True)))
+    sets = pick(written(found.select("doc_id")))
+    live = written(found.select("doc_id", F.col("family").alias("region"), "near").join(sets, "doc_id").withColumn("home", F.lit(True)))
     leaves, links = [], []
     while True:
-        sizes = common.checkpoint(live.groupBy("region").agg(F.count("*").alias("n"), F.max("home").alias("some")).where("some and n > 1"))
+        n = live.count()
+        sizes = written(live.groupBy("region").agg(F.count("*").alias("n"), F.max("home").alias("some")).where("some and n > 1"), n)
         if sizes.where(f"n > {LEAF}").isEmpty():
             leaves.append(live.join(sent(sizes), "region", "left_semi").select("region", "doc_id"))
             break
-        sized = common.checkpoint(live.join(sent(sizes), "region"))
-        dealt, linked = _divided(sized.where(f"n > {LEAF}"), percent)
+        sized = written(live.join(sent(sizes), "region"))
+        dealt, linked = _divided(sized.where(f"n > {LEAF}"), percent, n)
         leaves += [sized.where(f"n <= {LEAF}").select("region", "doc_id"), dealt.where("not worth").select("region", "doc_id")]
         live = dealt.where("worth").drop("worth")
         links.append(linked)
     placed = leaves[0]
     for more in leaves[1:]:
         placed = placed.unionByName(more)
-    placed = common.checkpoint(placed)
+    placed = written(placed)
     near = found.select("doc_id", "near", "n_shingles")
     members = placed.withColumnRenamed("region", "family").join(near, "doc_id")
     first = links[0] if links else found.sparkSession.createDataFrame([], minhash.LINKS)
     for more in links[1:]:
         first = first.unionByName(more)
     # what is linked to the same pivot is connected already, and is not compared again
-    label = common.checkpoint(first.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("component")))
+    label = written(first.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("component")))
     members = members.join(sent(label), "doc_id", "left") if links else members.withColumn("component", F.lit(None).cast("long"))
-    members = common.checkpoint(members.withColumn("component", F.coalesce("component", "doc_id")))
+    members = written(members.withColumn("component", F.coalesce("component", "doc_id")))
     n = members.count()
     last = minhash.between(members.coalesce(tasks_for(n)), pick, percent) if n else found.sparkSession.createDataFrame([], minhash.LINKS)
     return connected(last.unionByName(first))
@@ -213,7 +214,7 @@ def near_components(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     """
     signed, pick = minhash.settled(docs, _signed(docs, size, percent, common_shingles(docs.select("doc_id", "text"), size)), size)
     reps = minhash.sets_of(signed, "keys")
-    found = common.checkpoint(families(reps).join(reps.select("doc_id", "n_shingles"), "doc_id"))
+    found = written(families(reps).join(reps.select("doc_id", "n_shingles"), "doc_id"))
     if found.isEmpty():
         labels = docs.sparkSession.createDataFrame([], "id long, component long")
     else:
