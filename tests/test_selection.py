@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-from terrafold.operators import detect, semantics
+from terrafold.operators import detect, linked, semantics
 
 BOX = "image int, det_id string, xmin double, ymin double, xmax double, ymax double, score double"
 
@@ -57,3 +57,12 @@ def test_splits_meet_their_ratio(spark):
     none = spark.createDataFrame([(None, 1), ("a", 2)], "name string, x int")
     assert sorted(r.part for r in semantics.split_exactly(none, "name", 0.5).collect()) == ["train", "val"]
     assert semantics.split_exactly(none.limit(0), "name").collect() == []
+
+
+def test_written_tables_hold_what_they_were_given(spark):
+    rows = [(1, "a", [1, 2]), (1, "a", [1, 2]), (None, None, None), (3, "", [])]
+    df = spark.createDataFrame(rows, "id long, name string, items array<long>").repartition(3)
+    for n in (None, 4):
+        out = linked.written(df, n)
+        assert out.dtypes == df.dtypes and sorted(map(tuple, out.collect()), key=repr) == sorted(rows, key=repr)
+    assert linked.written(df.where("id > 3")).collect() == linked.written(df.where("id > 3"), 0).collect() == []
