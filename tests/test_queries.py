@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from terrafold.plans import library, surfaces  # noqa: F401  they register their queries
+from terrafold.plans import library, surfaces, walks  # noqa: F401  they register their queries
 from terrafold.plans.library import entry_plan
 from terrafold.plans.registry import ORACLE, QUERIES
 
