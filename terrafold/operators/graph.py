@@ -58,3 +58,22 @@ def nearest_edge(edges: DataFrame, x: float, y: float, skip: list[str] | None =
 def at_node(edges: DataFrame) -> DataFrame:
     """node, n, end: how many streets (u, v) leave each node, and the smallest node that one leads to."""
     return edges.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n"), F.min("v").alias("end"))
+
+
+def at_points(edges: DataFrame, points: DataFrame, tolerance: float = 0.0) -> DataFrame:
+    """pid, u, v, key of edges (u, v, key, geometry: an array of x, y) whose first or last point lies within tolerance of a point
+    (pid, x, y), once each. Ends and points meet in square cells as wide as the tolerance; without one, in equal coordinates.
+    Edges without geometry and points without coordinates meet nothing."""
+    if not 0 <= tolerance < float("inf"):
+        raise ValueError(f"a tolerance is 0 or more, not {tolerance}")
+    end = F.explode(F.array(F.element_at("geometry", 1), F.element_at("geometry", -1)))
+    ends = edges.where(F.size("geometry") > 0).select("u", "v", "key", end.alias("e")).select("u", "v", "key", F.col("e.x").alias("ex"), F.col("e.y").alias("ey"))
+    near = points.select("pid", "x", "y").where("x IS NOT NULL AND y IS NOT NULL")
+    if tolerance == 0:
+        return ends.join(near, (F.col("ex") == F.col("x")) & (F.col("ey") == F.col("y"))).select("pid", "u", "v", "key").distinct()
+    cell = lambda c: F.floor(F.col(c) / tolerance)
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    spread = near.select("*", around("x").alias("cx")).select("*", around("y").alias("cy"))
+    met = ends.withColumns({"cx": cell("ex"), "cy": cell("ey")}).join(spread, ["cx", "cy"])
+    apart = (F.col("ex") - F.col("x")) ** 2 + (F.col("ey") - F.col("y")) ** 2
+    return met.where(F.sqrt(apart) <= tolerance).select("pid", "u", "v", "key").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terrafold.operators import chains, detect
+from terrafold.operators import chains, detect, graph
 from terrafold.plans import fixtures as fx
 from terrafold.plans.registry import query
 
@@ -80,3 +80,14 @@ def ordered_streets(spark, d):
 @query(LOOSE + "SELECT path, chain, seq, CASE WHEN back THEN b ELSE a END AS node FROM z UNION ALL SELECT path, chain, seq + 1, CASE WHEN back THEN a ELSE b END FROM z WHERE NOT closed AND seq = k - 2")
 def ordered_nodes(spark, d):
     return chains.walked_nodes(chains.ordered(_loose(spark, d)))
+
+
+@query(
+    """WITH e AS (SELECT k u, k + step v, k % 25 * 100.0::DOUBLE ux, k // 25 * 100.0::DOUBLE uy, (k + step) % 25 * 100.0::DOUBLE vx, (k + step) // 25 * 100.0::DOUBLE vy
+            FROM (SELECT s_suppkey k FROM supplier), (VALUES (1), (25)) t(step) WHERE step = 25 OR (k + 1) % 25 <> 0),
+        p AS (SELECT c_custkey pid, c_custkey * 37 % 2400 + 0.5::DOUBLE x, c_custkey * 53 % 4000 + 0.25::DOUBLE y FROM customer)
+    SELECT pid, u, v FROM p, e WHERE (ux - x) * (ux - x) + (uy - y) * (uy - y) <= 900 OR (vx - x) * (vx - x) + (vy - y) * (vy - y) <= 900"""
+)
+def streets_at_points(spark, d):
+    """Streets that begin or end within 30 of a customer's place."""
+    return graph.at_points(fx.streets(spark, d), fx.street_seeds(spark, d).withColumnRenamed("seed", "pid"), 30.0).select("pid", "u", "v")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from terrafold.operators import chains
+from terrafold.operators import chains, graph
 
 
 def labels(spark, a):
@@ -141,3 +141,19 @@ def test_points_of_a_walk(spark):
 
     assert points(1, False) == [(0, 0), (1, 0), (2, 0), (2, 1), (2, 2)]
     assert points(1, True) == [*points(1, False), (0, 0)] and points(2, True) == [(0, 0), (5, 5), (0, 0)]
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 0.5, 3.0])
+def test_edges_at_points_against_all_pairs(spark, tolerance):
+    rng = random.Random(9)
+    at = lambda: (rng.randint(-12, 12) / 2, rng.randint(-12, 12) / 2)
+    edges = [(i, i + 1, 0, [at() for _ in range(rng.randint(1, 3))]) for i in range(60)] + [(90, 91, 0, []), (92, 93, 0, None)]
+    points = [(i, *at()) for i in range(40)] + [(99, None, 1.0)]
+    got = graph.at_points(
+        spark.createDataFrame(edges, "u int, v int, key int, geometry array<struct<x: double, y: double>>"), spark.createDataFrame(points, "pid int, x double, y double"), tolerance
+    ).collect()
+    close = lambda p, x, y: ((p[0] - x) ** 2 + (p[1] - y) ** 2) ** 0.5 <= tolerance
+    want = {(pid, u, v, k) for pid, x, y in points if x is not None for u, v, k, g in edges if g and (close(g[0], x, y) or close(g[-1], x, y))}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    with pytest.raises(ValueError):
+        graph.at_points(None, None, -1.0)
