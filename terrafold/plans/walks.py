@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from terrafold.operators import chains, detect, graph
+from terrafold.operators import chains, detect, graph, groups
 from terrafold.plans import fixtures as fx
 from terrafold.plans.registry import query
 
@@ -91,3 +91,19 @@ def ordered_nodes(spark, d):
 def streets_at_points(spark, d):
     """Streets that begin or end within 30 of a customer's place."""
     return graph.at_points(fx.streets(spark, d), fx.street_seeds(spark, d).withColumnRenamed("seed", "pid"), 30.0).select("pid", "u", "v")
+
+
+@query(
+    """, v AS (SELECT cls, CAST(round_even(d.z / 0.5, 0) AS BIGINT) bin, count(*) n FROM dsm d JOIN px USING (y, x) GROUP BY ALL),
+    h AS MATERIALIZED (SELECT *, row_number() OVER o i, sum(n) OVER o w, sum(n * bin) OVER o s, sum(n * bin * bin) OVER o q FROM v WINDOW o AS (PARTITION BY cls ORDER BY bin)),
+    e AS (SELECT cls, max(i) m, arg_max(w, i) w, arg_max(s, i) s, arg_max(q, i) q FROM h GROUP BY cls),
+    c AS (SELECT e.cls, a.i i, b.i j, e.q - a.s * a.s / a.w::DOUBLE - (b.s - a.s) * (b.s - a.s) / (b.w - a.w)::DOUBLE - (e.s - b.s) * (e.s - b.s) / (e.w - b.w)::DOUBLE AS cost
+        FROM e JOIN h a ON a.cls = e.cls JOIN h b ON b.cls = e.cls AND b.i > a.i AND b.i < e.m),
+    b AS (SELECT cls, arg_min(i, cost) i, arg_min(j, cost) j FROM c GROUP BY cls)
+    SELECT cls, CASE WHEN h.i <= b.i THEN 0 WHEN h.i <= b.j THEN 1 ELSE 2 END AS grp, min(bin) * 0.5::DOUBLE low, max(bin) * 0.5::DOUBLE high, round(sum(n * bin) / sum(n)::DOUBLE * 0.5::DOUBLE, 6) centre, CAST(sum(n) AS BIGINT) n
+    FROM h JOIN b USING (cls) GROUP BY ALL""", "px", "dsm",
+)
+def height_divisions(spark, d):
+    """The best three groups of heights of each class, to half a metre."""
+    cells = fx.px(spark, d).select("cls", F.bround(40 + 60 * F.col("z"), 3).alias("z"))
+    return groups.value_groups(cells, 3, 0.5, ("cls",)).withColumn("centre", F.round("centre", 6))
