@@ -66,3 +66,44 @@ def test_written_tables_hold_what_they_were_given(spark):
         out = linked.written(df, n)
         assert out.dtypes == df.dtypes and sorted(map(tuple, out.collect()), key=repr) == sorted(rows, key=repr)
     assert linked.written(df.where("id > 3")).collect() == linked.written(df.where("id > 3"), 0).collect() == []
+
+
+def crowd(rnd, n):
+    """n boxes of one image, whole numbers, with ties of score and copies of a place."""
+    return [(7, f"d{i:05}", x := rnd.randint(0, 99), y := rnd.randint(0, 99), x + (s := rnd.randint(1, 50)), y + s, rnd.randint(0, 10) / 10) for i in range(n)]
+
+
+def test_crowded_images_list_no_pairs(spark, monkeypatch):
+    """Boxes and masks by thousands in an image, more than a chunk holds: the greedy result, without a table of overlaps."""
+    rows = crowd(random.Random(3), 3000)
+    df = spark.createDataFrame(rows, "image int, det_id string, xmin int, ymin int, xmax int, ymax int, score double")
+
+    def over(p, q):
+        (a, b, c, d), (e, f, g, h) = p["box"], q["box"]
+        both = max(0, min(c, g) - max(a, e)) * max(0, min(d, h) - max(b, f))
+        return both > 0 and both >= 0.5 * ((c - a) * (d - b) + (g - e) * (h - f) - both)
+
+    items = [{"image": r[0], "id": r[1], "box": r[2:6], "score": r[6]} for r in rows]
+    touched = [{(y, x) for y in range(r[3] // 10, r[5] // 10 + 1) for x in range(r[2] // 10, r[4] // 10 + 1)} for r in rows]
+    for i, m in zip(items, touched, strict=True):
+        i["cells"] = m
+    alike = lambda p, q: bool(p["cells"] & q["cells"]) and len(p["cells"] & q["cells"]) >= 0.4 * len(p["cells"] | q["cells"])
+    pixels = spark.createDataFrame([(7, r[1], y, x) for r, m in zip(rows, touched, strict=True) for y, x in m], "image int, mask string, y int, x int")
+    scores = df.select("image", df.det_id.alias("mask"), "score")
+    boxes, masks = greedy(items, over), greedy(items, alike)
+    with monkeypatch.context() as m:
+        m.setattr(detect, "suppressed", None)
+        assert {(r.image, r.det_id) for r in detect.suppress(df).collect()} == boxes
+        assert {(r.image, r.mask) for r in detect.suppress_masks(pixels, scores, 0.4).collect()} == masks
+    monkeypatch.setattr(detect, "MOST", 100)  # larger images go in rounds; 300 boxes of another id do
+    few = spark.createDataFrame([(8 + (i % 5 == 0), *r[1:]) for i, r in enumerate(rows[:300])] + [(None, *r[1:]) for r in rows[:3]], df.schema)
+    want = {x for k in (8, 9) for x in greedy([{**i, "image": k} for n, i in enumerate(items[:300]) if (n % 5 == 0) == (k == 9)], over)} | {(None, r[1]) for r in rows[:3]}
+    assert {(r.image, r.det_id) for r in detect.suppress(few).collect()} == want
+
+
+def test_pairs_of_an_image_without_cells(spark):
+    """The same pairs, each box shuffled once, by its image: no grid cell makes copies of it."""
+    df = spark.createDataFrame([(i % 2, *r[1:]) for i, r in enumerate(crowd(random.Random(4), 200))], BOX.replace("xmin double", "xmin int").replace("ymin double", "ymin int").replace("xmax double", "xmax int").replace("ymax double", "ymax int"))
+    key = lambda d: sorted((r.image, r.a, r.b, r.iou) for r in d.collect())
+    assert key(detect.iou_pairs(df, None)) == key(detect.iou_pairs(df, 16.0)) != []
+    assert "explode" not in detect.iou_pairs(df, None)._jdf.queryExecution().toString()
