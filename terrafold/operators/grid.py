@@ -54,10 +54,15 @@ def patch_starts(length: int, size: int, overlap: float = 0.25) -> list[int]:
 def sliding_patches(df: DataFrame, h: int, w: int, size: int, overlap: float = 0.25) -> DataFrame:
     """df with py, px (the patch's start), each pixel once for each patch that covers it, y and x within the patch."""
 
-    def covering(starts: list[int], v: str) -> Column:
-        return F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: (F.col(v) >= s) & (F.col(v) < s + size))
-
-    out = df.withColumn("py", F.explode(covering(patch_starts(h, size, overlap), "y"))).withColumn("px", F.explode(covering(patch_starts(w, size, overlap), "x")))
+    def covering(length: int, v: str) -> Column:
+        starts = patch_starts(length, size, overlap)
+        n, offset = len(starts), starts[-1] // max(1, len(starts) - 1)
+        if offset == 0:
+            return F.filter(F.array(*[F.lit(s) for s in starts]), lambda s: (F.col(v) >= s) & (F.col(v) < s + size))
+        first, last = F.greatest(F.lit(0), F.floor((F.col(v) - size) / offset) + 1), F.least(F.lit(n - 1), F.floor(F.col(v) / offset))
+        return F.when(first <= last, F.transform(F.sequence(first, last), lambda k: (k * offset).cast("int")))
+
+    out = df.withColumn("py", F.explode(covering(h, "y"))).withColumn("px", F.explode(covering(w, "x")))
     return _shift(out, F.col("py"), F.col("px"))
 
 
@@ -128,7 +133,8 @@ def resize_nearest(df: DataFrame, h: int, w: int, new_h: int, new_w: int) -> Dat
     """Each target pixel takes the source pixel floor(i * old / new): sources list the targets that read them."""
 
     def readers(v: str, old: int, new: int) -> Column:
-        lo, hi = F.ceil(F.col(v) * new / old), F.ceil((F.col(v) + 1) * new / old) - 1
+        at = F.col(v).cast("long")  # v * new is more than an int on a raster of 50,000 rows
+        lo, hi = F.ceil(at * new / old), F.ceil((at + 1) * new / old) - 1
         return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<long>"))
 
     out = df.withColumn("_i", F.explode(readers("y", h, new_h))).withColumn("_j", F.explode(readers("x", w, new_w)))

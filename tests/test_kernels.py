@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from terrafold.model import Geo, RasterError
-from terrafold.operators import coords, detect, focal, graph, grid, halo, kernels, labels, mapalg
+from terrafold.operators import coords, detect, focal, graph, grid, halo, kernels, labels, mapalg, vector
 from terrafold.sources import files
 
 
@@ -138,3 +138,20 @@ def test_files(spark, tmp_path):
     (tmp_path / "m.obj").write_text("o t\nv 0 1 2.5\nf 1 2 3\n")
     v, f = files.read_obj(spark, str(tmp_path / "m.obj"))
     assert v.first().z == 2.5 and f.first().c == 3
+
+
+def test_resampling_rows_of_large_rasters(spark):
+    """v * new passes 2**31 from 46,341 rows on."""
+    df = spark.createDataFrame([(y, 3) for y in (0, 59_999)], "y int, x int")
+    assert sorted((r.y, r.x) for r in grid.resize_nearest(df, 60_000, 10, 60_000, 10).collect()) == [(0, 3), (59_999, 3)]
+    assert all(0 < r.y < 59_999 for r in grid.shrink(df, 60_000, 10).collect())
+
+
+def test_patches_of_long_rasters(spark):
+    """As many rows as patches cover a pixel, without a list of all patches in the plan."""
+    h, size = 50_000, 32
+    df = spark.createDataFrame([(y, x, 1.0) for y in (0, 23, 24, 31, 32, 24_990, 49_998, 49_999) for x in (0, 16, 63)], "y int, x int, z double")
+    patches = grid.sliding_patches(df, h, 64, size)
+    got = sorted((r.py, r.px, r.y, r.x) for r in patches.collect())
+    want = sorted((p, q, r.y - p, r.x - q) for r in df.collect() for p in grid.patch_starts(h, size) if p <= r.y < p + size for q in grid.patch_starts(64, size) if q <= r.x < q + size)
+    assert got == want and len(patches._jdf.queryExecution().toString()) < 20_000
