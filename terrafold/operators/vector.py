@@ -27,13 +27,16 @@ def perimeter(verts: DataFrame) -> DataFrame:
 def points_inside(verts: DataFrame, points: DataFrame, cell: float) -> DataFrame:
     """poly, pid of the points inside, by the parity of sides to their right.
 
-    Sides are dealt to the rows of cells that they span and points to their row, so only sides at a point's height meet it.
+    Sides are dealt to the rows of cells that they span and, there, to the columns of their polygon and one more at either end;
+    points to their cell. So only sides at a point's height, of polygons about it, meet it.
     """
-    rows = F.sequence(F.floor(F.least("y1", "y2") / cell), F.floor(F.greatest("y1", "y2") / cell))
-    dealt = sides(verts).where(F.col("y1") != F.col("y2")).withColumn("_row", F.explode(rows))
-    at = points.withColumn("_row", F.floor(F.col("y") / cell))
+    span = lambda lo, hi: F.sequence(F.floor(lo / cell), F.floor(hi / cell))
+    wide = verts.groupBy("poly").agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    dealt = sides(verts).where(F.col("y1") != F.col("y2")).join(wide, "poly").withColumn("_row", F.explode(span(F.least("y1", "y2"), F.greatest("y1", "y2"))))
+    dealt = dealt.withColumn("_col", F.explode(span(F.col("_lo") - cell, F.col("_hi") + cell)))
+    at = points.withColumns({"_row": F.floor(F.col("y") / cell), "_col": F.floor(F.col("x") / cell)})
     cut = (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    hit = dealt.join(at, "_row").where(((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < cut))
+    hit = dealt.join(at, ["_row", "_col"]).where(((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < cut))
     return hit.groupBy("poly", "pid").agg(F.count("*").alias("_n")).where(F.col("_n") % 2 == 1).select("poly", "pid")
 
 

@@ -155,3 +155,13 @@ def test_patches_of_long_rasters(spark):
     got = sorted((r.py, r.px, r.y, r.x) for r in patches.collect())
     want = sorted((p, q, r.y - p, r.x - q) for r in df.collect() for p in grid.patch_starts(h, size) if p <= r.y < p + size for q in grid.patch_starts(64, size) if q <= r.x < q + size)
     assert got == want and len(patches._jdf.queryExecution().toString()) < 20_000
+
+
+def test_points_inside_meet_polygons_about_them(spark):
+    """A polygon far to the right has no part in a point's parity, and no pair with it."""
+    ring = [(0, -1, -1), (1, 1, -1), (2, 1, 1), (3, -1, 1)]
+    verts = spark.createDataFrame([(p, i, p * 10.0 + dx * 3, dy * 3.0) for p in range(300) for i, dx, dy in ring], "poly int, idx int, x double, y double")
+    points = spark.createDataFrame([(k, k * 1.0, 0.0) for k in range(50)], "pid int, x double, y double")
+    inside = vector.points_inside(verts, points, 10.0)
+    assert {(r.poly, r.pid) for r in inside.collect()} == {(p, k) for p in range(300) for k in range(50) if p * 10 - 3 <= k < p * 10 + 3}
+    assert "_col" in inside._jdf.queryExecution().analyzed().toString()
