@@ -108,6 +108,14 @@ def _linear(t: np.ndarray) -> np.ndarray:
 
 
 TAPS = {"linear": (range(0, 2), _linear), "cubic": (range(-1, 3), _cubic)}
+
+
+def _place(known: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Where each of v stands in known (in order), len(known) for those that are not in it."""
+    at = np.searchsorted(known, v)
+    return np.where(known[np.minimum(at, len(known) - 1)] == v, at, len(known))
+
+
 Locate = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
@@ -128,16 +136,14 @@ def gathered(df: DataFrame, h: int, w: int, new_h: int, new_w: int, readers: tup
         real = table.filter(pa.compute.is_valid(table.column("y")))
         if real.num_rows:
             y, x = real.column("y").to_numpy(), real.column("x").to_numpy()
-            top, left = y.min(), x.min()
-            held = np.full((y.max() - top + 2, x.max() - left + 2), np.nan)  # the last row and column stay empty
-            held[y - top, x - left] = real.column("z").to_numpy()
+            rows, cols = np.unique(y), np.unique(x)
+            held = np.full((len(rows) + 1, len(cols) + 1), np.nan)  # the last row and column stay empty
+            held[np.searchsorted(rows, y), np.searchsorted(cols, x)] = real.column("z").to_numpy()
             fy, fx = np.floor(sy).astype(int), np.floor(sx).astype(int)
             for i in taps:
-                py = np.clip(fy + i, 0, h - 1) - top
-                py = np.where((py >= 0) & (py < held.shape[0]), py, held.shape[0] - 1)
+                py = _place(rows, np.clip(fy + i, 0, h - 1))
                 for j in taps:
-                    px = np.clip(fx + j, 0, w - 1) - left
-                    px = np.where((px >= 0) & (px < held.shape[1]), px, held.shape[1] - 1)
+                    px = _place(cols, np.clip(fx + j, 0, w - 1))
                     g, v = weight(sy - fy - i) * weight(sx - fx - j), held[py, px]
                     has = ~np.isnan(v)
                     out += np.where(has, g * v, 0.0)
@@ -149,22 +155,33 @@ def gathered(df: DataFrame, h: int, w: int, new_h: int, new_w: int, readers: tup
 
     (y0, y1), (x0, x1) = readers
     rows = _dealt(df, (F.floor(y0), F.ceil(y1)), (F.floor(x0), F.ceil(x1)), new_h, new_w, chunk, z)
-    if outside is not None:
-        ny, nx = -(-new_h // chunk), -(-new_w // chunk)
-        none = lambda t: F.lit(None).cast(t)
-        rows = rows.unionByName(df.sparkSession.range(ny * nx).select(none("int").alias("y"), none("int").alias("x"), none("double").alias("z"), F.floor(F.col("id") / nx).alias("_cy"), (F.col("id") % nx).alias("_cx")))
-    return rows.groupBy("_cy", "_cx").applyInArrow(run, PIXELS)
+    out = rows.groupBy("_cy", "_cx").applyInArrow(run, PIXELS)
+    if outside is None:
+        return out
+    # chunks that no pixel reaches are rows of one value, which need no kernel
+    ny, nx = -(-new_h // chunk), -(-new_w // chunk)
+    touched = rows.select("_cy", "_cx").distinct()
+    bare = df.sparkSession.range(ny * nx).select(F.floor(F.col("id") / nx).alias("_cy"), (F.col("id") % nx).alias("_cx")).join(touched, ["_cy", "_cx"], "left_anti")
+    side = lambda k, n: F.sequence(F.col(k) * chunk, F.least(F.lit(n), (F.col(k) + 1) * chunk) - 1)
+    lines = bare.withColumn("y", F.explode(side("_cy", new_h))).withColumn("x", F.explode(side("_cx", new_w)))
+    return out.unionByName(lines.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.lit(float(outside)).alias("z")))
 
 
 def resize(df: DataFrame, h: int, w: int, new_h: int, new_w: int, kind: str = "linear", z: str = "z", chunk: int = CHUNK) -> DataFrame:
-    """df resized with half-pixel centres."""
+    """df resized with half-pixel centres. Where a side shrinks, only rows or columns that a target reads are shuffled."""
     first, last = min(TAPS[kind][0]), max(TAPS[kind][0])
 
     def reading(v: str, old: int, new: int) -> tuple[Column, Column]:
         lo, hi = (F.col(v) - last - 0.5) * (new / old) - 1.5, (F.col(v) - first + 1.5) * (new / old) + 0.5
         return F.when(F.col(v) == 0, F.lit(0.0)).otherwise(lo), F.when(F.col(v) == old - 1, F.lit(new - 1.0)).otherwise(hi)
 
+    def read(v: str, old: int, new: int) -> Column:
+        lo, hi = reading(v, old, new)
+        near = F.exists(F.sequence(F.floor(lo).cast("long"), F.ceil(hi).cast("long")), lambda t: F.floor((t + 0.5) * (old / new) - 0.5).between(F.col(v) - last - 1, F.col(v) - first + 1))
+        return F.lit(True) if new >= old else F.col(v).isin(0, old - 1) | near
+
     locate = lambda y, x: ((y + 0.5) * (h / new_h) - 0.5, (x + 0.5) * (w / new_w) - 0.5)
+    df = df.where(read("y", h, new_h) & read("x", w, new_w))
     return gathered(df, h, w, new_h, new_w, (reading("y", h, new_h), reading("x", w, new_w)), locate, kind, z, chunk=chunk)
 
 

@@ -192,3 +192,27 @@ def test_raster_metadata():
     g = Geo(500, 64)
     assert g.center() == (290000.64, 5039995.0) and g.precision() == 2 and g.size() == (1.28, 10.0)
     assert g.ring(True)[0] == g.ring(True)[-1] and len(g.ring()) == 4 and Geo(1, 1, sx=1e-05).precision() == 0
+
+
+def test_shrinking_reads_few_rows(spark, monkeypatch):
+    """Only rows that a target reads are dealt to chunks: the values of the whole, from a bounded part of a long raster."""
+    a = np.random.default_rng(9).normal(size=(4000, 5))
+    df, dealt = frame(spark, a), []
+    whole = halo._dealt
+    monkeypatch.setattr(halo, "_dealt", lambda rows, *r: dealt.append(rows.count()) or whole(rows, *r))
+    for kind, taps, weight in (("linear", *halo.TAPS["linear"]), ("cubic", *halo.TAPS["cubic"])):
+        got = {(r.y, r.x): r.z for r in halo.resize(df, 4000, 5, 10, 8, kind).collect()}
+        for ty, tx in np.ndindex(10, 8):
+            sy, sx = (ty + 0.5) * (4000 / 10) - 0.5, (tx + 0.5) * (5 / 8) - 0.5
+            p, q = int(np.floor(sy)), int(np.floor(sx))
+            want = sum(float(weight(np.array(sy - p - i)) * weight(np.array(sx - q - j))) * a[min(max(p + i, 0), 3999), min(max(q + j, 0), 4)] for i in taps for j in taps)
+            assert abs(got[ty, tx] - want) < 1e-9
+    assert max(dealt) <= 10 * 6 * 5 + 2 * 5
+
+
+def test_bare_chunks_of_a_turned_raster(spark):
+    """Chunks without pixels need no kernel; every place of the canvas comes once."""
+    turned, h, w = halo.rotate(frame(spark, np.ones((60, 4))), 60, 4, 45.0, chunk=8)
+    rows = turned.collect()
+    assert len(rows) == len({(r.y, r.x) for r in rows}) == h * w and 200 < sum(r.z for r in rows) < 280
+    assert "LeftAnti" in turned._jdf.queryExecution().toString()
