@@ -13,8 +13,8 @@ PITCHES = 12
 #: Frames under a filter at most; a fingerprint begins at each frame that so many follow.
 WIDTH = 16
 FILTERS = 16
-#: Recordings that set the quantiser thresholds, the smallest hashes first.
-FIT_RECORDINGS = 500
+#: Quartiles are counted to 1 / STEPS for the quantiser thresholds.
+STEPS = 1 << 10
 #: A pair is reported whose best offset has this many equal fingerprints, and at most this share of unequal bits there.
 LEAST_HITS, MOST_ERRORS = 2, 0.25
 
@@ -89,18 +89,25 @@ def _samples(column: pa.Array) -> list[np.ndarray]:
     return [np.nan_to_num(np.array([v or 0.0 for v in x.as_py() or ()], np.float64)) for x in column]
 
 
-def fit_cuts(recordings: DataFrame, bound: int = FIT_RECORDINGS) -> np.ndarray:
-    """Quartiles of each filter's responses (FILTERS x 3) over a bounded sample of recordings."""
-    some = recordings.where("rec_id is not null").orderBy(F.xxhash64("rec_id"), "rec_id").limit(bound)
+def fit_cuts(recordings: DataFrame) -> np.ndarray:
+    """Quartiles of each filter's responses (FILTERS x 3): the median over all recordings (rec_id, samples) that have an id of theirs,
+    to 1 / STEPS. Tasks count rounded quartiles, so what comes to the driver is bounded by their range, not by the recordings."""
 
     def run(batches):
         for b in batches:
             found = [responses(chroma(s)) for s in _samples(b.column(0))]
-            q = [np.quantile(r, (0.25, 0.5, 0.75), axis=0).T.ravel().tolist() for r in found if len(r)]
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.list_(pa.float64()))], names=["q"])
-
-    rows = some.select("samples").mapInArrow(run, "q array<double>").collect()
-    return np.median([r["q"] for r in rows], axis=0).reshape(FILTERS, 3) if rows else np.zeros((FILTERS, 3))
+            q = [np.rint(np.quantile(r, (0.25, 0.5, 0.75), axis=0).T.ravel() * STEPS).astype(np.int64) for r in found if len(r)]
+            cuts, n = np.unique([(k, v) for r in q for k, v in enumerate(r)] or np.zeros((0, 2), np.int64), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cuts[:, 0]), pa.array(cuts[:, 1]), pa.array(n)], names=["cut", "value", "n"])
+
+    counts = recordings.where("rec_id is not null").select("samples").mapInArrow(run, "cut long, value long, n long").groupBy("cut", "value").agg(F.sum("n").alias("n"))
+    out = np.zeros(FILTERS * 3)
+    rows = np.array(sorted(tuple(r) for r in counts.collect()), np.int64).reshape(-1, 3)
+    for k in np.unique(rows[:, 0]):
+        value, upto = rows[rows[:, 0] == k, 1], np.cumsum(rows[rows[:, 0] == k, 2])
+        middle = [value[np.searchsorted(upto, m, "right")] for m in ((upto[-1] - 1) // 2, upto[-1] // 2)]
+        out[k] = sum(middle) / 2 / STEPS
+    return out.reshape(FILTERS, 3)
 
 
 def fingerprint(recordings: DataFrame, cuts: np.ndarray) -> DataFrame:

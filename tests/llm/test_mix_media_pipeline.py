@@ -309,3 +309,14 @@ def test_pipeline_of_nothing(spark, sf, none, tmp_path):
     none.write.parquet(str(tmp_path / "documents.parquet"))
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_cuts_come_from_all_recordings(spark):
+    """700 recordings, more than any sample of 500: the median of their quartiles, each of them counted."""
+    rnd = np.random.default_rng(8)
+    data = [(k, (rnd.normal(size=700) * (1 + k % 5)).tolist()) for k in range(700)] + [(None, [1.0] * 700), (700, [0.5])]
+    df = spark.createDataFrame(data, "rec_id long, samples array<double>").repartition(3)
+    q = [np.quantile(audio.responses(audio.chroma(np.array(s))), (0.25, 0.5, 0.75), axis=0).T for k, s in data if k is not None and len(s) > 1]
+    cuts = audio.fit_cuts(df)
+    assert cuts.shape == (audio.FILTERS, 3) and np.abs(cuts - np.median(q, axis=0)).max() <= 0.51 / audio.STEPS
+    assert (audio.fit_cuts(df.limit(0)) == 0).all()
