@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from terrafold.operators.linked import written
+from terrafold.operators.linked import checkpoint, written
+
+#: Edges of a path that one call puts in order; those of longer paths are walked by doubling.
+MOST = 1 << 18
 
 
 def rings(links: DataFrame) -> DataFrame:
@@ -117,14 +124,8 @@ def contours(corners: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return best.select(*by, "label", F.transform("p", lambda c: F.struct(c.y.alias("y"), c.x.alias("x"))).alias("contour"))
 
 
-def ordered(edges: DataFrame) -> DataFrame:
-    """edges (path, edge, u, v and other columns) with chain, closed, seq, flipped, n; u and v as the walk takes them.
-
-    Edges of a path come in any order and direction; edge names one of a path. A chain goes on through nodes of two edges and ends
-    at others, so a path that branches has several; it is named by its first edge. A closed chain starts with its smallest edge, as
-    that one is directed; an open one at the smaller of its ends. A null node ends a chain; edges of a null path are chains of one.
-    Each edge is walked both ways, and a walk that ends turns back, so that all walks are rings.
-    """
+def _by_doubling(edges: DataFrame) -> DataFrame:
+    """ordered, of paths of any length: each edge is walked both ways, and a walk that ends turns back, so that all walks are rings."""
     way = lambda s, t, d: F.struct(F.col(s).alias("s"), F.col(t).alias("t"), F.lit(d).alias("dir"))
     darts = edges.select("path", "edge", F.explode(F.array(way("u", "v", 0), way("v", "u", 1))).alias("d")).select("path", "edge", "d.*")
     leaving = F.struct("edge", "dir")
@@ -150,10 +151,102 @@ def ordered(edges: DataFrame) -> DataFrame:
     return turned.withColumns({"u": F.when(F.col("flipped"), F.col("v")).otherwise(F.col("u")), "v": F.when(F.col("flipped"), F.col("u")).otherwise(F.col("v"))})
 
 
+def _walk(u: list, v: list) -> list[tuple[int, bool, int, bool, int]]:
+    """Chain (its first edge), closed, seq, flipped and n of each edge of a path, given in order of edges. 2 k and 2 k + 1 are edge k
+    forward and back."""
+    ends, leaving = (u, v), {}
+    for k in range(len(u)):
+        for way in (0, 1):
+            leaving.setdefault(ends[way][k], []).append(2 * k + way)
+    inner = lambda node: node is not None and len(leaving[node]) == 2
+    source = lambda d: ends[d & 1][d >> 1]
+    outer = sorted((d for d in range(2 * len(u)) if not inner(source(d))), key=lambda d: (False, 0, d) if source(d) is None else (True, source(d), d))
+    out: list = [None] * len(u)
+    for first in (*outer, *range(0, 2 * len(u), 2)):  # what is left after the open chains is closed
+        if out[first >> 1] is not None:
+            continue
+        run, at, closed = [], first, False
+        while True:
+            run.append(at)
+            node = source(at ^ 1)
+            if not inner(node):
+                break
+            a, b = leaving[node]
+            at = b if a == at ^ 1 else a
+            if at == first:
+                closed = True
+                break
+        for seq, d in enumerate(run):
+            out[d >> 1] = (first >> 1, closed, seq, d & 1 == 1, len(run))
+    return out
+
+
+def _in_order(edges: DataFrame) -> DataFrame:
+    """ordered, of paths that a task can hold one by one: shuffled once, by path."""
+
+    def walked(rows: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        u, v = rows.column("u").to_pylist(), rows.column("v").to_pylist()
+        nowhere = rows.column("path").is_null().to_pylist()
+        found = []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if nowhere[lo]:  # a chain of its own, from the smaller of its ends
+                found.append((lo, False, 0, v[lo] is None and u[lo] is not None or None not in (u[lo], v[lo]) and v[lo] < u[lo], 1))
+            else:
+                found += [(lo + c, *more) for c, *more in _walk(u[lo:hi], v[lo:hi])]
+        chain, closed, seq, flipped, n = (list(c) for c in zip(*found, strict=True))
+        turned = pa.array(flipped, pa.bool_())
+        a, b = rows.column("u"), rows.column("v")
+        rows = rows.set_column(rows.schema.get_field_index("u"), "u", pa.compute.if_else(turned, b, a)).set_column(rows.schema.get_field_index("v"), "v", pa.compute.if_else(turned, a, b))
+        more = {"chain": rows.column("edge").take(pa.array(chain, pa.int64())), "closed": pa.array(closed, pa.bool_()), "seq": pa.array(seq, pa.int64()), "flipped": turned, "n": pa.array(n, pa.int64())}
+        for name, column in more.items():
+            rows = rows.append_column(name, column)
+        yield from rows.combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # the last path so far, which may go on
+        for batch in batches:
+            held.append(batch)
+            rows = pa.Table.from_batches(held).combine_chunks()
+            if not rows.num_rows:
+                continue
+            path = rows.column("path").combine_chunks()
+            new = pa.compute.fill_null(pa.compute.not_equal(path[1:], path[:-1]), True)
+            cuts = [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist()]
+            if len(cuts) > 1:
+                yield from walked(rows.slice(0, cuts[-1]), cuts)
+            held = rows.slice(cuts[-1]).to_batches()
+        rows = pa.Table.from_batches(held) if held else None
+        if rows is not None and rows.num_rows:
+            yield from walked(rows, [0, rows.num_rows])
+
+    more = [T.StructField("chain", edges.schema["edge"].dataType), T.StructField("closed", T.BooleanType()), *[T.StructField(k, t()) for k, t in (("seq", T.LongType), ("flipped", T.BooleanType), ("n", T.LongType))]]
+    return edges.repartition("path").sortWithinPartitions("path", "edge").mapInArrow(run, T.StructType([*edges.schema.fields, *more]))
+
+
+def ordered(edges: DataFrame) -> DataFrame:
+    """edges (path, edge, u, v and other columns) with chain, closed, seq, flipped, n; u and v as the walk takes them.
+
+    Edges of a path come in any order and direction; edge names one of a path. A chain goes on through nodes of two edges and ends
+    at others, so a path that branches has several; it is named by its first edge. A closed chain starts with its smallest edge, as
+    that one is directed; an open one at the smaller of its ends. A null node ends a chain; edges of a null path are chains of one.
+    Paths are put in order one by one as they stream through a task; those of more than MOST edges, and nodes that are neither whole
+    numbers nor strings, are walked by doubling.
+    """
+    if not all(isinstance(edges.schema[k].dataType, (T.IntegralType, T.StringType)) for k in ("u", "v")):
+        return _by_doubling(edges)
+    wide = checkpoint(edges.groupBy("path").agg(F.count("*").alias("_n")).where((F.col("_n") > MOST) & F.col("path").isNotNull()).select("path"))
+    if wide.isEmpty():
+        return _in_order(edges)
+    wide = F.broadcast(wide)
+    return _in_order(edges.join(wide, "path", "left_anti")).unionByName(_by_doubling(edges.join(wide, "path", "left_semi").select(*edges.columns)))
+
+
 def walked_nodes(walk: DataFrame) -> DataFrame:
     """path, chain, seq, node of ordered edges: a closed chain's first node is not repeated at its end."""
-    last = walk.where(~F.col("closed") & (F.col("seq") == F.col("n") - 1)).select("path", "chain", (F.col("seq") + 1).alias("seq"), F.col("v").alias("node"))
-    return walk.select("path", "chain", "seq", F.col("u").alias("node")).unionByName(last)
+    stop = lambda seq, node: F.struct(seq.alias("seq"), F.col(node).alias("node"))
+    here, last = stop(F.col("seq"), "u"), stop(F.col("seq") + 1, "v")
+    ends = ~F.col("closed") & (F.col("seq") == F.col("n") - 1)
+    return walk.select("path", "chain", F.explode(F.when(ends, F.array(here, last)).otherwise(F.array(here))).alias("s")).select("path", "chain", "s.seq", "s.node")
 
 
 def walked_points(walk: DataFrame, close: bool = True) -> DataFrame:

@@ -157,3 +157,29 @@ def test_edges_at_points_against_all_pairs(spark, tolerance):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     with pytest.raises(ValueError):
         graph.at_points(None, None, -1.0)
+
+
+def test_paths_one_by_one_as_by_doubling(spark, monkeypatch):
+    """Random graphs with branches, rings, loops, null nodes and paths cut by batches: the same rows either way, none by doubling unless long."""
+    rng, rows = random.Random(11), []
+    for path in [None, *range(60)]:
+        nodes = [None, *range(rng.randint(2, 12))]
+        rows += [(path, e, rng.choice(nodes), rng.choice(nodes), e * 2) for e in range(rng.randint(1, 14))]
+    df = spark.createDataFrame(rows, "path int, edge int, u int, v int, more int")
+    key = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    want = chains._by_doubling(df)
+    names = want.columns
+    slow = key(want)
+    text = df.withColumns({c: df[c].cast("string") for c in ("u", "v")})
+    monkeypatch.setattr(chains, "MOST", 8)
+    assert key(chains.ordered(df).select(*names)) == slow
+    assert key(chains.ordered(text).select(*names)) == key(chains._by_doubling(text))
+    monkeypatch.undo()
+    monkeypatch.setattr(chains, "rings", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        fast = chains.ordered(df)
+        assert fast.columns == names and fast.dtypes == want.dtypes and key(fast) == slow
+        assert chains.ordered(df.limit(0)).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
