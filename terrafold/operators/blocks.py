@@ -1,7 +1,8 @@
 """City blocks: the shortest closed walk along streets around each of many points.
 
 Streets are rows (u, v, key, name, geometry): the nodes at their ends, a number among streets of the same ends, a name or null,
-and their line as an array of (x, y) from u to v. All searches go on together; a round joins the ends of paths to streets.
+and their line as an array of (x, y) from u to v. All searches go on together, one for each street that is nearest to a seed; a round
+joins the ends of paths to streets.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terrafold.functions.paths import contains_any
 from terrafold.operators.graph import path_uuid
-from terrafold.operators.linked import checkpoint
+from terrafold.operators.linked import written
 
 #: Names that are never part of a block.
 LANES = ("Ruelle",)
@@ -70,14 +71,18 @@ def nearest_streets(streets: DataFrame, seeds: DataFrame, radius: float) -> Data
     return best.select("seed", "x", "y", "m.u", "m.v", "m.eid")
 
 
-def _returns(ways: DataFrame, found: DataFrame, most: int) -> DataFrame:
-    """seed, node, left: the fewest streets from a node back to the seed street's u, without that street, up to most."""
-    frontier = found.select("seed", F.col("u").alias("node"), "eid")
-    seen = frontier.select("seed", "node", F.lit(0).alias("left"))
+#: What tells a search: a street, and the end that it starts from.
+SEARCH = ["u", "v", "eid"]
+
+
+def _returns(ways: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """u, v, eid, node, left: the fewest streets from a node back to the street's u, without that street, up to most."""
+    frontier = starts.select(*SEARCH, F.col("u").alias("node"))
+    seen = frontier.withColumn("left", F.lit(0))
     for d in range(1, most + 1):
-        step = frontier.join(ways.select(F.col("a").alias("node"), "b", F.col("eid").alias("_e")), "node").where("_e <> eid").select("seed", F.col("b").alias("node"), "eid").distinct()
-        frontier = checkpoint(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti"))
-        seen = checkpoint(seen.unionByName(frontier.select("seed", "node", F.lit(d).alias("left"))))
+        step = frontier.join(ways.select(F.col("a").alias("node"), "b", F.col("eid").alias("_e")), "node").where("_e <> eid").select(*SEARCH, F.col("b").alias("node")).distinct()
+        frontier = written(step.join(seen.drop("left"), [*SEARCH, "node"], "left_anti"))
+        seen = seen.unionByName(frontier.withColumn("left", F.lit(d)))
         if frontier.isEmpty():
             break
     return seen
@@ -87,27 +92,35 @@ def around(streets: DataFrame, seeds: DataFrame, radius: float = 500.0, skip: li
     """seed, uuid, nodes, ring of the block around each seed (seed, x, y): the closed walk of fewest streets, `most` at most, that begins
     with the street nearest to the seed, repeats no node and has the seed inside; of equals the first by its streets.
 
-    Seeds without such a walk are left out. Paths that can't be back in time are dropped each round, and a seed's search ends
-    in the round that finds its block.
+    Seeds without such a walk are left out. Walks are searched once for a street, however many seeds are near it, and tried on
+    the different places of its seeds. Paths that can't be back in time are dropped each round, and a street's search ends in
+    the round in which the last of its places has a block.
     """
-    ways = checkpoint(both_ways(usable(streets, skip)))
-    found = checkpoint(nearest_streets(usable(streets, skip), seeds, radius))
-    home = _returns(ways, found, most - 1)
-    first = found.join(ways.select("eid", F.col("a").alias("u"), F.col("b").alias("v"), "line"), ["eid", "u", "v"])
-    paths = checkpoint(first.where("u <> v").select("seed", "x", "y", F.col("u").alias("start"), F.col("v").alias("node"), F.array("eid").alias("eids"), F.array("u", "v").alias("nodes"), F.col("line").alias("ring")))
+    ways = written(both_ways(usable(streets, skip)))
+    seeds = seeds.select("seed", "x", "y")
+    places = seeds.select(F.struct("x", "y").alias("seed"), "x", "y").distinct()
+    open_ = written(nearest_streets(usable(streets, skip), places, radius).drop("seed"))
+    starts = written(open_.select(*SEARCH).distinct())
+    home = _returns(ways, starts, most - 1)
+    first = starts.join(ways.select("eid", F.col("a").alias("u"), F.col("b").alias("v"), "line"), SEARCH)
+    paths = written(first.where("u <> v").select(*SEARCH, F.col("v").alias("node"), F.array("eid").alias("eids"), F.array("u", "v").alias("nodes"), F.col("line").alias("ring")))
     out = None
     for n in range(2, most + 1):
         step = paths.join(ways.select(F.col("a").alias("node"), F.col("b").alias("_b"), F.col("eid").alias("_e"), "line"), "node").where(~F.array_contains("eids", F.col("_e")))
-        longer = step.select("seed", "x", "y", "start", F.col("_b").alias("node"), F.concat("eids", F.array("_e")).alias("eids"), "nodes", F.concat("ring", F.slice("line", F.lit(2), F.size("line"))).alias("ring"))
-        back = longer.where((F.col("node") == F.col("start")) & surrounds(F.col("ring"), F.col("x"), F.col("y")))
-        done = checkpoint(back.groupBy("seed").agg(F.min_by(F.struct("nodes", "ring"), "eids").alias("b")).select("seed", "b.nodes", "b.ring"))
+        longer = step.select(*SEARCH, F.col("_b").alias("node"), F.concat("eids", F.array("_e")).alias("eids"), "nodes", F.concat("ring", F.slice("line", F.lit(2), F.size("line"))).alias("ring"))
+        shut = longer.where(F.col("node") == F.col("u")).drop("node")
+        back = open_.join(shut, SEARCH).where(surrounds(F.col("ring"), F.col("x"), F.col("y")))
+        done = written(back.groupBy("x", "y").agg(F.min_by(F.struct("eids", "nodes", "ring"), "eids").alias("b")).select("x", "y", F.lit(n).alias("n"), "b.*"))
         out = done if out is None else out.unionByName(done)
-        on = longer.where((F.col("node") != F.col("start")) & ~F.array_contains("nodes", F.col("node"))).withColumn("nodes", F.concat("nodes", F.array("node")))
-        on = on.join(home, ["seed", "node"]).where(F.col("left") <= most - n).drop("left").join(done, "seed", "left_anti")
-        paths = checkpoint(on)
+        open_ = written(open_.join(done, ["x", "y"], "left_anti"))
+        on = longer.where((F.col("node") != F.col("u")) & ~F.array_contains("nodes", F.col("node"))).withColumn("nodes", F.concat("nodes", F.array("node")))
+        on = on.join(home, [*SEARCH, "node"]).where(F.col("left") <= most - n).drop("left").join(open_.select(*SEARCH).distinct(), SEARCH, "left_semi")
+        paths = written(on)
         if paths.isEmpty():
             break
-    return out.select("seed", path_uuid(F.col("nodes")).alias("uuid"), "nodes", "ring")
+    # a seed that is given at several places has the block of fewest streets
+    found = seeds.join(out, ["x", "y"]).groupBy("seed").agg(F.min_by(F.struct("nodes", "ring"), F.struct("n", "eids")).alias("b")).select("seed", "b.nodes", "b.ring")
+    return found.select("seed", path_uuid(F.col("nodes")).alias("uuid"), "nodes", "ring")
 
 
 def zones(blocks: DataFrame, least: float = 2500.0) -> DataFrame:

@@ -188,6 +188,28 @@ def test_city_blocks(spark):
     assert blocks.around(city(spark), seeds.where("seed = 4")).collect() == []
 
 
+def test_walks_are_searched_once_for_a_street(spark, monkeypatch):
+    """Many seeds near one street make no more paths than one seed does; a seed at two places has the block of fewest streets."""
+    sizes, whole = {}, blocks.written
+
+    def counted(df):
+        out = whole(df)
+        if {"node", "ring"} <= set(df.columns):
+            sizes[key] = sizes.get(key, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(blocks, "written", counted)
+    one, many = [(1, 150.0, 45.0)], [(k, 140.0 + k % 20, 30.0 + k % 7) for k in range(300)]
+    got = {}
+    for key, rows in ((1, one), (300, many)):
+        got[key] = blocks.around(city(spark), spark.createDataFrame(rows, "seed int, x double, y double"), 120.0).collect()
+    assert sizes[1] == sizes[300] > 0
+    assert len(got[300]) == 300 and {r.uuid for r in got[300]} == {got[1][0].uuid}
+    twice = spark.createDataFrame([(1, 150.0, 145.0), (1, 150.0, 45.0), (1, 150.0, 45.0)], "seed int, x double, y double")
+    closed = [r for r in blocks.around(city(spark).where("name <> 'Rue 2'"), twice, 120.0).collect()]
+    assert len(closed) == 1 and set(closed[0].nodes) == {1, 2, 5, 6}
+
+
 def test_raster_metadata():
     g = Geo(500, 64)
     assert g.center() == (290000.64, 5039995.0) and g.precision() == 2 and g.size() == (1.28, 10.0)
