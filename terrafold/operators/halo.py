@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 CHUNK = 256
 PIXELS = "y int, x int, z double"
@@ -119,16 +120,17 @@ def _place(known: np.ndarray, v: np.ndarray) -> np.ndarray:
 Locate = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def gathered(df: DataFrame, h: int, w: int, new_h: int, new_w: int, readers: tuple[tuple[Column, Column], tuple[Column, Column]], locate: Locate, kind: str, z: str = "z", outside: float | None = None, chunk: int = CHUNK) -> DataFrame:
+def gathered(df: DataFrame, h: int, w: int, new_h: int, new_w: int, readers: tuple[tuple[Column, Column], tuple[Column, Column]], locate: Locate, kind: str, z: str = "z", outside: float | None = None, chunk: int = CHUNK, onto: DataFrame | None = None) -> DataFrame:
     """y, x, z of new_h x new_w targets that read df at fractional places, edges repeated.
 
     locate gives the place (sy, sx) of targets (y, x). readers bound the target rows and columns that may read a pixel, so a
     pixel goes only to the chunks of its targets. Targets outside df get `outside`, or are left out if it is None.
+    onto: targets (y, x and more) that meet their chunk's pixels there; its rows come back with what they read as _s, null for
+    none, and no other targets are shuffled.
     """
     taps, weight = TAPS[kind]
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        cy, cx = key[0].as_py(), key[1].as_py()
+    def values(cy: int, cx: int, table: pa.Table) -> tuple[np.ndarray, ...]:
         ty, tx = np.meshgrid(np.arange(cy * chunk, min(new_h, (cy + 1) * chunk)), np.arange(cx * chunk, min(new_w, (cx + 1) * chunk)), indexing="ij")
         sy, sx = locate(ty.astype(float), tx.astype(float))
         inside = (sy >= -0.5) & (sy <= h - 0.5) & (sx >= -0.5) & (sx <= w - 0.5)
@@ -148,13 +150,32 @@ def gathered(df: DataFrame, h: int, w: int, new_h: int, new_w: int, readers: tup
                     has = ~np.isnan(v)
                     out += np.where(has, g * v, 0.0)
                     seen |= has & (g != 0)
-        keep = inside & seen
+        return ty, tx, out, inside & seen
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ty, tx, out, keep = values(key[0].as_py(), key[1].as_py(), table)
         if outside is not None:
             out, keep = np.where(keep, out, outside), np.ones_like(keep)
         return _rows(ty[keep], tx[keep], out[keep])
 
+    def laid(key: tuple, asked: pa.Table, table: pa.Table) -> pa.Table:
+        cy, cx = key[0].as_py(), key[1].as_py()
+        asked = asked.drop_columns(["_cy", "_cx"])
+        if not asked.num_rows:
+            return asked.append_column("_s", pa.array([], pa.float64()))
+        _, _, out, keep = values(cy, cx, table)
+        y, x = asked.column("y").to_numpy() - cy * chunk, asked.column("x").to_numpy() - cx * chunk
+        on = (y < out.shape[0]) & (x < out.shape[1])
+        read = np.full(len(y), np.nan)
+        read[on] = np.where(keep, out, np.nan)[y[on], x[on]]
+        return asked.append_column("_s", pa.array(read, mask=np.isnan(read)))
+
     (y0, y1), (x0, x1) = readers
     rows = _dealt(df, (F.floor(y0), F.ceil(y1)), (F.floor(x0), F.ceil(x1)), new_h, new_w, chunk, z)
+    if onto is not None:
+        asked = onto.withColumns({"_cy": F.floor(F.col("y") / chunk), "_cx": F.floor(F.col("x") / chunk)})
+        schema = StructType([*onto.schema.fields, StructField("_s", DoubleType())])
+        return asked.groupBy("_cy", "_cx").cogroup(rows.groupBy("_cy", "_cx")).applyInArrow(laid, schema)
     out = rows.groupBy("_cy", "_cx").applyInArrow(run, PIXELS)
     if outside is None:
         return out
@@ -167,8 +188,9 @@ def gathered(df: DataFrame, h: int, w: int, new_h: int, new_w: int, readers: tup
     return out.unionByName(lines.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.lit(float(outside)).alias("z")))
 
 
-def resize(df: DataFrame, h: int, w: int, new_h: int, new_w: int, kind: str = "linear", z: str = "z", chunk: int = CHUNK) -> DataFrame:
-    """df resized with half-pixel centres. Where a side shrinks, only rows or columns that a target reads are shuffled."""
+def resize(df: DataFrame, h: int, w: int, new_h: int, new_w: int, kind: str = "linear", z: str = "z", chunk: int = CHUNK, onto: DataFrame | None = None) -> DataFrame:
+    """df resized with half-pixel centres, whole or at the pixels of onto. Where a side shrinks, only rows or columns that a target
+    reads are shuffled."""
     first, last = min(TAPS[kind][0]), max(TAPS[kind][0])
 
     def reading(v: str, old: int, new: int) -> tuple[Column, Column]:
@@ -182,7 +204,7 @@ def resize(df: DataFrame, h: int, w: int, new_h: int, new_w: int, kind: str = "l
 
     locate = lambda y, x: ((y + 0.5) * (h / new_h) - 0.5, (x + 0.5) * (w / new_w) - 0.5)
     df = df.where(read("y", h, new_h) & read("x", w, new_w))
-    return gathered(df, h, w, new_h, new_w, (reading("y", h, new_h), reading("x", w, new_w)), locate, kind, z, chunk=chunk)
+    return gathered(df, h, w, new_h, new_w, (reading("y", h, new_h), reading("x", w, new_w)), locate, kind, z, chunk=chunk, onto=onto)
 
 
 def rotate(df: DataFrame, h: int, w: int, degrees: float, z: str = "z", chunk: int = CHUNK) -> tuple[DataFrame, int, int]:

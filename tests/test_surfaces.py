@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_kernels import array, frame
 
 from terrafold.model import Geo, RasterError
@@ -55,6 +56,22 @@ def test_nearest_of_all_pixels(spark):
     assert ground.nearest(spark.createDataFrame([], "y int, x int"), spark.createDataFrame([], "y int, x int, z double"), 300).collect() == []
 
 
+def test_gaps_far_from_any_pixel(spark, monkeypatch):
+    """Gaps near a valid pixel are filled within chunks, those far from all in cells, up to one that is as large as the raster."""
+    asked, whole = [], ground.nearest
+    monkeypatch.setattr(ground, "nearest", lambda ask, *r: asked.append(ask.count()) or whole(ask, *r))
+    a = np.zeros((64, 64))
+    a[63, 63], a[60, 2], a[63, 1] = 5.0, 3.0, 4.0
+    got = {(r.y, r.x): r.z for r in ground.thinned(frame(spark, a), F.col("z") > 0, 64, 64, 4).collect()}
+    valid = [(60, 2), (63, 1), (63, 63)]
+    want = {(y // 4, x // 4): a[min(((y - p) ** 2 + (x - q) ** 2, p, q) for p, q in valid)[1:]] for y in range(0, 64, 4) for x in range(0, 64, 4)}
+    assert got == want and 0 < asked[0] < len(want)
+    a = np.where(np.random.default_rng(2).random((40, 30)) < 0.5, 0.0, 1.0)
+    assert ground.thinned(frame(spark, a), F.col("z") > 0, 40, 30, 4).count() == 80 and len(asked) == 1
+    corner = spark.createDataFrame([(0, 0, 7.0)], "y int, x int, z double")
+    assert [r.d2 for r in whole(spark.createDataFrame([(63, 63)], "y int, x int"), corner, 64, 64).collect()] == [2 * 63 * 63]
+
+
 def test_ground_keeps_a_plane_and_marks_gaps(spark):
     a = np.fromfunction(lambda y, x: 100 + 0.0 * y, (40, 30))
     a[10:14, 10:14] = 1.0
