@@ -3,11 +3,12 @@
 This is not the dense form, in which Spark ranks the suffix at every byte: that takes a row a byte and round, many times the
 disk of the input (README has figures). Only some suffixes take part: in every LENGTH-byte window, the one whose first GRAM
 bytes hash lowest. Equal windows choose the same suffix, so every repeated string of LENGTH bytes keeps a suffix. Round one ranks
-the suffixes by GRAM bytes: Spark sorts (rank, part) pairs and drops ranks that one text has. Round two extends what a rank
-stands for: the rank of a core of 32 bytes or more is paired with that of all bytes that the windows around it hold, Spark sorts
-these pairs, and of texts with equal pairs only the smallest doc_id goes on, if the core has other surroundings too. Round three
+the suffixes by HALF bytes on either side, which all windows there hold: Spark deals the ranks of all parts to ranges, in a close code,
+a task sorts a range, and sides whose rank one text has drop out. GRAM bytes would not do: in many texts nearly all of them occur twice.
+Round two extends what a rank stands for: the rank of a core of HALF bytes or more is paired with that of all bytes that the windows
+around it hold, Spark sorts these pairs, and of texts with equal pairs only the smallest doc_id goes on, if the core has other surroundings too. Round three
 ranks the LENGTH bytes, the threshold, of the windows that are left, and keeps the smallest doc_id of each. Windows of one core
-meet in one bucket; those of suffixes whose rank of round one occurs more than HOT times meet by their own hash instead, a row
+meet in one bucket; those of sides whose rank of round one occurs more than HOT times meet by their own hash instead, a row
 for each window of a part, so a string that many texts hold is dealt by its different windows. Ranks are 64-bit fingerprints, not
 dense numbers: they sort equal strings together without a count of all smaller ones, and equal fingerprints count as equal
 strings.
@@ -20,6 +21,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ from terrafold.llm.parts import Part, dealt
 
 LENGTH = 50
 GRAM = 16
+#: Bytes of the ranks of round one; all windows around a suffix on a side hold as many, its gram and what lies on that side of it.
+HALF = 32
 #: Windows that contain a suffix's first GRAM bytes, and how many of them start in the half next to it.
 REACH = LENGTH - GRAM + 1
 NEAR = REACH // 2 + 1
@@ -37,7 +41,7 @@ B = U64(arrays.BASE)
 #: Bits of the ranks of round one, and of cores, above those that number the bytes of all texts. That two strings share one
 #: costs a comparison more, never a byte.
 SPARE = 4
-#: Occurrences of a rank of round one up to which the windows of a core are compared in one bucket.
+#: Occurrences of a rank of round one up to which the windows of a core are compared in one bucket: all of the core's are among them.
 HOT = 1000
 
 
@@ -89,27 +93,99 @@ def anchors(part: Part, short: np.uint64, segment: int = 1 << 16) -> tuple[np.nd
     return positions[new], ranks[new] >> short
 
 
-def _ranks(table: pa.Table, short: np.uint64) -> pa.Table:
-    """Round one: a row for each rank of the part, and how often it occurs; negative if one text has them all."""
-    part = Part.of(table)
-    at, rank = anchors(part, short)
-    ids = part.doc_id[part.doc_at(at)]
-    order = np.lexsort((ids, rank))
-    rank, ids = rank[order], ids[order]
-    new = np.concatenate(([True], rank[1:] != rank[:-1])) if len(rank) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    stop = np.append(first[1:], len(ids))
-    multi = ids[stop - 1] != ids[first] if len(first) else np.zeros(0, bool)
-    times = (stop - first if len(first) else first).astype(np.int32)
-    number = table.column("part")[0].as_py()
-    return pa.table({"part": pa.array(np.full(len(first), number, np.int32)), "key": pa.array(rank[first].view(np.int64)), "times": pa.array(np.where(multi, times, -times))})
+def _valid(part: Part, at: np.ndarray, doc: np.ndarray, right: bool) -> tuple[np.ndarray, ...]:
+    """Of suffixes at `at`, the common origin of the windows around them on one side, and the offsets of the first and last that
+    lie in the text; the last is smaller where there is none."""
+    offset = at - (NEAR - 1) if right else at - (REACH - 1)
+    n = NEAR if right else REACH - NEAR
+    return offset, np.maximum(0, part.start[doc] - offset), np.minimum(n - 1, part.start[doc + 1] - LENGTH - offset)
+
+
+def _halves(part: Part, at: np.ndarray, bits: int, segment: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place in `at`, side and rank of `bits` bits of the HALF bytes that all windows around a suffix on a side hold: those from it on, or
+    those up to the end of its gram. Suffixes without windows on a side have none there."""
+    doc = part.doc_at(at)
+    which, sides, ranks = [], [], []
+    for right in (True, False):
+        _, lo, hi = _valid(part, at, doc, right)
+        use = np.flatnonzero(lo <= hi)
+        first = at[use] - (0 if right else HALF - GRAM)
+        rank = np.zeros(len(use), np.uint64)
+        edges = np.searchsorted(first, np.arange(0, len(part.data) + segment, segment))
+        for k, (x, y) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            if x < y:
+                h = _doubled(arrays.TABLE[part.data[k * segment : (k + 1) * segment + HALF - 1]], HALF, [HALF])[HALF]
+                rank[x:y] = h[first[x:y] - k * segment]
+        which.append(use)
+        sides.append(np.full(len(use), right))
+        ranks.append(arrays.mix(rank + U64(right)) >> U64(64 - bits))
+    return np.concatenate(which), np.concatenate(sides), np.concatenate(ranks)
+
+
+def _bits(values: np.ndarray, n: int) -> bytes:
+    """The lowest n bits of each value, one value behind the other."""
+    return np.packbits(((values[:, None] >> np.arange(n, dtype=np.uint64)) & U64(1)).astype(np.uint8).ravel()).tobytes()
 
 
-def _shared(ranks: DataFrame) -> DataFrame:
-    """part, key and hot of the ranks that more than one text has; a rank has no more rows than there are parts."""
-    by = Window.partitionBy("key")
-    found = ranks.withColumn("_n", F.count("*").over(by)).withColumn("_m", F.max("times").over(by)).withColumn("hot", F.sum(F.abs(F.col("times").cast("long"))).over(by) > HOT)
-    return found.where("_n > 1 or _m > 0").select("part", "key", "hot")
+def _unbits(packed: bytes, count: int, n: int) -> np.ndarray:
+    wide = np.unpackbits(np.frombuffer(packed, np.uint8), count=count * n).reshape(count, n).astype(np.uint64)
+    return (wide << np.arange(n, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
+RANKS = "part int, bucket int, n int, low int, lows binary, highs binary, times binary"
+RANKS_SCHEMA = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("n", pa.int32()), ("low", pa.int32()), ("lows", pa.binary()), ("highs", pa.binary()), ("times", pa.binary())])
+
+
+def _ranks(table: pa.Table, bits: int, n_buckets: int) -> pa.Table:
+    """Round one: the different ranks of the part, how often each occurs, and whether more than one text has it, a row for each range of
+    ranks. The ranks of a row are in order: their low bits, and the differences of the others as runs of zeros (Elias and Fano's code)."""
+    part, number = Part.of(table), table.column("part")[0].as_py()
+    at, _ = anchors(part, U64(0))
+    which, _, rank = _halves(part, at, bits)
+    ids = part.doc_id[part.doc_at(at[which])]
+    order = np.lexsort((ids, rank))
+    rank, ids = rank[order], ids[order]
+    first = np.flatnonzero(_heads(rank))
+    stop = np.append(first[1:], len(ids))[: len(first)]
+    times = (2 * np.minimum(stop - first, 1 << 29) + (ids[stop - 1] != ids[first])).astype("<u4")
+    rank = rank[first]
+    bucket = ((rank * U64(n_buckets)) >> U64(bits)).astype(np.int64)
+    edges = np.append(np.flatnonzero(_heads(bucket)), len(bucket))
+    press, rows = zstandard.ZstdCompressor(level=3), []
+    for x, y in zip(edges[:-1], edges[1:], strict=True):
+        r = rank[x:y]
+        low = max(0, ((1 << bits) // n_buckets // len(r)).bit_length() - 1)
+        high = (r >> U64(low)) - (r[0] >> U64(low))
+        ones = np.zeros(int(high[-1]) + len(r), np.uint8)
+        ones[high.astype(np.int64) + np.arange(len(r))] = 1
+        lows = _bits(r, low) if low else b""
+        head = int(r[0] >> U64(low)).to_bytes(8, "little")
+        rows.append((number, int(bucket[x]), len(r), low, lows, head + np.packbits(ones).tobytes(), press.compress(times[x:y].view(np.uint8).reshape(-1, 4).T.tobytes())))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RANKS_SCHEMA, strict=True)], schema=RANKS_SCHEMA) if rows else RANKS_SCHEMA.empty_table()
+
+
+SIEVED = "part int, bucket int, shared binary, hot binary"
+SIEVED_SCHEMA = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("shared", pa.binary()), ("hot", pa.binary())])
+
+
+def _sieved(table: pa.Table, most: int) -> pa.Table:
+    """For each part, which of its ranks in a range more than one text has, and which occur more than `most` times, a bit a rank."""
+    open_, keys, times = zstandard.ZstdDecompressor(), [], []
+    for r in table.to_pylist():
+        ones = np.flatnonzero(np.unpackbits(np.frombuffer(r["highs"], np.uint8, offset=8)))
+        high = (ones[: r["n"]] - np.arange(r["n"])).astype(np.uint64) + U64(int.from_bytes(r["highs"][:8], "little"))
+        keys.append((high << U64(r["low"])) + (_unbits(r["lows"], r["n"], r["low"]) if r["low"] else U64(0)))
+        times.append(np.ascontiguousarray(np.frombuffer(open_.decompress(r["times"]), np.uint8).reshape(4, -1).T).view("<u4").ravel())
+    stops = np.cumsum([len(k) for k in keys])
+    key, times = np.concatenate(keys), np.concatenate(times)
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(_heads(key[order]))
+    sizes = np.diff(np.append(first, len(key)))
+    shared, hot = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    shared[order] = np.repeat((sizes > 1) | (np.bitwise_or.reduceat(times[order] & 1, first) > 0), sizes)
+    hot[order] = np.repeat(np.add.reduceat((times[order] >> 1).astype(np.int64), first) > most, sizes)
+    packed = lambda v: pa.array([np.packbits(x).tobytes() for x in np.split(v, stops[:-1])], pa.binary())
+    return pa.table([table.column("part"), table.column("bucket"), packed(shared), packed(hot)], schema=SIEVED_SCHEMA)
 
 
 PAIRS = "part int, seq int, doc_id long, start array<long>, lo int, hi int, span binary, bits int, run long, window long, bucket long"
@@ -129,11 +205,8 @@ def _folded(rows: np.ndarray) -> np.ndarray:
 def _spans(part: Part, at: np.ndarray, doc: np.ndarray, right: bool, short: np.uint64, block: int = 1 << 14):
     """The windows around suffixes at `at` on one side: offsets of their first and last from a common origin, the bytes
     they hold (zero outside), and the fingerprints of these and of the core that all share."""
-    offset = at - (NEAR - 1) if right else at - (REACH - 1)
-    n = NEAR if right else REACH - NEAR
-    lo = np.maximum(0, part.start[doc] - offset)
-    hi = np.minimum(n - 1, part.start[doc + 1] - LENGTH - offset)
-    core = np.arange(NEAR - 1, LENGTH) if right else np.arange(n - 1, LENGTH)
+    offset, lo, hi = _valid(part, at, doc, right)
+    core = np.arange(NEAR - 1, LENGTH) if right else np.arange(REACH - NEAR - 1, LENGTH)
     padded = np.concatenate((np.zeros(REACH, np.uint8), part.data, np.zeros(SPAN, np.uint8)))
     column = np.arange(SPAN)
     for a in range(0, len(at), block):
@@ -148,13 +221,13 @@ def _spans(part: Part, at: np.ndarray, doc: np.ndarray, right: bool, short: np.u
 LOW = U64((1 << 20) - 1)
 
 
-def _surroundings(part: Part, at: np.ndarray, rank: np.ndarray, short: np.uint64):
-    """For either side: side, text, offset, first and last window, rank of round two and core of each suffix with windows.
+def _surroundings(part: Part, at: np.ndarray, rank: np.ndarray, short: np.uint64, sides: tuple[bool, ...] = (True, False)):
+    """For each of the sides: side, text, offset, first and last window, rank of round two and core of each suffix with windows.
 
     Suffixes are ordered by rank, then place: of equal ranks, the first is of the smallest doc_id.
     """
     doc = part.doc_at(at)
-    for side in (True, False):
+    for side in sides:
         got = [x[1:4] + x[5:] for x in _spans(part, at, doc, side, short)]
         if not got:
             continue
@@ -185,7 +258,7 @@ def room(least: int, most: int) -> int:
     return 8 * max(0, (63 - max(abs(least), abs(most)).bit_length()) // 8)
 
 
-def _classes(left: pa.Table, right: pa.Table, short: np.uint64, up: int) -> pa.Table:
+def _classes(left: pa.Table, right: pa.Table, short: np.uint64, up: int, bits: int, n_buckets: int) -> pa.Table:
     """Round two: a row for each rank of the part, with the smallest doc_id that has it; multi if another has it too.
 
     The core of a hot suffix is its rank, so that its other surroundings are dealt elsewhere.
@@ -194,19 +267,21 @@ def _classes(left: pa.Table, right: pa.Table, short: np.uint64, up: int) -> pa.T
         return CLASSES_SCHEMA.empty_table()
     part, number = Part.of(left), left.column("part")[0].as_py()
     at, rank = anchors(part, short)
-    wanted = right.column("key").to_numpy().view(np.uint64)
-    by = np.argsort(wanted)
-    wanted, hot = wanted[by], right.column("hot").to_numpy(zero_copy_only=False).astype(bool)[by]
-    place = np.minimum(np.searchsorted(wanted, rank), len(wanted) - 1)
-    found = wanted[place] == rank
-    at, rank, hot = at[found], rank[found], hot[place[found]]
+    which, sides, half = _halves(part, at, bits)
+    known, place = np.unique(half, return_inverse=True)
+    right = right.sort_by("bucket")
+    edges = np.append(np.flatnonzero(_heads((known * U64(n_buckets)) >> U64(bits))), len(known))
+    flags = [np.concatenate([np.unpackbits(np.frombuffer(v, np.uint8), count=n) for v, n in zip(right.column(k).to_pylist(), np.diff(edges), strict=True)]).astype(bool)[place] for k in ("shared", "hot")]
     out = []
-    for _, a, doc, _, _, _, rank2, core in _surroundings(part, at, rank, short):
-        core = np.where(hot[np.searchsorted(at, a)], rank2, core)
-        first = np.flatnonzero(_heads(rank2))
-        ids = part.doc_id[doc]
-        multi = ids[np.append(first[1:], len(ids)) - 1] != ids[first] if len(first) else np.zeros(0, bool)
-        out.append(pa.table([pa.array(np.full(len(first), number, np.int32)), pa.array(multi), pa.array(ids[first] << up), pa.array(rank2[first].view(np.int64)), pa.array(core[first].view(np.int64))], schema=CLASSES_SCHEMA))
+    for side in (True, False):
+        use = flags[0] & (sides == side)
+        chosen, hot = which[use], flags[1][use]
+        for _, a, doc, _, _, _, rank2, core in _surroundings(part, at[chosen], rank[chosen], short, (side,)):
+            core = np.where(hot[np.searchsorted(at[chosen], a)], rank2, core)
+            first = np.flatnonzero(_heads(rank2))
+            ids = part.doc_id[doc]
+            multi = ids[np.append(first[1:], len(ids)) - 1] != ids[first] if len(first) else np.zeros(0, bool)
+            out.append(pa.table([pa.array(np.full(len(first), number, np.int32)), pa.array(multi), pa.array(ids[first] << up), pa.array(rank2[first].view(np.int64)), pa.array(core[first].view(np.int64))], schema=CLASSES_SCHEMA))
     return pa.concat_tables(out) if out else CLASSES_SCHEMA.empty_table()
 
 
@@ -411,8 +486,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = True)
     total, least, most = (x or 0 for x in docs.agg(F.sum(F.octet_length(F.col(text))), F.min(ids), F.max(ids)).first())
     n, short, up = common.parts_for(docs, total), shortened(total), room(least, most)
     texts = dealt(docs, n, text)
-    ranks = _shared(texts.groupBy("part").applyInArrow(lambda t: _ranks(t, short), "part int, key long, times int"))
-    classes = texts.groupBy("part").cogroup(ranks.groupBy("part")).applyInArrow(lambda t, u: _classes(t, u, short, up), CLASSES)
+    bits, hot = min(48, max(total, 1).bit_length() + SPARE), HOT
+    ranks = texts.groupBy("part").applyInArrow(lambda t: _ranks(t, bits, n), RANKS)
+    sieved = ranks.groupBy("bucket").applyInArrow(lambda t: _sieved(t, hot), SIEVED)
+    classes = texts.groupBy("part").cogroup(sieved.groupBy("part")).applyInArrow(lambda t, u: _classes(t, u, short, up, bits, n), CLASSES)
     pairs = texts.groupBy("part").cogroup(_verdicts(classes).groupBy("part")).applyInArrow(lambda t, u: _pairs(t, u, short), PAIRS)
     buckets = pairs.withColumn("bucket", F.pmod("bucket", F.lit(16 * n)))
     flags = buckets.groupBy("bucket").applyInArrow(_windows, FLAGS)
