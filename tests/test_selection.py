@@ -4,6 +4,7 @@ import hashlib
 import random
 
 from terrafold.operators import detect, linked, semantics
+from terrafold.plans.library import box_iou_pairs
 
 BOX = "image int, det_id string, xmin double, ymin double, xmax double, ymax double, score double"
 
@@ -107,3 +108,18 @@ def test_pairs_of_an_image_without_cells(spark):
     key = lambda d: sorted((r.image, r.a, r.b, r.iou) for r in d.collect())
     assert key(detect.iou_pairs(df, None)) == key(detect.iou_pairs(df, 16.0)) != []
     assert "explode" not in detect.iou_pairs(df, None)._jdf.queryExecution().toString()
+
+
+def test_boxes_are_shuffled_once(spark, sf):
+    """box_iou_pairs deals rows by image before they are hashed; copies of a box are found there, and pairs by a sorted join."""
+    plan = box_iou_pairs(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(dealt) == 2 and all("hashpartitioning(image#" in line and "det_id" not in line and "REPARTITION_BY_NUM" in line for line in dealt)
+    assert "SortMergeJoin" in plan
+
+
+def test_pairs_of_odd_boxes(spark):
+    """Empty, touching and nameless boxes are in no pair; shares are rounded half to even, as in SQL."""
+    rows = [(1, "a", 0.0, 0.0, 16.0, 8.0), (1, "b", 0.0, 0.0, 1.0, 1.0), (1, "c", 16.0, 0.0, 17.0, 8.0), (1, "d", 2.0, 2.0, 2.0, 4.0), (1, "e", 5.0, 1.0, 3.0, 4.0), (1, None, 0.0, 0.0, 9.0, 9.0), (1, "f", None, 0.0, 9.0, 9.0), (None, "g", 0.0, 0.0, 9.0, 9.0), (2, "h", 0.0, 0.0, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "image int, det_id string, xmin double, ymin double, xmax double, ymax double")
+    assert [tuple(r) for r in detect.iou_pairs(df, None).collect()] == [(1, "a", "b", 0.007812)]
