@@ -124,7 +124,8 @@ def gathered(df: DataFrame, h: int, w: int, new_h: int, new_w: int, readers: tup
     """y, x, z of new_h x new_w targets that read df at fractional places, edges repeated.
 
     locate gives the place (sy, sx) of targets (y, x). readers bound the target rows and columns that may read a pixel, so a
-    pixel goes only to the chunks of its targets. Targets outside df get `outside`, or are left out if it is None.
+    pixel goes only to the chunks of its targets. Targets outside df get `outside`, or are left out if it is None; with it, locate must
+    take columns too and keep differences, wherever the targets are, as a turn does.
     onto: targets (y, x and more) that meet their chunk's pixels there; its rows come back with what they read as _s, null for
     none, and no other targets are shuffled.
     """
@@ -141,15 +142,18 @@ def gathered(df: DataFrame, h: int, w: int, new_h: int, new_w: int, readers: tup
             rows, cols = np.unique(y), np.unique(x)
             held = np.full((len(rows) + 1, len(cols) + 1), np.nan)  # the last row and column stay empty
             held[np.searchsorted(rows, y), np.searchsorted(cols, x)] = real.column("z").to_numpy()
+            sy, sx = sy[inside], sx[inside]
             fy, fx = np.floor(sy).astype(int), np.floor(sx).astype(int)
+            total, some = np.zeros(len(sy)), np.zeros(len(sy), bool)
             for i in taps:
                 py = _place(rows, np.clip(fy + i, 0, h - 1))
                 for j in taps:
                     px = _place(cols, np.clip(fx + j, 0, w - 1))
                     g, v = weight(sy - fy - i) * weight(sx - fx - j), held[py, px]
                     has = ~np.isnan(v)
-                    out += np.where(has, g * v, 0.0)
-                    seen |= has & (g != 0)
+                    total += np.where(has, g * v, 0.0)
+                    some |= has & (g != 0)
+            out[inside], seen[inside] = total, some
         return ty, tx, out, inside & seen
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -179,13 +183,25 @@ def gathered(df: DataFrame, h: int, w: int, new_h: int, new_w: int, readers: tup
     out = rows.groupBy("_cy", "_cx").applyInArrow(run, PIXELS)
     if outside is None:
         return out
-    # chunks that no pixel reaches are rows of one value, which need no kernel
-    ny, nx = -(-new_h // chunk), -(-new_w // chunk)
-    touched = rows.select("_cy", "_cx").distinct()
-    bare = df.sparkSession.range(ny * nx).select(F.floor(F.col("id") / nx).alias("_cy"), (F.col("id") % nx).alias("_cx")).join(touched, ["_cy", "_cx"], "left_anti")
+    # chunks that no pixel reaches are rows of one value, which need no kernel: those far from df are told by their place alone
+    corner = np.array([0, 0, chunk - 1, chunk - 1, (chunk - 1) / 2]), np.array([0, chunk - 1, 0, chunk - 1, (chunk - 1) / 2])
+    reach = [float(np.abs(v[:4] - v[4]).max()) + 8 for v in locate(*corner)]
+
+    def near(cy: Column, cx: Column) -> Column:
+        sy, sx = locate(cy * float(chunk) + (chunk - 1) / 2, cx * float(chunk) + (chunk - 1) / 2)
+        return (sx >= -reach[1]) & (sx <= w + reach[1]) & (sy >= -reach[0]) & (sy <= h + reach[0])
+
+    spark, ny, nx = df.sparkSession, -(-new_h // chunk), -(-new_w // chunk)
+    ids = lambda n: spark.range(0, n, 1, max(spark.sparkContext.defaultParallelism, n >> 24))
+    places = ids(new_h * new_w).select(F.expr(f"id div {new_w}").alias("y"), (F.col("id") % new_w).alias("x"))
+    void = places.where(~near(F.floor(F.col("y") / chunk), F.floor(F.col("x") / chunk)))
+    chunks = ids(ny * nx).select(F.expr(f"id div {nx}").alias("_cy"), (F.col("id") % nx).alias("_cx")).where(near(F.col("_cy"), F.col("_cx")))
+    bare = chunks.join(rows.select("_cy", "_cx").distinct(), ["_cy", "_cx"], "left_anti")
     side = lambda k, n: F.sequence(F.col(k) * chunk, F.least(F.lit(n), (F.col(k) + 1) * chunk) - 1)
     lines = bare.withColumn("y", F.explode(side("_cy", new_h))).withColumn("x", F.explode(side("_cx", new_w)))
-    return out.unionByName(lines.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.lit(float(outside)).alias("z")))
+    for part in (void, lines):
+        out = out.unionByName(part.select(F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.lit(float(outside)).alias("z")))
+    return out
 
 
 def resize(df: DataFrame, h: int, w: int, new_h: int, new_w: int, kind: str = "linear", z: str = "z", chunk: int = CHUNK, onto: DataFrame | None = None) -> DataFrame:

@@ -255,3 +255,29 @@ def test_bare_chunks_of_a_turned_raster(spark):
     rows = turned.collect()
     assert len(rows) == len({(r.y, r.x) for r in rows}) == h * w and 200 < sum(r.z for r in rows) < 280
     assert "LeftAnti" in turned._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("degrees", [0.0, 30.0, 90.0, 200.0, -33.0])
+def test_turned_raster_with_gaps_against_a_plain_loop(spark, degrees):
+    """Every place of the canvas comes once: from its chunk, as a chunk beside the raster or far from it, or within a gap of whole chunks."""
+    rnd = np.random.default_rng(6)
+    a = rnd.normal(size=(50, 6))
+    a[rnd.random(a.shape) < 0.3] = np.nan
+    a[15:35] = np.nan
+    df = frame(spark, a).where(~F.isnan("z"))
+    turned, h, w = halo.rotate(df, 50, 6, degrees, chunk=5)
+    rows = turned.collect()
+    got = {(r.y, r.x): r.z for r in rows}
+    assert len(rows) == len(got) == h * w
+    c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+    for y, x in np.ndindex(h, w):
+        dy, dx = y - (h - 1) / 2, x - (w - 1) / 2
+        sy, sx = dy * c + dx * s + 24.5, dx * c - dy * s + 2.5
+        want = 0.0
+        if -0.5 <= sy <= 49.5 and -0.5 <= sx <= 5.5:
+            for i, j in np.ndindex(2, 2):
+                p, q = math.floor(sy) + i, math.floor(sx) + j
+                v = a[min(max(p, 0), 49), min(max(q, 0), 5)]
+                want += 0.0 if np.isnan(v) else (1 - abs(sy - p)) * (1 - abs(sx - q)) * v
+        assert abs(got[y, x] - want) < 1e-9
+    assert f"Range (0, {h * w}," in turned._jdf.queryExecution().toString()
