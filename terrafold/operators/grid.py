@@ -130,11 +130,11 @@ def upscale(df: DataFrame, factor: int) -> DataFrame:
 
 
 def resize_nearest(df: DataFrame, h: int, w: int, new_h: int, new_w: int) -> DataFrame:
-    """Each target pixel takes the source pixel floor(i * old / new): sources list the targets that read them."""
+    """Each target pixel takes the source pixel floor(i * old / new): sources list the targets that read them, those outside the raster none."""
 
     def readers(v: str, old: int, new: int) -> Column:
         at = F.col(v).cast("long")  # v * new is more than an int on a raster of 50,000 rows
-        lo, hi = F.ceil(at * new / old), F.ceil((at + 1) * new / old) - 1
+        lo, hi = F.greatest(F.lit(0), F.ceil(at * new / old)), F.least(F.lit(new - 1), F.ceil((at + 1) * new / old) - 1)
         return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<long>"))
 
     out = df.withColumn("_i", F.explode(readers("y", h, new_h))).withColumn("_j", F.explode(readers("x", w, new_w)))

@@ -147,6 +147,15 @@ def test_resampling_rows_of_large_rasters(spark):
     assert all(0 < r.y < 59_999 for r in grid.shrink(df, 60_000, 10).collect())
 
 
+def test_resampling_leaves_the_raster_to_no_target_outside(spark):
+    """Rows that are numbered with gaps lie beyond a raster of as many rows; no target there reads them."""
+    df = spark.createDataFrame([(y, x) for y in (-4, -1, 0, 9, 10, 14, 40) for x in (-1, 0, 5, 9)], "y int, x int")
+    targets = lambda d: sorted((r.y, r.x) for r in d.collect())
+    assert targets(grid.resize_nearest(df, 10, 6, 20, 6)) == [(y, x) for y in (0, 1, 18, 19) for x in (0, 5)]
+    want = [(i, j) for i in range(10) for j in range(10) if i * 12 // 10 - 1 in (-4, -1, 0, 9, 10, 14, 40) and j * 12 // 10 - 1 in (-1, 0, 5, 9)]
+    assert targets(grid.shrink(df, 10, 10)) == want
+
+
 def test_patches_of_long_rasters(spark):
     """As many rows as patches cover a pixel, without a list of all patches in the plan."""
     h, size = 50_000, 32
